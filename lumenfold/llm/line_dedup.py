@@ -189,17 +189,33 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     Lines whose non-empty key is in min_docs rows at least go everywhere; the others
     stay as they are, joined by newlines. One row out for each row in.
     """
+    return _cut(docs.select("doc_id", "text"), ["doc_id"], min_docs)
+
+
+def without_frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
+    """docs with texts, and n_chars where there is such a column, as drop_frequent_lines()
+    leaves them; the columns and the number of rows stay."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    kept = _cut(docs, others, min_docs)
+    now = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return kept.select(*((now[c].alias(c) if c in now else F.col(c)) for c in docs.columns))
+
+
+def _cut(docs: DataFrame, others: list[str], min_docs: int) -> DataFrame:
+    """others and kept_text, n_lines, n_dropped."""
+    ship(docs.sparkSession)
     base = docs.select("doc_id", "text")
     index = LineIndex.build(base)
     hits = index.probe(line_rows(base), min_docs)
-    per_row = hits.groupBy("row").agg(F.collect_set(F.struct("hi", "lo")).alias("__hits"))
-    keyed = base.withColumn("row", F.xxhash64("doc_id", "text")).join(per_row, "row", "left")
-    flat = keyed.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("__hits.hi").alias("hi"), F.col("__hits.lo").alias("lo"))
+    per_row = hits.groupBy("row").agg(F.collect_set(F.struct("hi", "lo")).alias("__hits")).withColumnRenamed("row", "__row")
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(per_row, "__row", "left")
+    width = len(others)
+    flat = keyed.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(others)), F.col("text").cast("binary").alias("text"), F.col("__hits.hi").alias("hi"), F.col("__hits.lo").alias("lo"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_lines, n_dropped = [], [], []
-            for text, hi, lo in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for text, hi, lo in zip(*(batch.column(width + i).to_pylist() for i in range(3)), strict=True):
                 lines = (text or b"").split(b"\n")
                 n_lines.append(len(lines))
                 if hi:
@@ -208,9 +224,12 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
                     lines = [x for x, k, h in zip(lines, keys, map(tuple, _hashes(keys).tolist()), strict=True) if not k or h not in bad]
                 kept.append(b"\n".join(lines))
                 n_dropped.append(n_lines[-1] - len(lines))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["doc_id", "kept_text", "n_lines", "n_dropped"])
+            made = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], [f"c{i}" for i in range(width)] + ["kept_text", "n_lines", "n_dropped"])
 
-    return flat.mapInArrow(cut, f"doc_id {dict(base.dtypes)['doc_id']}, kept_text string, n_lines long, n_dropped long")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([f"c{i} {kinds[c]}" for i, c in enumerate(others)] + ["kept_text string, n_lines long, n_dropped long"])
+    return flat.mapInArrow(cut, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(others)), "kept_text", "n_lines", "n_dropped")
 
 
 def digest(kept: DataFrame) -> DataFrame:
