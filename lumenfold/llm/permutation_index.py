@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, written
 
-PIVOTS, NEAREST, KEEP = 128, 32, 0.25
+PIVOTS, NEAREST, KEEP = 256, 64, 0.3
 SHARD_ROWS, QUERY_ROWS = 1 << 14, 1 << 12
 
 
