@@ -1,0 +1,668 @@
+"""The registered queries: name, Spark form, and DuckDB form where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import decision, hashing, json_walk, redaction
+from ..operators import evaluation, ledger, machines, search
+from ..sources import derived as d
+from ..sources.derived import sql
+from . import policy
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+ROOTS, HOSTS = ["/work"], ["example.org"]
+
+
+def query(oracle: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+_FEED = "event_id, session_id, event_type, redacted_text, created_at"
+
+
+# ---- scans and reads ----------------------------------------------------------------
+
+@query(sql("SELECT event_id, session_id, event_type, payload_json, redacted_text, created_at FROM ledger_events ORDER BY event_id", "ledger_events"))
+def s2_ordered_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return d.events(spark, sf).orderBy("event_id")
+
+
+@query(sql("SELECT event_id, session_id, event_type, payload_json FROM ledger_events WHERE event_id = 42", "ledger_events"))
+def s3_point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.event(d.events(spark, sf), 42).select("event_id", "session_id", "event_type", "payload_json")
+
+
+@query(sql("SELECT event_id, session_id, event_type FROM ledger_events ORDER BY event_id DESC LIMIT 1", "ledger_events"))
+def s4_head(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.head(d.events(spark, sf)).select("event_id", "session_id", "event_type")
+
+
+@query(sql(f"SELECT {_FEED} FROM ledger_events WHERE session_id = 's1' AND event_type IN ('tool_call.executed','approval.created') ORDER BY event_id DESC LIMIT 20", "ledger_events"))
+def p1_activity_feed(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.recent_events(d.events(spark, sf), "s1", ["tool_call.executed", "approval.created"], 20)
+
+
+@query(sql("SELECT * FROM sessions WHERE source = 'browser' ORDER BY started_at DESC, session_id LIMIT 100", "sessions"))
+def p2_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.sessions_list(d.sessions(spark, sf), "browser")
+
+
+@query(sql("SELECT approval_id, session_id, created_at FROM approvals WHERE status = 'Pending' ORDER BY created_at, approval_id", "approvals"))
+def p3_pending_approvals(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.pending(d.approvals(spark, sf)).select("approval_id", "session_id", "created_at")
+
+
+_CALL_KEYS = "SELECT invocation_id, session_id, CASE k WHEN 0 THEN 'web' WHEN 1 THEN 'filesystem' WHEN 2 THEN 'filesystem' WHEN 3 THEN 'postgres' WHEN 4 THEN 'shell' ELSE 'mail' END AS server_id, CASE k WHEN 0 THEN 'fetch' WHEN 1 THEN 'read_file' WHEN 2 THEN 'write_file' WHEN 3 THEN 'query' WHEN 4 THEN 'run' ELSE 'send_mail' END AS tool_name, CAST(page_id % 20 AS VARCHAR) AS args_hash FROM calls"
+GRANTS_AT = 1_000_000_000
+
+
+@query(sql(f"""SELECT c.invocation_id, arg_max(a.approval_id, a.resolved_at * 10000000 + a.approval_id) AS granted_by FROM ({_CALL_KEYS}) c LEFT JOIN approvals a
+ ON a.session_id = c.session_id AND a.server_id = c.server_id AND a.tool_name = c.tool_name AND a.args_hash = c.args_hash AND a.status = 'Approved' AND a.scope = 'ThisSession' AND a.expires_at > {GRANTS_AT} GROUP BY c.invocation_id""", "calls", "approvals"))
+def p4_session_grants(spark: SparkSession, sf: str) -> DataFrame:
+    calls = d.calls(spark, sf).withColumn("args_hash", (F.col("invocation_id") % 20).cast("string"))
+    return ledger.session_grants(calls, d.approvals(spark, sf), GRANTS_AT).select("invocation_id", "granted_by")
+
+
+@query(sql("SELECT approval_id, expires_at FROM approvals WHERE status = 'Pending' AND expires_at <= 800000000", "approvals"))
+def p5_expired_pending(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.expired(d.approvals(spark, sf), 800_000_000).select("approval_id", "expires_at")
+
+
+@query("SELECT * FROM (VALUES ('filesystem','h2'),('mail','h9')) v(server_id, pending_command_hash)")
+def p6_drifted_servers(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.drifted(d.servers(spark), "pending_command_hash").select("server_id", "pending_command_hash")
+
+
+@query(sql("SELECT server_id, trust_level FROM servers WHERE trust_level IN ('Limited','Trusted')", "servers"))
+def p7_trusted_servers(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.trusted_servers(d.servers(spark)).select("server_id", "trust_level")
+
+
+@query(sql(f"SELECT c.invocation_id, b.binding_id, b.env_key FROM ({_CALL_KEYS}) c JOIN bindings b ON b.server_id = c.server_id AND (b.tool_name = c.tool_name OR b.tool_name = '*') WHERE b.injection_method = 'ChildEnv'", "calls", "bindings"))
+def p8_wildcard_bindings(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.resolve_bindings(d.calls(spark, sf), d.bindings(spark)).select("invocation_id", "binding_id", "env_key")
+
+
+@query(sql("SELECT s.server_id, array_to_string(list_sort(list(DISTINCT b.env_key) FILTER (b.env_key IS NOT NULL)), ',') AS env_keys, count(b.binding_id) > 0 AS bound FROM servers s LEFT JOIN bindings b USING (server_id) GROUP BY s.server_id", "servers", "bindings"))
+def p9_env_keys(spark: SparkSession, sf: str) -> DataFrame:
+    got = ledger.requested_env_keys(d.servers(spark), d.bindings(spark))
+    return got.select("server_id", F.when(F.size("env_keys") > 0, F.array_join("env_keys", ",")).alias("env_keys"), F.col("env_keys").isNotNull().alias("bound"))
+
+
+@query(sql("SELECT event_id, event_type FROM ledger_events WHERE (event_type = 'tool_call' OR event_type LIKE 'tool_call.%') AND created_at >= 1704100000", "ledger_events"))
+def p12_feed_filters(spark: SparkSession, sf: str) -> DataFrame:
+    e = d.events(spark, sf)
+    return ledger.filter_feed(e, ["tool_call"], None, 1_704_100_000, decision.decision_class_of_event(F.col("event_type"), F.col("payload_json"))).select("event_id", "event_type")
+
+
+_CLASS13 = """CASE WHEN event_type LIKE '%.created' THEN 'approve' WHEN event_type LIKE '%.leak' THEN 'deny' WHEN event_type LIKE '%.drift' OR event_type LIKE '%.opened' THEN 'monitor'
+ WHEN event_type LIKE '%.denied' OR event_type LIKE '%.rejected' OR event_type LIKE '%.failed' OR event_type LIKE '%.abandoned' THEN 'deny' ELSE 'allow' END"""
+_CLASS14 = """CASE WHEN event_type LIKE 'tool!_call.executed%' ESCAPE '!' OR event_type LIKE 'tool!_call.opened%' ESCAPE '!' OR event_type = 'tool_call.decided' THEN 'allow' WHEN event_type = 'approval.created' THEN 'approve'
+ WHEN event_type LIKE '%.denied' OR event_type LIKE '%.rejected' OR contains(event_type, 'drift_rejected') OR contains(event_type, 'secret') THEN 'deny' WHEN contains(event_type, 'drift') THEN 'monitor' END"""
+
+
+@query(sql(f"SELECT event_type, {_CLASS13} AS decision, count(*) AS n FROM ledger_events GROUP BY ALL", "ledger_events"))
+def p13_decision_class(spark: SparkSession, sf: str) -> DataFrame:
+    return d.events(spark, sf).groupBy("event_type", decision.decision_class_of_event(F.col("event_type"), F.col("payload_json")).alias("decision")).agg(F.count("*").alias("n"))
+
+
+@query(sql(f"SELECT event_type, {_CLASS14} AS decision, count(*) AS n FROM ledger_events GROUP BY ALL", "ledger_events"))
+def p14_overview_class(spark: SparkSession, sf: str) -> DataFrame:
+    return d.events(spark, sf).groupBy("event_type", decision.decision_class_of_type(F.col("event_type")).alias("decision")).agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT event_id, event_type, CAST(json_extract_string(payload_json, '$.k') AS BIGINT) AS k FROM ledger_events WHERE session_id = 's2' ORDER BY event_id", "ledger_events"))
+def p15_replay(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.replay(d.events(spark, sf), "s2").select("event_id", "event_type", F.get_json_object("payload_json", "$.k").cast("long").alias("k"))
+
+
+@query(sql("SELECT event_id FROM ledger_events WHERE session_id IN ('s2', 's3') AND session_id NOT IN (SELECT session_id FROM ledger_events WHERE event_id % 97 = 0) ORDER BY event_id", "ledger_events"))
+def p16_verified_replay(spark: SparkSession, sf: str) -> DataFrame:
+    t = d.tampered(spark, sf).filter(F.col("session_id").isin("s2", "s3"))
+    return ledger.verified_replay(t, "s2").unionByName(ledger.verified_replay(t, "s3")).select("event_id")
+
+
+# ---- chain --------------------------------------------------------------------------
+
+@query(sql("SELECT session_id, count(*) AS n_events, min(event_id) FILTER (event_id % 97 = 0) AS broken_at, count(*) FILTER (event_id % 97 = 0) = 0 AS ok FROM ledger_events GROUP BY session_id", "ledger_events"))
+def c3_verify_tampered(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.verify(d.tampered(spark, sf))
+
+
+@query(sql("SELECT count(*) AS n_events, count(*) AS n_ok, count(DISTINCT session_id) AS n_chains FROM ledger_events", "ledger_events"))
+def c2_build_and_verify(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.chain_checks(d.chained(spark, sf)).agg(F.count("*").alias("n_events"), F.count_if("ok").alias("n_ok"), F.countDistinct("session_id").alias("n_chains"))
+
+
+_BE8 = "unhex(printf('%016x', {}))"
+
+
+@query(sql(f"""SELECT event_id, sha256(encode('{hashing.TAG_V1}') || unhex('00000020') || unhex(repeat('00', 32)) || {_BE8.format("strlen(payload_json)")} || encode(payload_json) || unhex('00000008') || {_BE8.format("created_at")}) AS event_hash FROM ledger_events""", "ledger_events"))
+def c1_event_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return d.events(spark, sf).select("event_id", hashing.event_hash_v1(F.lit(""), F.col("payload_json"), F.col("created_at")).alias("event_hash"))
+
+
+@query(sql(f"""SELECT event_id, sha256(encode('{hashing.TAG_V2}') || unhex('00000020') || unhex(repeat('00', 32)) || {_BE8.format("strlen(payload_json)")} || encode(payload_json) || unhex('00000008') || {_BE8.format("created_at")}
+ || {_BE8.format("strlen(session_id)")} || encode(session_id) || {_BE8.format("strlen(event_type)")} || encode(event_type) || CASE WHEN redacted_text IS NULL THEN unhex('00') ELSE unhex('01') || {_BE8.format("strlen(redacted_text)")} || encode(redacted_text) END) AS event_hash FROM ledger_events""", "ledger_events"))
+def c2_event_hash_v2(spark: SparkSession, sf: str) -> DataFrame:
+    e = d.events(spark, sf)
+    return e.select("event_id", hashing.event_hash_v2(F.lit(""), F.col("payload_json"), F.col("created_at"), F.col("session_id"), F.col("event_type"), F.col("redacted_text")).alias("event_hash"))
+
+
+@query("SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 32) AS fingerprint, substr(sha256(coalesce(text, '')), 1, 16) AS short FROM documents")
+def c6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return d.load(spark, sf, "documents").select("doc_id", hashing.fingerprint(t).alias("fingerprint"), hashing.short_hash(t).alias("short"))
+
+
+@query("""SELECT event_id, sha256('{"k":' || json_extract_string(props, '$.k') || '}') AS args_hash FROM events""")
+def c8_args_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return d.load(spark, sf, "events").select("event_id", hashing.args_hash(F.col("props")).alias("args_hash"))
+
+
+@query(sql("SELECT event_id, coalesce(lag(event_id) OVER (PARTITION BY session_id ORDER BY event_id), 0) AS previous FROM ledger_events", "ledger_events"))
+def w1_chain_links(spark: SparkSession, sf: str) -> DataFrame:
+    return d.events(spark, sf).select("event_id", F.coalesce(F.lag("event_id").over(Window.partitionBy("session_id").orderBy("event_id")), F.lit(0)).alias("previous"))
+
+
+@query(sql("SELECT line, event_id FROM (SELECT row_number() OVER (ORDER BY event_id // 2 , event_id) AS line, event_id // 2 AS event_id, lag(event_id // 2) OVER (ORDER BY event_id // 2, event_id) AS b FROM ledger_events WHERE event_id BETWEEN 2 AND 200) WHERE event_id <= b", "ledger_events"))
+def w4_checkpoint_order(spark: SparkSession, sf: str) -> DataFrame:
+    e = d.events(spark, sf).filter("event_id between 2 and 200").select(F.expr("event_id div 2").alias("half"), "event_id")
+    points = e.select(F.row_number().over(Window.orderBy("half", "event_id")).alias("line"), F.col("half").alias("event_id"), F.lit("0" * 64).alias("event_hash"), F.lit("").alias("prev_hash"))
+    return ledger.checkpoint_faults(points).select("line", "event_id")
+
+
+@query(sql("SELECT event_id, event_id % 97 = 0 AS missing FROM (SELECT event_id FROM ledger_events WHERE event_id % 10 = 0 AND (event_id % 97 = 0 OR event_id % 70 = 0))", "ledger_events"))
+def j6_anchor_mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    e = d.events(spark, sf).withColumns({"event_hash": F.sha2(F.col("payload_json").cast("binary"), 256), "prev_hash": F.lit("")})
+    points = e.filter("event_id % 10 = 0").withColumn("event_type", F.when(F.col("event_id") % 70 == 0, "forged").otherwise(F.col("event_type"))).drop("payload_json", "redacted_text")
+    return ledger.anchor_mismatches(points, e.filter("event_id % 97 <> 0")).select("event_id", "missing")
+
+
+# ---- joins and aggregates -----------------------------------------------------------
+
+@query(sql("SELECT s.session_id, f.label, count(*) AS cnt FROM findings f JOIN scans s USING (scan_id) WHERE s.source = 'tool_arg' GROUP BY ALL ORDER BY s.session_id, cnt DESC, f.label", "findings", "scans"))
+def g1_labels_by_session(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.labels_by_session(d.findings(spark, sf), d.scans(spark, sf))
+
+
+@query(sql("SELECT label, count(*) AS cnt FROM findings GROUP BY label ORDER BY cnt DESC, label", "findings"))
+def g2_labels_global(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.labels_global(d.findings(spark, sf))
+
+
+@query(sql("SELECT len_bucket, count(*) AS n FROM scans GROUP BY len_bucket", "scans"))
+def g3_bit_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return d.scans(spark, sf).groupBy("len_bucket").agg(F.count("*").alias("n"))
+
+
+@query(sql(f"""SELECT count(*) FILTER (event_type = '{ledger.RAW_SECRET}') AS raw_secrets_blocked, count(*) FILTER (event_type = '{ledger.LEAK}') AS tool_result_leaks_detected, count(*) FILTER (event_type = '{ledger.ALIAS}') AS secret_aliases_unresolved,
+ count(*) AS total_events_audited, count(DISTINCT session_id) AS sessions_covered FROM ledger_events""", "ledger_events"))
+def g4_protection_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.protection_summary(d.events(spark, sf))
+
+
+@query(sql(f"SELECT {_FEED} FROM ledger_events WHERE event_type IN {ledger.PROTECTION_TYPES} ORDER BY event_id DESC LIMIT 10", "ledger_events"))
+def g4_recent_protection(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.recent_events(d.events(spark, sf), None, list(ledger.PROTECTION_TYPES), 10)
+
+
+@query(sql("SELECT s.scan_id, s.session_id, s.ts, count(f.scan_id) AS n_findings FROM (SELECT * FROM scans ORDER BY ts DESC, scan_id DESC LIMIT 50) s LEFT JOIN findings f USING (scan_id) GROUP BY ALL", "scans", "findings"))
+def g5_recent_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.recent_scans(d.scans(spark, sf), d.findings(spark, sf)).select("scan_id", "session_id", "ts", "n_findings")
+
+
+@query(sql("SELECT count(*) AS n, max(event_id) AS latest FROM ledger_events", "ledger_events"))
+def g6_event_count(spark: SparkSession, sf: str) -> DataFrame:
+    return d.events(spark, sf).agg(F.count("*").alias("n"), F.max("event_id").alias("latest"))
+
+
+def _deltas(spark: SparkSession, sf: str) -> DataFrame:
+    return d.load(spark, sf, "events").filter("user_id % 5 <> 4 or event_id % 2 = 0").select(F.concat(F.lit("s"), F.when(F.col("user_id") % 17 == 0, F.col("user_id") + 1_000_000).otherwise(F.col("user_id")).cast("string")).alias("session_id"), "event_id", (F.col("event_id") % 9).alias("delta"))
+
+
+_DELTAS = "deltas AS (SELECT 's' || CASE WHEN user_id % 17 = 0 THEN user_id + 1000000 ELSE user_id END AS session_id, event_id, event_id % 9 AS delta FROM events WHERE user_id % 5 <> 4 OR event_id % 2 = 0)"
+
+
+@query(sql("SELECT coalesce(s.session_id, x.session_id) AS session_id, coalesce(s.source, 'unknown') AS source, coalesce(s.risk_score, 0) + coalesce(x.d, 0) AS risk_score FROM sessions s FULL JOIN (SELECT session_id, sum(delta) AS d FROM deltas GROUP BY 1) x ON x.session_id = s.session_id", "sessions").replace("WITH ", f"WITH {_DELTAS}, ", 1))
+def g7_session_risk(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.session_risk(_deltas(spark, sf), d.sessions(spark, sf))
+
+
+@query(f"WITH {_DELTAS} SELECT session_id, event_id, delta, sum(delta) OVER (PARTITION BY session_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS running FROM deltas")
+def w8_running_risk(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.running_risk(_deltas(spark, sf))
+
+
+_STATUS = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'timeout' WHEN 'click' THEN 'ok' ELSE 'unsupported' END"
+
+
+@query(f"SELECT user_id, arg_max({_STATUS}, CASE {_STATUS} WHEN 'error' THEN 3 WHEN 'timeout' THEN 2 WHEN 'ok' THEN 1 ELSE 0 END) AS status FROM events GROUP BY user_id")
+def g10_worst_status(spark: SparkSession, sf: str) -> DataFrame:
+    e = d.load(spark, sf, "events")
+    status = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "timeout").when(F.col("event_type") == "click", "ok").otherwise("unsupported")
+    return ledger.worst_status(e.select("user_id", status.alias("status")), "user_id")
+
+
+@query(sql(f"SELECT k.decision, coalesce(n, 0) AS n, CAST(floor(coalesce(n, 0) * 100.0 / sum(coalesce(n, 0)) OVER () + 0.5) AS BIGINT) AS percent FROM (VALUES ('allow'),('approve'),('deny'),('monitor')) k(decision) LEFT JOIN (SELECT {_CLASS14} AS decision, count(*) AS n FROM ledger_events GROUP BY 1) x ON x.decision = k.decision", "ledger_events"))
+def g13_decision_shares(spark: SparkSession, sf: str) -> DataFrame:
+    e = d.events(spark, sf).select(decision.decision_class_of_type(F.col("event_type")).alias("decision")).filter("decision is not null")
+    return ledger.decision_shares(e)
+
+
+@query(sql("""SELECT session_id, count(*) AS total, count(*) FILTER (contains(t, 'allow')) AS allowed, count(*) FILTER (contains(t, 'deny')) AS denied, count(*) FILTER (contains(t, 'approve') OR contains(t, 'approval')) AS approvals,
+ count(*) FILTER (contains(t, 'secret') OR contains(t, 'leak') OR contains(t, 'pii')) AS secrets FROM (SELECT session_id, lower(event_type || ' ' || coalesce(redacted_text, '')) AS t FROM ledger_events) GROUP BY session_id""", "ledger_events"))
+def g14_session_text_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.session_text_counts(d.events(spark, sf))
+
+
+@query(sql("SELECT count(*) FILTER (ended_at IS NULL) AS active, count(*) FILTER (ended_at IS NOT NULL) AS idle, max(risk_score) AS highest FROM sessions", "sessions"))
+def g15_session_states(spark: SparkSession, sf: str) -> DataFrame:
+    return d.sessions(spark, sf).agg(F.count_if(F.col("ended_at").isNull()).alias("active"), F.count_if(F.col("ended_at").isNotNull()).alias("idle"), F.max("risk_score").alias("highest"))
+
+
+@query(sql("SELECT s.session_id, s.source, coalesce(n, 0) AS n_events FROM sessions s LEFT JOIN (SELECT session_id, count(*) AS n FROM ledger_events WHERE event_type LIKE 'approval.%' GROUP BY 1) e USING (session_id)", "sessions", "ledger_events"))
+def j5_session_event_counts(spark: SparkSession, sf: str) -> DataFrame:
+    n = d.events(spark, sf).filter(F.col("event_type").startswith("approval.")).groupBy("session_id").agg(F.count("*").alias("n"))
+    return d.sessions(spark, sf).join(n, "session_id", "left").select("session_id", "source", F.coalesce("n", F.lit(0)).alias("n_events"))
+
+
+@query("SELECT doc_id % 5 AS server, sha256(string_agg(sha256(lang || doc_id), '' ORDER BY doc_id)) AS hash FROM documents WHERE doc_id < 200 GROUP BY 1")
+def g17_tools_hash(spark: SparkSession, sf: str) -> DataFrame:
+    t = d.load(spark, sf, "documents").filter("doc_id < 200").select((F.col("doc_id") % 5).alias("server"), F.struct(F.col("doc_id").alias("pos"), F.sha2(F.concat("lang", F.col("doc_id").cast("string")).cast("binary"), 256).alias("hash")).alias("x"))
+    return t.groupBy("server").agg(F.collect_list("x").alias("xs")).select("server", hashing.tools_hash(F.col("xs")).alias("hash"))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
+def g18_distributions(spark: SparkSession, sf: str) -> DataFrame:
+    return d.load(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+_STATUS_SQL = """CASE WHEN server_id = 'shell' OR (server_id, tool_name) IN (('filesystem','write_file')) THEN 'FirstSeen' WHEN invocation_id % 7 IN (1, 2) THEN 'Drifted' ELSE 'ApprovedStable' END"""
+
+
+@query(sql(f"SELECT descriptor, count(*) AS n FROM (SELECT {_STATUS_SQL} AS descriptor FROM ({_CALL_KEYS})) GROUP BY 1", "calls"))
+def j9_descriptor_status(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.descriptor_status(d.calls(spark, sf), d.servers(spark), d.pins(spark)).groupBy("descriptor").agg(F.count("*").alias("n"))
+
+
+@query("SELECT token_ref, bound FROM (SELECT 't' || event_id AS token_ref, event_id % 3 <> 1 AS bound FROM events WHERE event_id < 300)")
+def j12_metadata_binding(spark: SparkSession, sf: str) -> DataFrame:
+    e = d.load(spark, sf, "events").filter("event_id < 300").select("event_id", F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("token_ref"))
+    bound = e.select("event_id", F.to_json(F.struct("token_ref", F.lit("i").alias("issuer"), F.when(F.col("event_id") % 3 == 1, "other").otherwise("r").alias("resource"))).alias("payload_json"))
+    meta = e.select("token_ref", F.lit("i").alias("issuer"), F.lit("r").alias("resource"), F.when(F.col("event_id") % 3 != 2, F.col("event_id")).alias("bound_event_id"))
+    return ledger.metadata_tampering(meta, bound).select("token_ref", "bound")
+
+
+# ---- writes -------------------------------------------------------------------------
+
+@query(sql("""SELECT rejected_for, count(*) AS n FROM (SELECT CASE WHEN event_type LIKE 'tool!_call.%' ESCAPE '!' OR event_type LIKE 'decision.%' OR event_type LIKE 'approval.%' OR event_type LIKE 'lease.%' THEN 'reserved_event_type' WHEN event_id % 19 = 0 THEN 'github_token' END AS rejected_for FROM ledger_events) GROUP BY 1""", "ledger_events"))
+def k1_admit_events(spark: SparkSession, sf: str) -> DataFrame:
+    token = "gh" + "p_" + "a1" * 20
+    e = d.events(spark, sf).withColumn("payload_json", F.when(F.col("event_id") % 19 == 0, F.concat(F.lit('{"t":"'), F.lit(token), F.lit('"}'))).otherwise(F.col("payload_json")))
+    return ledger.admit(e).groupBy("rejected_for").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT count(*) AS n, count(*) FILTER (regexp_full_match(fingerprint, '[0-9a-f]{32}')) AS n_ok FROM scans", "scans"))
+def k3_admit_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.admit_scans(d.scans(spark, sf)).agg(F.count("*").alias("n"), F.count_if(F.col("rejected_for").isNull()).alias("n_ok"))
+
+
+@query(sql("SELECT label, CASE WHEN scan_id % 3 = 0 THEN '[BLOCKED ' WHEN scan_id % 3 = 1 THEN '[ALLOWED_ONCE ' ELSE '[REDACTED ' END || label || ']' AS placeholder, count(*) AS n FROM findings GROUP BY ALL", "findings"))
+def k4_finding_placeholders(spark: SparkSession, sf: str) -> DataFrame:
+    f = d.findings(spark, sf).withColumns({"action_taken": d._case("scan_id % 3", ["blocked", "allowed_once", "redacted"]), "fingerprint": hashing.fingerprint(F.col("kind"))})
+    return ledger.admit_findings(f).filter("rejected_for is null").groupBy("label", "placeholder").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def k7_upsert_keep_last(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.keep_last(d.load(spark, sf, "events").select("user_id", "event_id", "event_type", "value"), ["user_id"], ["event_id"])
+
+
+@query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+def k7_insert_or_ignore(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.keep_first(d.load(spark, sf, "events").select("user_id", "event_id"), ["user_id"], ["event_id"])
+
+
+@query(sql("SELECT event_type, count(*) AS n, min(created_at) AS first_at FROM (SELECT 'approval.created' AS event_type, created_at FROM approvals UNION ALL SELECT 'approval.resolved', resolved_at FROM approvals WHERE resolved_at IS NOT NULL UNION ALL SELECT 'decision.recorded', created_at FROM approvals UNION ALL SELECT 'lease.minted', created_at FROM approvals UNION ALL SELECT 'lease.revoked', resolved_at FROM approvals WHERE resolved_at IS NOT NULL) GROUP BY 1", "approvals"))
+def k5_typed_events(spark: SparkSession, sf: str) -> DataFrame:
+    a = d.approvals(spark, sf)
+    leases = a.select("session_id", F.col("approval_id").alias("lease_id"), F.lit("secret://db").alias("secret_ref"), "created_at", F.col("resolved_at").alias("revoked_at"))
+    decisions = a.select("session_id", F.col("approval_id").alias("decision_id"), F.lit("approve").alias("decision"), "created_at")
+    return ledger.typed_events(decisions, a, leases).groupBy("event_type").agg(F.count("*").alias("n"), F.min("created_at").alias("first_at"))
+
+
+@query("""SELECT stages, ordered, outcome, count(*) AS n FROM (SELECT event_id % 4 AS v, CASE event_id % 4 WHEN 0 THEN 'opened>decided>executed' WHEN 1 THEN 'opened>executed' WHEN 2 THEN 'opened>decided' ELSE 'opened>decided>execute_failed' END AS stages, event_id % 4 <> 1 AS ordered,
+ CASE event_id % 4 WHEN 0 THEN 'executed' WHEN 1 THEN 'executed' WHEN 2 THEN 'abandoned' ELSE 'execute_failed' END AS outcome FROM events) GROUP BY ALL""")
+def w5_span_order(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("event_id") % 4
+    plan = F.when(v == 0, "opened>decided>executed").when(v == 1, "opened>executed").when(v == 2, "opened>decided").otherwise("opened>decided>execute_failed")
+    stages = d.load(spark, sf, "events").select(F.col("event_id").alias("invocation_id"), F.posexplode(F.split(plan, ">")).alias("event_id", "stage"))
+    return ledger.span_faults(stages).groupBy("stages", "ordered", "outcome").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT session_id, count(*) AS n_events FROM ledger_events GROUP BY session_id", "ledger_events"))
+def k9_export_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    pages = ledger.export_markdown(d.events(spark, sf), d.NOW)
+    return pages.filter(F.col("content").startswith("# Session Replay")).select("session_id", "n_events")
+
+
+# ---- redaction ----------------------------------------------------------------------
+
+_RE = {n: p.replace("'", "''") for n, p in redaction.ALL_RULES}
+_MASKED = "regexp_replace(regexp_replace(text, '{}', '[REDACTED email]', 'g'), '{}', '[REDACTED generic_url]', 'g')"
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '{_RE['env_assignment']}') AS has_env FROM documents")
+def r2_hard_findings(spark: SparkSession, sf: str) -> DataFrame:
+    found = redaction.hard_findings(F.col("text"))
+    return d.load(spark, sf, "documents").select("doc_id", F.array_contains(found, "env_assignment").alias("has_env"))
+
+
+@query(f"SELECT CASE WHEN regexp_matches(text, '{_RE['env_assignment']}') THEN 'env_assignment' END AS first_rule, count(*) AS n FROM documents GROUP BY 1")
+def r4_hard_secret(spark: SparkSession, sf: str) -> DataFrame:
+    return d.load(spark, sf, "documents").groupBy(redaction.hard_secret(F.col("text")).alias("first_rule")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(text, '{_RE['env_assignment']}') THEN NULL ELSE sha256(regexp_replace(text, '{_RE['email']}', '[REDACTED email]', 'g')) END AS clean FROM documents WHERE NOT regexp_matches(text, '{_RE['generic_url']}') AND NOT regexp_matches(text, '{_RE['internal_ipv4']}')")
+def r6_scrub(spark: SparkSession, sf: str) -> DataFrame:
+    docs = d.load(spark, sf, "documents").filter(~redaction.matches(F.col("text"), "generic_url", redaction.URL) & ~redaction.matches(F.col("text"), "internal_ipv4", redaction.IPV4))
+    env = F.regexp_like("text", F.lit("(?U)" + redaction.ENV))
+    return docs.select("doc_id", F.when(~env, F.sha2(redaction.scrub(F.col("text")).cast("binary"), 256)).alias("clean"))
+
+
+@query(sql("SELECT scan_id, sum(CASE WHEN kind = 'env_assignment' THEN 25 ELSE 10 END) AS risk, count(*) FILTER (label = 'secret') > 0 AS has_secret FROM findings WHERE kind <> 'email' GROUP BY scan_id", "findings"))
+def r10_scan_text(spark: SparkSession, sf: str) -> DataFrame:
+    s = d.load(spark, sf, "documents").select(F.col("doc_id").alias("scan_id"), F.explode(F.array(redaction.scan_text(F.col("text")))).alias("s")).filter(F.size("s.findings") > 0)
+    return s.select("scan_id", F.col("s.risk.total_risk_delta").cast("long").alias("risk"), F.col("s.risk.has_secret").alias("has_secret"))
+
+
+@query(sql("SELECT kind, label, count(*) AS n FROM findings GROUP BY ALL", "findings"))
+def r12_kinds_and_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return d.findings(spark, sf).groupBy("kind", "label").agg(F.count("*").alias("n"))
+
+
+_META_SQL = " + ".join("len(regexp_extract_all(coalesce(text, ''), '" + p.replace("'", "''") + "', 0))" for p in redaction.META_PATTERNS)
+
+
+@query(f"SELECT conv_id, turn, least(24, 8 * ({_META_SQL})) AS risk FROM conversations")
+def r15_meta_instructions(spark: SparkSession, sf: str) -> DataFrame:
+    return d.load(spark, sf, "conversations").select("conv_id", "turn", redaction.meta_risk(F.coalesce("text", F.lit(""))).cast("long").alias("risk"))
+
+
+def _any(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+
+
+@query(f"""SELECT lang, CASE WHEN {_any(redaction.DE_HINTS)} THEN 'de' WHEN {_any(redaction.FR_HINTS)} THEN 'fr' WHEN {_any(redaction.IT_HINTS)} THEN 'it' WHEN {_any(redaction.ES_HINTS)} THEN 'es'
+ WHEN regexp_matches(text, '{redaction.DE_LETTERS}') THEN 'de' WHEN regexp_matches(text, '{redaction.FR_LETTERS}') THEN 'fr' ELSE 'en' END AS detected, count(*) AS n FROM documents GROUP BY ALL""")
+def r16_language(spark: SparkSession, sf: str) -> DataFrame:
+    return d.load(spark, sf, "documents").groupBy("lang", redaction.language(F.col("text"))["lang"].alias("detected")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, CASE WHEN strlen(html) <= 1000 THEN strlen(html) END AS whole, strlen(html) > 1000 AS is_cut FROM pages")
+def r27_utf8_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    p = redaction.utf8_prefix(F.col("html"), 1000)
+    cut = F.octet_length("html") > 1000
+    return d.load(spark, sf, "pages").filter(F.octet_length(p).between(997, 1000) | ~cut).select("page_id", F.when(~cut, F.octet_length(p)).cast("long").alias("whole"), cut.alias("is_cut"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN strlen(text) < 100 THEN '0-100' WHEN strlen(text) < 500 THEN '100-500' WHEN strlen(text) < 2000 THEN '500-2000' ELSE '2000+' END AS bucket FROM conversations")
+def r37_length_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return d.load(spark, sf, "conversations").select("conv_id", "turn", redaction.length_bucket(F.octet_length("text")).alias("bucket"))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'OriginDenied' END AS error, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN regexp_matches(text, '{_RE['env_assignment']}') THEN 'redact' ELSE 'allow' END AS action FROM documents")
+def r34_browser_classify(spark: SparkSession, sf: str) -> DataFrame:
+    origin = F.when(F.col("doc_id") % 5 == 0, "https://u@evil.example/").otherwise("https://app.example.com")
+    c = d.load(spark, sf, "documents").select("doc_id", F.explode(F.array(redaction.browser_classify(F.lit("r1"), origin, F.col("text")))).alias("c"))
+    return c.select("doc_id", "c.error", "c.action")
+
+
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(text, '{_RE['env_assignment']}') THEN 'env_assignment' ELSE '' END AS leaks FROM documents")
+def r32_leak_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return d.load(spark, sf, "documents").select("doc_id", F.array_join(redaction.leak_scan(F.col("text"), F.lit(None).cast("string")), ",").alias("leaks"))
+
+
+@query("""SELECT event_id, '{"api_token":"[REDACTED len=' || strlen(event_type) || ' by_key=api_token]","n":' || user_id || '}' AS clean FROM events""")
+def r7_redact_json(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat(F.lit('{"api_token":"'), F.col("event_type"), F.lit('","n":'), F.col("user_id").cast("string"), F.lit("}"))
+    return d.load(spark, sf, "events").select("event_id", json_walk.redact_json(raw)["value"].alias("clean"))
+
+
+@query(sql("SELECT invocation_id, CASE WHEN invocation_id % 9 = 0 THEN 'raw_secret' WHEN invocation_id % 9 = 1 THEN 'all_aliased' ELSE 'clean' END AS verdict FROM calls", "calls"))
+def r29_scan_args(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("invocation_id") % 9
+    args = F.when(i == 0, F.lit('{"a":["' + "gl" + "pat-" + "x" * 24 + '"]}')).when(i == 1, F.lit('{"a":"TOKEN=secret://db/pw"}')).otherwise(F.lit('{"a":{"b":1}}'))
+    return d.calls(spark, sf).select("invocation_id", json_walk.scan_args(args)["verdict"].alias("verdict"))
+
+
+# ---- decisions ----------------------------------------------------------------------
+
+_HOST_SQL = "lower(regexp_extract(url, '://([^/?#]*)', 1))"
+_EFFECT_SQL = """CASE k WHEN 0 THEN 'NetOutbound' WHEN 1 THEN 'FsRead' WHEN 2 THEN 'FsWrite' WHEN 3 THEN CASE WHEN invocation_id % 4 = 1 THEN 'DbRead,DbWrite' ELSE 'DbRead' END WHEN 4 THEN 'ExecNative' ELSE 'CommSend,SecretUse' END"""
+_DESTRUCTIVE_SQL = "(k = 3 AND invocation_id % 4 = 1) OR (k = 4 AND invocation_id % 4 = 0)"
+
+
+def _effects(spark: SparkSession, sf: str) -> DataFrame:
+    made = decision.effects(F.col("server_id"), F.col("tool_name"), F.col("args"), ROOTS[0])
+    return d.calls(spark, sf).withColumn("e", F.explode(F.array(made)))
+
+
+@query(sql(f"""SELECT invocation_id, {_EFFECT_SQL} AS effects, CASE WHEN k = 1 THEN '/work/src/a' || invocation_id || '.txt' ELSE '' END AS reads, CASE WHEN k = 2 THEN CASE WHEN invocation_id % 4 = 0 THEN '/etc/passwd' ELSE '/work/p' || invocation_id || '.md' END ELSE '' END AS writes,
+ CASE WHEN k = 0 THEN {_HOST_SQL} ELSE '' END AS hosts, CASE WHEN k = 5 THEN 'a@example.org,b@example.org' ELSE '' END AS recipients, {_DESTRUCTIVE_SQL} AS destructive FROM calls""", "calls"))
+def x0_effects(spark: SparkSession, sf: str) -> DataFrame:
+    j = lambda c, name: F.array_join(f"e.{c}", ",").alias(name)
+    return _effects(spark, sf).select("invocation_id", j("effects", "effects"), j("paths_read", "reads"), j("paths_write", "writes"), j("network_hosts", "hosts"), j("recipients", "recipients"), F.col("e.destructive").alias("destructive"))
+
+
+_RISK_SQL = f"""least(100, CASE descriptor WHEN 'FirstSeen' THEN 15 WHEN 'Drifted' THEN 25 ELSE 0 END + CASE k WHEN 0 THEN 15 + CASE WHEN host = '{HOSTS[0]}' THEN 0 ELSE 20 END WHEN 2 THEN 20 + CASE WHEN invocation_id % 4 = 0 THEN 30 ELSE 0 END WHEN 4 THEN 30 WHEN 5 THEN 50 ELSE 0 END + CASE WHEN destructive THEN 35 ELSE 0 END)"""
+_SCORED_SQL = f"SELECT *, {_RISK_SQL} AS risk FROM (SELECT c.*, k, {_STATUS_SQL} AS descriptor, {_HOST_SQL} AS host, {_DESTRUCTIVE_SQL} AS destructive FROM (SELECT x.*, y.k, y.url FROM ({_CALL_KEYS}) x JOIN calls y USING (invocation_id)) c)"
+_ACTION_SQL = f"""CASE WHEN (k = 4 AND destructive) OR (k = 3 AND destructive) OR (k = 2 AND invocation_id % 4 = 0) THEN 'deny' WHEN descriptor <> 'ApprovedStable' OR k IN (2, 4, 5) OR (k = 0 AND NOT (host = '{HOSTS[0]}')) THEN 'approve' WHEN k = 1 THEN 'allow' ELSE 'deny' END"""
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    e = ledger.descriptor_status(_effects(spark, sf), d.servers(spark), d.pins(spark))
+    return e.withColumn("s", F.explode(F.array(decision.score(F.col("e"), F.col("descriptor"), HOSTS, ROOTS))))
+
+
+@query(sql(f"SELECT invocation_id, descriptor, risk FROM ({_SCORED_SQL.replace('SELECT c.*, k,', 'SELECT c.*,')})", "calls"))
+def x9_risk_score(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).select("invocation_id", "descriptor", F.col("s.risk").alias("risk"))
+
+
+def _decided(spark: SparkSession, sf: str) -> DataFrame:
+    s = _scored(spark, sf)
+    context = policy.Context({"project_roots": ROOTS}, {"allowed_hosts": HOSTS}, F.col("e"), F.col("s.risk"), F.col("descriptor"), F.lit(None).cast("array<string>"), F.create_map().cast("map<string,int>"))
+    return s.withColumn("p", F.explode(F.array(policy.decide(policy.DEFAULT_RULES, context))))
+
+
+@query(sql(f"SELECT invocation_id, {_ACTION_SQL} AS action FROM ({_SCORED_SQL.replace('SELECT c.*, k,', 'SELECT c.*,')})", "calls"))
+def x17_policy(spark: SparkSession, sf: str) -> DataFrame:
+    return _decided(spark, sf).select("invocation_id", "p.action")
+
+
+@query(sql(f"SELECT action, count(*) AS n, min(risk) AS least, max(risk) AS most FROM (SELECT {_ACTION_SQL} AS action, risk FROM ({_SCORED_SQL.replace('SELECT c.*, k,', 'SELECT c.*,')})) GROUP BY 1", "calls"))
+def g11_actions(spark: SparkSession, sf: str) -> DataFrame:
+    return _decided(spark, sf).groupBy("p.action").agg(F.count("*").alias("n"), F.min("s.risk").alias("least"), F.max("s.risk").alias("most"))
+
+
+@query()
+def x18_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).select("invocation_id", decision.summary(F.col("s.risk"), F.col("e")).alias("summary"), F.array_join("s.reasons", "; ").alias("reasons"))
+
+
+@query(sql("SELECT session_id, CASE WHEN risk_score >= 24 THEN 'high' ELSE 'medium' END AS profile, CASE WHEN risk_score >= 24 THEN 'deny' ELSE 'ask' END AS action FROM sessions", "sessions"))
+def x19_posture(spark: SparkSession, sf: str) -> DataFrame:
+    p = decision.effective_profile(F.lit("medium"), F.col("risk_score"))
+    return d.sessions(spark, sf).select("session_id", p.alias("profile"), decision.posture(p, F.lit("placeholder_native")).alias("action"))
+
+
+@query(sql("SELECT invocation_id, CASE k WHEN 0 THEN 20 WHEN 2 THEN 15 WHEN 3 THEN CASE WHEN invocation_id % 4 = 1 THEN 45 ELSE 0 END WHEN 4 THEN CASE WHEN invocation_id % 4 = 0 THEN 45 ELSE 15 END WHEN 5 THEN 45 ELSE 0 END AS score FROM calls", "calls"))
+def x20_ui_risk(spark: SparkSession, sf: str) -> DataFrame:
+    return _effects(spark, sf).select("invocation_id", decision.ui_risk(F.col("e"), F.lit(0))["score"].alias("score"))
+
+
+@query(sql(f"SELECT invocation_id, server_id AS server, tool_name AS tool FROM ({_CALL_KEYS})", "calls"))
+def x21_public_names(spark: SparkSession, sf: str) -> DataFrame:
+    return d.calls(spark, sf).select("invocation_id", decision.parse_public_name(decision.public_name(F.col("server_id"), F.col("tool_name"))).alias("x")).select("invocation_id", "x.*")
+
+
+@query(sql("SELECT invocation_id, CASE WHEN k = 5 THEN 'ask' ELSE 'allow' END AS gate FROM calls", "calls"))
+def x22_hook_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return d.calls(spark, sf).select("invocation_id", decision.hook_gate(F.col("tool_name"), F.col("args"), redaction.hard_secret(F.col("args")), F.lit("medium"), F.lit(0)).alias("gate"))
+
+
+@query(sql("SELECT approval_id, CASE WHEN status = 'Denied' THEN 'revoked' WHEN expires_at <= 800000000 THEN 'expired' WHEN approval_id % 3 = 0 THEN 'tool_mismatch' END AS error FROM approvals", "approvals"))
+def x23_lease_checks(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("session_id")
+    return d.approvals(spark, sf).select("approval_id", decision.lease_error(F.lit(800_000_000), F.col("expires_at"), F.when(F.col("status") == "Denied", F.col("created_at")), s, s, F.col("server_id"), F.col("server_id"), F.col("tool_name"), F.when(F.col("approval_id") % 3 == 0, "other").otherwise(F.col("tool_name"))).alias("error"))
+
+
+@query(sql(f"SELECT invocation_id, CASE WHEN action = 'deny' AND NOT ((k IN (3, 4) AND destructive) OR (k = 2 AND invocation_id % 4 = 0)) THEN 'observe-allow' WHEN action = 'approve' AND descriptor <> 'Drifted' THEN 'observe-allow' ELSE action END AS action FROM (SELECT *, {_ACTION_SQL} AS action FROM ({_SCORED_SQL.replace('SELECT c.*, k,', 'SELECT c.*,')}))", "calls"))
+def x24_monitor_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    return _decided(spark, sf).select("invocation_id", decision.monitor_overlay(F.lit(True), F.col("p.action"), F.col("p.policy_ids"), F.col("descriptor")).alias("action"))
+
+
+@query(sql("SELECT invocation_id, k = 5 AS long_enough FROM calls", "calls"))
+def x15_long_strings(spark: SparkSession, sf: str) -> DataFrame:
+    return d.calls(spark, sf).select("invocation_id", (F.size(F.filter(json_walk.string_leaves(F.col("args")), lambda x: x.startswith("secret://"))) > 0).alias("long_enough"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'expired' WHEN 1 THEN 'audience_mismatch' WHEN 2 THEN 'scope_missing' END AS error FROM pages")
+def p17_jwt_claims(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("page_id") % 4
+    claims = F.concat(F.lit('{"aud":"'), F.when(v == 1, "other").otherwise("api"), F.lit('","scope":"'), F.when(v == 2, "read").otherwise("read write"), F.lit('","exp":'), F.when(v == 0, "10").otherwise("99"), F.lit("}"))
+    token = F.concat(F.lit("e30."), F.regexp_replace(F.translate(F.base64(claims.cast("binary")), "+/\r\n", "-_"), "=+$", ""), F.lit(".x"))
+    return d.load(spark, sf, "pages").select("page_id", decision.jwt_error(token, "api", ["read", "write"], 50).alias("error"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'OriginDenied' END AS error FROM pages")
+def p18_origins(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("page_id") % 3
+    return d.load(spark, sf, "pages").select("page_id", redaction.browser_origin_error(F.when(v == 0, "https://a.example.com:8443/").when(v == 1, "file:///etc").otherwise("https://a.example.com/path?q=1")).alias("error"))
+
+
+@query("SELECT event_id, 's' || user_id AS session_id, event_type AS tool_name FROM events")
+def s7_hook_events(spark: SparkSession, sf: str) -> DataFrame:
+    e = d.load(spark, sf, "events")
+    new = F.to_json(F.struct(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_type").alias("tool_name"), F.lit("x").alias("tool_input")))
+    old = F.to_json(F.struct(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("sessionId"), F.col("event_type").alias("toolName"), F.lit("x").alias("args")))
+    got = e.select("event_id", decision.hook_event(F.when(F.col("event_id") % 2 == 0, new).otherwise(old)).alias("h"))
+    return got.select("event_id", "h.session_id", "h.tool_name")
+
+
+@query("SELECT doc_id, 2 AS n, lang || chr(10) || source AS first FROM documents")
+def s8_sse_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.lit(": hello\r\nevent: m\r\ndata: "), F.col("lang"), F.lit("\r\ndata:"), F.col("source"), F.lit("\r\n\r\n\ndata: end"))
+    got = d.load(spark, sf, "documents").select("doc_id", decision.sse_payloads(text).alias("p"))
+    return got.select("doc_id", F.size("p").alias("n"), F.get("p", F.lit(0)).alias("first"))
+
+
+# ---- machines, search, evaluation ---------------------------------------------------
+
+@query()
+def d1_descriptor_drift(spark: SparkSession, sf: str) -> DataFrame:
+    return machines.fold(d.observations(spark, sf), ["server_id", "tool_name"], "descriptor")
+
+
+@query()
+def d3_command_drift(spark: SparkSession, sf: str) -> DataFrame:
+    o = d.observations(spark, sf).withColumn("op", F.when(F.col("seq") % 31 == 0, "register").otherwise(F.col("op")))
+    return machines.fold(o, ["server_id"], "command")
+
+
+@query()
+def d4_program_drift(spark: SparkSession, sf: str) -> DataFrame:
+    return machines.fold(d.observations(spark, sf), ["server_id"], "program")
+
+
+@query("""SELECT user_id % 1000 AS approval_id, arg_min(CASE event_type WHEN 'click' THEN 'Approved' ELSE 'Denied' END, event_id) AS status FROM events GROUP BY 1""")
+def d5_first_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    r = d.load(spark, sf, "events").select((F.col("user_id") % 1000).alias("approval_id"), F.when(F.col("event_type") == "click", "Approved").otherwise("Denied").alias("status"), F.lit("u").alias("resolved_by"), F.col("event_id").alias("resolved_at"), F.col("event_id").alias("seq"))
+    return ledger.first_resolution(r).select("approval_id", "status")
+
+
+@query("SELECT status, n_invalid, count(*) AS n FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'Executed' WHEN 1 THEN 'Denied' WHEN 2 THEN 'Cancelled' ELSE 'Drafted' END AS status, CASE event_id % 4 WHEN 1 THEN 1 WHEN 3 THEN 1 ELSE 0 END AS n_invalid FROM events) GROUP BY ALL")
+def d6_outbox(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("event_id") % 4
+    plan = F.when(v == 0, "submit,approve,execute").when(v == 1, "submit,deny,execute").when(v == 2, "submit,cancel").otherwise("approve")
+    ops = d.load(spark, sf, "events").select(F.col("event_id").alias("outbox_id"), F.posexplode(F.split(plan, ",")).alias("seq", "op"))
+    return machines.fold_outbox(ops).groupBy("status", "n_invalid").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT state, count(*) AS n FROM (SELECT CASE WHEN status <> 'Pending' AND created_at + 100 <= 800000000 THEN 'revoked' WHEN expires_at <= 800000000 THEN 'expired' ELSE 'live' END AS state FROM approvals) GROUP BY 1", "approvals"))
+def d7_lease_states(spark: SparkSession, sf: str) -> DataFrame:
+    a = d.approvals(spark, sf).withColumnRenamed("approval_id", "lease_id")
+    revoked = a.filter("status <> 'Pending'").select("lease_id", (F.col("created_at") + 100).alias("revoked_at"))
+    return machines.lease_states(a.select("lease_id", "expires_at"), revoked, 800_000_000).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id AS server_id, arg_max(event_type, event_id) AS command, coalesce(arg_max(CASE WHEN event_id % 5 = 0 THEN 'Trusted' END, CASE WHEN event_id % 5 = 0 THEN event_id END), 'Untrusted') AS trust_level FROM events GROUP BY user_id")
+def d8_registrations(spark: SparkSession, sf: str) -> DataFrame:
+    r = d.load(spark, sf, "events").select(F.col("user_id").alias("server_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("command"), F.when(F.col("event_id") % 5 == 0, "Trusted").alias("trust_level"))
+    return machines.latest_registration(r)
+
+
+@query(sql(f"SELECT {_FEED} FROM ledger_events WHERE (event_type LIKE 'tool!_call.%' ESCAPE '!' AND regexp_matches(coalesce(redacted_text, ''), '(^| )click( |$)')) AND session_id <> 's1' ORDER BY event_id", "ledger_events"))
+def a9_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(d.events(spark, sf), "event_type:tool_call* click NOT session_id:s1")
+
+
+def _truth_and_pred(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings as truth; predictions miss every 5th sample and are one byte off elsewhere."""
+    f = d.findings(spark, sf).select(F.col("scan_id").alias("sample_id"), "label", "start", "end")
+    pos = F.row_number().over(Window.partitionBy("sample_id").orderBy("start", "end", "label"))
+    t = f.select("sample_id", F.lit("truth").alias("role"), pos.alias("pos"), "label", "start", "end")
+    p = t.filter("sample_id % 5 <> 0").withColumns({"role": F.lit("pred"), "end": F.col("end") + 1})
+    extra = t.filter("sample_id % 7 = 0").withColumns({"role": F.lit("pred"), "pos": F.col("pos") + 1000, "label": F.lit("phone")})
+    return t.unionByName(p).unionByName(extra)
+
+
+@query(sql("SELECT label, count(*) FILTER (scan_id % 5 <> 0) AS tp, 0 AS fp, count(*) FILTER (scan_id % 5 = 0) AS fn FROM findings GROUP BY label UNION ALL SELECT 'phone', 0, count(*), 0 FROM findings WHERE scan_id % 7 = 0 HAVING count(*) > 0", "findings"))
+def v2_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.scores(evaluation.match_spans(_truth_and_pred(spark, sf))).select("label", "tp", "fp", "fn")
+
+
+@query(sql("SELECT label AS truth, CASE WHEN scan_id % 5 = 0 THEN 'none' ELSE label END AS pred, count(*) AS n FROM findings GROUP BY ALL UNION ALL SELECT 'none', 'phone', count(*) FROM findings WHERE scan_id % 7 = 0 HAVING count(*) > 0", "findings"))
+def v1_matches(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.match_spans(_truth_and_pred(spark, sf)).groupBy("truth", "pred").agg(F.count("*").alias("n"))
+
+
+@query()
+def v3_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.confusion(evaluation.match_spans(_truth_and_pred(spark, sf)))
+
+
+@query("SELECT lang, count(*) AS n, sum(CASE WHEN doc_id % 3 = 0 THEN 3 WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END) AS weight FROM documents GROUP BY lang")
+def v4_weighted_misses(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.weighted_misses(d.load(spark, sf, "documents").withColumn("risk_tier", d._case("doc_id % 3", ["high", "med", "low"])))
+
+
+@query("SELECT event_type, list_sort(list(value))[1 + least(len(list(value)) // 2, len(list(value)) - 1)] AS p50, list_sort(list(value))[1 + least(CAST(floor(len(list(value)) * 0.95) AS BIGINT), len(list(value)) - 1)] AS p95, list_sort(list(value))[1 + least(CAST(floor(len(list(value)) * 0.99) AS BIGINT), len(list(value)) - 1)] AS p99 FROM events GROUP BY event_type")
+def v5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.nearest_rank(d.load(spark, sf, "events"), "value", "event_type")
+
+
+@query("""SELECT lang, count(*) FILTER (q AND p) AS tp, count(*) FILTER (NOT q AND p) AS fp, count(*) FILTER (q AND NOT p) AS fn, count(*) FILTER (NOT q AND NOT p) AS tn FROM (SELECT lang, quality = 0 AS q, strlen(text) > 3000 AS p FROM documents JOIN labels USING (doc_id)) GROUP BY lang""")
+def v8_binary_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    docs = d.load(spark, sf, "documents").select("doc_id", "lang", (F.octet_length("text") > 3000).alias("p")).join(d.load(spark, sf, "labels").select("doc_id", (F.col("quality") == 0).alias("q")), "doc_id")
+    return evaluation.binary_metrics(docs, F.col("q"), F.col("p"), "lang").select("lang", "tp", "fp", "fn", "tn")
+
+
+@query(sql("SELECT scan_id AS sample_id, kind, CASE WHEN scan_id % 2 = 0 THEN 'a,b' ELSE 'a' END AS engines, count(*) AS n FROM findings WHERE kind = 'email' GROUP BY ALL", "findings"))
+def r19_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    f = d.findings(spark, sf).filter("kind = 'email'").select(F.col("scan_id").alias("sample_id"), F.col("start").alias("pos"), F.lit("a").alias("engine"), "kind", "start", "end")
+    b = f.filter("sample_id % 2 = 0").withColumns({"engine": F.lit("b"), "pos": F.col("pos") + 10_000_000, "end": F.col("end") - 1})
+    return evaluation.ensemble(f.unionByName(b)).groupBy("sample_id", "kind", "engines").agg(F.count("*").alias("n"))
