@@ -5,7 +5,8 @@ lower-cased, everything but letters and digits taken as a gap), cut into word bi
 repeats included, and compared with licence templates. A template of n bigrams can only
 reach the wanted coefficient t with units of n*t/(2-t) to n*(2-t)/t bigrams, so units
 outside the bounds of all templates are dropped before any bigram is made, and each
-template looks only at units inside its own bounds.
+template looks only at units inside its own bounds. Before that, units are dropped that
+hold none of the words without which no template can reach t (necessary_words).
 
 Null and empty texts and units of one word match nothing. Rows that repeat a doc_id give
 their matches as one document's, by line number.
@@ -17,6 +18,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
+from itertools import combinations
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +69,24 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
+def necessary_words(bigrams: dict[str, int], threshold: float) -> list[str]:
+    """Words of which a unit must hold at least one to reach the threshold.
+
+    At least n*t/(2-t) of a template's n bigrams must be shared, so a unit that lacks all
+    words of a set that touches more than the rest can't reach it. Longer words come first,
+    as they are rarer.
+    """
+    n = sum(bigrams.values())
+    spare = n - size_bounds(n, threshold)[0]
+    words = sorted({w for g in bigrams for w in g.split()}, key=lambda w: (-len(w), w))
+    touched = lambda chosen: sum(k for g, k in bigrams.items() if not set(chosen).isdisjoint(g.split()))
+    small = [c for size in (1, 2, 3) for c in combinations(words[:16], size) if touched(c) > spare]
+    if small:
+        return list(min(small, key=lambda c: sum(len(w) ** -3.0 for w in c)))
+    size = next(i for i in range(1, len(words) + 1) if touched(words[:i]) > spare)
+    return words[:size]
+
+
 def _words(unit: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(lower_ascii(unit), r"[^\p{L}\p{N}]+", " ")), " ")
 
@@ -103,7 +125,11 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tup
     lines = F.split("text", "\n", -1)
     units = base.select("doc_id", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(F.concat(F.array(F.lit("")), lines))).alias("line", "unit"))
     # n bigrams take 2 n + 1 characters at least
-    worded = units.filter(F.length("unit") > 2 * wanted_sizes[0]).select("doc_id", "line", _once(_words(F.col("unit"))).alias("w"))
+    low = units.filter(F.octet_length("unit") > 2 * wanted_sizes[0]).select("doc_id", "line", "unit", _once(F.lower("unit")).alias("low"))
+    needed = sorted({w for _, b in known for w in necessary_words(b, threshold)})
+    needed = [w for w in needed if not any(v != w and v in w for v in needed)]  # a part of a word stands for it
+    likely = low.filter(reduce(or_, [F.col("low").contains(w) for w in needed]))
+    worded = likely.select("doc_id", "line", _once(_words(F.col("unit"))).alias("w"))
     n = F.size("w") - 1
     grams = worded.filter(n.isin(wanted_sizes)).select("doc_id", "line", _once(F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))).alias("g"))
     size, scores = F.size("g"), []
