@@ -1 +1,99 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+
+from __future__ import annotations
+
+from .common import LOWER, UPPER
+from .decontaminate import SHINGLE
+from .decontaminate import THRESHOLD as CONTAINED
+from .host_reputation import LIMIT, SECOND_LEVEL, STRONGEST, WEAKEST, Z
+from .licences import TEMPLATES, size_bounds, template_bigrams
+from .licences import THRESHOLD as DICE
+from .revisits import DAY, NOT_REPLACED, TRACKING
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_low = lambda c: f"translate({c}, '{UPPER}', '{LOWER}')"
+_quoted = lambda s: s.replace("'", "''")
+
+OP1 = f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM split),
+keyed AS (SELECT doc_id, i, line, {_low(f"trim(line, {_BLANK})")} AS k FROM lines),
+frequent AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT keyed.*, f.k IS NOT NULL AS gone FROM keyed LEFT JOIN frequent f ON f.k = keyed.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id
+"""
+
+_HOST = f"regexp_replace(regexp_replace(regexp_replace({_low('regexp_extract(rest, ' + chr(39) + '^([^/?]*)' + chr(39) + ', 1)')}, '^.*@', ''), ':(80|443)?$', ''), '^www[0-9]*[.]', '')"
+OP2 = f"""
+WITH base AS (SELECT page_id, url, md5(coalesce(html, '')) AS body, again, page_id * 3600 + CASE WHEN again THEN {DAY // 2} ELSE 0 END AS t FROM pages, (VALUES (false), (true)) v(again)),
+caps AS (SELECT page_id * 2 + CAST(again AS INT) AS record_id, again, t,
+  CASE WHEN page_id % 3 <> 0 THEN CASE WHEN again AND page_id % 7 = 1 THEN 'stale' ELSE substr(body, 1, 12) END END AS tag, CASE WHEN page_id % 3 = 0 AND page_id % 21 <> 0 THEN 'day ' || (page_id // 24) END AS lm, CASE WHEN page_id % 21 = 0 THEN body END AS dg,
+  regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM base),
+urls AS (SELECT * EXCLUDE rest, {_HOST} || regexp_replace(regexp_extract(rest, '^[^/?]*(/[^?]*)', 1), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS u
+  FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^{TRACKING}(=|$)'))) AS q FROM caps)),
+paired AS (SELECT r.record_id, any_value(r.u) AS u, any_value(r.t) AS t, any_value(r.tag) AS tag, any_value(r.lm) AS lm, any_value(r.dg) AS dg, max(f.t * 1000000000 + f.record_id) AS best FROM urls r LEFT JOIN urls f ON f.u = r.u AND NOT f.again AND f.t < r.t WHERE r.again GROUP BY r.record_id),
+found AS (SELECT p.*, f.record_id AS refers_to, f.t AS refers_at, f.tag AS ftag, f.lm AS flm, f.dg AS fdg FROM paired p LEFT JOIN urls f ON f.record_id = p.best % 1000000000),
+judged AS (SELECT *, CASE WHEN refers_to IS NULL THEN 'no-earlier-response' WHEN tag IS NOT NULL AND ftag IS NOT NULL THEN CASE WHEN tag = ftag THEN 'resolved' ELSE 'validator-mismatch' END
+  WHEN lm IS NOT NULL AND flm IS NOT NULL THEN CASE WHEN lm = flm THEN 'resolved' ELSE 'validator-mismatch' END WHEN dg IS NOT NULL AND fdg IS NOT NULL THEN CASE WHEN dg = fdg THEN 'resolved' ELSE 'validator-mismatch' END ELSE 'no-validator' END AS outcome FROM found)
+SELECT record_id, u AS canonical_url, refers_to, refers_at, outcome, CASE WHEN outcome <> 'resolved' THEN NULL WHEN tag IS NOT NULL AND ftag IS NOT NULL THEN 'etag' WHEN lm IS NOT NULL AND flm IS NOT NULL THEN 'last-modified' ELSE 'digest' END AS matched_by,
+  CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=60; content-length: full; content-type: text/html; date: ' || t || '; expires: ' || (t + 60) ELSE 'cache-control: max-age=60; content-length: 0; date: ' || t || '; expires: ' || (t + 60) END AS headers FROM judged
+"""
+assert "content-length" in NOT_REPLACED
+
+_T = [(i, name, template_bigrams(t)) for i, (name, t) in enumerate((n, t) for n, ts in TEMPLATES.items() for t in ts)]
+_SIZES = [(i, name, sum(b.values()), *size_bounds(sum(b.values()), DICE)) for i, name, b in _T]
+OP4 = f"""
+WITH tmpl(tid, licence, n, lo, hi) AS (VALUES {', '.join(f"({i}, '{name}', {n}, {lo}, {hi})" for i, name, n, lo, hi in _SIZES)}),
+tgram(tid, g, c) AS (VALUES {', '.join(f"({i}, '{g}', {c})" for i, _, b in _T for g, c in b.items())}),
+split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+units AS (SELECT doc_id, 0 AS line, text AS unit FROM split WHERE len(ls) > 1 UNION ALL SELECT doc_id, unnest(range(1, len(ls) + 1)), unnest(ls) FROM split),
+worded AS (SELECT doc_id, line, string_split(trim(regexp_replace({_low('unit')}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
+sized AS (SELECT doc_id, line, w, len(w) - 1 AS n FROM worded WHERE len(w) BETWEEN {min(s[3] for s in _SIZES) + 1} AND {max(s[4] for s in _SIZES) + 1}),
+grams AS (SELECT doc_id, line, n, g, count(*) AS c FROM (SELECT doc_id, line, n, unnest(list_transform(range(1, n + 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM sized) GROUP BY ALL),
+scored AS (SELECT doc_id, line, t.tid, licence, 2.0 * sum(least(grams.c, tgram.c)) / (grams.n + t.n) AS dice FROM grams JOIN tgram USING (g) JOIN tmpl t ON t.tid = tgram.tid AND grams.n BETWEEN t.lo AND t.hi GROUP BY doc_id, line, t.tid, licence, grams.n, t.n),
+best AS (SELECT * FROM scored WHERE dice >= {DICE} QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, tid) = 1)
+SELECT doc_id, licence, count(*) AS n_units, min(line) AS first_unit, round(max(dice), 6) AS best_dice FROM best GROUP BY ALL
+"""
+
+_SUFFIX = f"CASE WHEN len(p) >= 3 AND strlen(p[-1]) = 2 AND p[-2] IN {SECOND_LEVEL} THEN p[-2] || '.' || p[-1] ELSE p[-1] END"
+
+
+def _strength(table: str) -> str:
+    """The prior strength of one level, by moments."""
+    return f"""(SELECT greatest({WEAKEST}, least({STRONGEST}, coalesce(CASE WHEN b > 0 THEN w / b - 1 ELSE {STRONGEST} END, {STRONGEST}))) FROM (SELECT mu * (1 - mu) AS w, (ss - total * mu * mu - (g - 1) * mu * (1 - mu)) / nullif(total - nn / total - (g - 1), 0) AS b
+ FROM (SELECT sum(bad) / sum(n) AS mu, count(*) AS g, sum(n) AS total, sum((bad / n) * bad) AS ss, sum(CAST(n AS DOUBLE) * n) AS nn FROM {table} WHERE n > 0)))"""
+
+
+_RULE = """CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1' WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+ WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/' WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END"""
+OP6 = f"""
+WITH lab AS (SELECT doc_id AS page_id, count(*) AS n, count(*) FILTER (quality = 0 OR toxic = 1) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
+cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hp AS (SELECT page_id, {_low("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM cut),
+hosts AS (SELECT host, coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM hp LEFT JOIN lab USING (page_id) GROUP BY host),
+parts AS (SELECT *, string_split(host, '.') AS p FROM hosts),
+suf AS (SELECT host, n, bad, p, {_SUFFIX} AS suffix FROM parts),
+named AS (SELECT host, n, bad, suffix, CASE WHEN len(p) > len(string_split(suffix, '.')) THEN p[len(p) - len(string_split(suffix, '.'))] || '.' || suffix ELSE host END AS domain FROM suf),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+top AS (SELECT (sum(bad) + 1.0) / (sum(n) + 2.0) AS p0, {_strength("suffixes")} AS ks, {_strength("domains")} AS kd, {_strength("named")} AS kh FROM suffixes),
+s AS (SELECT suffix, kd, kh, (bad + ks * p0) / (n + ks) AS ps FROM suffixes, top),
+dd AS (SELECT domain, kh, (bad + kd * ps) / (n + kd) AS pd FROM domains JOIN s USING (suffix)),
+h AS (SELECT host, bad + kh * pd AS a, n - bad + kh * (1 - pd) AS b FROM named JOIN dd USING (domain)),
+bounds AS (SELECT host, a / (a + b) - {Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS bound FROM h)
+SELECT page_id, host, path, rule, round(bound, 6) AS bound, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > {LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+FROM (SELECT *, {_RULE} AS rule FROM hp JOIN bounds USING (host))
+"""
+
+
+def _shingles(table: str, key: str) -> str:
+    w = f"list_filter(string_split_regex({_low('text')}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) AS s FROM (SELECT {key}, {w} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= {SHINGLE}"
+
+
+OP10 = f"""
+WITH i AS ({_shingles('benchmark', 'item_id')}), d AS ({_shingles('documents', 'doc_id')}), size AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_shingles, round(count(*) / any_value(n), 6) AS containment FROM d JOIN i USING (s) JOIN size USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= {CONTAINED} * any_value(n) - 1e-9
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op2_warc_revisits": OP2, "op4_licences": OP4, "op6_url_filter": OP6, "op10_decontaminate": OP10}
