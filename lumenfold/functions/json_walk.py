@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from .redaction import ALL_RULES, HARD_RULES, KEY_HINT, OWN_MARKER, PEM
 
@@ -130,33 +130,35 @@ def schema_descriptions(s: pd.Series) -> pd.Series:
 
 
 ALIAS = re.compile(r"secret://[A-Za-z0-9._\-/]*")
+SCAN_TYPE = StructType([StructField("verdict", StringType()), StructField("rule", StringType()), StructField("shadowed", BooleanType())])
 
 
-@F.pandas_udf(StructType([StructField("verdict", StringType()), StructField("rule", StringType())]))
+@F.pandas_udf(SCAN_TYPE)
 def scan_args(s: pd.Series) -> pd.DataFrame:
     """('raw_secret', rule), ('all_aliased', null) or ('clean', null): aliases of secrets are
-    taken out of strings before they are scanned; keys are scanned as they are."""
+    taken out of strings before they are scanned; keys are scanned as they are. shadowed says
+    that it's an assignment whose value is nothing but an alias."""
 
-    def one(value: object) -> tuple[str, str | None]:
+    def one(value: object) -> tuple[str, str | None, bool]:
         aliased = False
         todo = [value]
         while todo:
             v = todo.pop()
             if isinstance(v, str):
-                rule = hard_secret_in(ALIAS.sub("\0", v))
-                if rule:
-                    return "raw_secret", rule
+                bare = ALIAS.sub("\0", v)
+                if rule := hard_secret_in(bare):
+                    return "raw_secret", rule, rule == "env_assignment" and bare != v and hard_secret_in(ALIAS.sub("", v)) != rule
                 aliased = aliased or hard_secret_in(v) is not None
             elif isinstance(v, list):
                 todo += reversed(v)
             elif isinstance(v, dict):
                 for k in sorted(v):
                     if rule := hard_secret_in(k):
-                        return "raw_secret", rule
+                        return "raw_secret", rule, False
                 todo += [v[k] for k in sorted(v, reverse=True)]
-        return ("all_aliased" if aliased else "clean"), None
+        return ("all_aliased" if aliased else "clean"), None, False
 
-    return pd.DataFrame([x or (None, None) for x in _each(s, one)], columns=["verdict", "rule"])
+    return pd.DataFrame([x or (None, None, None) for x in _each(s, one)], columns=["verdict", "rule", "shadowed"])
 
 
 def resolve_aliases(text: Column, aliases: Column) -> Column:

@@ -444,7 +444,7 @@ def r7_redact_json(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql("SELECT invocation_id, CASE WHEN invocation_id % 9 = 0 THEN 'raw_secret' WHEN invocation_id % 9 = 1 THEN 'all_aliased' ELSE 'clean' END AS verdict FROM calls", "calls"))
 def r29_scan_args(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("invocation_id") % 9
-    args = F.when(i == 0, F.lit('{"a":["' + "gl" + "pat-" + "x" * 24 + '"]}')).when(i == 1, F.lit('{"a":"TOKEN=secret://db/pw"}')).otherwise(F.lit('{"a":{"b":1}}'))
+    args = F.when(i == 0, F.lit('{"a":["' + "gl" + "pat-" + "x" * 24 + '"]}')).when(i == 1, F.lit('{"a":"secret://' + "sk_" + "live_" + "y" * 30 + '"}')).otherwise(F.lit('{"a":{"b":1}}'))
     return d.calls(spark, sf).select("invocation_id", json_walk.scan_args(args)["verdict"].alias("verdict"))
 
 
