@@ -63,7 +63,7 @@ class _Parser:
 
     def atom(self) -> Column:
         item = self.peek()
-        if item is None or item == ")":
+        if item in (None, ")", "AND", "OR", "NOT"):
             raise ValueError("a term is missing")
         self.at += 1
         if item == "(":

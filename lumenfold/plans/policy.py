@@ -121,7 +121,7 @@ DEFAULT_RULES = BASE_RULES + PII_RULES
 def decide(rules: list[Rule], context: Context) -> Column:
     """(action, policy_ids, reasons). Rules that take the reserved id are left out."""
     ordered = sorted((r for r in rules if r.id != DEFAULT_DENY), key=lambda r: (-r.priority, r.id))
-    hits = F.array_compact(F.array(*[F.when(r.column(context), F.struct(F.lit(r.id).alias("id"), F.lit(r.action).alias("action"))) for r in ordered]))
+    hits = F.array_compact(F.array(*[F.when(r.column(context), F.struct(F.lit(r.id).alias("id"), F.lit(r.action).alias("action"))) for r in ordered]).cast("array<struct<id:string,action:string>>"))
     has = lambda a: F.exists(hits, lambda h: h["action"] == a)
     none = F.size(hits) == 0
     return F.struct(
