@@ -66,12 +66,12 @@ def domain_of(host: Column) -> Column:
 
 def _strength(groups: DataFrame, name: str) -> DataFrame:
     """One row: how many observations the prior over these groups is worth."""
-    mean = F.sum("bad") / F.sum("n")
+    mean = F.try_divide(F.sum("bad"), F.sum("n"))
     got = groups.filter("n > 0").agg(mean.alias("mu"), F.count("*").alias("g"), F.sum("n").alias("total"), F.sum((F.col("bad") / F.col("n")) * F.col("bad")).alias("ss"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"))
     # between-group variance by moments of the weighted shares
     within = F.col("mu") * (1 - F.col("mu"))
-    between = (F.col("ss") - F.col("total") * F.col("mu") * F.col("mu") - (F.col("g") - 1) * within) / (F.col("total") - F.col("nn") / F.col("total") - (F.col("g") - 1))
-    k = F.when(between > 0, within / between - 1).otherwise(F.lit(STRONGEST))
+    between = F.try_divide(F.col("ss") - F.col("total") * F.col("mu") * F.col("mu") - (F.col("g") - 1) * within, F.col("total") - F.try_divide(F.col("nn"), F.col("total")) - (F.col("g") - 1))
+    k = F.when(between > 0, F.try_divide(within, between) - 1).otherwise(F.lit(STRONGEST))
     return got.select(F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.coalesce(k, F.lit(STRONGEST)))).alias(name))
 
 

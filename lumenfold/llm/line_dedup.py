@@ -189,7 +189,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     Lines whose non-empty key is in min_docs rows at least go everywhere; the others
     stay as they are, joined by newlines. One row out for each row in.
     """
-    return _cut(docs.select("doc_id", "text"), ["doc_id"], min_docs)
+    return _cut(docs.select("doc_id", "text"), ["doc_id"], min_docs).withColumnRenamed("c0", "doc_id")
 
 
 def without_frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
@@ -198,11 +198,11 @@ def without_frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     kept = _cut(docs, others, min_docs)
     now = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return kept.select(*((now[c].alias(c) if c in now else F.col(c)) for c in docs.columns))
+    return kept.select(*(now.get(c, F.col(f"c{others.index(c)}") if c in others else None).alias(c) for c in docs.columns))
 
 
 def _cut(docs: DataFrame, others: list[str], min_docs: int) -> DataFrame:
-    """others and kept_text, n_lines, n_dropped."""
+    """c0, c1, ... (the columns `others`), kept_text, n_lines, n_dropped."""
     ship(docs.sparkSession)
     base = docs.select("doc_id", "text")
     index = LineIndex.build(base)
@@ -229,7 +229,7 @@ def _cut(docs: DataFrame, others: list[str], min_docs: int) -> DataFrame:
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"c{i} {kinds[c]}" for i, c in enumerate(others)] + ["kept_text string, n_lines long, n_dropped long"])
-    return flat.mapInArrow(cut, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(others)), "kept_text", "n_lines", "n_dropped")
+    return flat.mapInArrow(cut, schema)
 
 
 def digest(kept: DataFrame) -> DataFrame:
