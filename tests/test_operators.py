@@ -109,7 +109,7 @@ def test_ensemble(spark):
 
 def test_decoder(spark):
     decode = evaluation.decoder(["O", "B-EMAIL", "I-EMAIL", "B-AGE"], "multilingual")
-    df = spark.createDataFrame([([[9.0, 0, 0, 0], [0, 9.0, 0, 0], [0, 0, 8.0, 0], [0, 0, 0, 9.0]], [0, 2, 5, 9], [2, 5, 9, 12])], "z array<array<double>>, s array<int>, e array<int>")
+    df = spark.createDataFrame([([[9.0, 0.0, 0.0, 0.0], [0.0, 9.0, 0.0, 0.0], [0.0, 0.0, 8.0, 0.0], [0.0, 0.0, 0.0, 9.0]], [0, 2, 5, 9], [2, 5, 9, 12])], "z array<array<double>>, s array<int>, e array<int>")
     assert [(x.label, x.start, x.end) for x in df.select(decode("z", "s", "e").alias("f")).first().f] == [("email", 2, 9)]
 
 
