@@ -166,11 +166,13 @@ def merge_with_model(hard: Column, model: Column) -> Column:
 
 def risk_signals(findings: Column) -> Column:
     """(counts by label, total risk, has_secret) of an array with a field kind."""
-    labels = F.transform(findings, lambda f: label_of(f["kind"]))
-    known = F.filter(F.array(*[F.lit(x) for x in LABELS]), lambda x: F.array_contains(labels, x))
-    counts = F.map_from_arrays(known, F.transform(known, lambda x: F.size(F.filter(labels, lambda y: y == x))))
-    total = F.aggregate(findings, F.lit(0), lambda acc, f: acc + risk_of(f["kind"]))
-    return F.struct(counts.alias("counts_by_label"), total.alias("total_risk_delta"), F.array_contains(labels, "secret").alias("has_secret"))
+    def counted(labels: Column) -> Column:
+        known = F.filter(F.array(*[F.lit(x) for x in LABELS]), lambda x: F.array_contains(labels, x))
+        return F.map_from_arrays(known, F.transform(known, lambda x: F.size(F.filter(labels, lambda y: y == x))))
+
+    total = lambda found: F.aggregate(found, F.lit(0), lambda acc, f: acc + risk_of(f["kind"]))
+    told = lambda found, labels: F.struct(counted(labels).alias("counts_by_label"), total(found).alias("total_risk_delta"), F.array_contains(labels, "secret").alias("has_secret"))
+    return let(findings, lambda found: let(F.transform(found, lambda f: label_of(f["kind"])), lambda labels: told(found, labels)))
 
 
 def scan_text(text: Column) -> Column:
