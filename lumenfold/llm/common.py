@@ -43,11 +43,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lumenfold/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them back."""
+def written(df: DataFrame, label: str, path: str | None = None, codec: str = "snappy") -> DataFrame:
+    """Cut the lineage: write the rows to the shared folder and read them back.
+
+    Tables of hashes don't shrink; without a codec their writers need no buffers off the heap.
+    """
     spark = df.sparkSession
     path = path or scratch_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

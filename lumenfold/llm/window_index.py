@@ -8,11 +8,11 @@ equal places, so nothing is lost, and there are about twenty times fewer groups
 windows.
 
 The index is a list of immutable runs, each sorted by hash, that name the first document
-of every group seen so far. A new batch is merge-joined with the runs: a group that is
-known is repeated as a whole. Where only the anchor is known, the windows of the groups
+of every group seen so far. A new batch is merge-joined with the runs, and the result is its
+own run; a group that is known already is marked as old there, and repeated as a whole. Where only the anchor is known, the windows of the groups
 in question are hashed one by one from the texts and verified against each other, so that
-a repeat needs 128 equal bits of hash over exactly its words. Then the groups that are new
-become a run, and when there are more than `FAN_IN` runs they are compacted into one.
+a repeat needs 128 equal bits of hash over exactly its words. When there are more than
+`FAN_IN` runs they are compacted into one.
 
 Within a batch, earlier means a smaller doc_id; across batches, an earlier batch. Equal
 doc_ids are not earlier than one another. Rows with a null doc_id neither remove nor are
@@ -31,8 +31,11 @@ from pyspark.sql import functions as F
 from .common import scratch_path, ship, written
 from .words import BASE_CHECK, BASE_WORD, Rolling, Words, mix, slices
 
-WIDTH, GRAM, FAN_IN = 50, 12, 2
+WIDTH, GRAM, FAN_IN = 50, 14, 2
+#: Documents by whose keys a scan is filtered in memory; more go through a shuffle.
+FILTERED = 1 << 20
 GROUP = "id long, h long, a long, g long, lo int, n int, at int"
+RUN = GROUP + ", last long, old boolean"
 
 
 class Windows:
@@ -93,21 +96,24 @@ class WindowIndex:
         self.made = 0
 
     def known(self) -> DataFrame:
-        """All groups of all runs; a group is in one run only."""
+        """All groups of all runs; a group is new in one run only."""
         if not self.runs:
             return self.spark.createDataFrame([], GROUP)
-        return self.spark.read.schema(GROUP).parquet(*self.runs)
+        return self.spark.read.schema(RUN).parquet(*self.runs).filter("not old").drop("last", "old")
 
-    def _write_run(self, groups: DataFrame) -> None:
+    def _write_run(self, groups: DataFrame) -> DataFrame:
+        """groups in the shape of RUN, as a new immutable run sorted by hash."""
         self.made += 1
         path = f"{self.path}/run-{self.made}"
-        groups.select("id", "h", "a", "g", "lo", "n", "at").sortWithinPartitions("a", "g").write.parquet(path)
+        out = groups.select("id", "h", "a", "g", "lo", "n", "at", "last", "old").sortWithinPartitions("a", "g")
+        run = written(out, "", path, "uncompressed")
         self.runs.append(path)
+        return run
 
     def compact(self) -> None:
         """Merge all runs into one sorted run."""
         old, self.runs = self.known(), []
-        self._write_run(old.repartition("a"))
+        self._write_run(old.repartition("a").withColumns({"last": F.col("id"), "old": F.lit(False)}))
 
     def groups(self, docs: DataFrame) -> DataFrame:
         width, gram = self.width, self.gram
@@ -115,8 +121,8 @@ class WindowIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, h = (batch.column(i).to_numpy() for i in (0, 1))
-                rows, at = batch.column(2).to_pylist(), 0
-                for held in slices((t or b"",) for t in rows):
+                at = 0
+                for held in slices((t.as_py() or b"",) for t in batch.column(2)):
                     text, lo, n, place, a, g = Windows([t for (t,) in held], width, gram).groups()
                     text = text + at
                     at += len(held)
@@ -129,13 +135,16 @@ class WindowIndex:
     def _windows(self, store: DataFrame, asked: DataFrame) -> DataFrame:
         """asked (a, g, id, h, lo, n, at, fresh) -> a, g, id, fresh, o, w: their windows, hashed."""
         width, gram = self.width, self.gram
-        lists = asked.groupBy("id", "h").agg(F.collect_list(F.struct("a", "g", "lo", "n", "at", "fresh")).alias("asked"))
-        texts = _keyed(store).join(lists, ["id", "h"])
+        lists = written(asked.groupBy("id", "h").agg(F.collect_list(F.struct("a", "g", "lo", "n", "at", "fresh")).alias("asked")), "window-asked", codec="uncompressed")
+        texts = _keyed(store)
+        if lists.count() <= FILTERED:  # bounded: two longs a document; else the join alone does it
+            texts = texts.join(F.broadcast(lists.select("id", "h")), ["id", "h"], "left_semi")
+        texts = texts.join(lists, ["id", "h"])
         flat = texts.select("id", "text", *[F.col(f"asked.{c}").alias(c) for c in ("a", "g", "lo", "n", "at", "fresh")])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for ident, text, a, g, lo, n, at, fresh in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for ident, text, a, g, lo, n, at, fresh in ([c[i].as_py() for c in batch.columns] for i in range(batch.num_rows)):
                     windows, size = Windows([text or b""], width, gram), sum(n)
                     w = np.concatenate([windows.hashes(0, x, k) for x, k in zip(lo, n, strict=True)])
                     o = np.concatenate([p - np.arange(k) for p, k in zip(at, n, strict=True)])
@@ -150,16 +159,16 @@ class WindowIndex:
         Returns id, h, spans: for each row of the batch (doc_id and hash of text) the
         word ranges [lo, hi) that repeat an earlier document.
         """
-        own = written(self.groups(batch), "window-groups")
+        own = written(self.groups(batch), "window-groups", codec="uncompressed")
         firsts = own.groupBy("a", "g").agg(F.min(F.struct("id", "h", "lo", "n", "at")).alias("f"), F.max("id").alias("last"))
         old = self.known()
         seen = old.select("a", "g", F.lit(True).alias("old"))
-        merged = written(firsts.join(seen, ["a", "g"], "left").select("a", "g", "f.*", "last", F.coalesce("old", F.lit(False)).alias("old")), "window-merge")
+        merged = self._write_run(firsts.join(seen, ["a", "g"], "left").select("a", "g", "f.*", "last", F.coalesce("old", F.lit(False)).alias("old")))
         fresh = merged.filter("not old").select("a", "g", "id", "h", "lo", "n", "at", F.lit(True).alias("fresh"))
         # anchors with several groups, of which one at least is new
         every = fresh.unionByName(old.select("a", "g", "id", "h", "lo", "n", "at", F.lit(False).alias("fresh")))
         shared = every.groupBy("a").agg(F.count("*").alias("c"), F.max("fresh").alias("f")).filter("c > 1 and f").select("a")
-        windows = written(self._windows(store, every.join(shared, "a")), "windows")
+        windows = written(self._windows(store, every.join(shared, "a")), "windows", codec="uncompressed")
         earliest = windows.groupBy("a", "o", "w").agg(F.min(F.struct("fresh", "id")).alias("first"), F.count("*").alias("c")).filter("c > 1")
         repeated = windows.filter("fresh").join(earliest, ["a", "o", "w"]).filter("not first.fresh or first.id < id")
         places = repeated.groupBy("a", "g").agg(F.collect_set("o").alias("os"))
@@ -169,7 +178,6 @@ class WindowIndex:
         single = lambda o: F.struct((F.col("lo") + F.col("at") - o).cast("int").alias("lo"), (F.col("lo") + F.col("at") - o + self.width).cast("int").alias("hi"))
         spans = F.when(F.col("old") | (F.col("id") > F.col("first_id")), whole).otherwise(F.transform(F.coalesce("os", F.array().cast("array<int>")), single))
         found = hits.select("id", "h", spans.alias("s")).groupBy("id", "h").agg(F.flatten(F.collect_list("s")).alias("spans")).filter(F.size("spans") > 0)
-        self._write_run(fresh)
         if len(self.runs) > FAN_IN:
             self.compact()
         return found
@@ -183,7 +191,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_words, n_removed = [], [], []
-            for text, lo, hi in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for text, lo, hi in ([batch.column(c)[i].as_py() for c in (1, 2, 3)] for i in range(batch.num_rows)):
                 words = (text or b"").split()
                 n_words.append(len(words))
                 if lo:

@@ -84,7 +84,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def slices(rows: Iterable[tuple], size: int = 1 << 20) -> Iterator[list[tuple]]:
+def slices(rows: Iterable[tuple], size: int = 1 << 18) -> Iterator[list[tuple]]:
     """Rows whose last field is bytes, in lists of about `size` bytes (a longer text is alone)."""
     held, total = [], 0
     for row in rows:
