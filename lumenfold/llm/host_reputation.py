@@ -64,15 +64,15 @@ def domain_of(host: Column) -> Column:
     return F.when(n > k, F.concat_ws(".", F.get(labels, n - k - 1), suffix)).otherwise(host)
 
 
-def _strength(groups: DataFrame, name: str) -> DataFrame:
-    """One row: how many observations the prior over these groups is worth."""
+def _strength(groups: DataFrame) -> Column:
+    """How many observations the prior over these groups is worth, as a scalar subquery."""
     mean = F.try_divide(F.sum("bad"), F.sum("n"))
     got = groups.filter("n > 0").agg(mean.alias("mu"), F.count("*").alias("g"), F.sum("n").alias("total"), F.sum((F.col("bad") / F.col("n")) * F.col("bad")).alias("ss"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"))
     # between-group variance by moments of the weighted shares
     within = F.col("mu") * (1 - F.col("mu"))
     between = F.try_divide(F.col("ss") - F.col("total") * F.col("mu") * F.col("mu") - (F.col("g") - 1) * within, F.col("total") - F.try_divide(F.col("nn"), F.col("total")) - (F.col("g") - 1))
     k = F.when(between > 0, F.try_divide(within, between) - 1).otherwise(F.lit(STRONGEST))
-    return got.select(F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.coalesce(k, F.lit(STRONGEST)))).alias(name))
+    return got.select(F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.coalesce(k, F.lit(STRONGEST))))).scalar()
 
 
 def host_posteriors(hosts: DataFrame) -> DataFrame:
@@ -83,14 +83,12 @@ def host_posteriors(hosts: DataFrame) -> DataFrame:
     named = hosts.select("host", "n", "bad", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
     domains = named.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    # four one-row tables: the corpus's share and a strength for each level
-    top = suffixes.agg(((F.sum("bad") + F.lit(1.0)) / (F.sum("n") + F.lit(2.0))).alias("p0"))
-    top = top.crossJoin(_strength(suffixes, "ks")).crossJoin(_strength(domains, "kd")).crossJoin(_strength(named, "kh"))
-    shrink = lambda n, bad, k, prior: (F.col(bad) + F.col(k) * F.col(prior)) / (F.col(n) + F.col(k))
-    s = suffixes.crossJoin(F.broadcast(top)).select("suffix", "kd", "kh", shrink("n", "bad", "ks", "p0").alias("ps"))
-    d = domains.join(s, "suffix").select("domain", "kh", shrink("n", "bad", "kd", "ps").alias("pd"))
-    a, b = F.col("bad") + F.col("kh") * F.col("pd"), F.col("n") - F.col("bad") + F.col("kh") * (1 - F.col("pd"))
-    h = named.join(d, "domain").select("host", a.alias("a"), b.alias("b"))
+    p0 = suffixes.agg((F.sum("bad") + F.lit(1.0)) / (F.sum("n") + F.lit(2.0))).scalar()
+    shrink = lambda strength, prior: (F.col("bad") + F.col(strength) * prior) / (F.col("n") + F.col(strength))
+    s = suffixes.withColumn("k", _strength(suffixes)).select("suffix", shrink("k", p0).alias("ps"))
+    d = domains.withColumn("k", _strength(domains)).join(s, "suffix").select("domain", shrink("k", F.col("ps")).alias("pd"))
+    h = named.withColumn("k", _strength(named)).join(d, "domain")
+    h = h.select("host", (F.col("bad") + F.col("k") * F.col("pd")).alias("a"), (F.col("n") - F.col("bad") + F.col("k") * (1 - F.col("pd"))).alias("b"))
     total = F.col("a") + F.col("b")
     share = F.col("a") / total
     return h.select("host", share.alias("share"), (share - Z * F.sqrt(share * (1 - share) / (total + 1))).alias("bound"))
