@@ -131,7 +131,7 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class LineIndex:
     """The sharded index of a corpus: build() once, probe() with any documents."""
 
-    def __init__(self, shards: DataFrame, n_shards: int, copies: dict[int, int]):
+    def __init__(self, shards: DataFrame, n_shards: int, copies: DataFrame):
         self.shards, self.n_shards, self.copies = shards, n_shards, copies
 
     @classmethod
@@ -144,23 +144,20 @@ class LineIndex:
         n_shards = max(1, -(-counts.count() // SHARD_KEYS))
         sharded = counts.withColumn("shard", F.pmod(F.col("hi"), F.lit(n_shards)).cast("int"))
         shards = written(sharded.groupBy("shard").applyInArrow(_build_shard, SHARD_SCHEMA), "line-shards")
-        # bounded: a shard is listed only for each TASK_PROBES probes that it gets
+        # a shard is listed only if it gets more than TASK_PROBES probes
         hot = sharded.groupBy("shard").agg(F.sum("n").alias("p")).filter(F.col("p") > TASK_PROBES)
-        copies = {r.shard: -(-r.p // TASK_PROBES) for r in hot.collect()}
+        copies = written(hot.select("shard", F.ceil(F.col("p") / TASK_PROBES).cast("int").alias("copies")), "line-hot-shards")
         return cls(shards, n_shards, copies)
 
     def probe(self, keys: DataFrame, min_docs: int) -> DataFrame:
         """keys: (row, hi, lo). Those whose line is in min_docs documents at least."""
         if min_docs > 0xFFFF:
             raise ValueError("counts saturate at 65535")
-        pick = F.lit(0)
-        for shard, k in self.copies.items():
-            pick = F.when(F.col("shard") == shard, F.pmod(F.xxhash64("row"), F.lit(k)).cast("int")).otherwise(pick)
-        probes = keys.withColumn("shard", F.pmod(F.col("hi"), F.lit(self.n_shards)).cast("int")).withColumn("copy", pick)
-        times = F.lit(1)
-        for shard, k in self.copies.items():
-            times = F.when(F.col("shard") == shard, F.lit(k)).otherwise(times)
-        shards = self.shards.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1)))
+        # bounded: two integers for each TASK_PROBES lines of the corpus at most
+        dealt = lambda df: df.join(F.broadcast(self.copies), "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+        probes = dealt(keys.withColumn("shard", F.pmod(F.col("hi"), F.lit(self.n_shards)).cast("int"))).withColumn("copy", F.pmod(F.xxhash64("row"), F.col("copies")).cast("int"))
+        shards = dealt(self.shards).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        probes = probes.drop("copies")
 
         def look_up(index: pa.Table, asked: pa.Table) -> pa.Table:
             asked = asked.select(["row", "hi", "lo"])
