@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
-from .redaction import ALL_RULES, HARD_RULES, KEY_HINT, OWN_MARKER, PEM
+from .redaction import ALL_RULES, HARD_RULES, KEY_HINT, LABEL_OF, OWN_MARKER, PEM
 
 _COMPILED: dict[str, re.Pattern] = {}
 
@@ -191,6 +191,27 @@ def redact_boundary(s: pd.Series, kept: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(StringType())
+def redact_from_right(s: pd.Series, findings: pd.Series) -> pd.Series:
+    """Text with findings (start, end, kind; byte offsets) replaced one by one from the last
+    start to the first. Unlike redaction.scan_text, overlapping findings are each replaced
+    while their end still lies inside the shrinking text, and skipped otherwise; this is for
+    comparing with ledgers that were redacted in that way."""
+    out = []
+    for text, found in zip(s, findings, strict=True):
+        if text is None:
+            out.append(None)
+            continue
+        raw = text.encode()
+        for f in sorted(found if found is not None else [], key=lambda f: -f["start"]):
+            a, b = f["start"], f["end"]
+            between = lambda i: i == len(raw) or raw[i] & 0xC0 != 0x80
+            if a <= b <= len(raw) and between(a) and between(b):
+                raw = raw[:a] + f"[REDACTED {LABEL_OF.get(f['kind'], f['kind'])}]".encode() + raw[b:]
+        out.append(raw.decode())
+    return pd.Series(out)
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def shell_split(s: pd.Series) -> pd.Series:
     """POSIX words of a command line; null where it can't be split."""

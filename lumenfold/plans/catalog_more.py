@@ -173,6 +173,34 @@ def r13_merge_with_model(spark: SparkSession, sf: str) -> DataFrame:
     return d.load(spark, sf, "documents").select("doc_id", F.size(redaction.merge_with_model(span(F.lit(6), F.lit(10), "jwt"), span(s, s + 2, "person"))).alias("n"))
 
 
+_MAIL = redaction.EMAIL.replace("'", "''")
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(text, '{_MAIL}', '[REDACTED email]', 'g')) AS clean FROM documents WHERE contains(text, '@')")
+def r14_redact_from_right(spark: SparkSession, sf: str) -> DataFrame:
+    docs = d.load(spark, sf, "documents").filter(F.col("text").contains("@"))
+    found = redaction.spans(F.col("text"), "email", redaction.EMAIL, 0)
+    return docs.select("doc_id", F.sha2(json_walk.redact_from_right(F.col("text"), found).cast("binary"), 256).alias("clean"))
+
+
+@query(sql("SELECT scan_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM findings WHERE label = 'secret' GROUP BY scan_id", "findings"))
+def r3_hard_rule_names(spark: SparkSession, sf: str) -> DataFrame:
+    found = d.load(spark, sf, "documents").select(F.col("doc_id").alias("scan_id"), F.explode(F.array(redaction.hard_findings(F.col("text")))).alias("f"))
+    return found.filter(F.size("f") > 0).select("scan_id", F.array_join(F.array_sort("f"), ",").alias("kinds"))
+
+
+@query("""SELECT event_id, 'finding:env_like_key [REDACTED len=' || strlen(event_type) || ' by_key=token] x' AS summary FROM events""")
+def r9_search_summary(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat(F.lit('{"token":"'), F.col("event_type"), F.lit('","z":["x",1]}'))
+    return d.load(spark, sf, "events").select("event_id", json_walk.redact_json(raw)["summary"].alias("summary"))
+
+
+@query(sql("SELECT event_id, session_id, event_type FROM ledger_events ORDER BY event_id DESC LIMIT 1", "ledger_events"))
+def k8_new_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    e = d.events(spark, sf).withColumns({"event_hash": F.sha2(F.col("payload_json").cast("binary"), 256), "prev_hash": F.lit("")})
+    return ledger.new_checkpoint(e, 1, d.NOW).select("event_id", "session_id", "event_type")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 1 AND doc_id % 2 = 0 THEN lang END AS trusted FROM documents")
 def r17_trusted_language(spark: SparkSession, sf: str) -> DataFrame:
     source = d._case("doc_id % 3", ["heuristic", "caller", "heuristic"])

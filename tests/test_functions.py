@@ -197,3 +197,9 @@ def test_names_and_posture(spark):
     assert one(spark, decision.parse_public_name(F.lit("plain"))) is None
     got = [one(spark, decision.posture(decision.effective_profile(F.lit(p), F.lit(r)), F.lit("placeholder_native"))) for p, r in (("low", 0), ("low", 24), ("medium", 0), ("medium", 24), ("high", 99))]
     assert got == ["allow", "ask", "ask", "deny", "deny"]
+
+
+def test_redact_from_right(spark):
+    found = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(k).alias("kind")) for a, b, k in ((0, 20, "env_assignment"), (4, 20, "jwt"), (30, 99, "email"), (23, 24, "odd"))])
+    got = one(spark, json_walk.redact_from_right(F.col("t"), found), t="key=" + "s" * 16 + " tail words that follow")
+    assert "ssss" not in got and got.startswith("[REDACTED secret]")

@@ -133,3 +133,19 @@ def test_streams_match_batch(spark, tmp_path):
 
 def test_live_risk_bounds():
     assert (ledger.clamp_feed(0), ledger.clamp_sessions(0), ledger.clamp_scans(0), ledger.clamp_scans(9999)) == (1, 100, 50, 500)
+
+
+def test_samples_are_read_by_folder(spark, tmp_path):
+    from lumenfold.sources import schemas
+
+    for bucket, i in (("zh", 1), ("ja", 2)):
+        (tmp_path / bucket).mkdir()
+        (tmp_path / bucket / f"{i}.json").write_text('{"id": "s%d",\n "text": "x", "expected_findings": [{"label": "email", "start": 0, "end": 1}]}' % i)
+    assert sorted((r.id, r.bucket, r.expected_findings[0].end) for r in schemas.read_samples(spark, f"file://{tmp_path}").collect()) == [("s1", "zh", 1), ("s2", "ja", 1)]
+
+
+def test_ledger_tables_gain_columns(spark, tmp_path):
+    from lumenfold.sources import schemas
+
+    spark.createDataFrame([("a", "cli")], "session_id string, source string").write.parquet(f"{tmp_path}/sessions")
+    assert schemas.open_table(spark, str(tmp_path), "sessions").first().risk_score is None
