@@ -317,8 +317,9 @@ def brute_windows(rows, width):
     return out
 
 
-@pytest.mark.parametrize(("width", "gram", "batches"), [(50, 20, 1), (50, 20, 3), (7, 3, 4), (3, 3, 2)])
-def test_windows(docs, width, gram, batches):
+@pytest.mark.parametrize(("width", "gram", "batches", "filtered"), [(50, 20, 1, 1000), (50, 20, 3, 0), (7, 3, 4, 1000), (3, 3, 2, 0)])
+def test_windows(docs, monkeypatch, width, gram, batches, filtered):
+    monkeypatch.setattr(window_index, "FILTERED", filtered)
     got = window_index.digest(window_index.drop_repeated_windows(docs, width, gram, batches)).collect()
     same([tuple(r) for r in got], brute_windows(ROWS, width))
 
