@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructField, StructType
 
@@ -81,11 +81,14 @@ def weighted_misses(misses: DataFrame) -> DataFrame:
 def nearest_rank(values: DataFrame, column: str, *by: str) -> DataFrame:
     """p50, p95, p99 by nearest rank: the value at floor(q * n), the last at most.
 
-    Ranks are counted over a sort that is dealt out by range, and only the wanted ones kept.
+    Rows are ranked by a sort that can spill, and only the wanted ranks are kept; no group
+    is gathered into one value.
     """
-    lists = values.groupBy(*by).agg(F.array_sort(F.collect_list(column)).alias("v"))
-    at = lambda q: F.get("v", F.least(F.floor(F.size("v") * q).cast("int"), F.size("v") - 1))
-    return lists.select(*by, at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    n = F.count(column).over(Window.partitionBy(*by))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(column)) - 1
+    ranked = values.filter(F.col(column).isNotNull()).select(*by, F.col(column).alias("v"), n.alias("n"), rank.alias("r"))
+    at = lambda q: F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col("v")))
+    return ranked.groupBy(*by).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 def gate(recall: Column, p95_ms: Column) -> Column:

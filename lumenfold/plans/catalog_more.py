@@ -36,8 +36,8 @@ def p11_bindings_by_server(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql("SELECT event_id, event_type FROM ledger_events WHERE created_at >= (SELECT max(created_at) FROM ledger_events) - 86400", "ledger_events"))
 def p12_last_day(spark: SparkSession, sf: str) -> DataFrame:
     e = d.events(spark, sf)
-    newest = e.agg(F.max("created_at").alias("m"))
-    return e.join(F.broadcast(newest), F.col("created_at") >= F.col("m") - 86400).select("event_id", "event_type")
+    newest = e.agg(F.max("created_at")).scalar()
+    return e.filter(F.col("created_at") >= newest - 86400).select("event_id", "event_type")
 
 
 _POS = "(SELECT doc_id, unnest(generate_series(1, 3)) AS i FROM documents)"
