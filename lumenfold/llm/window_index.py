@@ -173,6 +173,9 @@ class WindowIndex:
         repeated = windows.filter("fresh").join(earliest, ["a", "o", "w"]).filter("not first.fresh or first.id < id")
         places = repeated.groupBy("a", "g").agg(F.collect_set("o").alias("os"))
         told = merged.join(places, ["a", "g"], "left").filter("old or last > id or os is not null").select("a", "g", "old", F.col("id").alias("first_id"), "os")
+        # a table of its own: the join below then stands on two exchanges, so that a passage
+        # that many documents share can be split
+        told = written(told, "window-told", codec="uncompressed")
         hits = own.join(told, ["a", "g"])
         whole = F.array(F.struct(F.col("lo").alias("lo"), (F.col("lo") + F.col("n") - 1 + self.width).cast("int").alias("hi")))
         single = lambda o: F.struct((F.col("lo") + F.col("at") - o).cast("int").alias("lo"), (F.col("lo") + F.col("at") - o + self.width).cast("int").alias("hi"))
@@ -186,7 +189,14 @@ class WindowIndex:
 def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...), spans of WindowIndex.add() ->
     doc_id, kept_text (kept words joined by a space), n_words, n_removed; row for row."""
-    flat = _keyed(docs).join(spans, ["id", "h"], "left").select("id", "text", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
+    spans, texts = written(spans, "window-spans"), _keyed(docs)
+    lists = F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi")
+    if spans.count() <= FILTERED:  # bounded: only texts that lose words are shuffled
+        keys = F.broadcast(spans.select("id", "h"))
+        whole = texts.join(keys, ["id", "h"], "left_anti").select("id", "text", *[F.lit(None).cast("array<int>").alias(c) for c in ("lo", "hi")])
+        flat = texts.join(keys, ["id", "h"], "left_semi").join(spans, ["id", "h"]).select("id", "text", *lists).unionByName(whole)
+    else:
+        flat = texts.join(spans, ["id", "h"], "left").select("id", "text", *lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
