@@ -211,14 +211,15 @@ TRUSTED = 0.5
 def language(text: Column) -> Column:
     """(lang, confidence) by scripts, then hint words, then letters."""
     count = lambda chars: F.regexp_count(text, F.lit(chars))
-    low = F.lower(text)
-    any_of = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    any_of = lambda low, words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
     told = lambda lang, c: F.struct(F.lit(lang).alias("lang"), F.lit(c).cast("double").alias("confidence"))
-    return (
-        F.when(count("[\\uAC00-\\uD7AF]") >= 2, told("ko", 0.9)).when(count("[\\u3040-\\u30FF]") >= 2, told("ja", 0.9)).when(count("[\\u4E00-\\u9FFF]") >= 2, told("zh", 0.85))
-        .when(any_of(DE_HINTS), told("de", 0.7)).when(any_of(FR_HINTS), told("fr", 0.7)).when(any_of(IT_HINTS), told("it", 0.7)).when(any_of(ES_HINTS), told("es", 0.7))
+    by_words = lambda low: (
+        F.when(any_of(low, DE_HINTS), told("de", 0.7)).when(any_of(low, FR_HINTS), told("fr", 0.7)).when(any_of(low, IT_HINTS), told("it", 0.7)).when(any_of(low, ES_HINTS), told("es", 0.7))
         .when(F.regexp_like(text, F.lit(DE_LETTERS)), told("de", 0.45)).when(F.regexp_like(text, F.lit(FR_LETTERS)), told("fr", 0.4)).otherwise(told("en", 0.3))
     )
+    by_script = F.when(count("[\\uAC00-\\uD7AF]") >= 2, told("ko", 0.9)).when(count("[\\u3040-\\u30FF]") >= 2, told("ja", 0.9)).when(count("[\\u4E00-\\u9FFF]") >= 2, told("zh", 0.85))
+    eastern = F.regexp_like(text, F.lit("[\\u3040-\\u30FF\\u4E00-\\u9FFF\\uAC00-\\uD7AF]"))
+    return F.coalesce(F.when(eastern, by_script), let(F.lower(text), by_words))
 
 
 def trusted_language(lang: Column, source: Column, confidence: Column) -> Column:

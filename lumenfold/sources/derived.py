@@ -15,8 +15,18 @@ from ..operators import ledger
 NOW, SCAN_T0 = 1_700_050_000, 1_700_000_000
 
 
+#: Tables of texts smaller than this for each core are dealt to all cores, since a small
+#: file is one row group and so one task; larger ones have tasks enough of their own.
+SMALL = 8 << 20
+TEXTS = ("documents", "pages")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL * cores:
+        return df.repartition(cores)
+    return df
 
 
 def _case(key: str, values: list[str]) -> Column:
