@@ -284,6 +284,12 @@ def g17_tools_hash(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("server").agg(F.collect_list("x").alias("xs")).select("server", hashing.tools_hash(F.col("xs")).alias("hash"))
 
 
+@query("SELECT doc_id // 40 AS server, sha256(string_agg(sha256(lang || doc_id), '' ORDER BY doc_id)) AS hash FROM documents GROUP BY 1")
+def g17_tools_hash_all(spark: SparkSession, sf: str) -> DataFrame:
+    t = d.load(spark, sf, "documents").select(F.expr("doc_id div 40").alias("server"), F.struct(F.col("doc_id").alias("pos"), F.sha2(F.concat("lang", F.col("doc_id").cast("string")).cast("binary"), 256).alias("hash")).alias("x"))
+    return t.groupBy("server").agg(F.collect_list("x").alias("xs")).select("server", hashing.tools_hash(F.col("xs")).alias("hash"))
+
+
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
 def g18_distributions(spark: SparkSession, sf: str) -> DataFrame:
     return d.load(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
