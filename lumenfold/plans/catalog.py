@@ -303,14 +303,23 @@ def j9_descriptor_status(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.descriptor_status(d.calls(spark, sf), d.servers(spark), d.pins(spark)).groupBy("descriptor").agg(F.count("*").alias("n"))
 
 
-@query("SELECT token_ref, bound FROM (SELECT 't' || event_id AS token_ref, event_id % 3 <> 1 AS bound FROM events WHERE event_id < 300)")
-def j12_metadata_binding(spark: SparkSession, sf: str) -> DataFrame:
-    e = d.load(spark, sf, "events").filter("event_id < 300").select("event_id", F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("token_ref"))
+def _metadata_binding(events: DataFrame) -> DataFrame:
+    e = events.select("event_id", F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("token_ref"))
     bound = e.select("event_id", F.to_json(F.struct("token_ref", F.lit("i").alias("issuer"), F.when(F.col("event_id") % 3 == 1, "other").otherwise("r").alias("resource"))).alias("payload_json"))
     meta = e.select("token_ref", F.lit("i").alias("issuer"), F.lit("r").alias("resource"), F.when(F.col("event_id") % 3 != 2, F.col("event_id")).alias("bound_event_id"))
     return ledger.metadata_tampering(meta, bound).select("token_ref", "bound")
 
 
+@query("SELECT token_ref, bound FROM (SELECT 't' || event_id AS token_ref, event_id % 3 <> 1 AS bound FROM events WHERE event_id < 300)")
+def j12_metadata_binding(spark: SparkSession, sf: str) -> DataFrame:
+    return _metadata_binding(d.load(spark, sf, "events").filter("event_id < 300"))
+
+
+@query("SELECT token_ref, bound FROM (SELECT 't' || event_id AS token_ref, event_id % 3 <> 1 AS bound FROM events)")
+def j12_metadata_binding_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _metadata_binding(d.load(spark, sf, "events"))
+
+
 # ---- writes -------------------------------------------------------------------------
 
 @query(sql("""SELECT rejected_for, count(*) AS n FROM (SELECT CASE WHEN event_type LIKE 'tool!_call.%' ESCAPE '!' OR event_type LIKE 'decision.%' OR event_type LIKE 'approval.%' OR event_type LIKE 'lease.%' THEN 'reserved_event_type' WHEN event_id % 19 = 0 THEN 'github_token' END AS rejected_for FROM ledger_events) GROUP BY 1""", "ledger_events"))

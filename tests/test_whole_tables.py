@@ -17,3 +17,7 @@ def rows(spark, name):
 def test_tools_hash_covers_all_documents(spark):
     got = {r.server for r in entry.queries()["g17_tools_hash_all"](spark, SF).collect()}
     assert got == {r.doc_id // 40 for r in rows(spark, "documents").select("doc_id").collect()}
+
+
+def test_metadata_binding_covers_all_events(spark):
+    assert entry.queries()["j12_metadata_binding_all"](spark, SF).count() == rows(spark, "events").count() > 300
