@@ -213,17 +213,26 @@ def r18_sentinels(spark: SparkSession, sf: str) -> DataFrame:
     return d.load(spark, sf, "conversations").select("conv_id", "turn", redaction.is_wrapped(w).alias("wrapped"), F.sha2(redaction.unwrap(w).cast("binary"), 256).alias("h"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN NULL ELSE 'EMAIL' END AS core, CASE event_id % 4 WHEN 0 THEN 'person' WHEN 1 THEN NULL ELSE 'email' END AS label FROM events WHERE event_id < 400")
-def r22_decode_tokens(spark: SparkSession, sf: str) -> DataFrame:
+def _decode_tokens(events: DataFrame) -> DataFrame:
     decode = evaluation.decoder(["O", "B-SURNAME", "I-SURNAME", "S-EMAIL"], "multilingual")
     v = F.col("event_id") % 4
     hot = lambda i: F.array(*[F.when(F.lit(i) == j, 5.0).otherwise(0.0) for j in range(4)])
     logits = F.when(v == 0, F.array(hot(1), hot(2))).when(v == 1, F.array(hot(0), hot(0))).otherwise(F.array(hot(3), hot(0)))
-    got = d.load(spark, sf, "events").filter("event_id < 400").select("event_id", decode(logits, F.array(F.lit(0), F.lit(3)), F.array(F.lit(3), F.lit(7))).alias("f"))
+    got = events.select("event_id", decode(logits, F.array(F.lit(0), F.lit(3)), F.array(F.lit(3), F.lit(7))).alias("f"))
     label = F.get("f", F.lit(0))["label"]
     return got.select("event_id", F.upper(label).alias("core"), label.alias("label"))
 
 
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN NULL ELSE 'EMAIL' END AS core, CASE event_id % 4 WHEN 0 THEN 'person' WHEN 1 THEN NULL ELSE 'email' END AS label FROM events WHERE event_id < 400")
+def r22_decode_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return _decode_tokens(d.load(spark, sf, "events").filter("event_id < 400"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN NULL ELSE 'EMAIL' END AS core, CASE event_id % 4 WHEN 0 THEN 'person' WHEN 1 THEN NULL ELSE 'email' END AS label FROM events")
+def r22_decode_tokens_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _decode_tokens(d.load(spark, sf, "events"))
+
+
 @query("SELECT lang, CASE lang WHEN 'de' THEN 1.1 WHEN 'en' THEN 1.1 ELSE 0.4 END AS threshold, count(*) AS n FROM documents GROUP BY ALL")
 def r23_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return d.load(spark, sf, "documents").groupBy("lang", evaluation.threshold(F.lit("person"), F.col("lang"), {"person": 0.4}).alias("threshold")).agg(F.count("*").alias("n"))

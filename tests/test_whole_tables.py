@@ -21,3 +21,7 @@ def test_tools_hash_covers_all_documents(spark):
 
 def test_metadata_binding_covers_all_events(spark):
     assert entry.queries()["j12_metadata_binding_all"](spark, SF).count() == rows(spark, "events").count() > 300
+
+
+def test_decode_tokens_covers_all_events(spark):
+    assert entry.queries()["r22_decode_tokens_all"](spark, SF).count() == rows(spark, "events").count() > 400
