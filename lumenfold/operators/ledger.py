@@ -15,6 +15,8 @@ RAW_SECRET, LEAK, ALIAS = "raw_secret_attempt_detected", "secret.leak_detected",
 PROTECTION_TYPES = (RAW_SECRET, LEAK, ALIAS)
 SCAN_SOURCES = ("paste", "tool_arg", "tool_output", "export")
 ACTIONS = ("redacted", "blocked", "allowed_once")
+#: Rows of a slice of an ordered table, and the most slices it is cut into.
+SLICE_ROWS, SLICES = 1 << 14, 1000
 
 
 # ---- limits -------------------------------------------------------------------------
@@ -133,12 +135,37 @@ def read_checkpoints(spark, path: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def sliced(rows: DataFrame, column: str) -> DataFrame:
+    """Adds __slice, which ascends with the column; nulls come first. Slices hold about
+    `SLICE_ROWS` rows, at most `SLICES` of them; all equal values share one."""
+    n = rows.count()
+    parts = min(SLICES, -(-n // SLICE_ROWS))
+    cuts = rows.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10 * SLICES)).first()[0] if parts > 1 else None
+    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts or []))]).cast(f"array<{dict(rows.dtypes)[column]}>")
+    return rows.withColumn("__slice", F.size(F.filter(bounds, lambda x: x < F.col(column))))
+
+
+def numbered(rows: DataFrame, column: str) -> DataFrame:
+    """Adds line: the position of each row by the column, from 1, without one ordered window."""
+    rows = sliced(rows, column)
+    sizes = rows.groupBy("__slice").agg(F.count("*").alias("__n"))
+    # one row for each slice, and there are few
+    before = sizes.select("__slice", (F.sum("__n").over(Window.orderBy("__slice")) - F.col("__n")).alias("__before"))
+    line = F.row_number().over(Window.partitionBy("__slice").orderBy(column)) + F.col("__before")
+    return rows.join(F.broadcast(before), "__slice").withColumn("line", line).drop("__slice", "__before")
+
+
 def checkpoint_faults(points: DataFrame) -> DataFrame:
     """Anchors with a bad hash, a bad id or an id not above the one before."""
     hexed = lambda c: F.coalesce(F.col(c).rlike("^[0-9a-f]{64}$"), F.lit(False))
-    before = F.lag("event_id").over(Window.orderBy("line"))
+    points, by_slice = sliced(points, "line"), Window.partitionBy("__slice").orderBy("line", "event_id")
+    # the last id of each slice is carried to the next one; there are few slices
+    ends = points.groupBy("__slice").agg(F.max(F.struct("line", "event_id"))["event_id"].alias("last"))
+    carried = ends.select("__slice", F.lag("last").over(Window.orderBy("__slice")).alias("__carried"))
+    points = points.withColumns({"__before": F.lag("event_id").over(by_slice), "__n": F.row_number().over(by_slice)}).join(F.broadcast(carried), "__slice")
+    before = F.when(F.col("__n") == 1, F.col("__carried")).otherwise(F.col("__before"))
     fault = F.when(~hexed("event_hash"), "invalid event_hash").when((F.col("prev_hash") != "") & ~hexed("prev_hash"), "invalid prev_hash").when(F.col("event_id") <= 0, "non-positive event_id").when(F.col("event_id") <= before, "non-monotonic event_id")
-    return points.withColumn("fault", fault).filter("fault is not null")
+    return points.withColumn("fault", fault).filter("fault is not null").drop("__slice", "__before", "__n", "__carried")
 
 
 def new_checkpoint(events: DataFrame, last_id: int | None, anchored_at: int) -> DataFrame:

@@ -183,6 +183,13 @@ def w4_checkpoint_order(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.checkpoint_faults(points).select("line", "event_id")
 
 
+@query(sql("SELECT line, event_id FROM (SELECT row_number() OVER (ORDER BY event_id) AS line, event_id // 2 AS event_id, lag(event_id // 2) OVER (ORDER BY event_id) AS b FROM ledger_events) WHERE event_id <= 0 OR event_id <= b", "ledger_events"))
+def w4_checkpoint_order_all(spark: SparkSession, sf: str) -> DataFrame:
+    e = ledger.numbered(d.events(spark, sf).select("event_id"), "event_id")
+    points = e.select("line", F.expr("event_id div 2").alias("event_id"), F.lit("0" * 64).alias("event_hash"), F.lit("").alias("prev_hash"))
+    return ledger.checkpoint_faults(points).select("line", "event_id")
+
+
 @query(sql("SELECT event_id, event_id % 97 = 0 AS missing FROM (SELECT event_id FROM ledger_events WHERE event_id % 10 = 0 AND (event_id % 97 = 0 OR event_id % 70 = 0))", "ledger_events"))
 def j6_anchor_mismatches(spark: SparkSession, sf: str) -> DataFrame:
     e = d.events(spark, sf).withColumns({"event_hash": F.sha2(F.col("payload_json").cast("binary"), 256), "prev_hash": F.lit("")})

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from lumenfold.operators import ledger
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the synthetic tables")
@@ -25,3 +26,18 @@ def test_metadata_binding_covers_all_events(spark):
 
 def test_decode_tokens_covers_all_events(spark):
     assert entry.queries()["r22_decode_tokens_all"](spark, SF).count() == rows(spark, "events").count() > 400
+
+
+def test_checkpoint_order_reports_faults_beyond_event_200(spark):
+    assert max(r.event_id for r in entry.queries()["w4_checkpoint_order_all"](spark, SF).collect()) > 100
+
+
+def test_checkpoint_faults_carry_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "SLICE_ROWS", 7)
+    ids = [5 * i if i % 6 else 5 * i - 11 for i in range(1, 101)]
+    points = spark.createDataFrame([(3 * i, x, "0" * 64, "") for i, x in enumerate(ids)], "line long, event_id long, event_hash string, prev_hash string")
+    assert ledger.sliced(points, "line").select("__slice").distinct().count() > 10
+    got = sorted((r.line, r.fault) for r in ledger.checkpoint_faults(points).collect())
+    assert got == [(3 * i, "non-monotonic event_id") for i in range(1, 100) if ids[i] <= ids[i - 1]] and got
+    assert sorted((r.event_id, r.line) for r in ledger.numbered(points.drop("line"), "event_id").collect()) == [(x, i + 1) for i, x in enumerate(sorted(ids))]
+    assert ledger.checkpoint_faults(points.limit(0)).count() == 0
