@@ -404,6 +404,12 @@ def r6_scrub(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.when(~env, F.sha2(redaction.scrub(F.col("text")).cast("binary"), 256)).alias("clean"))
 
 
+# SQL can't express the union of spans; tests/test_whole_tables.py compares with brute force
+@query()
+def r6_scrub_all(spark: SparkSession, sf: str) -> DataFrame:
+    return d.load(spark, sf, "documents").select("doc_id", F.sha2(redaction.scrub(F.col("text")).cast("binary"), 256).alias("clean"))
+
+
 @query(sql("SELECT scan_id, sum(CASE WHEN kind = 'env_assignment' THEN 25 ELSE 10 END) AS risk, count(*) FILTER (label = 'secret') > 0 AS has_secret FROM findings WHERE kind <> 'email' GROUP BY scan_id", "findings"))
 def r10_scan_text(spark: SparkSession, sf: str) -> DataFrame:
     s = d.load(spark, sf, "documents").select(F.col("doc_id").alias("scan_id"), F.explode(F.array(redaction.scan_text(F.col("text")))).alias("s")).filter(F.size("s.findings") > 0)

@@ -1,10 +1,13 @@
 """Queries that take their tables whole; tests/test_oracle.py compares their rows."""
 
+import hashlib
 import os
+import re
 
 import pytest
 
 import __spark_entry__ as entry
+from lumenfold.functions import redaction
 from lumenfold.operators import ledger
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +44,26 @@ def test_checkpoint_faults_carry_over_slices(spark, monkeypatch):
     assert got == [(3 * i, "non-monotonic event_id") for i in range(1, 100) if ids[i] <= ids[i - 1]] and got
     assert sorted((r.event_id, r.line) for r in ledger.numbered(points.drop("line"), "event_id").collect()) == [(x, i + 1) for i, x in enumerate(sorted(ids))]
     assert ledger.checkpoint_faults(points.limit(0)).count() == 0
+
+
+def brute_scrub(text):
+    if re.search(redaction.PEM, text):
+        return "[REDACTED pem_private_key]"
+    found = sorted((m.start(), -m.end(), i) for i, (_, p) in enumerate(redaction.ALL_RULES) for m in re.finditer(p, text))
+    merged = []
+    for start, back, i in found:
+        if merged and start < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], -back)
+        else:
+            merged.append([start, -back, redaction.ALL_RULES[i][0]])
+    for start, end, kind in reversed(merged):
+        text = f"{text[:start]}[REDACTED {kind}]{text[end:]}"
+    return text
+
+
+def test_scrub_covers_all_documents(spark):
+    docs = rows(spark, "documents").select("doc_id", "text").collect()
+    got = sorted((r.doc_id, r.clean) for r in entry.queries()["r6_scrub_all"](spark, SF).collect())
+    assert got == sorted((r.doc_id, hashlib.sha256(brute_scrub(r.text).encode()).hexdigest()) for r in docs)
+    assert sum("[REDACTED" in brute_scrub(r.text) for r in docs) > 0
+    assert len(got) > entry.queries()["r6_scrub"](spark, SF).count()
