@@ -7,35 +7,51 @@ hashes, one of the anchor and one of all its words. Equal windows have equal anc
 equal places, so nothing is lost, and there are about twenty times fewer groups than
 windows.
 
-The index is a list of immutable runs, each sorted by hash, that name the first document
-of every group seen so far. A new batch is merge-joined with the runs, and the result is its
-own run; a group that is known already is marked as old there, and repeated as a whole. Where only the anchor is known, the windows of the groups
-in question are hashed one by one from the texts and verified against each other, so that
-a repeat needs 128 equal bits of hash over exactly its words. When there are more than
-`FAN_IN` runs they are compacted into one.
+The index is a folder: a manifest, and immutable runs that are cut into buckets by anchor
+and sorted within them. A run names the first document of each group that was new then.
+add() brings the groups of a new batch into the same buckets and merge-joins them with the
+runs bucket by bucket; the runs themselves are neither shuffled nor sorted again. A group
+that is known already is repeated as a whole. Where only the anchor is known, the windows
+of the groups in question are hashed one by one from the texts, by a second hash of the
+words' bytes that shares nothing with the first one, and compared with each other; so a
+repeat needs 64 equal bits of the anchor and 64 independent ones of exactly its words.
+Where there are more than `FAN_IN` runs, they are compacted into one and deleted.
+
+An index is opened again by its path. Runs have names of their own, and a line of the
+manifest is written only after its run: a batch that broke off leaves the index as it was.
 
 Within a batch, earlier means a smaller doc_id; across batches, an earlier batch. Equal
-doc_ids are not earlier than one another. Rows with a null doc_id neither remove nor are
-removed from. Null and empty texts have no words.
+doc_ids are not earlier than one another. doc_id is an integer; rows with a null one
+neither remove nor are removed from. Null, empty and blank texts, and texts of fewer words
+than a window, have no windows; an empty table gives an empty result. Repeated rows each
+get their result. Columns other than doc_id and text aren't looked at. A long text is taken
+in blocks of `BLOCK` windows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, ship, written
+from .common import bit_filter, discard, flag, scratch_path, settings, ship, written
 from .words import BASE_CHECK, BASE_WORD, Rolling, Words, mix, slices
 
-WIDTH, GRAM, FAN_IN = 50, 14, 2
-#: Documents by whose keys a scan is filtered in memory; more go through a shuffle.
-FILTERED = 1 << 20
+WIDTH, GRAM, FAN_IN, BATCHES = 50, 14, 2, 3
+BLOCK = 1 << 18
+#: Documents of a bucket, and the most buckets of an index.
+BUCKET_DOCS, BUCKETS = 1 << 14, 1 << 16
 GROUP = "id long, h long, a long, g long, lo int, n int, at int"
-RUN = GROUP + ", last long, old boolean"
+RUN = "a long, g long, id long, h long, lo int, n int, at int, last long, old boolean"
+MANIFEST = "version int, width int, gram int, buckets int, runs array<string>"
+#: Buckets by the anchor serve joins by anchor and group; sorted files need no sort.
+MERGE = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
 
 
 class Windows:
@@ -44,16 +60,21 @@ class Windows:
     def __init__(self, texts: list[bytes], width: int, gram: int):
         self.words = Words(texts)
         self.width, self.gram = width, gram
-        self.grams = mix(Rolling(self.words.hash, BASE_WORD).grams(gram))
-        self.checks = Rolling(mix(self.words.hash ^ BASE_CHECK), BASE_CHECK)
+        self.checks = Rolling(self.words.second_hash(), BASE_CHECK)
 
-    def groups(self) -> tuple[np.ndarray, ...]:
+    def groups(self) -> Iterator[tuple[np.ndarray, ...]]:
         """(text number, first window, windows, place of the anchor in the first window, anchor hash, group hash)."""
-        none = np.empty(0, np.int64)
-        total = len(self.words) - self.width + 1
-        if total <= 0:
-            return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-        value, place, span = self.grams, np.arange(len(self.grams)), 1
+        owner, total = self.words.owner(), len(self.words) - self.width + 1
+        for begin in range(0, total, BLOCK):
+            got = self._block(owner, begin, min(begin + BLOCK, total))
+            if got is not None:
+                yield got
+
+    def _block(self, owner: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, ...] | None:
+        """Groups of the windows from `begin` to before `end`; one that goes on is cut there."""
+        reach = end + self.width - 1
+        value = mix(Rolling(self.words.hash[begin:reach], BASE_WORD).grams(self.gram))
+        grams, place, span = value, np.arange(len(value)), 1
         wide = self.width - self.gram + 1
         while span < wide:  # least gram of `span` in a row, doubling; leftmost of equals
             step = min(span, wide - span)
@@ -61,19 +82,17 @@ class Windows:
             later = right < left
             value, place = np.where(later, right, left), np.where(later, place[step:], place[:-step])
             span += step
-        owner = self.words.owner()
-        valid = owner[:total] == owner[self.width - 1 :]
-        start = np.flatnonzero(valid)
+        start = np.flatnonzero(owner[begin:end] == owner[begin + self.width - 1 : reach])
         if not len(start):
-            return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-        anchor, text = place[start], owner[start]
+            return None
+        anchor, text = place[start], owner[begin + start]
         new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(start)))
         lo, anchor, text = start[first], anchor[first], text[first]
-        at = anchor - lo
-        g = mix(self.checks.of(lo, lo + n - 1 + self.width) + at.astype(np.uint64) * BASE_WORD + n.astype(np.uint64))
-        return text, lo - self.words.first[text], n, at, self.grams[anchor], g
+        at, lo_all = anchor - lo, lo + begin
+        g = mix(self.checks.of(lo_all, lo_all + n - 1 + self.width) + at.astype(np.uint64) * BASE_WORD + n.astype(np.uint64))
+        return text, lo_all - self.words.first[text], n, at, grams[anchor], g
 
     def hashes(self, text: int, lo: int, n: int) -> np.ndarray:
         """Of n windows of a text, from word lo on."""
@@ -85,35 +104,79 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
 
 
+def _row() -> Column:
+    return F.xxhash64("id", "h")
+
+
 class WindowIndex:
     """add() finds what a batch repeats of itself and of all batches before it."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, width: int = WIDTH, gram: int = GRAM):
+    def __init__(self, spark: SparkSession, path: str | None = None, width: int = WIDTH, gram: int = GRAM, buckets: int = 64, fan_in: int = FAN_IN):
+        """Opens the index at `path`, or begins one there. Width, gram and buckets of an
+        index that exists are its own; another width or gram is an error."""
         ship(spark)
-        self.spark, self.width, self.gram = spark, width, min(gram, width)
+        self.spark, self.fan_in = spark, fan_in
         self.path = path or scratch_path(spark, "window-index")
-        self.runs: list[str] = []
-        self.made = 0
+        self.width, self.gram, self.buckets = width, min(gram, width), buckets
+        self.version, self.runs = 0, []
+        newest = self._manifest()
+        if newest is not None:
+            if (newest.width, newest.gram) != (self.width, self.gram):
+                raise ValueError(f"the index at {self.path} has windows of {newest.width} words and grams of {newest.gram}")
+            self.buckets, self.version, self.runs = newest.buckets, newest.version, list(newest.runs)
+        self.tables: dict[str, str] = {}
+
+    def _manifest(self):
+        try:
+            return self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest").orderBy(F.desc("version")).first()
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
+    def _commit(self, runs: list[str]) -> None:
+        self.version, self.runs = self.version + 1, runs
+        line = (self.version, self.width, self.gram, self.buckets, runs)
+        self.spark.createDataFrame([line], MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+
+    def _write(self, rows: DataFrame, name: str, sort: list[str]) -> DataFrame:
+        """Rows in the buckets of the index, as a table of its own."""
+        table = f"lumenfold_{uuid.uuid4().hex}"
+        placed = rows.repartition(self.buckets, "a").sortWithinPartitions(*sort)
+        placed.write.bucketBy(self.buckets, "a").sortBy(*sort).option("path", f"{self.path}/{name}").option("compression", "uncompressed").saveAsTable(table)
+        self.tables[name] = table
+        return self.spark.table(table)
+
+    def run(self, name: str) -> DataFrame:
+        """A run with its buckets, which a new session learns from the manifest."""
+        if name not in self.tables:
+            table = f"lumenfold_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {table} ({RUN}) USING parquet CLUSTERED BY (a) SORTED BY (a, g) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+            self.tables[name] = table
+        return self.spark.table(self.tables[name])
+
+    def brought(self) -> list[DataFrame]:
+        """The groups that each run brought; no two runs have one in common."""
+        return [self.run(r).filter("not old").drop("old") for r in self.runs]
 
     def known(self) -> DataFrame:
-        """All groups of all runs; a group is new in one run only."""
-        if not self.runs:
-            return self.spark.createDataFrame([], GROUP)
-        return self.spark.read.schema(RUN).parquet(*self.runs).filter("not old").drop("last", "old")
-
-    def _write_run(self, groups: DataFrame) -> DataFrame:
-        """groups in the shape of RUN, as a new immutable run sorted by hash."""
-        self.made += 1
-        path = f"{self.path}/run-{self.made}"
-        out = groups.select("id", "h", "a", "g", "lo", "n", "at", "last", "old").sortWithinPartitions("a", "g")
-        run = written(out, "", path, "uncompressed")
-        self.runs.append(path)
-        return run
+        """All groups of all runs."""
+        return reduce(DataFrame.unionByName, self.brought(), self.spark.createDataFrame([], RUN).drop("old"))
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
+        discard(self.spark, f"{self.path}/{name}")
 
     def compact(self) -> None:
-        """Merge all runs into one sorted run."""
-        old, self.runs = self.known(), []
-        self._write_run(old.repartition("a").withColumns({"last": F.col("id"), "old": F.lit(False)}))
+        """Merge all runs into one, then delete them."""
+        if not self.runs:
+            return
+        old, name = list(self.runs), f"run-{uuid.uuid4().hex}"
+        every = reduce(DataFrame.unionByName, self.brought())
+        self._write(every.withColumn("old", F.lit(False)).select(*[c.split()[0] for c in RUN.split(", ")]), name, ["a", "g"])
+        self._commit([name])
+        for r in old:
+            self._drop(r)
 
     def groups(self, docs: DataFrame) -> DataFrame:
         width, gram = self.width, self.gram
@@ -123,12 +186,11 @@ class WindowIndex:
                 ids, h = (batch.column(i).to_numpy() for i in (0, 1))
                 at = 0
                 for held in slices((t.as_py() or b"",) for t in batch.column(2)):
-                    text, lo, n, place, a, g = Windows([t for (t,) in held], width, gram).groups()
-                    text = text + at
-                    at += len(held)
-                    if len(text):
+                    for text, lo, n, place, a, g in Windows([t for (t,) in held], width, gram).groups():
+                        text = text + at
                         cols = [ids[text], h[text], a.view(np.int64), g.view(np.int64), lo.astype(np.int32), n.astype(np.int32), place.astype(np.int32)]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "h", "a", "g", "lo", "n", "at"])
+                    at += len(held)
 
         return _keyed(docs).filter("id is not null").mapInArrow(run, GROUP)
 
@@ -136,10 +198,7 @@ class WindowIndex:
         """asked (a, g, id, h, lo, n, at, fresh) -> a, g, id, fresh, o, w: their windows, hashed."""
         width, gram = self.width, self.gram
         lists = written(asked.groupBy("id", "h").agg(F.collect_list(F.struct("a", "g", "lo", "n", "at", "fresh")).alias("asked")), "window-asked", codec="uncompressed")
-        texts = _keyed(store)
-        if lists.count() <= FILTERED:  # bounded: two longs a document; else the join alone does it
-            texts = texts.join(F.broadcast(lists.select("id", "h")), ["id", "h"], "left_semi")
-        texts = texts.join(lists, ["id", "h"])
+        texts = flag(_keyed(store), _row(), bit_filter(lists, _row()), "maybe").filter("maybe").drop("maybe").join(lists, ["id", "h"])
         flat = texts.select("id", "text", *[F.col(f"asked.{c}").alias(c) for c in ("a", "g", "lo", "n", "at", "fresh")])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +212,15 @@ class WindowIndex:
 
         return flat.mapInArrow(run, "a long, g long, id long, fresh boolean, o int, w long")
 
+    def merged(self, own: DataFrame) -> DataFrame:
+        """The groups of a batch, each with its first document, merge-joined with the runs."""
+        firsts = own.groupBy("a", "g").agg(F.min(F.struct("id", "h", "lo", "n", "at")).alias("f"), F.max("id").alias("last"))
+        rows, old = firsts.select("a", "g", "f.*", "last").repartition(self.buckets, "a"), F.lit(False)
+        for i, run in enumerate(self.brought()):
+            rows = rows.join(run.select("a", "g", F.lit(True).alias(f"seen{i}")).hint("merge"), ["a", "g"], "left")
+            old = old | F.coalesce(f"seen{i}", F.lit(False))
+        return rows.select("a", "g", "id", "h", "lo", "n", "at", "last", old.alias("old"))
+
     def add(self, batch: DataFrame, store: DataFrame) -> DataFrame:
         """batch: documents to index. store: all documents indexed so far, with the batch.
 
@@ -160,15 +228,19 @@ class WindowIndex:
         word ranges [lo, hi) that repeat an earlier document.
         """
         own = written(self.groups(batch), "window-groups", codec="uncompressed")
-        firsts = own.groupBy("a", "g").agg(F.min(F.struct("id", "h", "lo", "n", "at")).alias("f"), F.max("id").alias("last"))
-        old = self.known()
-        seen = old.select("a", "g", F.lit(True).alias("old"))
-        merged = self._write_run(firsts.join(seen, ["a", "g"], "left").select("a", "g", "f.*", "last", F.coalesce("old", F.lit(False)).alias("old")))
-        fresh = merged.filter("not old").select("a", "g", "id", "h", "lo", "n", "at", F.lit(True).alias("fresh"))
-        # anchors with several groups, of which one at least is new
-        every = fresh.unionByName(old.select("a", "g", "id", "h", "lo", "n", "at", F.lit(False).alias("fresh")))
-        shared = every.groupBy("a").agg(F.count("*").alias("c"), F.max("fresh").alias("f")).filter("c > 1 and f").select("a")
-        windows = written(self._windows(store, every.join(shared, "a")), "windows", codec="uncompressed")
+        name, shared_name = f"run-{uuid.uuid4().hex}", f"shared-{uuid.uuid4().hex}"
+        with settings(self.spark, MERGE):
+            merged = self._write(self.merged(own), name, ["a", "g"])
+            fresh = merged.filter("not old").drop("old")
+            # anchors of several groups, of which one at least is new
+            count, total = fresh.groupBy("a").agg(F.count("*").alias("c")), F.col("c")
+            for i, run in enumerate(self.brought()):
+                count = count.join(run.groupBy("a").agg(F.count("*").alias(f"c{i}")), "a", "left")
+                total = total + F.coalesce(f"c{i}", F.lit(0))
+            shared = self._write(count.filter(total > 1).select("a"), shared_name, ["a"])
+            pick = lambda rows, new: rows.join(shared, "a", "left_semi").select("a", "g", "id", "h", "lo", "n", "at", F.lit(new).alias("fresh"))
+            asked = reduce(DataFrame.unionByName, [pick(r, False) for r in self.brought()], pick(fresh, True))
+            windows = written(self._windows(store, asked), "windows", codec="uncompressed")
         earliest = windows.groupBy("a", "o", "w").agg(F.min(F.struct("fresh", "id")).alias("first"), F.count("*").alias("c")).filter("c > 1")
         repeated = windows.filter("fresh").join(earliest, ["a", "o", "w"]).filter("not first.fresh or first.id < id")
         places = repeated.groupBy("a", "g").agg(F.collect_set("o").alias("os"))
@@ -181,22 +253,25 @@ class WindowIndex:
         single = lambda o: F.struct((F.col("lo") + F.col("at") - o).cast("int").alias("lo"), (F.col("lo") + F.col("at") - o + self.width).cast("int").alias("hi"))
         spans = F.when(F.col("old") | (F.col("id") > F.col("first_id")), whole).otherwise(F.transform(F.coalesce("os", F.array().cast("array<int>")), single))
         found = hits.select("id", "h", spans.alias("s")).groupBy("id", "h").agg(F.flatten(F.collect_list("s")).alias("spans")).filter(F.size("spans") > 0)
-        if len(self.runs) > FAN_IN:
+        self._drop(shared_name)
+        self._commit([*self.runs, name])
+        if len(self.runs) > self.fan_in:
             self.compact()
         return found
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...), spans of WindowIndex.add() ->
-    doc_id, kept_text (kept words joined by a space), n_words, n_removed; row for row."""
-    spans, texts = written(spans, "window-spans"), _keyed(docs)
+    doc_id, kept_text (kept words joined by a space), n_words, n_removed; row for row.
+
+    Texts that the filter rules out are cut where they are read; the others, nearly all of
+    which lose words, are shuffled to their spans.
+    """
+    spans = written(spans, "window-spans")
+    texts = flag(_keyed(docs), _row(), bit_filter(spans, _row()), "maybe")
     lists = F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi")
-    if spans.count() <= FILTERED:  # bounded: only texts that lose words are shuffled
-        keys = F.broadcast(spans.select("id", "h"))
-        whole = texts.join(keys, ["id", "h"], "left_anti").select("id", "text", *[F.lit(None).cast("array<int>").alias(c) for c in ("lo", "hi")])
-        flat = texts.join(keys, ["id", "h"], "left_semi").join(spans, ["id", "h"]).select("id", "text", *lists).unionByName(whole)
-    else:
-        flat = texts.join(spans, ["id", "h"], "left").select("id", "text", *lists)
+    whole = texts.filter("not maybe").select("id", "text", *[F.lit(None).cast("array<int>").alias(c) for c in ("lo", "hi")])
+    flat = texts.filter("maybe").join(spans, ["id", "h"], "left").select("id", "text", *lists).unionByName(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,27 +292,26 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return flat.mapInArrow(run, "doc_id long, kept_text string, n_words long, n_removed long")
 
 
-def in_range(lo: int | None, hi: int | None) -> Column:
-    """Rows with lo <= doc_id < hi; an end that is None is open."""
+def _between(after: int | None, upto: int | None) -> Column:
+    """Rows with after < doc_id <= upto; an end that is None is open."""
     c = F.lit(True)
-    if lo is not None:
-        c = c & (F.col("doc_id") >= lo)
-    return c & (F.col("doc_id") < hi) if hi is not None else c
-
-
-def drop_repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 2) -> DataFrame:
-    """Take docs in batches of ascending doc_id through a new index and cut every batch."""
-    base = docs.select("doc_id", "text")
-    ends = base.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    index, spans = WindowIndex(docs.sparkSession, width=width, gram=gram), None
-    if ends.a is None:
-        return cut_spans(base, docs.sparkSession.createDataFrame([], "id long, h long, spans array<struct<lo:int,hi:int>>"))
-    size = -(-(ends.b - ends.a + 1) // batches)
-    for i in range(batches):
-        lo, hi = ends.a + i * size, ends.a + (i + 1) * size
-        found = index.add(base.filter(in_range(lo, hi)), base.filter(in_range(None, hi)))
-        spans = found if spans is None else spans.unionByName(found)
-    return cut_spans(base, spans)
+    if after is not None:
+        c = c & (F.col("doc_id") > after)
+    return c & (F.col("doc_id") <= upto) if upto is not None else c
+
+
+def drop_repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+    """Take docs in batches of ascending doc_id through a new index and cut every batch.
+
+    Batches are cut at quantiles of doc_id, so that they hold about as many rows each.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    about = base.agg(F.count("doc_id").alias("n"), F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 10_000).alias("q")).first()
+    ends = [None, *(sorted(set(about.q or [])) if batches > 1 else []), None]
+    buckets = min(BUCKETS, max(8, -(-about.n // BUCKET_DOCS)))
+    index = WindowIndex(docs.sparkSession, width=width, gram=gram, buckets=buckets)
+    found = [index.add(base.filter(_between(a, b)), base.filter(_between(None, b))) for a, b in zip(ends, ends[1:], strict=False)]
+    return cut_spans(base, reduce(DataFrame.unionByName, found))
 
 
 def digest(kept: DataFrame) -> DataFrame:

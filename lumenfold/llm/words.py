@@ -7,15 +7,19 @@ always get equal hashes, whatever batch, worker or offset they are found at.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 BASE_BYTE = np.uint64(0x9E3779B97F4A7C15)
+BASE_BYTE_2 = np.uint64(0xC2B2AE3D27D4EB4F)
 BASE_WORD = np.uint64(0xD6E8FEB86659FD93)
 BASE_CHECK = np.uint64(0xA0761D6478BD642F)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of text whose running sums are held at once.
+CHUNK = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -62,6 +66,24 @@ class Rolling:
         return (self.sums[k:] - self.sums[:n]) * self.down[:n]
 
 
+def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64, salt: np.uint64) -> np.ndarray:
+    """A hash of each word, a few words' bytes at a time, so that memory follows the number
+    of words. A word longer than `CHUNK` bytes is hashed on its own."""
+    out, i = np.empty(len(start), dtype=np.uint64), 0
+    while i < len(start):
+        stop = int(np.searchsorted(end, start[i] + CHUNK, "right"))
+        if stop <= i:
+            long = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=int(salt).to_bytes(8, "little"))
+            out[i] = int.from_bytes(long.digest(), "little")
+            i += 1
+            continue
+        s, e = start[i:stop] - start[i], end[i:stop] - start[i]
+        rolled = Rolling(data[start[i] : end[stop - 1]].astype(np.uint64) + np.uint64(1), base)
+        out[i:stop] = mix(rolled.of(s, e) + (e - s).astype(np.uint64) * salt)
+        i = stop
+    return out
+
+
 class Words:
     """The words of some texts. first[i]..first[i+1] are those of text i."""
 
@@ -73,8 +95,11 @@ class Words:
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         begins = np.concatenate([[1], 1 + np.cumsum(sizes + 1)])
         self.first = np.searchsorted(self.start, begins)
-        rolled = Rolling(data.astype(np.uint64) + np.uint64(1), BASE_BYTE)
-        self.hash = mix(rolled.of(self.start, self.end) + (self.end - self.start).astype(np.uint64) * BASE_CHECK)
+        self.hash = _hash_words(data, self.start, self.end, BASE_BYTE, BASE_CHECK)
+
+    def second_hash(self) -> np.ndarray:
+        """Another hash of each word, from its bytes and not from the first one."""
+        return _hash_words(self.data, self.start, self.end, BASE_BYTE_2, BASE_WORD)
 
     def __len__(self) -> int:
         return len(self.start)

@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small documents, with odd rows."""
 
+import functools
 import hashlib
 import math
 import random
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, components, decontaminate, host_reputation, licences, line_dedup, permutation_index, quality_rules, revisits, simhash, window_index
+from lumenfold.llm import bpe, common, components, decontaminate, host_reputation, licences, line_dedup, permutation_index, quality_rules, revisits, simhash, window_index, words
 from lumenfold.llm.words import Words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, Row string, n_lines int"
@@ -317,9 +318,9 @@ def brute_windows(rows, width):
     return out
 
 
-@pytest.mark.parametrize(("width", "gram", "batches", "filtered"), [(50, 20, 1, 1000), (50, 20, 3, 0), (7, 3, 4, 1000), (3, 3, 2, 0)])
-def test_windows(docs, monkeypatch, width, gram, batches, filtered):
-    monkeypatch.setattr(window_index, "FILTERED", filtered)
+@pytest.mark.parametrize(("width", "gram", "batches", "block"), [(50, 20, 1, 1 << 18), (50, 20, 3, 1 << 18), (7, 3, 4, 5), (3, 3, 2, 1)])
+def test_windows(docs, monkeypatch, width, gram, batches, block):
+    monkeypatch.setattr(window_index, "BLOCK", block)
     got = window_index.digest(window_index.drop_repeated_windows(docs, width, gram, batches)).collect()
     same([tuple(r) for r in got], brute_windows(ROWS, width))
 
@@ -351,6 +352,63 @@ def test_runs_are_compacted(spark):
     assert len(index.runs) <= window_index.FAN_IN and index.known().groupBy("a", "g").count().filter("count > 1").count() == 0
 
 
+def test_index_opens_again(spark, tmp_path):
+    path, rng = f"file://{tmp_path}/index", random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([f"x{rng.randrange(9)}" for _ in range(4)] + base[(a := rng.randrange(40)) : a + 15])) for i in range(60)]
+    df, found = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for i in range(5):  # every batch by an index that is opened anew, with compactions between
+        index = window_index.WindowIndex(spark, path, width=8, gram=3, buckets=3)
+        found.append(index.add(df.filter(F.expr(f"doc_id div 12 = {i}")), df.filter(F.expr(f"doc_id div 12 <= {i}"))))
+        assert 1 <= len(index.runs) <= window_index.FAN_IN
+    again = window_index.WindowIndex(spark, path, width=8, gram=3)
+    assert again.buckets == 3 and again.known().groupBy("a", "g").count().filter("count > 1").count() == 0
+    spans = functools.reduce(lambda a, b: a.unionByName(b), found)
+    same([tuple(r) for r in window_index.digest(window_index.cut_spans(df, spans)).collect()], brute_windows(rows, 8))
+    with pytest.raises(ValueError):
+        window_index.WindowIndex(spark, path, width=9, gram=3)
+
+
+def test_history_is_merged_in_place(spark):
+    index = window_index.WindowIndex(spark, width=5, gram=2, buckets=4)
+    batch = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
+    index.add(batch, batch)
+    with common.settings(spark, window_index.MERGE | {"spark.sql.adaptive.enabled": "false"}):
+        plan = index.merged(index.groups(batch))._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.rindex("SortMergeJoin") :]
+    run = scan[scan.rindex("Project") :]
+    assert "SelectedBucketsCount: 4 out of 4" in run and "Exchange" not in run and "Sort " not in run
+
+
+def test_windows_at_the_ends_of_long(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(-(2**63), text), (0, "a " + text), (2**63 - 1, text + " b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same([tuple(r) for r in window_index.digest(window_index.drop_repeated_windows(df, batches=3)).collect()], brute_windows(rows, 50))
+
+
+def test_filter_lets_members_through(spark):
+    keys = spark.range(-500, 500).select((F.col("id") * 7919 * 104729).alias("k"))
+    bits = common.bit_filter(keys, F.col("k"))
+    assert common.flag(keys, F.col("k"), bits, "m").filter("not m").count() == 0
+    others = spark.range(1, 2001).select((F.col("id") * 7919 * 104729 + 13).alias("k"))
+    assert common.flag(others, F.col("k"), bits, "m").filter("m").count() < 20
+    own = common.BitSet(common.filter_pages(bits))
+    values = np.array([r.k for r in keys.collect()], dtype=np.int64).view(np.uint64)
+    assert own.has(values).all() and own.has(values + np.uint64(13)).sum() < 20
+    assert not common.BitSet(common.filter_pages(common.bit_filter(keys.limit(0), F.col("k")))).has(values).any()
+
+
+def test_words_of_any_length(monkeypatch):
+    texts = [b"ab cd " * 50, b"x" * 300 + b" ab", b"", b"  cd\nab " + b"y" * 70]
+    whole = words.Words(texts)
+    monkeypatch.setattr(words, "CHUNK", 64)
+    small = words.Words(texts)
+    short = (small.end - small.start) <= 64
+    assert (whole.hash[short] == small.hash[short]).all() and (whole.second_hash()[short] == small.second_hash()[short]).all()
+    assert len({*small.hash.tolist()}) == len({*whole.hash.tolist()}) == 4 and not (whole.hash == whole.second_hash()).any()
+
+
 # ---- nearest neighbours -------------------------------------------------------------
 
 def test_nearest(spark, monkeypatch):
