@@ -114,7 +114,9 @@ _PAGE = 1 << 15
 def bit_filter(keys: DataFrame, key: Column) -> DataFrame:
     """A set of 64-bit keys as pages of bits, __page and __bits: 4,096 rows of 4 kB at most."""
     at = keys.select((F.pmod(key, F.lit(FILTER_BITS)) + 1).alias("at"))
-    return at.groupBy(F.bitmap_bucket_number("at").alias("__page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    # keys are shuffled, at some bytes each, and not the pages of every task
+    paged = at.withColumn("__page", F.bitmap_bucket_number("at")).repartition("__page")
+    return paged.groupBy("__page").agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
 
 
 def flag(rows: DataFrame, key: Column, bits: DataFrame, name: str) -> DataFrame:
