@@ -1,39 +1,48 @@
 """Benchmark decontamination by size-partitioned MinHash containment search (operator 10).
 
 Texts become sets of five-word shingles (A-Z lower-cased, words between blanks). An item
-is in a document if at least `THRESHOLD` of the item's shingles are. Documents are put
-into classes by the size of their sets. In a class of up to u shingles a signature has
-`BINS` * u bins with the least hash of each (one permutation, many bins), so that a short
-item's minima survive in a long document; plain MinHash with one size for all would lose
-them. A bin in which document and item have the same minimum makes the item a candidate,
-and every candidate is verified by exact shingle containment, on the words themselves.
-
-An item too small for that to be safe (under `SURE` shingles) is compared by all its
-shingles. An item of fewer than five words is one shingle of its own length; an item
-without words is in no document. Null texts have no words. Repeated items are each
-reported; a repeated row of documents gives its pairs again.
-
-Items are taken in blocks of at most `BLOCK` words, and only the index of one block is
-broadcast at a time. Documents are never shuffled.
+is in a document if at least `THRESHOLD` of the item's shingles are. Items are short and
+documents long, so both sides are partitioned by size, and every part gets the signature
+that its size allows:
+
+* A short item (under `SURE` shingles) is signed by its least hashes: as many as may be
+  missing, and `SPARE` more. A document that contains the item holds `SPARE` of them at
+  least (all others, if the item has fewer), so nothing is lost. These are looked up among
+  all shingles of a document, since a sketch of a long document wouldn't keep them.
+* A longer item meets the signatures of documents. A document of up to u shingles (u a
+  power of two) has u / `SHARE` bins with the least hash of each (one permutation, many
+  bins); an item is signed in the same bins. Where a bin agrees, the item is a candidate.
+  At 96 shingles and a containment of 0.8, a miss has a probability below 1e-7. A shingle of
+  an item that is a minimum in some number of bins is one in any greater number, so each
+  is posted once, with the least class of documents that it counts for.
+
+Documents are hashed once, where they are read; only hashes that pass a filter of a fixed
+size leave the scan, and are joined with the posted signatures. Candidates are verified by
+exact shingle containment, on the words themselves, in the documents that have any.
+
+An item of fewer than five words is one shingle of its own length; an item without words
+is in no document. Null texts have no words, and an empty table on either side gives no
+rows. Repeated items are each reported; a repeated row of documents gives its pairs again.
+Other columns of documents and items aren't looked at. A text is hashed in pieces, and only
+its shingles that items have are ever made into strings.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import BitSet, bit_filter, filter_pages, flag, free_name, ship, written
 from .words import BASE_WORD, Rolling, Words, mix, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
-BINS, SURE = 8, 12
-SMALLEST, CLASS_STEP = 64, 4
-BLOCK = 1 << 20
+SURE, SPARE = 96, 4
+SMALLEST, SHARE = 64, 4
 
 
 def shingle_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,137 +59,161 @@ def shingle_set(text: bytes, k: int) -> set[bytes]:
     return {b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
-def size_class(n: np.ndarray) -> np.ndarray:
-    """Class c holds sets of up to SMALLEST * CLASS_STEP**c shingles."""
-    return np.maximum(0, np.ceil(np.log(np.maximum(n, 1) / SMALLEST) / np.log(CLASS_STEP) - 1e-12)).astype(np.int64)
+def size_class(n: int) -> int:
+    """Class c holds texts of up to SMALLEST * 2**c shingles."""
+    return max(0, (max(n, 1) - 1).bit_length() - (SMALLEST - 1).bit_length())
 
 
 def n_bins(c: int) -> int:
-    return 1 << int(BINS * SMALLEST * CLASS_STEP**c - 1).bit_length()
-
-
-@dataclass
-class Entry:
-    item_id: int
-    k: int
-    shingles: set[bytes]
-    hashes: np.ndarray
-
-
-class ItemIndex:
-    """The signatures of some items in every size class, made as classes turn up."""
-
-    def __init__(self, items: list[tuple[int, bytes]]):
-        self.entries: list[Entry] = []
-        for item_id, text in items:
-            n = len(text.split())
-            if n:
-                k = min(n, SHINGLE)
-                hashes = np.unique(shingle_hashes(Words([text.lower()]), k)[1])
-                self.entries.append(Entry(item_id, k, shingle_set(text, k), hashes))
-        self.lengths = sorted({e.k for e in self.entries})
-        self.made: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-    def minima(self, k: int, c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted minima of the items of shingle length k in class c, whose they are, and a
-        table of their low bits, by which most other hashes are told apart at once."""
-        if (k, c) not in self.made:
-            values, whose = [], []
-            for i, e in enumerate(self.entries):
-                if e.k != k:
-                    continue
-                h = e.hashes
-                if len(h) >= SURE:
-                    bins = h & np.uint64(n_bins(c) - 1)
-                    order = np.lexsort((h, bins))
-                    h = h[order][np.concatenate([[True], bins[order][1:] != bins[order][:-1]])]
-                values.append(h)
-                whose.append(np.full(len(h), i))
-            v = np.concatenate(values) if values else np.empty(0, np.uint64)
-            w = np.concatenate(whose) if whose else np.empty(0, np.int64)
-            order = np.argsort(v, kind="stable")
-            low = np.zeros(1 << 20, dtype=bool)
-            low[(v >> np.uint64(44)).astype(np.int64)] = True
-            self.made[k, c] = v[order], w[order], low
-        return self.made[k, c]
-
-    def candidates(self, n_texts: int, owner: np.ndarray, hashes: np.ndarray, k: int) -> np.ndarray:
-        """Pairs (text, entry) that share a bin's minimum, or any shingle of a small item."""
-        count = np.bincount(owner, minlength=n_texts)
-        classes, found = size_class(count), []
-        small = any(e.k == k and len(e.hashes) < SURE for e in self.entries)
-        for c in np.unique(classes[count > 0]).tolist():
-            mine = np.flatnonzero(classes[owner] == c)
-            values, whose, low = self.minima(k, c)
-            texts, at = np.unique(owner[mine], return_inverse=True)
-            bins, h = n_bins(c), hashes[mine]
-            slot = at * bins + (h & np.uint64(bins - 1)).astype(np.int64)
-            signature = np.full(len(texts) * bins, np.iinfo(np.uint64).max, dtype=np.uint64)
-            np.minimum.at(signature, slot, h)
-            asked = h if small else h[least := signature[slot] == h]
-            text = owner[mine] if small else owner[mine][least]
-            maybe = low[(asked >> np.uint64(44)).astype(np.int64)]
-            asked, text = asked[maybe], text[maybe]
-            start, stop = np.searchsorted(values, asked, "left"), np.searchsorted(values, asked, "right")
-            size = stop - start
-            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            found.append(np.column_stack([np.repeat(text, size), whose[np.repeat(start, size) + inner]]))
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-
-    def search(self, texts: list[bytes], threshold: float) -> Iterator[tuple[int, int, int, int]]:
-        """(text number, item_id, shared shingles, the item's shingles)."""
-        words = Words([t.lower() for t in texts])
-        for k in self.lengths:
-            owner, hashes = shingle_hashes(words, k)
-            order = np.argsort(owner, kind="stable")
-            owner, hashes = owner[order], hashes[order]
-            first = np.searchsorted(owner, np.arange(len(texts) + 1))
-            held, sets = -1, None
-            for text, i in self.candidates(len(texts), owner, hashes, k).tolist():
-                e = self.entries[i]
-                # by hash first, so that words are compared only where it may hold
-                if np.isin(e.hashes, hashes[first[text] : first[text + 1]]).sum() < threshold * len(e.hashes):
-                    continue
-                if held != text:
-                    held, sets = text, shingle_set(texts[text], k)
-                shared = len(e.shingles & sets)
-                if shared >= threshold * len(e.shingles) - 1e-9:
-                    yield text, e.item_id, shared, len(e.shingles)
+    return (SMALLEST << c) // SHARE
+
+
+def needed(n: int, threshold: float) -> int:
+    """Shingles of n that a containing document has."""
+    return max(1, math.ceil(threshold * n - 1e-9))
+
+
+def sign(hashes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Signature of an item's sorted distinct hashes: the hashes, for each the least class of
+    documents that it counts for (-1: all shingles of any document), and how many must agree."""
+    n = len(hashes)
+    if n < SURE:
+        missing = n - needed(n, threshold)
+        spare = min(SPARE, n - missing)
+        return hashes[: missing + spare], np.full(missing + spare, -1), spare
+    least, c = np.full(n, -1), 0
+    while (least < 0).any():
+        bins = hashes & np.uint64(n_bins(c) - 1)
+        first = np.unique(bins, return_index=True)[1]  # hashes ascend: the first of a bin is its least
+        least[first] = np.where(least[first] < 0, c, least[first])
+        c += 1
+    return hashes, least, 1
+
+
+def document_hits(hashes: np.ndarray, short: BitSet, long: BitSet) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of a document's shingles: those that short items may have, the minima of its
+    signature that longer items may have, and the document's class."""
+    c, far = size_class(len(hashes)), np.empty(0, np.uint64)
+    some = long.has(hashes)
+    if some.any():
+        low = np.uint64(n_bins(c) - 1)
+        signature = np.full(n_bins(c), np.iinfo(np.uint64).max, dtype=np.uint64)
+        np.minimum.at(signature, (hashes & low).astype(np.int64), hashes)
+        maybe = np.unique(hashes[some])
+        far = maybe[signature[(maybe & low).astype(np.int64)] == maybe]
+    return np.unique(hashes[short.has(hashes)]), far, c
+
+
+POSTED = "item long, k int, h long, least int, need int"
+HIT = "id long, h_text long, k int, h long, class int, short boolean"
+
+
+def _items(items: DataFrame) -> DataFrame:
+    text = F.col("text").cast("binary")
+    return items.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).filter("text is not null").withColumn("item", F.xxhash64("item_id", "text"))
+
+
+def signatures(items: DataFrame, threshold: float) -> DataFrame:
+    """Items posted by the hashes of their signatures. Copies of an item are posted once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = Words([text.lower()])
+                k = min(len(words), SHINGLE)
+                if k:
+                    h, least, need = sign(np.unique(shingle_hashes(words, k)[1]), threshold)
+                    for got, x in zip(out, (np.full(len(h), item), np.full(len(h), k), h.view(np.int64), least, np.full(len(h), need)), strict=True):
+                        got.append(x)
+            if out[0]:
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, types, strict=True)], ["item", "k", "h", "least", "need"])
+
+    return _items(items).select("item", "text").dropDuplicates(["item"]).mapInArrow(run, POSTED)
+
+
+def candidates(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """docs (id, h_text, text) -> id, h_text, item: pairs whose signatures agree."""
+    spark = docs.sparkSession
+    posted = written(signatures(items, threshold), "item-signatures")
+    lengths = [r.k for r in posted.select("k").distinct().orderBy("k").collect()]  # at most SHINGLE
+    # bounded: a filter has FILTER_BITS bits at any number of items
+    sent = spark.sparkContext.broadcast([filter_pages(bit_filter(posted.filter(c), F.col("h"))) for c in ("least < 0", "least >= 0")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short, long = (BitSet(pages) for pages in sent.value)
+        for batch in batches:
+            ids, h_text, at = batch.column(0), batch.column(1), 0
+            for held in slices((t.as_py() or b"",) for t in batch.column(2)):
+                words, rows, hits = Words([t.lower() for (t,) in held]), [], []
+                for k in lengths:
+                    owner, hashes = shingle_hashes(words, k)
+                    first = np.searchsorted(owner, np.arange(len(held) + 1))
+                    for i in np.unique(owner[short.has(hashes) | long.has(hashes)]).tolist():
+                        near, far, c = document_hits(hashes[first[i] : first[i + 1]], short, long)
+                        for h, is_short in ((near, True), (far, False)):
+                            rows.append(np.full(len(h), at + i))
+                            hits.append((np.full(len(h), k, np.int32), h, np.full(len(h), c, np.int32), np.full(len(h), is_short)))
+                if rows:
+                    row, (k, h, c, s) = np.concatenate(rows), (np.concatenate(x) for x in zip(*hits, strict=True))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), h_text.take(pa.array(row)), pa.array(k), pa.array(h.view(np.int64)), pa.array(c), pa.array(s)], ["id", "h_text", "k", "h", "class", "short"])
+                at += len(held)
+
+    hits = docs.mapInArrow(run, HIT)
+    fits = F.when(F.col("short"), F.col("least") < 0).otherwise((F.col("least") >= 0) & (F.col("class") >= F.col("least")))
+    met = hits.join(posted, ["k", "h"]).filter(fits)
+    # rows of equal id and text share a key; each hash of theirs counts once
+    agreed = met.groupBy("id", "h_text", "item").agg(F.countDistinct("h").alias("n"), F.max("need").alias("need"))
+    return agreed.filter("n >= need").select("id", "h_text", "item")
+
+
+def shared_shingles(text: bytes, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int]]:
+    """(item number, shingles that the text has, the item's shingles), on words. Only shingles
+    of the text with the hash of one of an item's are looked at."""
+    low = text.lower()
+    words, parts = Words([low]), {}
+    for item, item_text in asked:
+        own = Words([item_text.lower()])
+        k = min(len(own), SHINGLE)
+        parts.setdefault(k, []).append((item, shingle_set(item_text, k), np.unique(shingle_hashes(own, k)[1])))
+    for k, entries in parts.items():
+        hashes = shingle_hashes(words, k)[1]
+        at = np.flatnonzero(np.isin(hashes, np.concatenate([h for _, _, h in entries])))
+        told = {b" ".join(words.data[s:e].tobytes() for s, e in zip(words.start[i : i + k], words.end[i : i + k], strict=True)) for i in at.tolist()}
+        for item, shingles, _ in entries:
+            yield item, len(shingles & told), len(shingles)
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs (doc_id, text, ...), items (item_id, text, ...) ->
     doc_id, item_id, n_shared, n_shingles, containment: every item in every document."""
-    spark = docs.sparkSession
-    ship(spark)
-    base = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).filter("text is not null")
-    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    n_blocks = max(1, -(-size // (6 * BLOCK)))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id long, n_shared long, n_shingles long"
-    out = None
-    for b in range(n_blocks):
-        # bounded: a block has about 6 * BLOCK bytes of text, whatever the number of items
-        part = [(r.item_id, bytes(r.text)) for r in named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()]
-        sent = spark.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value)
-            for batch in batches:
-                rows = list(enumerate(t or b"" for t in batch.column(1).to_pylist()))
-                got = [(held[t][0], i, s, n) for held in slices(rows) for t, i, s, n in index.search([x[1] for x in held], threshold)]
+    ship(docs.sparkSession)
+    text = F.col("text").cast("binary")
+    base = docs.select(F.col("doc_id"), F.xxhash64("doc_id").alias("id"), F.xxhash64("text").alias("h_text"), text.alias("text"))
+    pairs = candidates(base.select("id", "h_text", "text"), items, threshold).join(_items(items).select("item", "item_id", "text"), "item")
+    # the list of a document is as long as the items that it may hold
+    lists = written(pairs.groupBy("id", "h_text").agg(F.collect_list(F.struct("item_id", "text")).alias("asked")), "benchmark-candidates")
+    key = F.xxhash64("id", "h_text")
+    flat = flag(base, key, bit_filter(lists, key), "maybe").filter("maybe").join(lists, ["id", "h_text"]).select("doc_id", "text", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked = [(x["item_id"], x["text"]) for x in batch.column(2)[i].as_py()]
+                got = [(asked[j][0], s, n) for j, s, n in shared_shingles(batch.column(1)[i].as_py() or b"", [(j, t) for j, (_, t) in enumerate(asked)]) if s >= needed(n, threshold)]
                 if got:
-                    at, item, shared, n = (pa.array(x, pa.int64()) for x in zip(*got, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), item, shared, n], ["doc_id", "item_id", "n_shared", "n_shingles"])
+                    item, shared, n = (pa.array(x, pa.int64()) for x in zip(*got, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(got))), item, shared, n], ["doc_id", "item_id", "n_shared", "n_shingles"])
 
-        found = base.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id long, n_shared long, n_shingles long"
+    return flat.mapInArrow(run, schema).withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that hold an item; the columns stay."""
     # rows are told apart by doc_id and text, so that a repeated doc_id goes only with its own text
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    bad = contained_items(keyed.select(F.col("__row").alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("__row")).distinct()
-    return keyed.join(bad, "__row", "left_anti").select(*docs.columns)
+    row = free_name(docs, "__row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    bad = contained_items(keyed.select(F.col(row).alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias(row)).distinct()
+    return keyed.join(bad, row, "left_anti").select(*docs.columns)
