@@ -1,19 +1,29 @@
 """Approximate nearest neighbours by a permutation index (operator 8).
 
-A vector is represented by its `NEAREST` nearest pivots in order. Each shard of the data
-posts its vectors in inverted files, one for each pivot, with the pivot's place in the
-vector's order. A query reads the files of its own pivots, sums the footrule distance of
-places (a pivot that the vector lacks counts as one past the end), keeps the share `KEEP`
-of the shard with the least distance, and reranks it by the exact inner product.
-
-Pivots are the `PIVOTS` vectors with the least hash of vec_id, a bounded sample; every
-vector is indexed. Shards hold about `SHARD_ROWS` vectors and meet queries in blocks of
-about `QUERY_ROWS`, so that a task's memory doesn't grow with the data.
+A vector is represented by its `NEAREST` nearest pivots in order. Vectors lie in cells, by
+their nearest pivot; cells that are neighbours share a shard of about `SHARD_ROWS` vectors,
+and a cell with more is cut into shards of its own. A shard posts its vectors in inverted
+files, one for each pivot, with the pivot's place in the vector's order. A query meets the
+shards of its nearest cells only, reads the files of its own pivots there, and sums the
+footrule distance of places (a pivot that the vector lacks counts as one past the end).
+The nearest by footrule are reranked by the exact inner product: `RERANK` * sqrt(n) of them
+over all shards together.
+
+With n vectors there are `PIVOTS` * sqrt(n) pivots, so that the files a query reads hold
+some sqrt(n) postings in all, and a query meets the cells of the nearest `CELLS` *
+pivots ** 0.7 pivots. Both numbers, and the reranked rows, grow slower than n. On data
+without any structure (directions spread evenly) less would lose neighbours; the README
+gives the recall measured at several sizes.
+
+Pivots are distinct vectors of least hash, a bounded sample (`MOST_PIVOTS`); every vector
+is indexed. A shard meets queries in blocks of about `QUERY_ROWS`, so that a task's memory
+doesn't grow with the data.
 
 Vectors that are null, all zero, or hold null or non-finite components take no part, and
 nor do vectors of another length than the most common one (the smaller of equals). Rows
 with the same vec_id are separate candidates of other queries; queries with the same
-vec_id and different vectors are answered each.
+vec_id and different vectors are answered each. Ties in score go to the smaller vec_id.
+With no vectors or no queries the result is empty. Other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -27,8 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import ship, written
 
-PIVOTS, NEAREST, KEEP = 256, 64, 0.3
-SHARD_ROWS, QUERY_ROWS = 1 << 14, 1 << 12
+PIVOTS, NEAREST, CELLS, RERANK = 4, 64, 6, 14
+FEWEST_PIVOTS, MOST_PIVOTS = 64, 1 << 14
+SHARD_ROWS, QUERY_ROWS = 1 << 14, 1 << 16
 
 
 def usable(v: Column) -> Column:
@@ -62,23 +73,64 @@ class InvertedFiles:
         # k - |i - j| is what a shared pivot saves against one that is missing
         who = [self.who[self.first[p] : self.first[p + 1]] for p in order]
         save = [self.k - np.abs(self.place[self.first[p] : self.first[p + 1]] - i) for i, p in enumerate(order)]
-        return len(order) * self.k - np.bincount(np.concatenate(who), weights=np.concatenate(save), minlength=self.n)
+        total = np.bincount(np.concatenate(who), weights=np.concatenate(save), minlength=self.n)
+        return (len(order) * self.k - total).astype(np.int16)
+
+
+def search_shard(ids: np.ndarray, vectors: np.ndarray, files: InvertedFiles, query: int, v: np.ndarray, own: np.ndarray, top: int, n_keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the shard, which is sorted by id, and scores of what is nearest to a query (id,
+    vector, order)."""
+    near = np.argsort(files.footrule(own), kind="stable")[:n_keep]  # of equals, smaller ids first
+    near = near[ids[near] != query]
+    score = vectors[near] @ v
+    best = np.lexsort((ids[near], -score))[:top]
+    return near[best], score[best]
+
+
+def n_pivots(n: int) -> int:
+    return min(MOST_PIVOTS, max(FEWEST_PIVOTS, int(PIVOTS * n**0.5)))
+
+
+def pivots_of(data: DataFrame, n: int) -> np.ndarray:
+    """Distinct vectors of the sample, neighbours next to each other: by the nearest of the
+    first sqrt of them, and by closeness to it."""
+    # bounded by MOST_PIVOTS
+    rows = data.groupBy("v").agg(F.xxhash64("v").alias("h")).orderBy("h", "v").limit(n_pivots(n)).collect()
+    found = np.array([r.v for r in rows], dtype=np.float64)
+    close = found @ found[: max(1, int(len(found) ** 0.5))].T
+    return found[np.lexsort((-close.max(axis=1), close.argmax(axis=1)))]
 
 
-def search_shard(ids: np.ndarray, vectors: np.ndarray, order: np.ndarray, files: InvertedFiles, asked: Iterator[tuple[int, np.ndarray, np.ndarray]], top: int, keep: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """asked: (query id, vector, order). Yields for each the ids and scores of its nearest in the shard."""
-    wide = vectors.astype(np.float64)
-    n_keep = min(len(ids), max(4 * top, int(np.ceil(keep * len(ids)))))
-    for query, v, own in asked:
-        distance = files.footrule(own)
-        near = np.argpartition(distance, n_keep - 1)[:n_keep] if n_keep < len(ids) else np.arange(len(ids))
-        near = near[ids[near] != query]
-        score = wide[near] @ v.astype(np.float64)
-        best = np.lexsort((ids[near], -score))[:top]
-        yield ids[near][best], score[best]
+def shards_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """For the rows of each cell: its first shard, how many it is cut into, and the number of
+    shards. Small cells in a row share one."""
+    first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    shard = held = 0
+    for cell, size in enumerate(sizes.tolist()):
+        if held and held + size > SHARD_ROWS:
+            shard, held = shard + 1, 0
+        first[cell], parts[cell] = shard, max(1, -(-size // SHARD_ROWS))
+        shard, held = shard + parts[cell] - 1, held + size if parts[cell] == 1 else SHARD_ROWS
+    return first, parts, int(shard) + 1
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, keep: float = KEEP) -> DataFrame:
+def kept_rows(n: int, top: int, met: int) -> int:
+    """Rows that each of the shards met reranks; where chance gives one of them more of the
+    nearest than its share, three deviations are allowed for."""
+    share = RERANK * n**0.5 / max(1, met)
+    return max(2 * top, int(np.ceil(share + 3 * share**0.5)))
+
+
+def first_copies(data: DataFrame, top: int) -> DataFrame:
+    """Of rows with the same vector, those that can be among anyone's `top`: as ties go to the
+    smaller vec_id, the first top + 1 of them (one may be the query itself). Repeated rows are
+    one row with a count. So no vector, however often it occurs, fills a cell."""
+    once = data.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(top)).cast("int").alias("copies"))
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    return once.withColumn("nth", nth).filter(F.col("nth") <= top + 1).drop("nth")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20) -> DataFrame:
     """vectors, queries (vec_id long, embedding array<float or double>) ->
     query_id, rank, vec_id, score: the `top` nearest found, best first."""
     spark = vectors.sparkSession
@@ -89,37 +141,68 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, keep: float =
     out = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
         return spark.createDataFrame([], out)
-    dim, n = sizes.dim, sizes.n
+    dim = sizes.dim
     data, asked = data.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
-    # bounded by PIVOTS
-    pivots = np.array([r.v for r in data.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(PIVOTS).collect()], dtype=np.float64)
+    data = written(first_copies(data, top), "vectors")
+    n = data.count()
+    pivots = pivots_of(data, n)
     k = min(NEAREST, len(pivots))
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked.count() // QUERY_ROWS))
+    n_cells = max(k, min(len(pivots), int(np.ceil(CELLS * len(pivots) ** 0.7))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             order = nearest_pivots(_matrix(batch.column(1), dim), pivots, k)
             listed = pa.FixedSizeListArray.from_arrays(pa.array(order.ravel()), k).cast(pa.list_(pa.int16()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, listed], ["vec_id", "v", "places"])
-
-    placed = "vec_id long, v array<double>, places array<short>"
-    index = written(data.mapInArrow(place, placed).withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")), "permutations")
-    with_shards = asked.dropDuplicates(["vec_id", "v"]).mapInArrow(place, placed).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, listed], ["vec_id", "v", "copies", "places"])
+
+    index = written(data.select("vec_id", "v", "copies").mapInArrow(place, "vec_id long, v array<double>, copies int, places array<short>"), "permutations")
+    sizes = np.zeros(len(pivots), np.int64)
+    for cell, size in index.groupBy(F.col("places")[0]).count().collect():  # a number for each pivot
+        sizes[cell] = size
+    first, parts, shards = shards_of(sizes)
+    cells = spark.createDataFrame(list(enumerate(zip(first.tolist(), parts.tolist(), strict=True))), "cell short, at struct<first:int,parts:int>")
+    spread = F.pmod(F.xxhash64("vec_id", "v"), F.col("at.parts")).cast("int")
+    index = index.withColumn("cell", F.col("places")[0]).join(F.broadcast(cells), "cell")  # bounded by MOST_PIVOTS
+    index = index.select("vec_id", "v", "copies", "places", (F.col("at.first") + spread).alias("shard"))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _matrix(batch.column(1), dim)
+            order = nearest_pivots(v, pivots, n_cells)
+            for i, near in enumerate(order):
+                met = np.zeros(shards + 1, np.int64)  # a cell's shards are a range
+                np.add.at(met, first[near], 1)
+                np.add.at(met, first[near] + parts[near], -1)
+                shard = np.flatnonzero(np.cumsum(met[:-1]) > 0)
+                for at in range(0, len(shard), 1 << 10):
+                    some = shard[at : at + (1 << 10)]
+                    row = batch.slice(i, 1).select([0, 1]).to_pydict()
+                    places = near[:k].tolist()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(row["vec_id"] * len(some), pa.int64()), pa.array(row["v"] * len(some), pa.list_(pa.float64())), pa.array([places] * len(some), pa.list_(pa.int16())), pa.array(some.astype(np.int32)), pa.array(np.full(len(some), len(shard), np.int32))],
+                        ["vec_id", "v", "places", "shard", "met"],
+                    )
+
+    routed = asked.dropDuplicates(["vec_id", "v"]).mapInArrow(route, "vec_id long, v array<double>, places array<short>, shard int, met int")
+    blocks = max(1, -(-asked.count() // QUERY_ROWS))
+    routed = routed.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("query", F.xxhash64("v"))
     with_blocks = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(shard: pa.Table, block: pa.Table) -> pa.Table:
         out = {c: [np.empty(0, t)] for c, t in (("query_id", np.int64), ("query", np.int64), ("vec_id", np.int64), ("score", np.float64))}
         if shard.num_rows and block.num_rows:
-            ids, order = shard.column("vec_id").to_numpy(), _matrix(shard.column("places"), k)
-            queries = list(zip(block.column("vec_id").to_numpy().tolist(), block.column("query").to_numpy().tolist(), strict=True))
-            asked = zip((q for q, _ in queries), _matrix(block.column("v"), dim), _matrix(block.column("places"), k), strict=True)
-            for (query, name), (near, score) in zip(queries, search_shard(ids, _matrix(shard.column("v"), dim), order, InvertedFiles(order, len(pivots)), asked, top, keep), strict=True):
-                for c, x in (("query_id", np.full(len(near), query)), ("query", np.full(len(near), name)), ("vec_id", near), ("score", score)):
+            shard = shard.sort_by("vec_id")
+            ids, v, copies = shard.column("vec_id").to_numpy(), _matrix(shard.column("v"), dim), shard.column("copies").to_numpy()
+            files, own, places = InvertedFiles(_matrix(shard.column("places"), k), len(pivots)), _matrix(block.column("v"), dim), _matrix(block.column("places"), k)
+            names, met = block.column("query").to_numpy(), block.column("met").to_numpy()
+            for i, query in enumerate(block.column("vec_id").to_pylist()):
+                near, score = search_shard(ids, v, files, query, own[i], places[i], top, kept_rows(n, top, int(met[i])))
+                each = np.repeat(np.arange(len(near)), copies[near])[:top]
+                for c, x in (("query_id", np.full(len(each), query)), ("query", np.full(len(each), names[i])), ("vec_id", ids[near][each]), ("score", score[each])):
                     out[c].append(x)
         return pa.table({c: np.concatenate(x) for c, x in out.items()})
 
-    with_shards = with_shards.withColumn("query", F.xxhash64("v"))
-    near = with_blocks.groupBy("shard", "block").cogroup(with_shards.groupBy("shard", "block")).applyInArrow(run, "query_id long, query long, vec_id long, score double")
+    near = with_blocks.groupBy("shard", "block").cogroup(routed.groupBy("shard", "block")).applyInArrow(run, "query_id long, query long, vec_id long, score double")
     # the rank filter is applied before the exchange as well as after it
     by = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(by).cast("int")).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
