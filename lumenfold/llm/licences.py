@@ -1,15 +1,23 @@
 """Licence scan by Dice coefficient over word bigrams (operator 4), DataFrame functions only.
 
-A text is compared as a whole and line by line. Each such unit is normalised (A-Z
-lower-cased, everything but letters and digits taken as a gap), cut into word bigrams,
-repeats included, and compared with licence templates. A template of n bigrams can only
-reach the wanted coefficient t with units of n*t/(2-t) to n*(2-t)/t bigrams, so units
-outside the bounds of all templates are dropped before any bigram is made, and each
-template looks only at units inside its own bounds. Before that, units are dropped that
-hold none of the words without which no template can reach t (necessary_words).
-
-Null and empty texts and units of one word match nothing. Rows that repeat a doc_id give
-their matches as one document's, by line number.
+A text is normalised: A-Z lower-cased, everything but letters and digits taken as a gap. So
+line breaks, indents, comment marks and quotes don't count, and a notice is found wherever it
+stands in a text, however it is wrapped. The words are looked at in windows; a window is cut
+into bigrams, repeats included, and compared with the licence templates. A template of n
+bigrams can only reach the wanted coefficient t with windows of n*t/(2-t) to n*(2-t)/t
+bigrams, so a window is compared only with templates whose bounds it meets.
+
+For a template of w words, windows have w, 0.8 w and 1.25 w words (`SIZES`), and begin at
+every eighth part of their length (at every word if shorter than 16), and at the last place
+where they fit; a text that is shorter than a window is one as a whole. A copy that is exact,
+or shortened or lengthened evenly, is thus met by a window that is off by a sixteenth of its
+length at most. Only texts that hold one of the words without which a template can't reach t
+(necessary_words) have windows of its sizes. A window counts for the one template with the
+highest coefficient; of equals, the one listed first.
+
+Null, empty and blank texts and texts of one word match nothing; an empty table gives no
+rows. Repeated rows match each in scan(), and together in per_document(). Other columns
+aren't looked at. Of a long text nothing but its words, bigrams and matches is held.
 """
 
 from __future__ import annotations
@@ -17,78 +25,67 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
 from functools import reduce
-from itertools import combinations
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lower_ascii
+from .licence_texts import TEMPLATES
 
 THRESHOLD = 0.8
+SIZES = (1.0, 0.8, 1.25)
+STEPS = 8
 
-#: Notices by which texts state their licence, and the openings of longer ones.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    ),
-    "MIT": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    "GPL-2.0": (
-        "This work is licensed under the GNU General Public License, version 2.",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    ),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "BSD-3-Clause": (
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
-    "All-rights-reserved": ("All rights reserved.",),
-}
+
+def words_of(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", text.lower())
 
 
 def template_bigrams(text: str) -> dict[str, int]:
-    """Bigrams of a template and how often each is in it, normalised as units are."""
-    words = re.findall(r"[a-z0-9]+", text.lower())
+    """Bigrams of a template and how often each is in it, normalised as texts are."""
+    words = words_of(text)
     return dict(sorted(Counter(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)).items()))
 
 
 def size_bounds(n: int, threshold: float) -> tuple[int, int]:
-    """Bigrams that a unit can have to reach the threshold against n bigrams."""
+    """Bigrams that a window can have to reach the threshold against n bigrams."""
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
+def window_sizes(text: str, threshold: float) -> list[int]:
+    """Words of the windows that are made for a template."""
+    n = len(words_of(text))
+    least, most = size_bounds(n - 1, threshold)
+    return sorted({min(max(round(n * s), least + 1, 2), most + 1) for s in SIZES})
+
+
 def necessary_words(bigrams: dict[str, int], threshold: float) -> list[str]:
-    """Words of which a unit must hold at least one to reach the threshold.
+    """Words of which a window must hold at least one to reach the threshold.
 
-    At least n*t/(2-t) of a template's n bigrams must be shared, so a unit that lacks all
-    words of a set that touches more than the rest can't reach it. Longer words come first,
-    as they are rarer.
+    At least n*t/(2-t) of a template's n bigrams must be shared, so a window that lacks all
+    words of a set that touches more than the rest can't reach it. Words are taken that are
+    long, as those are rare, and that touch much, so that few are enough.
     """
     n = sum(bigrams.values())
     spare = n - size_bounds(n, threshold)[0]
-    words = sorted({w for g in bigrams for w in g.split()}, key=lambda w: (-len(w), w))
-    touched = lambda chosen: sum(k for g, k in bigrams.items() if not set(chosen).isdisjoint(g.split()))
-    small = [c for size in (1, 2, 3) for c in combinations(words[:16], size) if touched(c) > spare]
-    if small:
-        return list(min(small, key=lambda c: sum(len(w) ** -3.0 for w in c)))
-    size = next(i for i in range(1, len(words) + 1) if touched(words[:i]) > spare)
-    return words[:size]
+    touched = lambda chosen: sum(k for g, k in bigrams.items() if not chosen.isdisjoint(g.split()))
+    words, chosen = {w for g in bigrams for w in g.split()}, []
+    while touched(set(chosen)) <= spare:
+        gain = {w: touched({*chosen, w}) - touched(set(chosen)) for w in words}
+        chosen.append(max(words, key=lambda w: (gain[w] * len(w) ** 3 if gain[w] else -1, w)))
+        words.discard(chosen[-1])
+    return chosen
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.trim(F.regexp_replace(lower_ascii(text), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
 
 
-def _words(unit: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(lower_ascii(unit), r"[^\p{L}\p{N}]+", " ")), " ")
+def _grams(words: Column) -> Column:
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def _once(c: Column) -> Column:
@@ -97,49 +94,66 @@ def _once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
-def _is(gram: str) -> Callable[[Column], Column]:
-    return lambda x: x == gram
+def _let(value: Column, body) -> Column:
+    """body(value) with the value made once, inside of expressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _shared(wanted: dict[str, int]) -> Column:
-    """Bigrams that the unit's array g has in common with a template, repeats included."""
-    out = F.size(F.array_intersect("g", F.array(*[F.lit(x) for x in wanted])))
-    for gram, k in wanted.items():
-        if k > 1:
-            more = F.size(F.filter("g", _is(gram))) - 1
-            out = out + F.greatest(F.lit(0), F.least(F.lit(k - 1), more))
-    return out
+def _prepared(spark: SparkSession, known: list[tuple[str, str]], threshold: float) -> Column:
+    """The templates, as one array of structs: an inline table, aggregated by a scalar subquery."""
+    q = lambda s: s.replace("\\", "\\\\").replace("'", "\\'")
+    rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{q(name)}', '{q(text)}')" for i, (name, text) in enumerate(known)) + " AS t(tid, licence, text)")
+    grams = rows.select("tid", "licence", _once(_grams(_words(F.col("text")))).alias("g"))
+    n = F.size("g")
+    low, high = F.ceil(n * threshold / (2 - threshold) - 1e-9).cast("int"), F.floor(n * (2 - threshold) / threshold + 1e-9).cast("int")
+    counted = F.transform(F.array_distinct("g"), lambda x: F.struct(x.alias("gram"), F.size(F.filter("g", lambda y: y == x)).alias("k")))
+    repeated = F.filter(counted, lambda r: r["k"] > 1)
+    made = grams.select("tid", F.struct("tid", "licence", n.alias("n"), low.alias("low"), high.alias("high"), F.array_distinct("g").alias("once"), repeated.alias("repeated")).alias("t"))
+    return made.agg(F.transform(F.array_sort(F.collect_list(F.struct("tid", "t"))), lambda x: x["t"]).alias("ts")).scalar()
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, licence, line, dice: matching units of each row.
+def _dice(g: Column, t: Column, threshold: float) -> Column:
+    """The coefficient; null where even without counting repeats it's out of reach."""
+    once, total = F.size(F.array_intersect(g, t["once"])), F.size(g) + t["n"]
+    extra = F.aggregate(t["repeated"], F.lit(0), lambda acc, r: acc + r["k"] - 1)
+    more = F.aggregate(t["repeated"], F.lit(0), lambda acc, r: acc + F.greatest(F.lit(0), F.least(r["k"] - 1, F.size(F.filter(g, lambda y: y == r["gram"])) - 1)))
+    return F.when(2.0 * (once + extra) >= threshold * total, 2.0 * (once + more) / total)
 
-    line counts from 1; 0 is a text of several lines as a whole. A unit matches the one
-    template with the highest coefficient; of equals, the one listed first.
-    """
-    known = [(name, template_bigrams(t)) for name, texts in (templates or TEMPLATES).items() for t in texts]
-    sizes = [sum(b.values()) for _, b in known]
-    bounds = [size_bounds(n, threshold) for n in sizes]
-    wanted_sizes = sorted({n for a, b in bounds for n in range(max(a, 1), b + 1)})
-    base = docs.select("doc_id", "text").filter("text is not null")
-    lines = F.split("text", "\n", -1)
-    units = base.select("doc_id", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(F.concat(F.array(F.lit("")), lines))).alias("line", "unit"))
-    # n bigrams take 2 n + 1 characters at least
-    low = units.filter(F.octet_length("unit") > 2 * wanted_sizes[0]).select("doc_id", "line", "unit", _once(F.lower("unit")).alias("low"))
-    needed = sorted({w for _, b in known for w in necessary_words(b, threshold)})
-    needed = [w for w in needed if not any(v != w and v in w for v in needed)]  # a part of a word stands for it
-    likely = low.filter(reduce(or_, [F.col("low").contains(w) for w in needed]))
-    worded = likely.select("doc_id", "line", _once(_words(F.col("unit"))).alias("w"))
-    n = F.size("w") - 1
-    grams = worded.filter(n.isin(wanted_sizes)).select("doc_id", "line", _once(F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))).alias("g"))
-    size, scores = F.size("g"), []
-    for i, ((name, wanted), total, (least, most)) in enumerate(zip(known, sizes, bounds, strict=True)):
-        dice = F.when(size.between(least, most), 2.0 * _shared(wanted) / (size + total))
-        scores.append(F.struct(dice.alias("dice"), F.lit(-i).alias("first"), F.lit(name).alias("licence")))
-    best = F.array_max(F.filter(F.array(*scores), lambda s: s["dice"] >= threshold))
-    return grams.select("doc_id", "line", _once(best).alias("s")).filter("s is not null").select("doc_id", "s.licence", "line", "s.dice")
+
+def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, licence, at, n_words, dice: for each row, each licence
+    that is found in it and each window size that finds it, the window with the highest
+    coefficient, the first one of equals: where it begins, in words from 0, and its length."""
+    known = [(name, t) for name, texts in (templates or TEMPLATES).items() for t in texts]
+    needed = [necessary_words(template_bigrams(t), threshold) for _, t in known]
+    every = sorted({w for ws in needed for w in ws})
+    wide = [w for w in every if not any(v != w and v in w for v in every)]  # a part of a word stands for it
+    low = docs.select("doc_id", "text").filter("text is not null").select("doc_id", "text", _once(lower_ascii(F.col("text"))).alias("low"))
+    likely = low.filter(reduce(or_, [F.col("low").contains(w) for w in wide]))
+    which = F.array_compact(F.array(*[F.when(reduce(or_, [F.col("low").contains(w) for w in ws]), i) for i, ws in enumerate(needed)]))
+    worded = likely.select("doc_id", _once(which).alias("tids"), _once(_words(F.col("text"))).alias("w")).filter("size(w) > 1")
+    sizes = F.array(*[F.array(*[F.lit(m) for m in window_sizes(t, threshold)]) for _, t in known])
+    wanted = F.array_distinct(F.transform(F.flatten(F.transform("tids", lambda i: F.get(sizes, i))), lambda m: F.least(m, F.size("w"))))
+    usable = F.filter("known", lambda t: F.array_contains("tids", t["tid"]))
+    worded = worded.withColumn("known", _prepared(docs.sparkSession, known, threshold))
+    each = worded.select("doc_id", _once(_grams(F.col("w"))).alias("g"), _once(usable).alias("ts"), F.explode(wanted).alias("m"))
+    fits = F.filter("ts", lambda t: (F.col("m") - 1).between(t["low"], t["high"]))
+    each = each.select("doc_id", "g", "m", _once(fits).alias("ts")).filter("size(ts) > 0")
+    last = F.size("g") + 1 - F.col("m")
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.greatest(F.lit(1), F.expr(f"m div {STEPS}")).cast("int")), F.array(last)))
+    best = lambda g: F.array_max(F.transform("ts", lambda t: F.struct(_dice(g, t, threshold).alias("dice"), (-t["tid"]).alias("first"), t["licence"].alias("licence"))))
+    window = lambda s: F.struct(s.alias("at"), _let(F.slice("g", s + 1, F.col("m") - 1), best).alias("b"))
+    hits = F.filter(F.transform(starts, window), lambda x: x["b"]["dice"] >= threshold)
+    # of each licence only the best window leaves the row
+    names = F.array_distinct(F.transform(F.col("hits"), lambda x: x["b"]["licence"]))
+    rank = lambda x: F.struct(x["b"]["dice"].alias("dice"), (-x["at"]).alias("at"))
+    top = F.transform(names, lambda name: F.struct(name.alias("licence"), F.array_max(F.transform(F.filter("hits", lambda x: x["b"]["licence"] == name), rank)).alias("r")))
+    found = each.select("doc_id", "m", _once(hits).alias("hits")).filter("size(hits) > 0").select("doc_id", "m", F.explode(top).alias("x"))
+    return found.select("doc_id", "x.licence", (-F.col("x.r.at")).alias("at"), F.col("m").alias("n_words"), F.col("x.r.dice").alias("dice"))
 
 
 def per_document(matches: DataFrame) -> DataFrame:
-    """One row for each document and licence: matching units, the first of them, best dice."""
-    return matches.groupBy("doc_id", "licence").agg(F.count("*").alias("n_units"), F.min("line").alias("first_unit"), F.round(F.max("dice"), 6).alias("best_dice"))
+    """One row for each document and licence: the best window of all; of equals the first one,
+    then the shortest."""
+    top = F.max(F.struct("dice", (-F.col("at")).alias("at"), (-F.col("n_words")).alias("n_words"))).alias("m")
+    return matches.groupBy("doc_id", "licence").agg(top).select("doc_id", "licence", (-F.col("m.at")).alias("first_word"), (-F.col("m.n_words")).alias("n_words"), F.round("m.dice", 6).alias("best_dice"))
