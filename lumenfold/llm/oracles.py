@@ -6,7 +6,7 @@ from .common import LOWER, UPPER
 from .decontaminate import SHINGLE
 from .decontaminate import THRESHOLD as CONTAINED
 from .host_reputation import LIMIT, SECOND_LEVEL, STRONGEST, WEAKEST, Z
-from .licences import TEMPLATES, size_bounds, template_bigrams
+from .licences import STEPS, TEMPLATES, necessary_words, size_bounds, template_bigrams, window_sizes
 from .licences import THRESHOLD as DICE
 from .revisits import DAY, NOT_REPLACED, TRACKING
 
@@ -24,35 +24,47 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(
 """
 
 _HOST = f"regexp_replace(regexp_replace(regexp_replace({_low('regexp_extract(rest, ' + chr(39) + '^([^/?]*)' + chr(39) + ', 1)')}, '^.*@', ''), ':(80|443)?$', ''), '^www[0-9]*[.]', '')"
+_NAMED = "('" + "','".join(NOT_REPLACED) + "')"
 OP2 = f"""
-WITH base AS (SELECT page_id, url, md5(coalesce(html, '')) AS body, again, page_id * 3600 + CASE WHEN again THEN {DAY // 2} ELSE 0 END AS t FROM pages, (VALUES (false), (true)) v(again)),
-caps AS (SELECT page_id * 2 + CAST(again AS INT) AS record_id, again, t,
-  CASE WHEN page_id % 3 <> 0 THEN CASE WHEN again AND page_id % 7 = 1 THEN 'stale' ELSE substr(body, 1, 12) END END AS tag, CASE WHEN page_id % 3 = 0 AND page_id % 21 <> 0 THEN 'day ' || (page_id // 24) END AS lm, CASE WHEN page_id % 21 = 0 THEN body END AS dg,
-  regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM base),
-urls AS (SELECT * EXCLUDE rest, {_HOST} || regexp_replace(regexp_extract(rest, '^[^/?]*(/[^?]*)', 1), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS u
+WITH every AS (SELECT page_id, url, coalesce(html, '') AS html, unnest(range(7)) AS kind FROM pages),
+chosen AS (SELECT *, kind IN (0, 5, 6) AS again, page_id % 5 AS m, CASE WHEN kind = 2 THEN 'x' WHEN kind = 3 THEN 'b' WHEN kind = 4 THEN 'c' WHEN kind = 6 AND page_id % 7 <> 1 THEN CASE WHEN page_id % 6 = 0 THEN 'c' WHEN page_id % 2 = 0 THEN 'b' ELSE 'a' END ELSE 'a' END AS ver,
+  page_id * 3600 + CASE kind WHEN 0 THEN -100 WHEN 2 THEN 600 WHEN 3 THEN 1200 WHEN 4 THEN 1200 WHEN 5 THEN 1200 WHEN 6 THEN {DAY // 2} ELSE 0 END AS t
+  FROM every WHERE CASE kind WHEN 0 THEN page_id % 5 = 0 WHEN 2 THEN page_id % 4 = 0 WHEN 3 THEN page_id % 2 = 0 WHEN 4 THEN page_id % 6 = 0 WHEN 5 THEN page_id % 3 = 0 ELSE true END),
+caps AS (SELECT page_id * 8 + kind AS record_id, again, NOT again AND kind <> 2 AS whole, t, NOT (again AND page_id % 11 = 0) AS told, m, md5(html || ver) AS body, page_id, ver,
+  regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest,
+  list_filter([{{'k': 'date', 'v': CAST(t AS VARCHAR)}}, {{'k': 'content-length', 'v': CASE WHEN again THEN '0' ELSE CAST(1000 + page_id % 100 AS VARCHAR) END}}, {{'k': 'cache-control', 'v': CASE WHEN again THEN 'max-age=60' ELSE 'max-age=3600' END}},
+   {{'k': 'expires', 'v': CASE WHEN again THEN CAST(t + 60 AS VARCHAR) END}}, {{'k': 'connection', 'v': CASE WHEN again AND page_id % 2 = 1 THEN 'close' END}}, {{'k': 'content-type', 'v': CASE WHEN NOT again THEN 'text/html' END}},
+   {{'k': 'x-version', 'v': CASE WHEN NOT again THEN ver END}}, {{'k': 'server', 'v': CASE WHEN NOT again AND kind <> 3 THEN 's' || (page_id % 3) END}}], lambda x: x.v IS NOT NULL) AS hs FROM chosen),
+urls AS (SELECT * EXCLUDE rest, CASE WHEN told AND m IN (0, 1, 3) THEN substr(body, 1, 12) END AS tag, CASE WHEN told AND m IN (2, 3) THEN 'day ' || (page_id // 24) || ver END AS lm, CASE WHEN told AND m = 4 THEN body END AS dg,
+  {_HOST} || regexp_replace(regexp_extract(rest, '^[^/?]*(/[^?]*)', 1), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS u
   FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^{TRACKING}(=|$)'))) AS q FROM caps)),
-paired AS (SELECT r.record_id, any_value(r.u) AS u, any_value(r.t) AS t, any_value(r.tag) AS tag, any_value(r.lm) AS lm, any_value(r.dg) AS dg, max(f.t * 1000000000 + f.record_id) AS best FROM urls r LEFT JOIN urls f ON f.u = r.u AND NOT f.again AND f.t < r.t WHERE r.again GROUP BY r.record_id),
-found AS (SELECT p.*, f.record_id AS refers_to, f.t AS refers_at, f.tag AS ftag, f.lm AS flm, f.dg AS fdg FROM paired p LEFT JOIN urls f ON f.record_id = p.best % 1000000000),
-judged AS (SELECT *, CASE WHEN refers_to IS NULL THEN 'no-earlier-response' WHEN tag IS NOT NULL AND ftag IS NOT NULL THEN CASE WHEN tag = ftag THEN 'resolved' ELSE 'validator-mismatch' END
-  WHEN lm IS NOT NULL AND flm IS NOT NULL THEN CASE WHEN lm = flm THEN 'resolved' ELSE 'validator-mismatch' END WHEN dg IS NOT NULL AND fdg IS NOT NULL THEN CASE WHEN dg = fdg THEN 'resolved' ELSE 'validator-mismatch' END ELSE 'no-validator' END AS outcome FROM found)
-SELECT record_id, u AS canonical_url, refers_to, refers_at, outcome, CASE WHEN outcome <> 'resolved' THEN NULL WHEN tag IS NOT NULL AND ftag IS NOT NULL THEN 'etag' WHEN lm IS NOT NULL AND flm IS NOT NULL THEN 'last-modified' ELSE 'digest' END AS matched_by,
-  CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=60; content-length: full; content-type: text/html; date: ' || t || '; expires: ' || (t + 60) ELSE 'cache-control: max-age=60; content-length: 0; date: ' || t || '; expires: ' || (t + 60) END AS headers FROM judged
+best AS (SELECT r.record_id, arg_max(f.record_id, f.t * 1000000000 + f.record_id) AS refers_to FROM urls r JOIN urls f ON f.u = r.u AND f.whole AND f.t < r.t WHERE r.again GROUP BY r.record_id),
+found AS (SELECT r.record_id, r.u, r.tag, r.lm, r.dg, r.hs, f.record_id AS refers_to, f.t AS refers_at, f.tag AS ftag, f.lm AS flm, f.dg AS fdg, f.hs AS fhs FROM urls r LEFT JOIN best b ON b.record_id = r.record_id LEFT JOIN urls f ON f.record_id = b.refers_to WHERE r.again),
+judged AS (SELECT *, CASE WHEN tag IS NOT NULL AND ftag IS NOT NULL THEN 'etag' WHEN lm IS NOT NULL AND flm IS NOT NULL THEN 'last-modified' WHEN dg IS NOT NULL AND fdg IS NOT NULL THEN 'digest' END AS how FROM found),
+told AS (SELECT *, CASE WHEN refers_to IS NULL THEN 'no-earlier-response' WHEN how IS NULL THEN 'no-validator' WHEN (how = 'etag' AND tag = ftag) OR (how = 'last-modified' AND lm = flm) OR (how = 'digest' AND dg = fdg) THEN 'resolved' ELSE 'validator-mismatch' END AS outcome FROM judged),
+fresh AS (SELECT *, list_filter(hs, lambda x: x.k NOT IN {_NAMED}) AS new FROM told),
+merged AS (SELECT *, CASE WHEN outcome = 'resolved' THEN list_concat(list_filter(fhs, lambda x: NOT list_contains(list_transform(new, lambda y: y.k), x.k)), new) ELSE hs END AS out FROM fresh)
+SELECT record_id, u AS canonical_url, refers_to, refers_at, outcome, CASE WHEN outcome = 'resolved' THEN how END AS matched_by, array_to_string(list_sort(list_transform(out, lambda x: x.k || ': ' || x.v)), '; ') AS headers FROM merged
 """
-assert "content-length" in NOT_REPLACED
 
-_T = [(i, name, template_bigrams(t)) for i, (name, t) in enumerate((n, t) for n, ts in TEMPLATES.items() for t in ts)]
-_SIZES = [(i, name, sum(b.values()), *size_bounds(sum(b.values()), DICE)) for i, name, b in _T]
+_T = [(i, name, t, template_bigrams(t)) for i, (name, t) in enumerate((n, t) for n, ts in TEMPLATES.items() for t in ts)]
+_values = lambda rows: ", ".join(f"({', '.join(repr(x) if isinstance(x, str) else str(x) for x in r)})" for r in rows)
 OP4 = f"""
-WITH tmpl(tid, licence, n, lo, hi) AS (VALUES {', '.join(f"({i}, '{name}', {n}, {lo}, {hi})" for i, name, n, lo, hi in _SIZES)}),
-tgram(tid, g, c) AS (VALUES {', '.join(f"({i}, '{g}', {c})" for i, _, b in _T for g, c in b.items())}),
-split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-units AS (SELECT doc_id, 0 AS line, text AS unit FROM split WHERE len(ls) > 1 UNION ALL SELECT doc_id, unnest(range(1, len(ls) + 1)), unnest(ls) FROM split),
-worded AS (SELECT doc_id, line, string_split(trim(regexp_replace({_low('unit')}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
-sized AS (SELECT doc_id, line, w, len(w) - 1 AS n FROM worded WHERE len(w) BETWEEN {min(s[3] for s in _SIZES) + 1} AND {max(s[4] for s in _SIZES) + 1}),
-grams AS (SELECT doc_id, line, n, g, count(*) AS c FROM (SELECT doc_id, line, n, unnest(list_transform(range(1, n + 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM sized) GROUP BY ALL),
-scored AS (SELECT doc_id, line, t.tid, licence, 2.0 * sum(least(grams.c, tgram.c)) / (grams.n + t.n) AS dice FROM grams JOIN tgram USING (g) JOIN tmpl t ON t.tid = tgram.tid AND grams.n BETWEEN t.lo AND t.hi GROUP BY doc_id, line, t.tid, licence, grams.n, t.n),
-best AS (SELECT * FROM scored WHERE dice >= {DICE} QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, tid) = 1)
-SELECT doc_id, licence, count(*) AS n_units, min(line) AS first_unit, round(max(dice), 6) AS best_dice FROM best GROUP BY ALL
+WITH tmpl(tid, licence, n, lo, hi) AS (VALUES {_values([(i, name, sum(b.values()), *size_bounds(sum(b.values()), DICE)) for i, name, _, b in _T])}),
+tgram(tid, g, c) AS (VALUES {_values([(i, g, c) for i, _, _, b in _T for g, c in b.items()])}),
+sizes(tid, m) AS (VALUES {_values([(i, m) for i, _, t, _ in _T for m in window_sizes(t, DICE)])}),
+need(tid, word) AS (VALUES {_values([(i, w) for i, _, _, b in _T for w in necessary_words(b, DICE)])}),
+low AS (SELECT doc_id, {_low('text')} AS low FROM documents WHERE text IS NOT NULL),
+likely AS (SELECT DISTINCT doc_id, tid, low FROM low JOIN need ON contains(low, word)),
+worded AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(low, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM (SELECT DISTINCT doc_id, low FROM likely)),
+grammed AS (SELECT doc_id, len(w) AS k, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM worded WHERE len(w) > 1),
+sized AS (SELECT DISTINCT doc_id, k, g, least(m, k) AS m FROM grammed JOIN (SELECT doc_id, tid FROM likely) USING (doc_id) JOIN sizes USING (tid)),
+units AS (SELECT DISTINCT doc_id, m, pos, list_slice(g, pos + 1, pos + m - 1) AS g FROM (SELECT doc_id, m, g, unnest(list_append(range(0, k - m + 1, greatest(1, m // {STEPS})), k - m)) AS pos FROM sized)),
+grams AS (SELECT doc_id, m, pos, x, count(*) AS c FROM (SELECT doc_id, m, pos, unnest(g) AS x FROM units) GROUP BY ALL),
+scored AS (SELECT grams.doc_id, grams.m, pos, t.tid, licence, 2.0 * sum(least(grams.c, tgram.c)) / (grams.m - 1 + t.n) AS dice FROM grams JOIN tgram ON tgram.g = grams.x JOIN tmpl t ON t.tid = tgram.tid AND grams.m - 1 BETWEEN t.lo AND t.hi
+  JOIN (SELECT doc_id, tid FROM likely) l ON l.doc_id = grams.doc_id AND l.tid = t.tid GROUP BY grams.doc_id, grams.m, pos, t.tid, licence, t.n),
+best AS (SELECT * FROM scored WHERE dice >= {DICE} QUALIFY row_number() OVER (PARTITION BY doc_id, m, pos ORDER BY dice DESC, tid) = 1)
+SELECT doc_id, licence, pos AS first_word, m AS n_words, round(dice, 6) AS best_dice FROM best QUALIFY row_number() OVER (PARTITION BY doc_id, licence ORDER BY dice DESC, pos, m) = 1
 """
 
 _SUFFIX = f"CASE WHEN len(p) >= 3 AND strlen(p[-1]) = 2 AND p[-2] IN {SECOND_LEVEL} THEN p[-2] || '.' || p[-1] ELSE p[-1] END"
