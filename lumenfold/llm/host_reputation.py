@@ -8,7 +8,12 @@ where even the lower bound of its posterior share exceeds a threshold.
 
 Explicit rules (host, path) come first; the longest rule that fits wins. A null url, or
 one without `://`, has an empty host and path; it is judged like any host, by the prior.
-Labels with null values don't count; repeated labels of a page count each.
+Labels with null values don't count; repeated labels of a page count each, and repeated
+pages are judged each. Without any label the corpus prior decides; with no pages the result
+is empty. Other columns, whatever their names, aren't looked at.
+
+Counts by host are made once and written; all levels and strengths come from that table. A
+host with more than `CROWD` pages is joined back in `SALTS` parts.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import bit_filter, flag, lower_ascii, written
 
 
 @dataclass(frozen=True)
@@ -37,6 +42,7 @@ SECOND_LEVEL = ("co", "com", "org", "net", "gov", "edu", "ac")
 #: Strengths outside these bounds say that the shares of a level are too alike, or too few, to tell.
 WEAKEST, STRONGEST = 1.0, 1000.0
 Z, LIMIT = 1.645, 0.5
+CROWD, SALTS = 1 << 18, 64
 
 
 def with_host_path(pages: DataFrame) -> DataFrame:
@@ -101,8 +107,13 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], limit: float =
     # outcomes are summed by page first: the join is on the page, and a hot host is
     # summed on the map side
     per_page = labels.filter(F.col("page_id").isNotNull() & F.col("bad").isNotNull()).groupBy("page_id").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
-    hosts = base.join(per_page, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    scored = base.join(host_posteriors(hosts), "host")
+    hosts = base.join(per_page, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("*").alias("pages"))
+    hosts = written(hosts, "hosts")
+    crowds = bit_filter(hosts.filter(F.col("pages") > CROWD), F.xxhash64("host"))
+    dealt = lambda rows, salt: flag(rows, F.xxhash64("host"), crowds, "crowd").withColumn("salt", salt).drop("crowd")
+    mine = dealt(base, F.when(F.col("crowd"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).otherwise(0).cast("int"))
+    known = dealt(host_posteriors(hosts), F.explode(F.when(F.col("crowd"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    scored = mine.join(known, ["host", "salt"])
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("bound") > limit, "block").otherwise("allow")
     for r in sorted(rules, key=lambda r: (len(r.text), r.text)):  # a longer rule covers a shorter one
         fits = ((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith("/" + r.path)
