@@ -4,7 +4,10 @@ import functools
 import hashlib
 import math
 import random
+import re
+import textwrap
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -123,7 +126,7 @@ def test_revisits_of_a_crowded_url(spark):
         if r[3] == "revisit":
             best = max(((x[2], x[0]) for x in rows if x[1] == r[1] and x[3] == "response" and x[2] < r[2]), default=None)
             wanted.append((r[0], best and best[1], "no-earlier-response" if best is None else "resolved" if best[1] % 2 == r[0] % 2 else "validator-mismatch"))
-    assert key(100_000) == key(20) == sorted(wanted)
+    assert key(100_000) == key(20) == key(1) == sorted(wanted)
     assert revisits.resolve(df.limit(0)).count() == 0
 
 
@@ -210,12 +213,46 @@ def test_components_of_a_path(spark):
 
 # ---- licences -----------------------------------------------------------------------
 
+def brute_licences(text):
+    known = [(name, Counter({tuple(g.split()): k for g, k in licences.template_bigrams(t).items()}), set(licences.words_of(t))) for name, ts in licences.TEMPLATES.items() for t in ts]
+    w = re.findall(r"[a-z0-9\u00c0-\u024f\u0370-\u03ff]+", text.lower())
+    best = {}
+    sizes = {min(m, len(w)) for ts in licences.TEMPLATES.values() for t in ts for m in licences.window_sizes(t, 0.8)}
+    for m in sizes - {0, 1}:
+        for at in {*range(0, len(w) - m + 1, max(1, m // 8)), len(w) - m}:
+            words, found = set(w[at : at + m]), []
+            unit = Counter(zip(w[at : at + m], w[at + 1 : at + m], strict=False))
+            for i, (name, b, own) in enumerate(known):
+                if not words.isdisjoint(own) and (dice := 2 * (unit & b).total() / (m - 1 + b.total())) >= 0.8:
+                    found.append((dice, -i, name))
+            if found:
+                dice, _, name = max(found)
+                best[name] = max(best.get(name, (0,)), (dice, -at, -m))
+    return {name: (-at, -m, round(dice, 6)) for name, (dice, at, m) in best.items()}
+
+
+def commented(text, width, mark):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
 def test_licences(spark, empty):
-    apache = licences.TEMPLATES["Apache-2.0"][1]
-    rows = [(1, "x\n  Released under the MIT license!\ny"), (2, apache), (2, apache), (3, "Licensed under the Apache License"), (4, None), (5, ""), (6, "all rights reserved"), (6, "All Rights Reserved."), (7, "reserved"), (8, "Licensed under CC BY-NC 4.0."), (9, sentence(5000) + " all rights reserved")]
-    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((r.doc_id, r.licence, r.line) for r in got.collect()) == [(1, "MIT", 0), (1, "MIT", 2), (2, "Apache-2.0", 1), (2, "Apache-2.0", 1), (6, "All-rights-reserved", 1), (6, "All-rights-reserved", 1), (8, "CC-BY-NC-4.0", 1)]
-    assert licences.scan(empty).count() == 0 and not [x for x in got._jdf.queryExecution().toString().split() if "Python" in x]
+    t = licences.TEMPLATES
+    gpl = t["GPL-3.0"][2].split()
+    texts = [
+        "x\n  Released under the MIT license!\ny", t["Apache-2.0"][1], t["Apache-2.0"][1], "Licensed under the Apache License", "", "all rights reserved", "reserved", "Licensed under CC BY-NC 4.0.", sentence(5000) + " all rights reserved",
+        sentence(300) + "\n" + commented(t["MIT"][2], 70, " * ") + "\n" + sentence(200), sentence(90) + " " + commented(t["MIT"][1], 70, "# ") + " " + sentence(20), commented(t["BSD-3-Clause"][1], 60, "// ") + sentence(70), commented(t["BSD-2-Clause"][1], 72, "    "),
+        sentence(40) + " is " + t["ISC"][0] + sentence(33), " ".join(w for i, w in enumerate(gpl) if i % 17), sentence(11) + " ".join(w + " zz" * (i % 15 == 0) for i, w in enumerate(gpl)), f"{sentence(30)} {t['GPL-2.0'][1]} {sentence(30)} {t['CC-BY-4.0'][1]}",
+    ]
+    rows = [(i, x) for i, x in enumerate(texts)] + [(100, None), (5, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"licence": F.lit("clash"), "g": F.lit(1), "low": F.lit(1)})
+    got = {}
+    for r in licences.per_document(licences.scan(df)).collect():
+        got.setdefault(r.doc_id, {})[r.licence] = (r.first_word, r.n_words, r.best_dice)
+    assert got == {i: b for i, x in enumerate(texts) if (b := brute_licences(x))}
+    assert [sorted(got.get(i, {})) for i in range(9)] == [["MIT"], ["Apache-2.0"], ["Apache-2.0"], [], [], ["All-rights-reserved"], [], ["CC-BY-NC-4.0"], ["All-rights-reserved"]]
+    assert all(name in got[i] for i, name in [(9, "MIT"), (10, "MIT"), (11, "BSD-3-Clause"), (12, "BSD-2-Clause"), (13, "ISC"), (14, "GPL-3.0"), (15, "GPL-3.0"), (16, "GPL-2.0"), (16, "CC-BY-4.0")])
+    scan = licences.scan(df)
+    assert licences.scan(empty).count() == 0 and "Python" not in scan._jdf.queryExecution().toString()
 
 
 def test_size_bounds_and_necessary_words_lose_nothing():
@@ -223,7 +260,7 @@ def test_size_bounds_and_necessary_words_lose_nothing():
     for texts in licences.TEMPLATES.values():
         for t in texts:
             b = licences.template_bigrams(t)
-            words, total = t.lower().replace(",", " ").split(), sum(b.values())
+            words, total = licences.words_of(t), sum(b.values())
             low, high = licences.size_bounds(total, 0.8)
             for _ in range(60):
                 unit = [w for w in words if rng.random() > 0.12] + ["zz"] * rng.randrange(3)
@@ -291,6 +328,24 @@ def test_rules_and_shrinkage(spark):
     assert host_reputation.judge(spark.createDataFrame(pages, "page_id long, url string, v int"), none, rules).count() == len(pages)
 
 
+def test_crowded_hosts_and_no_pages(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h{min(i % 9, 3)}.org/{i}", "x", "y") for i in range(300)] + [(5, None, "x", "y"), (None, "http://h1.org/", "x", "y")], "page_id long, url string, host string, rule string")
+    labels = spark.createDataFrame([(i, i % 3 != 0 and i % 9 == 1) for i in range(200)] + [(None, True), (7, None)], "page_id long, bad boolean")
+    key = lambda: sorted(map(repr, host_reputation.judge(pages, labels, []).collect()))
+    plain = key()
+    monkeypatch.setattr(host_reputation, "CROWD", 20)
+    assert key() == plain and len(plain) == 302
+    assert host_reputation.judge(pages.limit(0), labels, []).count() == 0
+    assert len({r.bound for r in host_reputation.judge(pages.filter("page_id < 9"), labels.limit(0), []).collect()}) >= 1
+
+
+def test_posterior_blocks_bad_hosts(spark):
+    pages = spark.createDataFrame([(i, f"http://{'bad' if i % 2 else 'good'}.org/{i}") for i in range(400)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2 == 1 and i % 10 != 1) for i in range(400)], "page_id long, bad boolean")
+    got = {(r.host, r.verdict) for r in host_reputation.judge(pages, labels, []).collect()}
+    assert got == {("bad.org", "block"), ("good.org", "allow")}
+
+
 def test_suffixes(spark):
     hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.y.com", "com", "", "a.uk"]
     got = spark.createDataFrame([(h,) for h in hosts], "h string").select(host_reputation.suffix_of(F.col("h")).alias("s"), host_reputation.domain_of(F.col("h")).alias("d")).collect()
@@ -436,6 +491,31 @@ def test_nearest(spark, monkeypatch):
     assert hit >= 0.9 * 20 * len(by)
 
 
+@pytest.mark.parametrize("n", [300, 4000])
+def test_recall_and_copies(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x[: n // 3] = x[0]  # a third of all rows are copies of one vector
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    by = {}
+    for r in permutation_index.nearest(df, df.filter(f"vec_id % {n // 50} = 1")).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q, found in by.items():
+        s = x @ x[q]
+        s[q] = -1e9
+        wanted = np.lexsort((np.arange(n), -s))[:20]
+        hit += len(found & set(wanted.tolist()))
+        assert q >= n // 3 or found == set(wanted.tolist())
+    assert len(by) == 50 and hit >= 0.9 * 20 * len(by)
+
+
+def test_cells_in_shards(monkeypatch):
+    monkeypatch.setattr(permutation_index, "SHARD_ROWS", 10)
+    first, parts, n = permutation_index.shards_of(np.array([4, 5, 0, 3, 35, 2, 8, 1]))
+    assert first.tolist() == [0, 0, 0, 1, 2, 6, 6, 7] and parts.tolist() == [1, 1, 1, 1, 4, 1, 1, 1] and n == 8
+
+
 def test_nearest_of_few(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (20, [0.0, 1.0]), (0, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -483,24 +563,54 @@ def brute_contained(rows, items):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_decontamination(spark, docs, empty, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK", block)
+def test_decontamination(spark, docs, empty):
     longest = max((r[1] or "" for r in ROWS), key=len).split()
     near = longest[5000:5040]
     near[20] = "changed"
     items = [(1, SHARED[0]), (2, SHARED[1].upper().lower()), (3, " ".join(longest[10:60])), (4, " ".join(longest[19_000:19_030])), (5, " ".join(near)), (6, "one two"), (7, "one"), (8, None), (9, ""), (10, sentence(40)), (1, SHARED[0]), (11, SHARED[2].replace(" ", "\n"))]
+    worn = longest[7000:7300]
+    for i in range(0, 300, 40):
+        worn[i] = "changed"
+    items += [(12, " ".join(longest[300:500])), (13, " ".join(worn)), (14, sentence(150)), (15, " ".join(longest[:18_000]))]  # by signatures of documents
     table = spark.createDataFrame([(*x, "t") for x in items], "item_id long, text string, doc_id string")
+    posted = {r["item"]: r["n"] for r in decontaminate.signatures(table, 0.8).filter("least >= 0").groupBy("item").agg(F.count("*").alias("n")).collect()}
+    assert len(posted) == 4
     got = decontaminate.contained_items(docs, table).select("doc_id", "item_id", "n_shared", "n_shingles").collect()
     wanted = brute_contained(ROWS, items)
     same([tuple(r) for r in got], wanted)
-    assert any(w[1] == 5 for w in wanted) and any(w[1] == 4 for w in wanted)
+    assert {4, 5, 12, 13, 15} <= {w[1] for w in wanted} and 14 not in {w[1] for w in wanted}
     kept = decontaminate.clean(docs, table)
     bad = {r for r, *_ in wanted}
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in ROWS} - bad
     assert decontaminate.contained_items(empty, table).count() == 0 and decontaminate.contained_items(docs, table.limit(0)).count() == 0
 
 
+def test_signatures():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 9, 60, 95):  # short items: whatever is missing, enough of the signature stays
+        h = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        signed, least, need = decontaminate.sign(h, 0.8)
+        assert (least == -1).all() and need >= 1 and len(signed) - need == n - decontaminate.needed(n, 0.8)
+    lost = 0
+    for _ in range(200):  # longer ones: a document's signature is smaller than its set and still agrees
+        n, size = int(rng.integers(96, 400)), int(rng.integers(500, 5000))
+        h = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        doc = np.concatenate([rng.choice(h, decontaminate.needed(n, 0.8), replace=False), rng.integers(0, 2**63, size, dtype=np.uint64)])
+        signed, least, need = decontaminate.sign(h, 0.8)
+        every, none = SimpleNamespace(has=lambda x: np.ones(len(x), bool)), SimpleNamespace(has=lambda x: np.zeros(len(x), bool))
+        near, far, c = decontaminate.document_hits(doc, none, every)
+        assert not len(near) and len(far) <= decontaminate.n_bins(c) < len(doc) and decontaminate.size_class(len(doc)) == c
+        lost += np.isin(signed[least <= c], far).sum() < need
+    assert lost == 0
+
+
+def test_many_items(spark):
+    rows = [(i, sentence(30)) for i in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(r[1] for r in rows[i * 10 : i * 10 + 3])) for i in range(300)], "doc_id long, text string")
+    got = decontaminate.contained_items(docs, spark.createDataFrame(rows, "item_id long, text string")).collect()
+    assert {(i, j) for i in range(300) for j in range(i * 10, i * 10 + 3)} <= {(r.doc_id, r.item_id) for r in got}
+
+
 # ---- words --------------------------------------------------------------------------
 
 def test_words():
