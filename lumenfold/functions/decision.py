@@ -5,13 +5,12 @@ A call has the columns server_id, tool_name, args (JSON). Paths are normalised l
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .json_walk import shell_split
-
 # Argument names, word lists, patterns and weights.
 PATH_KEYS = ["path", "paths", "file", "files", "filename", "filepath", "src", "source", "dst", "dest", "destination", "target", "dir", "directory", "folder", "input", "output"]
 WRITE_WORDS = ["write", "create", "edit", "patch", "delete", "unlink", "rm", "move", "rename", "append", "chmod", "chown", "mkdir", "remove", "truncate", "overwrite", "save", "upload"]
@@ -45,24 +44,61 @@ TTL_S, ESCALATION = 300, 24
 
 
 def _empty() -> Column:
-    return F.array().cast("array<string>")
+    return F.expr("cast(array() as array<string>)")
+
+
+def _strings(words: list[str]) -> Column:
+    """Fixed strings as an array, by one expression whatever their number."""
+    quote = lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+    return F.expr(f"array({', '.join(map(quote, words))})")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value made once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _text(v: Column) -> Column:
+    """A variant as a string; null where it isn't one."""
+    return F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
+
 
+def _texts(v: Column) -> Column:
+    """The string of a variant, or the strings of an array, as an array."""
+    listed = F.array_compact(F.transform(F.try_variant_get(v, "$", "array<variant>"), _text))
+    return F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.array(v.cast("string"))), listed, _empty())
 
-def _arg(args: Column, key: str) -> Column:
-    """A string argument; null where it is missing or something else."""
-    got = F.try_variant_get(F.try_parse_json(args), f"$.{key}", "variant")
-    return F.when(F.schema_of_variant(got) == "STRING", got.cast("string"))
 
+def _listed(fields: Column, keys: list[str]) -> Column:
+    """The strings of some arguments, single or in arrays; fields: a map of variants by name."""
+    return F.flatten(F.transform(_strings(keys), lambda k: _texts(F.try_element_at(fields, k))))
 
-def _args(args: Column, key: str) -> Column:
-    """A string argument, or the strings of an array argument."""
-    got = F.try_variant_get(F.try_parse_json(args), f"$.{key}", "variant")
-    listed = F.transform(F.filter(F.try_variant_get(F.try_parse_json(args), f"$.{key}", "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string"))
-    return F.when(F.schema_of_variant(got) == "STRING", F.array(got.cast("string"))).otherwise(F.coalesce(listed, _empty()))
+
+def _single(fields: Column, keys: list[str]) -> Column:
+    """Those of some arguments that are strings."""
+    return F.array_compact(F.transform(_strings(keys), lambda k: _text(F.try_element_at(fields, k))))
+
+
+#: A run of blanks, or a part of a word: quoted, escaped or plain.
+SHELL_PIECE = r"""(?s)[ \t\r\n]+|'[^']*'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|\\.|[^ \t\r\n'"\\]+"""
+
+
+def shell_split(line: Column) -> Column:
+    """The words of a command line by POSIX quoting; null where a quote or an escape is open."""
+    blank = lambda x: x.rlike(r"^[ \t\r\n]")
+    inner = lambda x: F.substring(x, F.lit(2), F.length(x) - 2)
+    plain = lambda x: F.when(x.startswith("'"), inner(x)).when(x.startswith('"'), F.regexp_replace(inner(x), r'\\(["\\])', "$1")).when(x.startswith("\\"), F.substring(x, 2, 1)).otherwise(x)
+    # words are put together from the end of the list of words so far
+    step = lambda acc, x: F.when(blank(x), F.struct(acc["done"].alias("done"), F.lit(None).cast("string").alias("word"))).otherwise(
+        F.struct(F.when(acc["word"].isNull(), F.concat(acc["done"], F.array(plain(x)))).otherwise(F.concat(F.slice(acc["done"], 1, F.size(acc["done"]) - 1), F.array(F.concat(acc["word"], plain(x))))).alias("done"), F.concat(F.coalesce(acc["word"], F.lit("")), plain(x)).alias("word"))
+    )
+    start = F.struct(_empty().alias("done"), F.lit(None).cast("string").alias("word"))
+    words = lambda ps: F.aggregate(ps, start, step, lambda acc: acc["done"])
+    return _let(F.regexp_extract_all(line, F.lit(SHELL_PIECE), F.lit(0)), lambda ps: F.when(F.array_join(ps, "") == line, words(ps)))
 
 
 def _has(words: list[str], text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    return F.exists(_strings(words), text.contains)
 
 
 def normal_path(path: Column, root: str | None) -> Column:
@@ -88,42 +124,60 @@ def _shell(argv: Column) -> Column:
     base = F.lower(F.regexp_extract(F.element_at(F.concat(argv, F.array(F.lit(""))), 1), r"([^/\\]*)$", 1))
     bare = F.regexp_replace(base, r"\.exe$", "")
     rest = F.slice(argv, 2, F.greatest(F.size(argv) - 1, F.lit(0)))
-    script = bare.isin(SHELLS) & F.exists(rest, lambda a: a.isin(EVAL_FLAGS) | a.contains(" ") | a.contains("\n"))
-    plain = lambda a: F.btrim(a, F.lit("'\""))
-    protected = F.exists(argv, lambda a: reduce(lambda x, y: x | y, [(plain(a) == p) | plain(a).startswith(p + "/") | plain(a).startswith(p + "\\") for p in PROTECTED]))
-    return _has(META, full) | script | bare.isin(DESTRUCTIVE_BINARIES) | protected
+    script = F.array_contains(_strings(SHELLS), bare) & F.exists(rest, lambda a: F.array_contains(_strings(EVAL_FLAGS), a) | a.contains(" ") | a.contains("\n"))
+    below = lambda a, p: (a == p) | a.startswith(F.concat(p, F.lit("/"))) | a.startswith(F.concat(p, F.lit("\\")))
+    protected = F.exists(F.transform(argv, lambda a: F.btrim(a, F.lit("'\""))), lambda a: F.exists(_strings(PROTECTED), lambda p: below(a, p)))
+    return _has(META, full) | script | F.array_contains(_strings(DESTRUCTIVE_BINARIES), bare) | protected
 
 
-def effects(server_id: Column, tool_name: Column, args: Column, root: str | None = None) -> Column:
-    """The effect vector: effects in the order found, sorted distinct lists, destructive."""
-    if_ = lambda cond, kind: F.when(cond, F.array(F.lit(kind))).otherwise(_empty())
-    tool, server = F.lower(tool_name), F.lower(server_id)
-    known = F.concat(*[F.when(tool_name.isin(tools) & _has(hints, server), F.array(*[F.lit(k) for k in kinds])).otherwise(_empty()) for hints, kinds, tools in CATALOG])
-    paths = F.transform(F.concat(*[_args(args, k) for k in PATH_KEYS]), lambda p: normal_path(p, root))
-    has_path, writes = F.size(paths) > 0, _has(WRITE_WORDS, tool)
-    urls = F.concat(F.array_compact(F.array(*[_arg(args, k) for k in URL_KEYS])), F.when(_arg(args, "urls").isNull(), _args(args, "urls")).otherwise(_empty()))
-    hosts = F.array_compact(F.transform(urls, host_of))
-    statements = F.array_compact(F.array(*[_arg(args, k) for k in SQL_KEYS]))
+def _arguments(fields: Column) -> Column:
+    """What the extractors read of the arguments, each list made once."""
+    first = lambda *keys: F.get(_single(fields, list(keys)), F.lit(0))
+    more_urls = F.filter(_listed(fields, ["urls"]), lambda u: F.try_element_at(fields, F.lit("urls")).isNotNull() & (F.size(_single(fields, ["urls"])) == 0))
+    return F.struct(
+        _listed(fields, PATH_KEYS).alias("paths"), F.concat(_single(fields, URL_KEYS), more_urls).alias("urls"), _single(fields, SQL_KEYS).alias("statements"), _listed(fields, ["argv"]).alias("argv"), first("command", "cmd").alias("line"),
+        _listed(fields, RECIPIENT_KEYS).alias("people"), first("action").alias("action"), first("origin").alias("origin"),
+    )
+
+
+def _derived(a: Column, args: Column, tool: Column, root: str | None) -> Column:
+    """Normalised forms of the lists of _arguments()."""
     bad_sql = lambda s: F.regexp_like(s, F.lit("(?U)" + SQL_DESTRUCTIVE))
-    sql = F.transform(statements, lambda s: F.when(F.regexp_like(s, F.lit("(?U)" + SQL_READ)) & ~bad_sql(s), "DbRead").otherwise("DbWrite"))
-    listed, line = _args(args, "argv"), F.coalesce(_arg(args, "command"), _arg(args, "cmd"))
-    has_argv = F.size(listed) > 0
-    argv = F.when(has_argv, listed).otherwise(shell_split(line))
-    unsplit = ~has_argv & line.isNotNull() & (F.coalesce(F.size(argv), F.lit(0)) <= 0)
-    runs = has_argv | line.isNotNull()
-    people = F.concat(*[_args(args, k) for k in RECIPIENT_KEYS])
-    refs = F.regexp_extract_all(args, F.lit(SECRET_REF), F.lit(0))
-    submits = tool.contains("browser") & _arg(args, "action").isin("submit", "fill_form", "post")
-    origin = F.when(submits, host_of(_arg(args, "origin")))
-    sorted_ = lambda a: F.array_sort(F.array_distinct(a))
-    order = [known, if_(has_path & writes, "FsWrite"), if_(has_path & ~writes, "FsRead"), if_(F.size(hosts) > 0, "NetOutbound"), sql, if_(runs, "ExecNative"), if_(F.size(people) > 0, "CommSend"), if_(F.size(refs) > 0, "SecretUse"), if_(F.coalesce(submits, F.lit(False)), "BrowserSubmit")]
-    destructive = F.exists(statements, bad_sql) | unsplit | F.coalesce(runs & _shell(F.coalesce(argv, _empty())), F.lit(False))
+    sql = F.transform(a["statements"], lambda s: F.when(F.regexp_like(s, F.lit("(?U)" + SQL_READ)) & ~bad_sql(s), "DbRead").otherwise("DbWrite"))
+    submits = F.coalesce(tool.contains("browser") & a["action"].isin("submit", "fill_form", "post"), F.lit(False))
     return F.struct(
-        F.array_distinct(F.concat(*order)).alias("effects"), F.when(writes, _empty()).otherwise(sorted_(paths)).alias("paths_read"), F.when(writes, sorted_(paths)).otherwise(_empty()).alias("paths_write"),
-        sorted_(F.concat(hosts, F.array_compact(F.array(origin)))).alias("network_hosts"), sorted_(refs).alias("secret_refs"), sorted_(people).alias("recipients"), F.coalesce(destructive, F.lit(False)).alias("destructive"),
+        F.transform(a["paths"], lambda p: normal_path(p, root)).alias("paths"), _has(WRITE_WORDS, tool).alias("writes"), F.array_compact(F.transform(a["urls"], host_of)).alias("hosts"), sql.alias("sql"), F.exists(a["statements"], bad_sql).alias("bad_sql"),
+        F.when(F.size(a["argv"]) > 0, a["argv"]).otherwise(shell_split(a["line"])).alias("argv"), ((F.size(a["argv"]) > 0) | a["line"].isNotNull()).alias("runs"), F.regexp_extract_all(args, F.lit(SECRET_REF), F.lit(0)).alias("refs"),
+        a["people"].alias("people"), submits.alias("submits"), F.when(submits, host_of(a["origin"])).alias("origin"),
     )
 
 
+def _vector(x: Column, known: Column) -> Column:
+    """The effect vector from _derived() and the effects that the catalogue knows."""
+    if_ = lambda cond, kind: F.when(cond, F.array(F.lit(kind))).otherwise(_empty())
+    some = lambda name: F.coalesce(F.size(x[name]), F.lit(0)) > 0
+    sorted_ = lambda a: F.array_sort(F.array_distinct(F.coalesce(a, _empty())))
+    kinds = [known, if_(some("paths") & x["writes"], "FsWrite"), if_(some("paths") & ~x["writes"], "FsRead"), if_(some("hosts"), "NetOutbound"), x["sql"], if_(x["runs"], "ExecNative"), if_(some("people"), "CommSend"), if_(some("refs"), "SecretUse"), if_(x["submits"], "BrowserSubmit")]
+    unsplit = x["runs"] & ~some("argv")
+    destructive = x["bad_sql"] | unsplit | (x["runs"] & _shell(F.coalesce(x["argv"], _empty())))
+    return F.struct(
+        F.array_distinct(F.concat(*kinds)).alias("effects"), F.when(x["writes"], _empty()).otherwise(sorted_(x["paths"])).alias("paths_read"), F.when(x["writes"], sorted_(x["paths"])).otherwise(_empty()).alias("paths_write"),
+        sorted_(F.concat(x["hosts"], F.array_compact(F.array(x["origin"])))).alias("network_hosts"), sorted_(x["refs"]).alias("secret_refs"), sorted_(x["people"]).alias("recipients"), F.coalesce(destructive, F.lit(False)).alias("destructive"),
+    )
+
+
+def effects(server_id: Column, tool_name: Column, args: Column, root: str | None = None) -> Column:
+    """The effect vector: effects in the order found, sorted distinct lists, destructive.
+
+    The arguments are parsed once, and each list is made once and then referred to.
+    """
+    tool, server = F.lower(tool_name), F.lower(server_id)
+    fits = lambda c: F.array_contains(c["tools"], tool_name) & F.exists(c["hints"], server.contains)
+    known = F.flatten(F.transform(F.filter(F.array(*[F.struct(_strings(h).alias("hints"), _strings(k).alias("kinds"), _strings(t).alias("tools")) for h, k, t in CATALOG]), fits), lambda c: c["kinds"]))
+    fields = F.try_variant_get(F.try_parse_json(args), "$", "map<string,variant>")
+    return _let(fields, lambda m: _let(_arguments(m), lambda a: _let(_derived(a, args, tool, root), lambda x: _vector(x, known))))
+
+
 def under_root(path: Column, roots: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [(path == r) | path.startswith(r.rstrip("/") + "/") for r in roots]) if roots else F.lit(False)
 

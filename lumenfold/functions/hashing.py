@@ -6,6 +6,7 @@ passing the tags that it was written with.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 TAG_V1, TAG_V2 = "lumenfold.ledger.event.v1", "lumenfold.ledger.event.v2"
+TAGS = (TAG_V1, TAG_V2)
 CURRENT_VERSION = 2
 
 
@@ -37,21 +39,38 @@ def _measured(c: Column) -> Column:
     return F.concat(big_endian(F.octet_length(c), 8), _bytes(c))
 
 
+def _head(tag: str, prev_hash: Column, payload: Column, created_at: Column) -> list[Column]:
+    return [_bytes(F.lit(tag)), F.unhex(F.lit("00000020")), previous_bytes(prev_hash), _measured(payload), F.unhex(F.lit("00000008")), big_endian(created_at, 8)]
+
+
 def event_hash_v1(prev_hash: Column, payload: Column, created_at: Column, tag: str = TAG_V1) -> Column:
-    """SHA-256 (hex) over the tag and the length-prefixed previous hash, canonical payload and time."""
-    return F.sha2(F.concat(_bytes(F.lit(tag)), F.unhex(F.lit("00000020")), previous_bytes(prev_hash), _measured(payload), F.unhex(F.lit("00000008")), big_endian(created_at, 8)), 256)
+    """SHA-256 (hex) over the tag and the length-prefixed previous hash, canonical payload and
+    time. Null where the payload isn't JSON or the previous hash isn't one."""
+    return F.sha2(F.concat(*_head(tag, prev_hash, canonical_payload(payload), created_at)), 256)
 
 
 def event_hash_v2(prev_hash: Column, payload: Column, created_at: Column, session_id: Column, event_type: Column, redacted_text: Column, tag: str = TAG_V2) -> Column:
     """As v1, and the session, the type and the redacted text; a null text is told from an empty one."""
     text = F.when(redacted_text.isNull(), F.unhex(F.lit("00"))).otherwise(F.concat(F.unhex(F.lit("01")), _measured(redacted_text)))
-    parts = [_bytes(F.lit(tag)), F.unhex(F.lit("00000020")), previous_bytes(prev_hash), _measured(payload), F.unhex(F.lit("00000008")), big_endian(created_at, 8)]
-    return F.sha2(F.concat(*parts, _measured(session_id), _measured(event_type), text), 256)
+    return F.sha2(F.concat(*_head(tag, prev_hash, canonical_payload(payload), created_at), _measured(session_id), _measured(event_type), text), 256)
+
+
+def event_hash(version: Column, prev_hash: Column, payload: Column, created_at: Column, session_id: Column, event_type: Column, redacted_text: Column, tags: tuple[str, str] = TAGS) -> Column:
+    """By chain version; null for a version that isn't known. tags: of version 1 and 2."""
+    v1, v2 = event_hash_v1(prev_hash, payload, created_at, tags[0]), event_hash_v2(prev_hash, payload, created_at, session_id, event_type, redacted_text, tags[1])
+    return F.when(version == 1, v1).when(version == 2, v2)
 
 
-def event_hash(version: Column, prev_hash: Column, payload: Column, created_at: Column, session_id: Column, event_type: Column, redacted_text: Column) -> Column:
-    """By chain version; null for a version that isn't known."""
-    return F.when(version == 1, event_hash_v1(prev_hash, payload, created_at)).when(version == 2, event_hash_v2(prev_hash, payload, created_at, session_id, event_type, redacted_text))
+def event_digest(tag: str, previous: bytes, payload: str, created_at: int, session_id: str, event_type: str, redacted_text: str | None) -> bytes:
+    """event_hash_v2() of one event with a canonical payload, for writers, which go event by event."""
+
+    def measured(text: str) -> bytes:
+        b = text.encode()
+        return len(b).to_bytes(8, "big") + b
+
+    text = b"\0" if redacted_text is None else b"\1" + measured(redacted_text)
+    parts = [tag.encode(), b"\0\0\0\x20", previous, measured(payload), b"\0\0\0\x08", created_at.to_bytes(8, "big", signed=True), measured(session_id), measured(event_type), text]
+    return hashlib.sha256(b"".join(parts)).digest()
 
 
 def fingerprint(text: Column) -> Column:
@@ -131,9 +150,18 @@ def canonical_json(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one)
 
 
+def canonical_payload(text: Column) -> Column:
+    """canonical_json() of text, without leaving the JVM for what Spark's own parser writes in
+    the same form: plain ASCII without escapes, fractions, exponents or long numbers. Only
+    other texts go to Python."""
+    plain = text.rlike(r"^[\t\n\r\x20-\x5b\x5d-\x7e]*$") & ~text.rlike(r"[0-9][.eE]|-0|[0-9]{16}")
+    own = F.when(plain, F.to_json(F.try_parse_json(text)))
+    return F.coalesce(own, canonical_json(F.when(own.isNull(), text)))
+
+
 def args_hash(args: Column) -> Column:
     """SHA-256 of the canonical arguments."""
-    return F.sha2(_bytes(canonical_json(args)), 256)
+    return F.sha2(_bytes(canonical_payload(args)), 256)
 
 
 def argv_hash(argv: Column) -> Column:

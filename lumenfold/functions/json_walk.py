@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import json
 import re
-import shlex
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -210,16 +209,3 @@ def redact_from_right(s: pd.Series, findings: pd.Series) -> pd.Series:
                 raw = raw[:a] + f"[REDACTED {LABEL_OF.get(f['kind'], f['kind'])}]".encode() + raw[b:]
         out.append(raw.decode())
     return pd.Series(out)
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def shell_split(s: pd.Series) -> pd.Series:
-    """POSIX words of a command line; null where it can't be split."""
-
-    def one(text: str | None) -> list[str] | None:
-        try:
-            return None if text is None else shlex.split(text, comments=False)
-        except ValueError:
-            return None
-
-    return pd.Series([one(x) for x in s])

@@ -5,6 +5,9 @@ Times are epoch seconds. Every ordered result has a total order. `now` is a para
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ SCAN_SOURCES = ("paste", "tool_arg", "tool_output", "export")
 ACTIONS = ("redacted", "blocked", "allowed_once")
 #: Rows of a slice of an ordered table, and the most slices it is cut into.
 SLICE_ROWS, SLICES = 1 << 14, 1000
+#: Ids of a slice of the chain.
+CHAIN_SLICE = 1 << 16
 
 
 # ---- limits -------------------------------------------------------------------------
@@ -77,54 +82,84 @@ def filter_feed(events: DataFrame, types: list[str], decision: str | None, since
 
 # ---- chain --------------------------------------------------------------------------
 
-def build_chain(events: DataFrame, chain: str = "session_id") -> DataFrame:
-    """Adds prev_hash, event_hash and chain_version 2, one chain for each value of `chain`.
-
-    A chain is sequential by nature, so its events are folded in one place; the key must
-    keep chains short enough for that (a session, or a session and day).
-    """
-    row = F.struct("event_id", *[c for c in events.columns if c != "event_id"])
-    lists = events.groupBy(F.col(chain).alias("__chain")).agg(F.array_sort(F.collect_list(row)).alias("es"))
-    kind = "array<struct<p:string,h:string>>"
-    last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["h"], F.lit(""))
-    step = lambda acc, e: F.concat(acc, F.array(F.struct(last(acc).alias("p"), hashing.event_hash_v2(last(acc), e["payload_json"], e["created_at"], e["session_id"], e["event_type"], e["redacted_text"]).alias("h"))))
-    hashed = lists.select(F.arrays_zip("es", F.aggregate("es", F.array().cast(kind), step).alias("hs")).alias("z")).select(F.explode("z").alias("z"))
-    return hashed.select("z.es.*", F.col("z.hs.p").alias("prev_hash"), F.col("z.hs.h").alias("event_hash"), F.lit(hashing.CURRENT_VERSION).alias("chain_version"))
+CHAIN = ("prev_hash", "event_hash", "chain_version")
 
 
-def chain_checks(events: DataFrame, chain: str = "session_id") -> DataFrame:
-    """Adds ok: the hash recomputes, the link fits the event before, the version never falls.
+def build_chain(events: DataFrame, previous: str = "", tags: tuple[str, str] = hashing.TAGS) -> DataFrame:
+    """Adds prev_hash, event_hash and chain_version 2, and makes payload_json canonical: one
+    chain of all events in the order of event_id, after an event with the hash `previous`.
 
-    Hashes recompute in parallel. Links are looked up within a chain; for one global chain
-    use chain_checks_global(), which needs no single ordered partition.
+    Each hash needs the one before it, so the events stream through one task in order. It holds
+    one batch of them at a time, after a sort that can spill. Payloads are made canonical
+    before that, in parallel. A payload that isn't JSON fails the write.
     """
-    by = Window.partitionBy(chain).orderBy("event_id")
-    again = hashing.event_hash(F.col("chain_version"), F.col("prev_hash"), F.col("payload_json"), F.col("created_at"), F.col("session_id"), F.col("event_type"), F.col("redacted_text"))
-    linked = F.col("prev_hash") == F.lag("event_hash", 1, "").over(by)
-    newest = F.coalesce(F.max("chain_version").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return events.withColumn("ok", F.coalesce(again == F.col("event_hash"), F.lit(False)) & linked & (F.col("chain_version") >= newest))
+    tag, base = tags[1], events.drop(*CHAIN)
+    body = F.coalesce(hashing.canonical_payload(F.col("payload_json")), F.raise_error(F.concat(F.lit("payload of event "), F.col("event_id").cast("string"), F.lit(" is not JSON"))).cast("string"))
+    ordered = base.withColumn("payload_json", body).repartition(1).sortWithinPartitions("event_id")
+    names = ["payload_json", "created_at", "session_id", "event_type", "redacted_text"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*ordered.dtypes, ("prev_hash", "string"), ("event_hash", "string"), ("chain_version", "int")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = previous
+        for batch in batches:
+            rows, prev, own = zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True), [], []
+            for row in rows:
+                prev.append(last)
+                last = hashing.event_digest(tag, bytes.fromhex(last) if last else bytes(32), *row).hex()
+                own.append(last)
+            more = [pa.array(prev, pa.string()), pa.array(own, pa.string()), pa.array([hashing.CURRENT_VERSION] * len(own), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *CHAIN])
+
+    return ordered.mapInArrow(run, schema)
+
+
+def append(ledger: DataFrame, batch: DataFrame, tags: tuple[str, str] = hashing.TAGS) -> DataFrame:
+    """The rows to append to a ledger: batch (seq, session_id, event_type, payload_json,
+    redacted_text, created_at) in the order of seq, numbered after the newest event and
+    chained to it. Any event that may not be appended (see admit()) fails the whole batch."""
+    named = F.when((F.coalesce("session_id", F.lit("")) == "") | (F.coalesce("event_type", F.lit("")) == ""), "empty session_id or event_type")
+    gated = admit(batch).withColumn("rejected_for", F.coalesce(named, F.col("rejected_for")))
+    refuse = F.raise_error(F.concat(F.lit("event "), F.col("seq").cast("string"), F.lit(" is rejected: "), F.col("rejected_for")))
+    gated = gated.withColumn("redacted_text", F.when(F.col("rejected_for").isNotNull(), refuse.cast("string")).otherwise(F.col("redacted_text")))
+    newest = head(ledger).select("event_id", "event_hash").first()
+    at, previous = (newest.event_id, newest.event_hash) if newest else (0, "")
+    rows = numbered(gated, "seq").select((F.col("line") + at).alias("event_id"), "session_id", "event_type", "payload_json", "redacted_text", F.col("created_at").cast("long").alias("created_at"))
+    return build_chain(rows, previous, tags)
+
+
+def chain_checks(events: DataFrame, tags: tuple[str, str] = hashing.TAGS) -> DataFrame:
+    """Adds ok, for the whole ledger as one chain: the hash recomputes, the previous hash is
+    that of the event before (gaps in event_id don't matter), the version is known and never
+    falls. tags: those that the ledger was written with.
+
+    Hashes recompute in parallel. A slice is `CHAIN_SLICE` consecutive ids; links are looked up
+    within it, and the last hash and the greatest version so far are carried to the next.
+    """
+    again = hashing.event_hash(F.col("chain_version"), F.col("prev_hash"), F.col("payload_json"), F.col("created_at"), F.col("session_id"), F.col("event_type"), F.col("redacted_text"), tags)
+    rows, by = events.withColumns({"__again": again, "__slice": F.expr(f"event_id div {CHAIN_SLICE}")}), Window.partitionBy("__slice").orderBy("event_id")
+    ends = rows.groupBy("__slice").agg(F.max_by("event_hash", "event_id").alias("__end"), F.max("chain_version").alias("__most"))
+    over = Window.orderBy("__slice")  # one row for each slice
+    carried = ends.select("__slice", F.lag("__end", 1, "").over(over).alias("__end"), F.max("__most").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__most"))
+    here = rows.withColumns({"__n": F.row_number().over(by), "__last": F.lag("event_hash").over(by), "__seen": F.max("chain_version").over(by.rowsBetween(Window.unboundedPreceding, -1))}).join(carried, "__slice")
+    linked = F.col("prev_hash") == F.when(F.col("__n") == 1, F.col("__end")).otherwise(F.col("__last"))
+    newest = F.greatest(F.lit(1), "__seen", "__most")
+    ok = (F.col("__again") == F.col("event_hash")) & linked & (F.col("chain_version") >= newest)
+    return here.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("__again", "__slice", "__n", "__last", "__seen", "__end", "__most")
 
 
-def chain_checks_global(events: DataFrame) -> DataFrame:
-    """As chain_checks() for one chain of consecutive event_ids: the predecessor comes by an
-    equi-join on event_id - 1, so no task holds more than its share."""
-    again = hashing.event_hash(F.col("chain_version"), F.col("prev_hash"), F.col("payload_json"), F.col("created_at"), F.col("session_id"), F.col("event_type"), F.col("redacted_text"))
-    before = events.select((F.col("event_id") + 1).alias("event_id"), F.col("event_hash").alias("__h"), F.col("chain_version").alias("__v"))
-    joined = events.join(before, "event_id", "left")
-    ok = F.coalesce(again == F.col("event_hash"), F.lit(False)) & (F.col("prev_hash") == F.coalesce("__h", F.lit(""))) & (F.col("chain_version") >= F.coalesce("__v", F.lit(0)))
-    return joined.withColumn("ok", ok).drop("__h", "__v")
+def verify(events: DataFrame, tags: tuple[str, str] = hashing.TAGS) -> DataFrame:
+    """One row: n_events, broken_at (the first event that breaks the chain, or null), ok."""
+    return chain_checks(events, tags).agg(F.count("*").alias("n_events"), F.min(F.when(~F.col("ok"), F.col("event_id"))).alias("broken_at")).withColumn("ok", F.col("broken_at").isNull())
 
 
-def verify(events: DataFrame, chain: str = "session_id") -> DataFrame:
-    """One row for each chain: events, ok, first broken event."""
-    return chain_checks(events, chain).groupBy(chain).agg(F.count("*").alias("n_events"), F.min(F.when(~F.col("ok"), F.col("event_id"))).alias("broken_at")).withColumn("ok", F.col("broken_at").isNull())
+def _if_intact(rows: DataFrame, events: DataFrame, tags: tuple[str, str]) -> DataFrame:
+    """rows if the whole ledger verifies, else none."""
+    return rows.filter(verify(events, tags).select("ok").scalar())
 
 
-def verified_replay(events: DataFrame, session_id: str) -> DataFrame:
-    """The session's events if its chain verifies, else none."""
-    mine = events.filter(F.col("session_id") == session_id)
-    broken = chain_checks(mine).filter("not ok").limit(1).select(F.lit(1).alias("b"))
-    return mine.join(broken, F.lit(True), "left_anti").orderBy("event_id")
+def verified_replay(events: DataFrame, session_id: str, tags: tuple[str, str] = hashing.TAGS) -> DataFrame:
+    """The session's events in order if the whole ledger verifies, else none."""
+    return _if_intact(events.filter(F.col("session_id") == session_id), events, tags).orderBy("event_id")
 
 
 # ---- checkpoints --------------------------------------------------------------------
@@ -280,10 +315,18 @@ def recent_scans(scans: DataFrame, findings: DataFrame, limit: int = 0) -> DataF
     return top.join(counts, "scan_id", "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0))).orderBy(F.desc("ts"), F.desc("scan_id"))
 
 
-def protection_summary(events: DataFrame) -> DataFrame:
-    """One pass: counts of the three protection types, events and sessions."""
+def protection_summary(events: DataFrame, tags: tuple[str, str] = hashing.TAGS) -> DataFrame:
+    """One row: counts of the three protection types, events and sessions, and whether the
+    whole chain verifies. Counts are given in either case."""
     n = lambda t, name: F.count_if(F.col("event_type") == t).alias(name)
-    return events.agg(n(RAW_SECRET, "raw_secrets_blocked"), n(LEAK, "tool_result_leaks_detected"), n(ALIAS, "secret_aliases_unresolved"), F.count("*").alias("total_events_audited"), F.countDistinct("session_id").alias("sessions_covered"))
+    intact = F.coalesce(F.bool_and("ok"), F.lit(True)).alias("chain_intact")
+    return chain_checks(events, tags).agg(n(RAW_SECRET, "raw_secrets_blocked"), n(LEAK, "tool_result_leaks_detected"), n(ALIAS, "secret_aliases_unresolved"), F.count("*").alias("total_events_audited"), F.countDistinct("session_id").alias("sessions_covered"), intact)
+
+
+def recent_protection(events: DataFrame, limit: int, tags: tuple[str, str] = hashing.TAGS) -> DataFrame:
+    """The newest events of the three protection types; none of them if the chain is broken,
+    since their texts can't be trusted then."""
+    return _if_intact(recent_events(events, None, list(PROTECTION_TYPES), limit), events, tags).orderBy(F.desc("event_id"))
 
 
 def session_risk(deltas: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -127,33 +128,54 @@ def p15_replay(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.replay(d.events(spark, sf), "s2").select("event_id", "event_type", F.get_json_object("payload_json", "$.k").cast("long").alias("k"))
 
 
-@query(sql("SELECT event_id FROM ledger_events WHERE session_id IN ('s2', 's3') AND session_id NOT IN (SELECT session_id FROM ledger_events WHERE event_id % 97 = 0) ORDER BY event_id", "ledger_events"))
+@query(sql("SELECT 'intact' AS ledger, event_id FROM ledger_events WHERE session_id = 's2'", "ledger_events"))
 def p16_verified_replay(spark: SparkSession, sf: str) -> DataFrame:
-    t = d.tampered(spark, sf).filter(F.col("session_id").isin("s2", "s3"))
-    return ledger.verified_replay(t, "s2").unionByName(ledger.verified_replay(t, "s3")).select("event_id")
+    both = [("intact", d.chained(spark, sf), "s2"), ("tampered", d.tampered(spark, sf), "s3")]
+    got = [ledger.verified_replay(e, session).select(F.lit(name).alias("ledger"), "event_id") for name, e, session in both]
+    return got[0].unionByName(got[1])
 
 
 # ---- chain --------------------------------------------------------------------------
 
-@query(sql("SELECT session_id, count(*) AS n_events, min(event_id) FILTER (event_id % 97 = 0) AS broken_at, count(*) FILTER (event_id % 97 = 0) = 0 AS ok FROM ledger_events GROUP BY session_id", "ledger_events"))
+_TAMPERED = """SELECT 'intact' AS kind, count(*) AS n_events, CAST(NULL AS BIGINT) AS broken_at FROM ledger_events
+ UNION ALL SELECT 'payload', count(*), min(event_id) FILTER (event_id % 97 = 0) FROM ledger_events
+ UNION ALL SELECT 'session', count(*), min(event_id) FILTER (session_id = 's7') FROM ledger_events
+ UNION ALL SELECT 'blanks', count(*), NULL FROM ledger_events
+ UNION ALL SELECT 'removed', count(*), min(event_id) FILTER (b % 101 = 5) FROM (SELECT event_id, lag(event_id, 1) OVER (ORDER BY event_id) AS b FROM ledger_events) WHERE event_id % 101 <> 5
+ UNION ALL SELECT 'version', count(*), min(event_id) FILTER (event_id % 50 = 0) FROM ledger_events"""
+
+
+@query(sql(_TAMPERED, "ledger_events"))
 def c3_verify_tampered(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.verify(d.tampered(spark, sf))
+    e, pid = d.chained(spark, sf), F.col("event_id")
+    kinds = {
+        "intact": e, "payload": d.tampered(spark, sf), "session": e.withColumn("session_id", F.when(F.col("session_id") == "s7", "s8").otherwise(F.col("session_id"))),
+        "blanks": e.withColumn("payload_json", F.concat(F.lit(" "), "payload_json", F.lit(" "))), "removed": e.filter(pid % 101 != 5), "version": e.withColumn("chain_version", F.when(pid % 50 == 0, 1).otherwise(F.col("chain_version"))),
+    }
+    return reduce(DataFrame.unionByName, [ledger.verify(x).select(F.lit(k).alias("kind"), "n_events", "broken_at") for k, x in kinds.items()])
+
+
+_CANON = """('{"k":' || json_extract_string(payload_json, '$.k') || '}')"""
+_V2 = hashing.TAG_V2.encode().hex().upper() + "00000020"
+_MEASURED = "printf('%016x', strlen({0})) || hex(encode({0}))"
+_REST = f"{_MEASURED.format(_CANON)} || '00000008' || printf('%016x', created_at) || {_MEASURED.format('session_id')} || {_MEASURED.format('event_type')} || CASE WHEN redacted_text IS NULL THEN '00' ELSE '01' || {_MEASURED.format('redacted_text')} END"
 
 
-@query(sql("SELECT count(*) AS n_events, count(*) AS n_ok, count(DISTINCT session_id) AS n_chains FROM ledger_events", "ledger_events"))
+@query(sql(f"SELECT count(*) AS n_events, count(*) AS n_ok, list_reduce(list_concat([repeat('00', 32)], list({_REST} ORDER BY event_id)), lambda acc, x: sha256(unhex('{_V2}' || acc || x))) AS head_hash FROM ledger_events", "ledger_events"))
 def c2_build_and_verify(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.chain_checks(d.chained(spark, sf)).agg(F.count("*").alias("n_events"), F.count_if("ok").alias("n_ok"), F.countDistinct("session_id").alias("n_chains"))
+    checked = ledger.chain_checks(d.chained(spark, sf))
+    return checked.agg(F.count("*").alias("n_events"), F.count_if("ok").alias("n_ok"), F.max_by("event_hash", "event_id").alias("head_hash"))
 
 
 _BE8 = "unhex(printf('%016x', {}))"
 
 
-@query(sql(f"""SELECT event_id, sha256(encode('{hashing.TAG_V1}') || unhex('00000020') || unhex(repeat('00', 32)) || {_BE8.format("strlen(payload_json)")} || encode(payload_json) || unhex('00000008') || {_BE8.format("created_at")}) AS event_hash FROM ledger_events""", "ledger_events"))
+@query(sql(f"""SELECT event_id, sha256(encode('{hashing.TAG_V1}') || unhex('00000020') || unhex(repeat('00', 32)) || {_BE8.format(f"strlen({_CANON})")} || encode({_CANON}) || unhex('00000008') || {_BE8.format("created_at")}) AS event_hash FROM ledger_events""", "ledger_events"))
 def c1_event_hash(spark: SparkSession, sf: str) -> DataFrame:
     return d.events(spark, sf).select("event_id", hashing.event_hash_v1(F.lit(""), F.col("payload_json"), F.col("created_at")).alias("event_hash"))
 
 
-@query(sql(f"""SELECT event_id, sha256(encode('{hashing.TAG_V2}') || unhex('00000020') || unhex(repeat('00', 32)) || {_BE8.format("strlen(payload_json)")} || encode(payload_json) || unhex('00000008') || {_BE8.format("created_at")}
+@query(sql(f"""SELECT event_id, sha256(encode('{hashing.TAG_V2}') || unhex('00000020') || unhex(repeat('00', 32)) || {_BE8.format(f"strlen({_CANON})")} || encode({_CANON}) || unhex('00000008') || {_BE8.format("created_at")}
  || {_BE8.format("strlen(session_id)")} || encode(session_id) || {_BE8.format("strlen(event_type)")} || encode(event_type) || CASE WHEN redacted_text IS NULL THEN unhex('00') ELSE unhex('01') || {_BE8.format("strlen(redacted_text)")} || encode(redacted_text) END) AS event_hash FROM ledger_events""", "ledger_events"))
 def c2_event_hash_v2(spark: SparkSession, sf: str) -> DataFrame:
     e = d.events(spark, sf)
@@ -171,20 +193,15 @@ def c8_args_hash(spark: SparkSession, sf: str) -> DataFrame:
     return d.load(spark, sf, "events").select("event_id", hashing.args_hash(F.col("props")).alias("args_hash"))
 
 
-@query(sql("SELECT event_id, coalesce(lag(event_id) OVER (PARTITION BY session_id ORDER BY event_id), 0) AS previous FROM ledger_events", "ledger_events"))
+@query(sql("SELECT event_id, coalesce(lag(event_id) OVER (ORDER BY event_id), 0) AS previous FROM ledger_events", "ledger_events"))
 def w1_chain_links(spark: SparkSession, sf: str) -> DataFrame:
-    return d.events(spark, sf).select("event_id", F.coalesce(F.lag("event_id").over(Window.partitionBy("session_id").orderBy("event_id")), F.lit(0)).alias("previous"))
-
-
-@query(sql("SELECT line, event_id FROM (SELECT row_number() OVER (ORDER BY event_id // 2 , event_id) AS line, event_id // 2 AS event_id, lag(event_id // 2) OVER (ORDER BY event_id // 2, event_id) AS b FROM ledger_events WHERE event_id BETWEEN 2 AND 200) WHERE event_id <= b", "ledger_events"))
-def w4_checkpoint_order(spark: SparkSession, sf: str) -> DataFrame:
-    e = d.events(spark, sf).filter("event_id between 2 and 200").select(F.expr("event_id div 2").alias("half"), "event_id")
-    points = e.select(F.row_number().over(Window.orderBy("half", "event_id")).alias("line"), F.col("half").alias("event_id"), F.lit("0" * 64).alias("event_hash"), F.lit("").alias("prev_hash"))
-    return ledger.checkpoint_faults(points).select("line", "event_id")
+    e = d.chained(spark, sf)
+    named = e.select(F.col("event_hash").alias("prev_hash"), F.col("event_id").alias("previous"))
+    return e.join(named, "prev_hash", "left").select("event_id", F.coalesce("previous", F.lit(0)).alias("previous"))
 
 
 @query(sql("SELECT line, event_id FROM (SELECT row_number() OVER (ORDER BY event_id) AS line, event_id // 2 AS event_id, lag(event_id // 2) OVER (ORDER BY event_id) AS b FROM ledger_events) WHERE event_id <= 0 OR event_id <= b", "ledger_events"))
-def w4_checkpoint_order_all(spark: SparkSession, sf: str) -> DataFrame:
+def w4_checkpoint_order(spark: SparkSession, sf: str) -> DataFrame:
     e = ledger.numbered(d.events(spark, sf).select("event_id"), "event_id")
     points = e.select("line", F.expr("event_id div 2").alias("event_id"), F.lit("0" * 64).alias("event_hash"), F.lit("").alias("prev_hash"))
     return ledger.checkpoint_faults(points).select("line", "event_id")
@@ -214,15 +231,17 @@ def g3_bit_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return d.scans(spark, sf).groupBy("len_bucket").agg(F.count("*").alias("n"))
 
 
-@query(sql(f"""SELECT count(*) FILTER (event_type = '{ledger.RAW_SECRET}') AS raw_secrets_blocked, count(*) FILTER (event_type = '{ledger.LEAK}') AS tool_result_leaks_detected, count(*) FILTER (event_type = '{ledger.ALIAS}') AS secret_aliases_unresolved,
- count(*) AS total_events_audited, count(DISTINCT session_id) AS sessions_covered FROM ledger_events""", "ledger_events"))
+@query(sql(f"""SELECT unnest(['intact', 'tampered']) AS ledger, count(*) FILTER (event_type = '{ledger.RAW_SECRET}') AS raw_secrets_blocked, count(*) FILTER (event_type = '{ledger.LEAK}') AS tool_result_leaks_detected, count(*) FILTER (event_type = '{ledger.ALIAS}') AS secret_aliases_unresolved,
+ count(*) AS total_events_audited, count(DISTINCT session_id) AS sessions_covered, unnest([true, false]) AS chain_intact FROM ledger_events""", "ledger_events"))
 def g4_protection_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.protection_summary(d.events(spark, sf))
+    both = [ledger.protection_summary(e).withColumn("ledger", F.lit(name)) for name, e in (("intact", d.chained(spark, sf)), ("tampered", d.tampered(spark, sf)))]
+    return both[0].unionByName(both[1])
 
 
-@query(sql(f"SELECT {_FEED} FROM ledger_events WHERE event_type IN {ledger.PROTECTION_TYPES} ORDER BY event_id DESC LIMIT 10", "ledger_events"))
+@query(sql(f"SELECT 'intact' AS ledger, {_FEED} FROM ledger_events WHERE event_type IN {ledger.PROTECTION_TYPES} ORDER BY event_id DESC LIMIT 10", "ledger_events"))
 def g4_recent_protection(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.recent_events(d.events(spark, sf), None, list(ledger.PROTECTION_TYPES), 10)
+    both = [ledger.recent_protection(e, 10).withColumn("ledger", F.lit(name)) for name, e in (("intact", d.chained(spark, sf)), ("tampered", d.tampered(spark, sf)))]
+    return both[0].unionByName(both[1])
 
 
 @query(sql("SELECT s.scan_id, s.session_id, s.ts, count(f.scan_id) AS n_findings FROM (SELECT * FROM scans ORDER BY ts DESC, scan_id DESC LIMIT 50) s LEFT JOIN findings f USING (scan_id) GROUP BY ALL", "scans", "findings"))
@@ -285,14 +304,8 @@ def j5_session_event_counts(spark: SparkSession, sf: str) -> DataFrame:
     return d.sessions(spark, sf).join(n, "session_id", "left").select("session_id", "source", F.coalesce("n", F.lit(0)).alias("n_events"))
 
 
-@query("SELECT doc_id % 5 AS server, sha256(string_agg(sha256(lang || doc_id), '' ORDER BY doc_id)) AS hash FROM documents WHERE doc_id < 200 GROUP BY 1")
-def g17_tools_hash(spark: SparkSession, sf: str) -> DataFrame:
-    t = d.load(spark, sf, "documents").filter("doc_id < 200").select((F.col("doc_id") % 5).alias("server"), F.struct(F.col("doc_id").alias("pos"), F.sha2(F.concat("lang", F.col("doc_id").cast("string")).cast("binary"), 256).alias("hash")).alias("x"))
-    return t.groupBy("server").agg(F.collect_list("x").alias("xs")).select("server", hashing.tools_hash(F.col("xs")).alias("hash"))
-
-
 @query("SELECT doc_id // 40 AS server, sha256(string_agg(sha256(lang || doc_id), '' ORDER BY doc_id)) AS hash FROM documents GROUP BY 1")
-def g17_tools_hash_all(spark: SparkSession, sf: str) -> DataFrame:
+def g17_tools_hash(spark: SparkSession, sf: str) -> DataFrame:
     t = d.load(spark, sf, "documents").select(F.expr("doc_id div 40").alias("server"), F.struct(F.col("doc_id").alias("pos"), F.sha2(F.concat("lang", F.col("doc_id").cast("string")).cast("binary"), 256).alias("hash")).alias("x"))
     return t.groupBy("server").agg(F.collect_list("x").alias("xs")).select("server", hashing.tools_hash(F.col("xs")).alias("hash"))
 
@@ -317,13 +330,8 @@ def _metadata_binding(events: DataFrame) -> DataFrame:
     return ledger.metadata_tampering(meta, bound).select("token_ref", "bound")
 
 
-@query("SELECT token_ref, bound FROM (SELECT 't' || event_id AS token_ref, event_id % 3 <> 1 AS bound FROM events WHERE event_id < 300)")
-def j12_metadata_binding(spark: SparkSession, sf: str) -> DataFrame:
-    return _metadata_binding(d.load(spark, sf, "events").filter("event_id < 300"))
-
-
 @query("SELECT token_ref, bound FROM (SELECT 't' || event_id AS token_ref, event_id % 3 <> 1 AS bound FROM events)")
-def j12_metadata_binding_all(spark: SparkSession, sf: str) -> DataFrame:
+def j12_metadata_binding(spark: SparkSession, sf: str) -> DataFrame:
     return _metadata_binding(d.load(spark, sf, "events"))
 
 
@@ -397,16 +405,9 @@ def r4_hard_secret(spark: SparkSession, sf: str) -> DataFrame:
     return d.load(spark, sf, "documents").groupBy(redaction.hard_secret(F.col("text")).alias("first_rule")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, CASE WHEN regexp_matches(text, '{_RE['env_assignment']}') THEN NULL ELSE sha256(regexp_replace(text, '{_RE['email']}', '[REDACTED email]', 'g')) END AS clean FROM documents WHERE NOT regexp_matches(text, '{_RE['generic_url']}') AND NOT regexp_matches(text, '{_RE['internal_ipv4']}')")
-def r6_scrub(spark: SparkSession, sf: str) -> DataFrame:
-    docs = d.load(spark, sf, "documents").filter(~redaction.matches(F.col("text"), "generic_url", redaction.URL) & ~redaction.matches(F.col("text"), "internal_ipv4", redaction.IPV4))
-    env = F.regexp_like("text", F.lit("(?U)" + redaction.ENV))
-    return docs.select("doc_id", F.when(~env, F.sha2(redaction.scrub(F.col("text")).cast("binary"), 256)).alias("clean"))
-
-
 # SQL can't express the union of spans; tests/test_whole_tables.py compares with brute force
 @query()
-def r6_scrub_all(spark: SparkSession, sf: str) -> DataFrame:
+def r6_scrub(spark: SparkSession, sf: str) -> DataFrame:
     return d.load(spark, sf, "documents").select("doc_id", F.sha2(redaction.scrub(F.col("text")).cast("binary"), 256).alias("clean"))
 
 
@@ -526,11 +527,44 @@ def g11_actions(spark: SparkSession, sf: str) -> DataFrame:
     return _decided(spark, sf).groupBy("p.action").agg(F.count("*").alias("n"), F.min("s.risk").alias("least"), F.max("s.risk").alias("most"))
 
 
-@query()
+_JUDGED_SQL = _SCORED_SQL.replace("SELECT c.*, k,", "SELECT c.*,")
+_SUMMARY_SQL = """'risk ' || risk || '/100' || CASE k WHEN 0 THEN CASE WHEN host <> '' THEN ' | hosts: ' || host ELSE '' END WHEN 1 THEN ' | reads: 1'
+ WHEN 2 THEN ' | writes: ' || CASE WHEN invocation_id % 4 = 0 THEN '/etc/passwd' ELSE '/work/p' || invocation_id || '.md' END WHEN 5 THEN ' | secrets: secret://db/password | recipients: 2' ELSE '' END"""
+#: (weight, when, text) of each reason, in the order in which equal weights come.
+_REASONS_SQL = [
+    (15, "descriptor = 'FirstSeen'", "'first-seen MCP server'"), (25, "descriptor = 'Drifted'", "'descriptor hash drifted since last approval'"), (20, "k = 2", "'writes local files: 1'"), (30, "k = 2 AND invocation_id % 4 = 0", "'writes OUTSIDE project: /etc/passwd'"),
+    (15, "k = 0", "'outbound network: [\"' || host || '\"]'"), (20, f"k = 0 AND host <> '{HOSTS[0]}'", "'unknown host: ' || host"), (25, "k = 5", "'uses credential lease: [\"secret://db/password\"]'"), (30, "k = 4", "'runs native subprocess'"),
+    (35, "destructive", "'destructive operation detected'"), (25, "k = 5", "'sends to recipients / submits form: 2'"),
+]
+_REASON_LIST_SQL = "[" + ", ".join(f"{{'w': {-w}, 'i': {i}, 'r': CASE WHEN {c} THEN {r} END}}" for i, (w, c, r) in enumerate(_REASONS_SQL)) + "]"
+
+
+@query(sql(f"SELECT invocation_id, {_SUMMARY_SQL} AS summary, array_to_string(list_transform(list_sort(list_filter({_REASON_LIST_SQL}, lambda x: x.r IS NOT NULL)), lambda x: x.r), '; ') AS reasons FROM ({_JUDGED_SQL})", "calls"))
 def x18_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf).select("invocation_id", decision.summary(F.col("s.risk"), F.col("e")).alias("summary"), F.array_join("s.reasons", "; ").alias("reasons"))
 
 
+_ARGS_SQL = """CASE k WHEN 0 THEN '{"url":"' || url || '"}' WHEN 1 THEN '{"path":"src/x/../a' || invocation_id || '.txt"}' WHEN 2 THEN CASE WHEN invocation_id % 4 = 0 THEN '{"path":"/etc/passwd"}' ELSE '{"path":"/work/p' || invocation_id || '.md"}' END
+ WHEN 3 THEN CASE WHEN invocation_id % 4 = 1 THEN '{"sql":"DELETE FROM t"}' ELSE '{"sql":"SELECT 1"}' END WHEN 4 THEN CASE WHEN invocation_id % 4 = 0 THEN '{"command":"rm -rf /tmp/x"}' ELSE '{"command":"ls -la"}' END
+ ELSE '{"body":"secret://db/password","to":["a@example.org","b@example.org"]}' END"""
+
+
+@query(sql(f"""SELECT 'approval-d' || invocation_id AS approval_id, session_id, sha256({_ARGS_SQL}) AS args_hash, 'Pending' AS status, tool_name || ' on ' || server_id AS title, {_SUMMARY_SQL} AS summary, {d.NOW} AS created_at, {d.NOW} + 300 AS expires_at
+ FROM (SELECT j.*, c.url FROM ({_JUDGED_SQL}) j JOIN calls c USING (invocation_id)) WHERE ({_ACTION_SQL}) = 'approve'""", "calls"))
+def x17_approvals(spark: SparkSession, sf: str) -> DataFrame:
+    made = _decided(spark, sf).select(F.concat(F.lit("d"), "invocation_id").alias("decision_id"), "session_id", "server_id", "tool_name", "args", F.col("e").alias("effects"), F.col("s.risk").alias("risk"), F.col("p.action").alias("action"))
+    return policy.approval_rows(made, d.NOW).select("approval_id", "session_id", "args_hash", "status", "title", "summary", "created_at", "expires_at")
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 4 = 2 THEN '' ELSE 'BrowserSubmit' END AS effects, CASE WHEN page_id % 4 = 2 THEN '' ELSE {_HOST_SQL} END AS hosts, CASE WHEN page_id % 4 = 2 THEN 0 ELSE 25 END AS risk FROM pages WHERE url IS NOT NULL""")
+def x8_browser(spark: SparkSession, sf: str) -> DataFrame:
+    action = F.get(F.array(*[F.lit(a) for a in ("submit", "fill_form", "open", "post")]), (F.col("page_id") % 4).cast("int"))
+    pages = d.load(spark, sf, "pages").filter("url is not null").withColumn("args", F.to_json(F.struct(action.alias("action"), F.col("url").alias("origin"))))
+    made = pages.withColumn("e", F.explode(F.array(decision.effects(F.lit("web"), F.lit("browser_act"), F.col("args")))))
+    risk = decision.score(F.col("e"), F.lit("ApprovedStable"), HOSTS, ROOTS)["risk"]
+    return made.select("page_id", F.array_join("e.effects", ",").alias("effects"), F.array_join("e.network_hosts", ",").alias("hosts"), risk.alias("risk"))
+
+
 @query(sql("SELECT session_id, CASE WHEN risk_score >= 24 THEN 'high' ELSE 'medium' END AS profile, CASE WHEN risk_score >= 24 THEN 'deny' ELSE 'ask' END AS action FROM sessions", "sessions"))
 def x19_posture(spark: SparkSession, sf: str) -> DataFrame:
     p = decision.effective_profile(F.lit("medium"), F.col("risk_score"))

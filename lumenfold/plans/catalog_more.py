@@ -108,10 +108,13 @@ def g9_preflight(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- hashes and chains --------------------------------------------------------------
 
-@query(sql("SELECT session_id, min(event_id) AS broken_at FROM (SELECT session_id, event_id, lag(event_id) OVER (PARTITION BY session_id ORDER BY event_id) AS b, event_id % 50 = 0 AS down FROM ledger_events) WHERE down GROUP BY session_id", "ledger_events"))
+@query(sql("SELECT count(*) AS n_events, min(event_id) FILTER (event_id % 50 = 49) AS broken_at FROM ledger_events", "ledger_events"))
 def w2_version_downgrade(spark: SparkSession, sf: str) -> DataFrame:
-    e = d.chained(spark, sf).withColumn("chain_version", F.when(F.col("event_id") % 50 == 0, 1).otherwise(F.col("chain_version")))
-    return ledger.verify(e).filter("not ok").select("session_id", "broken_at")
+    # the rows taken back to version 1 have the hash that fits it
+    v1 = hashing.event_hash_v1(F.col("prev_hash"), F.col("payload_json"), F.col("created_at"))
+    back = F.col("event_id") % 50 == 49
+    e = d.chained(spark, sf).withColumns({"chain_version": F.when(back, 1).otherwise(F.col("chain_version")), "event_hash": F.when(back, v1).otherwise(F.col("event_hash"))})
+    return ledger.verify(e).select("n_events", "broken_at")
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN repeat('00', 32) WHEN 1 THEN sha256(CAST(event_id AS VARCHAR)) END AS bytes FROM events")
@@ -223,13 +226,8 @@ def _decode_tokens(events: DataFrame) -> DataFrame:
     return got.select("event_id", F.upper(label).alias("core"), label.alias("label"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN NULL ELSE 'EMAIL' END AS core, CASE event_id % 4 WHEN 0 THEN 'person' WHEN 1 THEN NULL ELSE 'email' END AS label FROM events WHERE event_id < 400")
-def r22_decode_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return _decode_tokens(d.load(spark, sf, "events").filter("event_id < 400"))
-
-
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN NULL ELSE 'EMAIL' END AS core, CASE event_id % 4 WHEN 0 THEN 'person' WHEN 1 THEN NULL ELSE 'email' END AS label FROM events")
-def r22_decode_tokens_all(spark: SparkSession, sf: str) -> DataFrame:
+def r22_decode_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _decode_tokens(d.load(spark, sf, "events"))
 
 
@@ -309,9 +307,44 @@ def x12_scope_conditions(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("page_id", F.array_join(policy.decide(rules, context)["policy_ids"], ",").alias("ids"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{r.id}', '{r.action}', {r.priority})" for r in policy.DEFAULT_RULES) + ") v(id, action, priority)")
+#: One rule for each kind of condition, and when it holds.
+_CONDITIONS = {
+    "a-inside": (policy.Condition("inside", "project_roots", "paths_write"), "k = 2 AND invocation_id % 4 <> 0"), "b-outside": (policy.Condition("outside", "project_roots", "paths_write"), "k = 2 AND invocation_id % 4 = 0"),
+    "c-eq": (policy.Condition("eq", "destructive", True), "destructive"), "d-host": (policy.Condition("host_not_in", "allowed_hosts"), f"k = 0 AND host <> '{HOSTS[0]}'"), "e-risk": (policy.Condition("risk_at_least", "", 40), "risk >= 40"),
+    "f-effect": (policy.Condition("effect_includes", "", "NetOutbound"), "k = 0"), "g-descriptor": (policy.Condition("descriptor_is", "", "FirstSeen"), "descriptor = 'FirstSeen'"),
+    "h-scope": (policy.Condition("scope_not_in", "ok"), "invocation_id % 4 IN (1, 3)"), "i-pii": (policy.Condition("pii_contains", "email", 2), "invocation_id % 3 = 2"),
+}
+
+
+def _ids_sql(named: list[tuple[str, str]]) -> str:
+    """The names whose conditions hold, in the order given."""
+    cases = ", ".join(f"CASE WHEN {c} THEN '{name}' END" for name, c in named)
+    return f"coalesce(nullif(array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ','), ''), 'default-deny')"
+
+
+@query(sql(f"SELECT invocation_id, {_ids_sql([(name, c) for name, (_, c) in _CONDITIONS.items()])} AS ids FROM ({_INNER})", "calls"))
+def x12_conditions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every kind of condition, each in a rule of its own."""
+    i = F.col("invocation_id")
+    scopes = F.when(i % 4 > 0, F.expr("case invocation_id % 4 when 1 then cast(array() as array<string>) when 2 then array('read') else array('write') end"))
+    s = _decided(spark, sf).drop("p").withColumns({"scopes": scopes, "pii": F.create_map(F.lit("email"), (i % 3).cast("int"))})
+    context = policy.Context({"project_roots": ["/work"]}, {"ok": ["read"], "allowed_hosts": HOSTS}, F.col("e"), F.col("s.risk"), F.col("descriptor"), F.col("scopes"), F.col("pii"))
+    rules = [policy.Rule(name, "approve", 1, (), (c,)) for name, (c, _) in _CONDITIONS.items()]
+    return s.select("invocation_id", F.array_join(policy.decide(rules, context)["policy_ids"], ",").alias("ids"))
+
+
+#: Stated from what the default rules are for, apart from the rules themselves.
+_DEFAULTS_HOLD = [
+    ("deny-destructive-shell", "k = 4 AND destructive"), ("deny-destructive-sql", "k = 3 AND destructive"), ("deny-outside-project", "k = 2 AND invocation_id % 4 = 0"), ("approve-descriptor-drift", "descriptor = 'Drifted'"),
+    ("approve-descriptor-first-seen", "descriptor = 'FirstSeen'"), ("approve-repo-write", "k = 2 AND invocation_id % 4 <> 0"), ("approve-comm-send", "k = 5"), ("approve-secret-use", "k = 5"),
+    ("approve-unknown-host", f"k = 0 AND host <> '{HOSTS[0]}'"), ("approve-exec-native", "k = 4"), ("allow-repo-read", "k = 1 AND descriptor = 'ApprovedStable'"),
+]
+
+
+@query(sql(f"SELECT invocation_id, {_ids_sql(_DEFAULTS_HOLD)} AS ids FROM ({_INNER})", "calls"))
 def x14_default_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(r.id, r.action, r.priority) for r in policy.DEFAULT_RULES], "id string, action string, priority int")
+    """Which of the default rules fire, in their order."""
+    return _decided(spark, sf).select("invocation_id", F.array_join("p.policy_ids", ",").alias("ids"))
 
 
 @query(sql(f"SELECT invocation_id, least(100, risk + 25) AS risk FROM ({_INNER})", "calls"))

@@ -10,10 +10,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.decision import host_matches, under_root
+from ..functions.decision import TTL_S, host_matches, summary, under_root
+from ..functions.hashing import args_hash
 
 DEFAULT_DENY = "default-deny"
 
@@ -129,3 +130,17 @@ def decide(rules: list[Rule], context: Context) -> Column:
         F.when(none, F.array(F.lit(DEFAULT_DENY))).otherwise(F.transform(hits, lambda h: h["id"])).alias("policy_ids"),
         F.when(none, F.array(F.lit("no rule matched; fail-closed default deny"))).otherwise(F.transform(hits, lambda h: F.concat(F.lit("rule `"), h["id"], F.lit("` → "), F.initcap(h["action"])))).alias("reasons"),
     )
+
+
+def approval_rows(decided: DataFrame, now: int, ttl: int = TTL_S) -> DataFrame:
+    """The approvals that decisions ask for, one for each call whose action is approve.
+
+    decided: decision_id, session_id, server_id, tool_name, args, effects (struct), risk,
+    action. An approval is pending until it expires `ttl` seconds after `now`; 0 means at once.
+    """
+    e = F.col("effects")
+    return decided.filter("action = 'approve'").select(
+        F.concat(F.lit("approval-"), "decision_id").alias("approval_id"), "decision_id", "session_id", "server_id", "tool_name", args_hash(F.col("args")).alias("args_hash"), F.lit("Pending").alias("status"),
+        F.lit(None).cast("string").alias("scope"), F.concat("tool_name", F.lit(" on "), "server_id").alias("title"), summary(F.col("risk"), e).alias("summary"), F.to_json(e).alias("effect_json"), F.lit(now).cast("long").alias("created_at"),
+        F.lit(now + ttl).cast("long").alias("expires_at"), F.lit(None).cast("long").alias("resolved_at"), F.lit(None).cast("string").alias("resolved_by"),
+    )

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import shlex
 import struct
 
 import pytest
@@ -32,11 +33,33 @@ def chain_v1(prev, payload, at):
     return hashlib.sha256(raw).hexdigest()
 
 
-@pytest.mark.parametrize(("prev", "payload", "at"), [("", "{}", 1700000000), ("ab" * 32, '{"a":1,"b":"测试"}', 1700000001), ("", "", -1)])
+@pytest.mark.parametrize(("prev", "payload", "at"), [("", "{}", 1700000000), ("ab" * 32, '{"a":1,"b":"测试"}', 1700000001), ("", '{"z":[]}', -1)])
 def test_event_hash_v1(spark, prev, payload, at):
     assert one(spark, hashing.event_hash_v1(F.col("p"), F.col("j"), F.col("t")), p=prev, j=payload, t=at) == chain_v1(prev, payload, at)
 
 
+def test_event_hash_takes_any_form_of_a_payload(spark):
+    spaced = ' { "b" : "测试" ,\n "a" : 1.0 } '
+    assert one(spark, hashing.event_hash_v1(F.lit(""), F.col("j"), F.lit(5)), j=spaced) == chain_v1("", '{"a":1,"b":"测试"}', 5)
+    assert one(spark, hashing.event_hash_v1(F.lit(""), F.col("j"), F.lit(5)), j="{bad") is None
+    assert one(spark, hashing.event_hash_v1(F.lit(""), F.lit("{}"), F.lit(5), "other.tag")) != chain_v1("", "{}", 5)
+
+
+@pytest.mark.parametrize("text", ["{}", '{"k":1}', '{"b":1,"a":[true,null,"x y"],"c":{"z":-5,"y":"/"}}', '{"a":1.50}', '{"a":1e3}', '{"a":-0}', '{"a":12345678901234567890}', '{"é":"ü","a":"\\u00e9"}', '"a\\"b"', " [ 1 , 2 ] ", "7", '{"a":1,"a":2}', '{"a":"\\u0001\\n\\/"}', '{"A":1,"a":2,"B":3}', '{"a.b":1,"a b":2,"a":3}'])
+def test_canonical_payload(spark, text):
+    assert one(spark, hashing.canonical_payload(F.col("j")), j=text) == canonical(json.loads(text))
+
+
+def test_canonical_payload_of_no_json(spark):
+    assert one(spark, hashing.canonical_payload(F.col("j")), j="{bad") is None and one(spark, hashing.canonical_payload(F.lit(None).cast("string"))) is None
+
+
+def test_digest_of_one_event(spark):
+    for text in (None, "", "ré"):
+        v2 = one(spark, hashing.event_hash_v2(F.lit("ab" * 32), F.lit('{"a":1}'), F.lit(-7), F.lit("s"), F.lit("é"), F.lit(text).cast("string")))
+        assert hashing.event_digest(hashing.TAG_V2, bytes.fromhex("ab" * 32), '{"a":1}', -7, "s", "é", text).hex() == v2
+
+
 def test_event_hash_v2_tells_null_from_empty(spark):
     args = [F.lit(x) for x in ("", "{}", 1, "s", "t")]
     a, b = (one(spark, hashing.event_hash_v2(args[0], args[1], args[2].cast("long"), args[3], args[4], x)) for x in (F.lit(None).cast("string"), F.lit("")))
@@ -203,3 +226,18 @@ def test_redact_from_right(spark):
     found = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(k).alias("kind")) for a, b, k in ((0, 20, "env_assignment"), (4, 20, "jwt"), (30, 99, "email"), (23, 24, "odd"))])
     got = one(spark, json_walk.redact_from_right(F.col("t"), found), t="key=" + "s" * 16 + " tail words that follow")
     assert "ssss" not in got and got.startswith("[REDACTED secret]")
+
+
+@pytest.mark.parametrize("line", ["", "  ", "ls -la", " a  'b c' \"d \\\" \\x e\" f\\ g ", "a''b ''", "x'y'\"z\"w", "'open", 'open"', "tail\\", "a\tb\nc\r", "a\\'b", "'it''s'", "é 'ü x' \\ü", "a\x0bb", '""', "a\\\nb", "\"a\\\\\" b", "'\\'"])
+def test_shell_split(spark, line):
+    try:
+        wanted = shlex.split(line, comments=False)
+    except ValueError:
+        wanted = None
+    assert one(spark, decision.shell_split(F.col("x")), x=line) == wanted
+
+
+def test_effects_are_parsed_once(spark):
+    e = decision.effects(F.col("s"), F.col("t"), F.col("a"), "/w")
+    plan = spark.createDataFrame([("x", "y", "{}")], "s string, t string, a string").select(e.alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") + plan.count("parse_json") <= 1 and "Python" not in plan

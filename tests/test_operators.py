@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfold.functions import hashing
 from lumenfold.operators import evaluation, ledger, machines, search
 from lumenfold.streaming import sessions as streaming
 
@@ -15,29 +16,69 @@ def chained(spark):
     return ledger.build_chain(spark.createDataFrame(EVENTS, SCHEMA)).cache()
 
 
-def broken(df):
-    return {r.session_id: r.broken_at for r in ledger.verify(df).collect()}
+def broken(df, **kw):
+    return ledger.verify(df, **kw).first().broken_at
 
 
-def test_untouched_chain_verifies(chained):
-    assert broken(chained) == {"a": None, "b": None}
+def test_untouched_chain_verifies(chained, monkeypatch):
+    assert broken(chained) is None and broken(chained.filter("event_id <= 3")) is None
+    monkeypatch.setattr(ledger, "CHAIN_SLICE", 2)
+    assert broken(chained) is None
 
 
-@pytest.mark.parametrize(("column", "value"), [("payload_json", "[]"), ("event_type", "t"), ("redacted_text", None), ("created_at", 99), ("event_hash", "0" * 64), ("prev_hash", "0" * 64), ("chain_version", 1), ("chain_version", 7)])
-def test_tampering_is_found(chained, column, value):
+@pytest.mark.parametrize("size", [2, 1 << 16])
+@pytest.mark.parametrize(("column", "value"), [("payload_json", "[]"), ("payload_json", "no json"), ("event_type", "t"), ("session_id", "a"), ("redacted_text", None), ("created_at", 99), ("event_hash", "0" * 64), ("prev_hash", "0" * 64), ("chain_version", 1), ("chain_version", 7)])
+def test_tampering_is_found(chained, monkeypatch, column, value, size):
+    monkeypatch.setattr(ledger, "CHAIN_SLICE", size)
     kind = dict(chained.dtypes)[column]
-    touched = chained.withColumn(column, F.when(F.col("event_id") == 1, F.lit(value).cast(kind)).otherwise(F.col(column)))
-    assert broken(touched)["a"] == 1
+    touched = chained.withColumn(column, F.when(F.col("event_id") == 3, F.lit(value).cast(kind)).otherwise(F.col(column)))
+    assert broken(touched) == 3
 
 
 def test_removed_event_is_found(chained):
-    assert broken(chained.filter("event_id <> 2"))["a"] == 4
-
-
-def test_global_check(spark):
-    one = ledger.build_chain(spark.createDataFrame(EVENTS, SCHEMA).withColumn("all", F.lit(1)), "all").drop("all")
-    assert ledger.chain_checks_global(one).filter("not ok").count() == 0
-    assert [r.event_id for r in ledger.chain_checks_global(one.withColumn("payload_json", F.when(F.col("event_id") == 3, "9").otherwise(F.col("payload_json")))).filter("not ok").collect()] == [3]
+    assert broken(chained.filter("event_id <> 2")) == 3
+    assert broken(chained.filter("session_id <> 'b'")) == 4 and broken(chained.filter("event_id > 1")) == 2
+
+
+def test_gaps_other_tags_and_blanks(spark):
+    rows = [(e[0] * 70_000, *e[1:]) for e in EVENTS]
+    own = ledger.build_chain(spark.createDataFrame(rows, SCHEMA), tags=("t.v1", "t.v2"))
+    assert broken(own, tags=("t.v1", "t.v2")) is None and broken(own) == 70_000
+    assert broken(own.withColumn("payload_json", F.concat(F.lit(" "), "payload_json", F.lit("\n"))), tags=("t.v1", "t.v2")) is None
+
+
+def test_old_events_before_new_ones(spark, chained):
+    first = spark.createDataFrame([(0, "a", "x", '{"b":[1.0,"é"],"a":1e2}', "t", 9)], SCHEMA).withColumns({"prev_hash": F.lit(""), "chain_version": F.lit(1)})
+    first = first.withColumn("event_hash", hashing.event_hash_v1(F.col("prev_hash"), F.col("payload_json"), F.col("created_at")))
+    start = first.first().event_hash
+    later = ledger.build_chain(spark.createDataFrame(EVENTS, SCHEMA), start)
+    assert broken(first.unionByName(later)) is None
+    down = later.withColumn("chain_version", F.when(F.col("event_id") == 3, 1).otherwise(F.col("chain_version")))
+    down = down.withColumn("event_hash", F.when(F.col("event_id") == 3, hashing.event_hash_v1(F.col("prev_hash"), F.col("payload_json"), F.col("created_at"))).otherwise(F.col("event_hash")))
+    assert broken(first.unionByName(down)) == 3  # its own hash fits
+
+
+def test_append(spark, chained):
+    batch = spark.createDataFrame([(7, "c", "x.y", '{"b": 1, "a": [2]}', None, 20), (3, "a", "x.y", "{}", "first", 19)], SCHEMA.replace("event_id", "seq"))
+    more = ledger.append(chained, batch)
+    both = chained.unionByName(more.select(*chained.columns))
+    assert [(r.event_id, r.payload_json, r.redacted_text) for r in more.orderBy("event_id").collect()] == [(5, "{}", "first"), (6, '{"a":[2],"b":1}', None)] and broken(both) is None
+    assert broken(ledger.append(chained.limit(0), batch)) is None
+    for bad in [(1, "c", "tool_call.x", "{}", None, 1), (1, "c", "", "{}", None, 1), (1, "c", "x", "{", None, 1), (1, "c", "x", "{}", "key gh" + "p_" + "a1" * 20, 1)]:
+        with pytest.raises(Exception, match="rejected|JSON"):
+            ledger.append(chained, spark.createDataFrame([bad], SCHEMA.replace("event_id", "seq"))).collect()
+
+
+def test_replay_and_summary_of_a_broken_ledger(spark, chained):
+    assert [r.event_id for r in ledger.verified_replay(chained, "a").collect()] == [1, 2, 4]
+    touched = chained.withColumn("payload_json", F.when(F.col("session_id") == "b", "[]").otherwise(F.col("payload_json")))
+    assert ledger.verified_replay(touched, "a").count() == 0
+    kinds = spark.createDataFrame([(1, "a", ledger.LEAK, "{}", "t", 1), (2, "a", ledger.ALIAS, "{}", "t", 1), (3, "b", "x", "{}", "t", 1)], SCHEMA)
+    good = ledger.build_chain(kinds)
+    bad = good.withColumn("redacted_text", F.lit("u"))
+    got = [ledger.protection_summary(e).first() for e in (good, bad)]
+    assert [(r.chain_intact, r.tool_result_leaks_detected, r.total_events_audited, r.sessions_covered) for r in got] == [(True, 1, 3, 2), (False, 1, 3, 2)]
+    assert [[r.event_id for r in ledger.recent_protection(e, 5).collect()] for e in (good, bad)] == [[2, 1], []]
 
 
 def test_checkpoints(spark, chained, tmp_path):
@@ -53,7 +94,8 @@ def test_checkpoints(spark, chained, tmp_path):
 def test_empty_ledger(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert ledger.head(none).count() == 0 and ledger.build_chain(none).count() == 0
-    assert ledger.protection_summary(none).first().total_events_audited == 0
+    got = ledger.protection_summary(ledger.build_chain(none)).first()
+    assert got.total_events_audited == 0 and got.chain_intact and ledger.verify(ledger.build_chain(none)).first().ok
 
 
 @pytest.mark.parametrize(("query", "ids"), [("cafe", [1]), ("un_deux", [1]), ("deux", [4]), ("deux OR cafe", [1, 4]), ("deux NOT trois", []), ('"deux trois"', [4]), ("x*", [1, 2, 3]), ("event_type:x.y session_id:a", [1]), ("(cafe OR trois) AND session_id:a", [1, 4]), ("CAFÉ", [1])])

@@ -19,20 +19,20 @@ def rows(spark, name):
 
 
 def test_tools_hash_covers_all_documents(spark):
-    got = {r.server for r in entry.queries()["g17_tools_hash_all"](spark, SF).collect()}
+    got = {r.server for r in entry.queries()["g17_tools_hash"](spark, SF).collect()}
     assert got == {r.doc_id // 40 for r in rows(spark, "documents").select("doc_id").collect()}
 
 
 def test_metadata_binding_covers_all_events(spark):
-    assert entry.queries()["j12_metadata_binding_all"](spark, SF).count() == rows(spark, "events").count() > 300
+    assert entry.queries()["j12_metadata_binding"](spark, SF).count() == rows(spark, "events").count() > 300
 
 
 def test_decode_tokens_covers_all_events(spark):
-    assert entry.queries()["r22_decode_tokens_all"](spark, SF).count() == rows(spark, "events").count() > 400
+    assert entry.queries()["r22_decode_tokens"](spark, SF).count() == rows(spark, "events").count() > 400
 
 
 def test_checkpoint_order_reports_faults_beyond_event_200(spark):
-    assert max(r.event_id for r in entry.queries()["w4_checkpoint_order_all"](spark, SF).collect()) > 100
+    assert max(r.event_id for r in entry.queries()["w4_checkpoint_order"](spark, SF).collect()) > 100
 
 
 def test_checkpoint_faults_carry_over_slices(spark, monkeypatch):
@@ -63,7 +63,6 @@ def brute_scrub(text):
 
 def test_scrub_covers_all_documents(spark):
     docs = rows(spark, "documents").select("doc_id", "text").collect()
-    got = sorted((r.doc_id, r.clean) for r in entry.queries()["r6_scrub_all"](spark, SF).collect())
+    got = sorted((r.doc_id, r.clean) for r in entry.queries()["r6_scrub"](spark, SF).collect())
     assert got == sorted((r.doc_id, hashlib.sha256(brute_scrub(r.text).encode()).hexdigest()) for r in docs)
     assert sum("[REDACTED" in brute_scrub(r.text) for r in docs) > 0
-    assert len(got) > entry.queries()["r6_scrub"](spark, SF).count()
