@@ -1,8 +1,10 @@
 """Full-text search over session_id, event_type and redacted_text.
 
-Tokens are runs of letters, digits and `_-.`, lower-cased, without accents. Queries know
-bare terms (all must occur), OR, NOT, "phrases", prefixes (term*), column:term and
-parentheses. Results come in the order of event_id.
+Tokens are runs of letters, digits, private-use characters and `_-.`, lower-cased. Accents
+of Latin letters and combining marks don't count. Texts and queries go through the same
+steps. Queries know bare terms (all must occur), OR, NOT, "phrases", prefixes (term*),
+column:term and parentheses; a bare term of several tokens is a phrase. Results come in the
+order of event_id.
 """
 
 from __future__ import annotations
@@ -14,28 +16,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = ("session_id", "event_type", "redacted_text")
-#: Letters with accents and their bases, generated from Unicode itself.
-_PAIRS = [(c, b) for c in map(chr, range(0xC0, 0x250)) if len(b := unicodedata.normalize("NFD", c)[0]) and b != c]
-ACCENTED, PLAIN = "".join(a for a, _ in _PAIRS), "".join(b for _, b in _PAIRS)
+#: Latin letters with accents and their bases, from Unicode's own decompositions, and both
+#: forms of the small sigma.
+_PAIRS = {c: b for c in map(chr, range(0x80, 0x2000)) if (b := unicodedata.normalize("NFD", c)[0]) != c and b.isascii() and b.isalpha()}
+ACCENTED, PLAIN = "".join(_PAIRS), "".join(_PAIRS.values())
+MARKS = ("\u0300", "\u036f")
 
 
 def fold(text: Column) -> Column:
-    return F.lower(F.translate(text, ACCENTED, PLAIN))
+    bare = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), f"[{MARKS[0]}-{MARKS[1]}]+", "")
+    return F.translate(F.lower(bare), "ς", "σ")
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_.\-]+", " "), " "), lambda t: t != "")
+    return F.filter(F.split(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{Co}_.\-]+", " "), " "), lambda t: t != "")
 
 
-def _fold_term(term: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", term) if not unicodedata.combining(c)).lower()
+def tokens_of(text: str) -> list[str]:
+    """tokens() of a query's term."""
+    bare = "".join(_PAIRS.get(c, c) for c in text if not MARKS[0] <= c <= MARKS[1]).lower().replace("ς", "σ")
+    return "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" or c in "_.-" else " " for c in bare).split(" ") if bare else []
 
 
 class _Parser:
     """expr := and (OR and)*;  and := not+;  not := [NOT] atom."""
 
     def __init__(self, query: str):
-        self.items = re.findall(r'"[^"]*"|\(|\)|[\w.\-]+:"[^"]*"|[^\s()"]+', query)
+        self.items = re.findall(r'"[^"]*"\*?|\(|\)|[\w.\-]+:"[^"]*"\*?|[^\s()"]+', query)
         self.at = 0
         if not self.items:
             raise ValueError("empty query")
@@ -80,7 +87,7 @@ class _Parser:
     @staticmethod
     def term(text: str, fields: tuple[str, ...]) -> Column:
         prefix = text.endswith("*")
-        words = re.findall(r"[^\W]+(?:[._\-]+\w+)*[._\-]*|[._\-]+", _fold_term(text.strip('"').rstrip("*")))
+        words = [w for w in tokens_of(text.rstrip("*").strip('"')) if w]
         if not words:
             raise ValueError(f"no token in {text!r}")
         out = F.lit(False)

@@ -682,6 +682,21 @@ def a9_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(d.events(spark, sf), "event_type:tool_call* click NOT session_id:s1")
 
 
+#: Forms of queries, and what they come to on the text of an event.
+_FORMS = {
+    "or": ("click OR purchase", "t IN ('click', 'purchase')"), "not": ("view NOT event_type:approval.created", "t = 'view' AND event_type <> 'approval.created'"), "phrase": ('"view 12"', "redacted_text = 'view 12'"),
+    "prefix": ("PUR*", "t = 'purchase'"), "group": ("(signup OR view) AND session_id:s3", "t IN ('signup', 'view') AND session_id = 's3'"), "no such word": ("clic", "false"), "column": ("event_type:tool_call.executed", "event_type = 'tool_call.executed'"),
+}
+_FORMS_SQL = " UNION ALL ".join(f"SELECT '{name}' AS form, event_id FROM (SELECT *, CASE WHEN redacted_text IS NOT NULL THEN split_part(redacted_text, ' ', 1) END AS t FROM ledger_events) WHERE {c}" for name, (_, c) in _FORMS.items())
+
+
+@query(sql(f"{_FORMS_SQL} UNION ALL SELECT 'limit', event_id FROM (SELECT event_id FROM ledger_events WHERE redacted_text LIKE 'click %' ORDER BY event_id LIMIT 7)", "ledger_events"))
+def a9_search_forms(spark: SparkSession, sf: str) -> DataFrame:
+    e = d.events(spark, sf)
+    found = [search.search(e, q).select(F.lit(name).alias("form"), "event_id") for name, (q, _) in _FORMS.items()]
+    return reduce(DataFrame.unionByName, found, search.search(e, "click", 7).select(F.lit("limit").alias("form"), "event_id"))
+
+
 def _truth_and_pred(spark: SparkSession, sf: str) -> DataFrame:
     """Findings as truth; predictions miss every 5th sample and are one byte off elsewhere."""
     f = d.findings(spark, sf).select(F.col("scan_id").alias("sample_id"), "label", "start", "end")

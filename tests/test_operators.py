@@ -103,6 +103,18 @@ def test_search(spark, query, ids):
     assert [r.event_id for r in search.search(spark.createDataFrame(EVENTS, SCHEMA), query).collect()] == ids
 
 
+TEXTS = ["load .env now", "rm -rf x", "tiếng Việt", "мой дом", "Ελλάς ΟΔΟΣ", "cafe\u0301 noe\u0308l", "a.b-c_d", "naïve ÅNGSTRÖM", "日本 語", "x:y"]
+
+
+@pytest.mark.parametrize(("query", "ids"), [
+    (".env", [0]), ("env", []), ("-rf", [1]), ("rf", []), ("việt", [2]), ("viet", [2]), ("VIỆT", [2]), ("Vie\u0323\u0302t", [2]), ("мой", [3]), ("МОЙ", [3]), ("οδος", [4]), ("ΟΔΟΣ", [4]), ("ελλάς", [4]), ("cafe", [5]), ("café", [5]), ("noël", [5]), ("NOEL", [5]),
+    ("a.b-c_d", [6]), ("a.b*", [6]), ("a", []), ("naive", [7]), ("ångström", [7]), ("日本", [8]), ('"日本 語"', [8]), ("x:y", [9]), ('"rm -rf"', [1]), ('"load .e"*', [0]), ('"rm rf"', []), (".env OR -rf", [0, 1]),
+])
+def test_search_takes_terms_as_texts(spark, query, ids):
+    events = spark.createDataFrame([(i, "s", "t", "{}", x, i) for i, x in enumerate(TEXTS)], SCHEMA)
+    assert [r.event_id for r in search.search(events, query).collect()] == ids
+
+
 def test_search_errors(spark):
     for bad in ("", "(a", "a )", "OR"):
         with pytest.raises(ValueError):
