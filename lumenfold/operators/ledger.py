@@ -5,6 +5,7 @@ Times are epoch seconds. Every ordered result has a total order. `now` is a para
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,8 @@ SCAN_SOURCES = ("paste", "tool_arg", "tool_output", "export")
 ACTIONS = ("redacted", "blocked", "allowed_once")
 #: Rows of a slice of an ordered table, and the most slices it is cut into.
 SLICE_ROWS, SLICES = 1 << 14, 1000
+#: Events of a part of an exported page.
+PAGE_EVENTS = 1000
 #: Ids of a slice of the chain.
 CHAIN_SLICE = 1 << 16
 
@@ -164,10 +167,36 @@ def verified_replay(events: DataFrame, session_id: str, tags: tuple[str, str] =
 
 # ---- checkpoints --------------------------------------------------------------------
 
+_POINT = "event_id long, event_hash string, prev_hash string, session_id string, event_type string, created_at long, anchored_at long"
+
+
 def read_checkpoints(spark, path: str) -> DataFrame:
-    """Anchors of the chain from JSON lines; anything malformed fails the read."""
-    schema = "event_id long, event_hash string, prev_hash string, session_id string, event_type string, created_at long, anchored_at long"
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Anchors of the chain from JSON lines, with their line number. A blank line, a last line
+    that doesn't end, anything that isn't an anchor, and a field that's missing fail the read.
+
+    A file is one writer's list, so each is read by one task, as a stream.
+    """
+    fields = [f.split()[0] for f in _POINT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines = content.split(b"\n")
+                if lines.pop() != b"":
+                    raise ValueError(f"{name}: line {len(lines) + 1} does not end")
+                rows = []
+                for i, line in enumerate(lines, 1):
+                    if not line.strip():
+                        raise ValueError(f"{name}: line {i} is blank")
+                    point = json.loads(line)
+                    if not isinstance(point, dict) or any(f not in point for f in fields):
+                        raise ValueError(f"{name}: line {i} is not an anchor")
+                    rows.append({"line": i, **{f: point[f] for f in fields}})
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("line", pa.int64()), *[(f, pa.int64() if f.endswith(("_id", "_at")) and f != "session_id" else pa.string()) for f in fields]]))
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, f"line long, {_POINT}")
 
 
 def sliced(rows: DataFrame, column: str) -> DataFrame:
@@ -271,17 +300,28 @@ def span_faults(stages: DataFrame) -> DataFrame:
     return got.select("invocation_id", F.array_join(F.transform("s", lambda x: x["stage"]), ">").alias("stages"), ordered.alias("ordered"), F.when(end["r"] == 3, end["stage"]).otherwise("abandoned").alias("outcome"))
 
 
+def _pages(events: DataFrame, body: Column, top: Column, end: str, between: str) -> DataFrame:
+    """session_id, part, n_events, content: the events of each session in order, `PAGE_EVENTS`
+    to a part, so that a long session is many values and not one. Joining the parts in order
+    gives the page: the first begins with `top`, the last one ends it."""
+    by = Window.partitionBy("session_id").orderBy("event_id")
+    rows = events.select("session_id", "event_id", body.alias("b"), (F.row_number().over(by) - 1).alias("n"), F.count("*").over(Window.partitionBy("session_id")).alias("total"))
+    part = F.floor(F.col("n") / PAGE_EVENTS).cast("int")
+    parts = rows.groupBy("session_id", part.alias("part")).agg(F.count("*").alias("n_events"), F.max("total").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "b"))), lambda x: x["b"]), between).alias("b"))
+    first, last = F.col("part") == 0, F.col("part") == F.floor((F.col("total") - 1) / PAGE_EVENTS)
+    return parts.select("session_id", "part", "n_events", F.concat(F.when(first, top).otherwise(F.lit(between)), F.col("b"), F.when(last, F.lit(end)).otherwise(F.lit(""))).alias("content"))
+
+
 def export_markdown(events: DataFrame, generated_at: int) -> DataFrame:
-    """session_id, n_events, content: each session's events as a Markdown page."""
+    """Each session's events as a Markdown page, in parts (see _pages)."""
     tick = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
     body = F.concat(
         F.lit("## Event "), F.col("event_id").cast("string"), F.lit(" — "), tick(F.col("event_type")), F.lit("\n\n- **created_at**: "), F.col("created_at").cast("string"),
         F.when(F.coalesce("redacted_text", F.lit("")) != "", F.concat(F.lit("\n\n**Redacted summary**:\n\n```\n"), F.col("redacted_text"), F.lit("\n```"))).otherwise(""),
         F.lit("\n\n```json\n"), F.col("payload_json"), F.lit("\n```\n"),
     )
-    pages = events.select("session_id", "event_id", body.alias("b")).groupBy("session_id").agg(F.count("*").alias("n_events"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "b"))), lambda x: x["b"]), "\n").alias("b"))
-    top = F.concat(F.lit("# Session Replay\n\n- **session_id**: "), tick(F.col("session_id")), F.lit("\n- **event_count**: "), F.col("n_events").cast("string"), F.lit(f"\n- **generated_at**: {generated_at}\n\n"))
-    return pages.select("session_id", "n_events", F.concat(top, F.col("b")).alias("content"))
+    top = F.concat(F.lit("# Session Replay\n\n- **session_id**: "), tick(F.col("session_id")), F.lit("\n- **event_count**: "), F.col("total").cast("string"), F.lit(f"\n- **generated_at**: {generated_at}\n\n"))
+    return _pages(events, body, top, "", "\n")
 
 
 def html_escape(c: Column) -> Column:
@@ -291,10 +331,10 @@ def html_escape(c: Column) -> Column:
 
 
 def export_html(events: DataFrame) -> DataFrame:
-    """session_id, n_events, content: each session's events as an HTML page, escaped."""
+    """Each session's events as an HTML page, escaped, in parts (see _pages)."""
     item = F.concat(F.lit("<section><h2>Event "), F.col("event_id").cast("string"), F.lit(" <code>"), html_escape(F.col("event_type")), F.lit("</code></h2><pre>"), html_escape(F.col("payload_json")), F.lit("</pre></section>"))
-    pages = events.select("session_id", "event_id", item.alias("b")).groupBy("session_id").agg(F.count("*").alias("n_events"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "b"))), lambda x: x["b"]), "").alias("b"))
-    return pages.select("session_id", "n_events", F.concat(F.lit('<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>'), html_escape(F.col("session_id")), F.lit("</title></head><body>"), F.col("b"), F.lit("</body></html>")).alias("content"))
+    top = F.concat(F.lit('<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>'), html_escape(F.col("session_id")), F.lit("</title></head><body>"))
+    return _pages(events, item, top, "</body></html>", "")
 
 
 # ---- aggregates ---------------------------------------------------------------------

@@ -1,23 +1,70 @@
-"""State machines folded over ordered events, one key at a time, as column expressions.
+"""State machines folded over ordered events, one key at a time.
 
-Observations that repeat the one before change nothing but the time last seen; they are
-folded away first, so a key's array holds its changes and not its history.
+Drift machines stream: the events of a key come to one task in order and are taken one by
+one, so a key's history is never held. The other ones are column expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
+from dataclasses import astuple, dataclass, fields
 
-STATE = "struct<hash:string,approved_at:long,pending:string,drift_at:long,n_first:int,n_drift:int,n_invalid:int>"
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
-def _state(**kv: Column) -> Column:
-    return F.struct(*[kv[c].alias(c) for c in ("hash", "approved_at", "pending", "drift_at", "n_first", "n_drift", "n_invalid")])
+@dataclass
+class Pin:
+    """What is known of a key: the pinned hash, when it was approved, the hash that waits for
+    approval and since when, and counts of first pins, drifts and ops that didn't fit."""
+
+    hash: str | None = None
+    approved_at: int | None = None
+    pending: str | None = None
+    drift_at: int | None = None
+    n_first: int = 0
+    n_drift: int = 0
+    n_invalid: int = 0
+
+    def settle(self, hash: str | None) -> None:
+        self.hash, self.pending, self.drift_at = hash, None, None
+
+    def observe(self, hash: str, at: int, kind: str) -> None:
+        if self.hash is None and kind == "command":
+            return
+        if hash == self.hash:
+            self.settle(hash)
+        elif self.hash is None or (kind == "descriptor" and self.approved_at is None):
+            self.settle(hash)
+            self.n_first += 1
+        else:
+            self.pending, self.n_drift = hash, self.n_drift + 1
+            if kind != "program" and self.drift_at is None:
+                self.drift_at = at
+
+    def decide(self, op: str, hash: str | None, at: int, kind: str) -> bool:
+        """Ops of people; false for one that the state doesn't allow."""
+        waiting, descriptor = self.pending is not None, kind == "descriptor"
+        if op == "register" and kind == "command" and self.hash is None and hash is not None:
+            self.settle(hash)
+            self.n_first += 1
+        elif op == "reject" and waiting:
+            self.settle(self.hash)
+        elif op == "approve" and descriptor and self.hash is not None and self.approved_at is None:
+            self.approved_at = at
+        elif op == "approve" and not descriptor and waiting:
+            self.settle(self.pending)
+        elif op == "approve_to" and descriptor and self.approved_at is not None and waiting and hash == self.pending:
+            self.settle(self.pending)
+            self.approved_at = at
+        else:
+            return False
+        return True
 
 
-def _with(s: Column, **kv: Column) -> Column:
-    return _state(**{c: kv.get(c, s[c]) for c in ("hash", "approved_at", "pending", "drift_at", "n_first", "n_drift", "n_invalid")})
+STATE = "hash string, approved_at long, pending string, drift_at long, n_first int, n_drift int, n_invalid int"
+_TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
 
 
 def fold(events: DataFrame, keys: list[str], kind: str) -> DataFrame:
@@ -26,41 +73,46 @@ def fold(events: DataFrame, keys: list[str], kind: str) -> DataFrame:
     kind 'descriptor': a first hash is pinned, overwritten until it's approved, then
     drifts. 'command': pinned by op 'register' only. 'program': the first one seen is
     pinned. Ops: observe, register, approve, approve_to, reject; an op that doesn't fit
-    the state counts as invalid.
+    the state counts as invalid. An observation that repeats the one before changes nothing.
+    Keys may be null. Ties in seq go by op, hash and time.
     """
-    by = Window.partitionBy(*keys).orderBy("seq")
-    same = (F.col("op") == "observe") & (F.lag("op").over(by) == "observe") & (F.lag("hash").over(by) == F.col("hash"))
-    kept = events.withColumn("__same", F.coalesce(same, F.lit(False))).filter("not __same")
-    lists = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "op", "hash", "at"))).alias("es"))
-    null_s, null_l = F.lit(None).cast("string"), F.lit(None).cast("long")
-    zero = _state(hash=null_s, approved_at=null_l, pending=null_s, drift_at=null_l, n_first=F.lit(0), n_drift=F.lit(0), n_invalid=F.lit(0)).cast(STATE)
-
-    def step(s: Column, e: Column) -> Column:
-        cleared = _with(s, pending=null_s, drift_at=null_l)
-        drift = _with(s, pending=e["hash"], drift_at=F.coalesce(s["drift_at"], e["at"]) if kind != "program" else null_l, n_drift=s["n_drift"] + 1)
-        pinned = _with(s, hash=e["hash"], pending=null_s, drift_at=null_l, n_first=s["n_first"] + 1)
-        known = s["hash"].isNotNull()
-        if kind == "descriptor":
-            observed = F.when(~known, pinned).when(s["hash"] == e["hash"], cleared).when(s["approved_at"].isNull(), pinned).otherwise(drift)
-        elif kind == "command":
-            observed = F.when(~known, s).when(s["hash"] == e["hash"], cleared).otherwise(drift)
-        else:
-            observed = F.when(~known, pinned).when(s["hash"] == e["hash"], cleared).otherwise(drift)
-        taken = _with(s, hash=s["pending"], pending=null_s, drift_at=null_l)
-        if kind == "descriptor":
-            approve = (e["op"] == "approve") & known & s["approved_at"].isNull(), _with(s, approved_at=e["at"])
-            approve_to = (e["op"] == "approve_to") & s["approved_at"].isNotNull() & (s["pending"] == e["hash"]), _with(taken, approved_at=e["at"])
-        else:
-            approve = (e["op"] == "approve") & s["pending"].isNotNull(), taken
-            approve_to = F.lit(False), s
-        register = (e["op"] == "register") & ~known & F.lit(kind == "command"), pinned
-        reject = (e["op"] == "reject") & s["pending"].isNotNull(), cleared
-        out = F.when(e["op"] == "observe", observed)
-        for cond, new in (approve, approve_to, register, reject):
-            out = out.when(F.coalesce(cond, F.lit(False)), new)
-        return out.otherwise(_with(s, n_invalid=s["n_invalid"] + 1)).cast(STATE)
-
-    return lists.select(*keys, F.aggregate("es", zero, step).alias("s")).select(*keys, "s.*")
+    kinds = dict(events.dtypes)
+    ordered = events.select(*keys, "seq", "op", "hash", F.col("at").cast("long").alias("at")).repartition(*keys).sortWithinPartitions(*keys, "seq", "op", "hash", "at")
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys]) + ", " + STATE
+    names = [f.name for f in fields(Pin)]
+    types = [_TYPES[part.split()[1]] for part in STATE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pin, kept, last = None, Pin(), None, None
+
+        def out(rows: list) -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k, _ in rows], t) for i, t in enumerate(kept)] + [pa.array([s[i] for _, s in rows], t) for i, t in enumerate(types)]
+            return pa.RecordBatch.from_arrays(columns, [*keys, *names])
+
+        for batch in batches:
+            kept, done = [batch.schema.field(i).type for i in range(len(keys))], []
+            *ids, _, ops, hashes, ats = (c.to_pylist() for c in batch.columns)
+            for *own, op, hash, at in zip(*ids, ops, hashes, ats, strict=True):
+                if own != key:
+                    if key is not None:
+                        done.append((key, astuple(pin)))
+                    key, pin, last = own, Pin(), None
+                again, last = op == "observe" and last == (op, hash), (op, hash)
+                if again:
+                    continue
+                if op == "observe":
+                    if hash is None:
+                        pin.n_invalid += 1
+                    else:
+                        pin.observe(hash, at, kind)
+                elif not pin.decide(op, hash, at, kind):
+                    pin.n_invalid += 1
+            if done:
+                yield out(done)
+        if key is not None:
+            yield out([(key, astuple(pin))])
+
+    return ordered.mapInArrow(run, schema)
 
 
 #: Which states of an outbox item an op leaves, and for which.

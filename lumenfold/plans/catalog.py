@@ -382,10 +382,33 @@ def w5_span_order(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.span_faults(stages).groupBy("stages", "ordered", "outcome").agg(F.count("*").alias("n"))
 
 
-@query(sql("SELECT session_id, count(*) AS n_events FROM ledger_events GROUP BY session_id", "ledger_events"))
+_N = "chr(10)"
+_MD = f"""'## Event ' || event_id || ' — `' || event_type || '`' || {_N} || {_N} || '- **created_at**: ' || created_at || CASE WHEN coalesce(redacted_text, '') <> '' THEN {_N} || {_N} || '**Redacted summary**:' || {_N} || {_N} || '```' || {_N} || redacted_text || {_N} || '```' ELSE '' END
+ || {_N} || {_N} || '```json' || {_N} || payload_json || {_N} || '```' || {_N}"""
+_MD_TOP = f"""'# Session Replay' || {_N} || {_N} || '- **session_id**: `' || session_id || '`' || {_N} || '- **event_count**: ' || total || {_N} || '- **generated_at**: {d.NOW}' || {_N} || {_N}"""
+_HTML = """'<section><h2>Event ' || event_id || ' <code>' || event_type || '</code></h2><pre>' || replace(payload_json, '"', '&quot;') || '</pre></section>'"""
+_HTML_TOP = """'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>' || session_id || '</title></head><body>'"""
+
+
+def _export_sql(body: str, top: str, between: str, end: str) -> str:
+    """Pages by parts of 1,000 events; the number is stated here and in the operator."""
+    rows = "SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY event_id) - 1) // 1000 AS part, count(*) OVER (PARTITION BY session_id) AS total FROM ledger_events"
+    content = f"CASE WHEN part = 0 THEN {top} ELSE {between} END || string_agg({body}, {between} ORDER BY event_id) || CASE WHEN part = (total - 1) // 1000 THEN {end} ELSE '' END"
+    return f"SELECT session_id, CAST(part AS INT) AS part, count(*) AS n_events, sha256({content}) AS content FROM ({rows}) GROUP BY session_id, part, total"
+
+
+def _hashed(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("content", F.sha2(F.col("content").cast("binary"), 256))
+
+
+@query(sql(_export_sql(_MD, _MD_TOP, _N, "''"), "ledger_events"))
 def k9_export_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    pages = ledger.export_markdown(d.events(spark, sf), d.NOW)
-    return pages.filter(F.col("content").startswith("# Session Replay")).select("session_id", "n_events")
+    return _hashed(ledger.export_markdown(d.events(spark, sf), d.NOW))
+
+
+@query(sql(_export_sql(_HTML, _HTML_TOP, "''", "'</body></html>'"), "ledger_events"))
+def k9_export_html(spark: SparkSession, sf: str) -> DataFrame:
+    return _hashed(ledger.export_html(d.events(spark, sf)))
 
 
 # ---- redaction ----------------------------------------------------------------------
@@ -707,9 +730,14 @@ def _truth_and_pred(spark: SparkSession, sf: str) -> DataFrame:
     return t.unionByName(p).unionByName(extra)
 
 
-@query(sql("SELECT label, count(*) FILTER (scan_id % 5 <> 0) AS tp, 0 AS fp, count(*) FILTER (scan_id % 5 = 0) AS fn FROM findings GROUP BY label UNION ALL SELECT 'phone', 0, count(*), 0 FROM findings WHERE scan_id % 7 = 0 HAVING count(*) > 0", "findings"))
+_COUNTS = "SELECT label, count(*) FILTER (scan_id % 5 <> 0) AS tp, 0 AS fp, count(*) FILTER (scan_id % 5 = 0) AS fn FROM findings GROUP BY label UNION ALL SELECT 'phone', 0, count(*), 0 FROM findings WHERE scan_id % 7 = 0 HAVING count(*) > 0"
+_RATIO = "CASE WHEN {1} = 0 THEN 0.0 ELSE CAST({0} AS DOUBLE) / ({1}) END"
+
+
+@query(sql(f"SELECT *, round({_RATIO.format('2 * tp', '2 * tp + fp + fn')}, 6) AS f1 FROM (SELECT *, round({_RATIO.format('tp', 'tp + fp')}, 6) AS precision, round({_RATIO.format('tp', 'tp + fn')}, 6) AS recall FROM ({_COUNTS}))", "findings"))
 def v2_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.scores(evaluation.match_spans(_truth_and_pred(spark, sf))).select("label", "tp", "fp", "fn")
+    got = evaluation.scores(evaluation.match_spans(_truth_and_pred(spark, sf)))
+    return got.select("label", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(sql("SELECT label AS truth, CASE WHEN scan_id % 5 = 0 THEN 'none' ELSE label END AS pred, count(*) AS n FROM findings GROUP BY ALL UNION ALL SELECT 'none', 'phone', count(*) FROM findings WHERE scan_id % 7 = 0 HAVING count(*) > 0", "findings"))
@@ -717,7 +745,10 @@ def v1_matches(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.match_spans(_truth_and_pred(spark, sf)).groupBy("truth", "pred").agg(F.count("*").alias("n"))
 
 
-@query()
+_CELLS = ", ".join(f"count(*) FILTER (pred = '{p}') AS \"{p}\"" for p in (*redaction.LABELS, "none"))
+
+
+@query(sql(f"SELECT truth, {_CELLS} FROM (SELECT label AS truth, CASE WHEN scan_id % 5 = 0 THEN 'none' ELSE label END AS pred FROM findings UNION ALL SELECT 'none', 'phone' FROM findings WHERE scan_id % 7 = 0) GROUP BY truth", "findings"))
 def v3_confusion(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.confusion(evaluation.match_spans(_truth_and_pred(spark, sf)))
 

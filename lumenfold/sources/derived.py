@@ -15,17 +15,16 @@ from ..operators import ledger
 NOW, SCAN_T0 = 1_700_050_000, 1_700_000_000
 
 
-#: Tables of texts smaller than this for each core are dealt to all cores, since a small
-#: file is one row group and so one task; larger ones have tasks enough of their own.
-SMALL = 8 << 20
 TEXTS = ("documents", "pages")
+#: Session setting: deal tables of texts to all cores. A small file is one row group and so
+#: one task; large tables have tasks enough of their own, and would only be shuffled.
+DEAL = "lumenfold.sources.dealTexts"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXTS and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL * cores:
-        return df.repartition(cores)
+    if name in TEXTS and spark.conf.get(DEAL, "false") == "true":
+        return df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 
@@ -133,7 +132,7 @@ def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptor observations and decisions, one for each event, for (user, event type)."""
-    op = F.when(F.col("event_id") % 13 == 0, "approve").when(F.col("event_id") % 29 == 0, "reject").otherwise("observe")
+    op = F.when(F.col("event_id") % 13 == 0, "approve").when(F.col("event_id") % 29 == 0, "reject").when(F.col("event_id") % 17 == 0, "approve_to").otherwise("observe")
     return load(spark, sf_dir, "events").select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("server_id"), F.col("event_type").alias("tool_name"), F.col("event_id").alias("seq"), op.alias("op"), (F.col("event_id") % 3).cast("string").alias("hash"), F.expr("(ts - timestamp_ntz'1970-01-01') div interval '1' second").alias("at"))
 
 

@@ -1,10 +1,14 @@
 """Ledger, machines, search, evaluation and streaming on small made-up rows."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import hashing
 from lumenfold.operators import evaluation, ledger, machines, search
+from lumenfold.plans import catalog
+from lumenfold.sources import derived
 from lumenfold.streaming import sessions as streaming
 
 EVENTS = [(1, "a", "x.y", "{}", "Café un_deux", 10), (2, "a", "x.z", '{"k":1}', None, 11), (3, "b", "x.y", "{}", "", 12), (4, "a", "w", "{}", "deux trois", 13)]
@@ -142,6 +146,79 @@ def test_command_and_program_machines(spark):
     assert (s.hash, s.pending, s.n_invalid) == ("a", None, 1)
 
 
+def model(ops, kind):
+    """The drift rules, written down apart from the operator."""
+    s = dict(hash=None, approved_at=None, pending=None, drift_at=None, n_first=0, n_drift=0, n_invalid=0)
+    for i, (op, h, at) in enumerate(ops):
+        new = dict(s)
+        if op == "observe" and i and ops[i - 1][:2] == (op, h):
+            continue
+        if op == "observe":
+            if s["hash"] is None:
+                if kind != "command":
+                    new.update(hash=h, n_first=s["n_first"] + 1)
+            elif s["hash"] == h:
+                new.update(pending=None, drift_at=None)
+            elif kind == "descriptor" and s["approved_at"] is None:
+                new.update(hash=h, pending=None, drift_at=None, n_first=s["n_first"] + 1)
+            else:
+                new.update(pending=h, n_drift=s["n_drift"] + 1, drift_at=None if kind == "program" else s["drift_at"] or at)
+        elif op == "approve" and kind == "descriptor" and s["hash"] and not s["approved_at"]:
+            new["approved_at"] = at
+        elif op == "approve" and kind != "descriptor" and s["pending"]:
+            new.update(hash=s["pending"], pending=None, drift_at=None)
+        elif op == "approve_to" and kind == "descriptor" and s["approved_at"] and s["pending"] == h:
+            new.update(hash=h, pending=None, drift_at=None, approved_at=at)
+        elif op == "register" and kind == "command" and s["hash"] is None:
+            new.update(hash=h, n_first=s["n_first"] + 1)
+        elif op == "reject" and s["pending"]:
+            new.update(pending=None, drift_at=None)
+        else:
+            new["n_invalid"] += 1
+        s = new
+    return tuple(s.values())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the synthetic tables")
+@pytest.mark.parametrize(("name", "keys", "kind"), [("d1_descriptor_drift", ("server_id", "tool_name"), "descriptor"), ("d3_command_drift", ("server_id",), "command"), ("d4_program_drift", ("server_id",), "program")])
+def test_drift_queries(spark, name, keys, kind):
+    sf, by = "/root/testdata/sf0.001", {}
+    for r in derived.observations(spark, sf).orderBy("seq").collect():
+        op = "register" if kind == "command" and r.seq % 31 == 0 else r.op
+        by.setdefault(tuple(r[k] for k in keys), []).append((op, r.hash, r.at))
+    got = {tuple(r)[: len(keys)]: tuple(r)[len(keys) :] for r in catalog.QUERIES[name](spark, sf).collect()}
+    assert got == {k: model(ops, kind) for k, ops in by.items()} and len(got) > 10
+
+
+def test_drift_of_nulls_and_ties(spark):
+    df = spark.createDataFrame([(None, 1, "observe", "a", 1), (None, 2, "observe", None, 2), ("k", 1, "observe", "b", 1), ("k", 1, "observe", "b", 1), ("k", 2, "what", None, None)], "key string, seq long, op string, hash string, at long")
+    got = {r.key: (r.hash, r.n_first, r.n_invalid) for r in machines.fold(df, ["key"], "program").collect()}
+    assert got == {None: ("a", 1, 1), "k": ("b", 1, 1)} and machines.fold(df.limit(0), ["key"], "program").count() == 0
+
+
+def test_strict_checkpoints(spark, tmp_path):
+    good = '{"event_id":1,"event_hash":"h","prev_hash":"","session_id":"s","event_type":"t","created_at":1,"anchored_at":2}\n'
+    for i, (text, why) in enumerate([(good * 2, None), ("", None), (good + "\n", "blank"), (good.rstrip(), "does not end"), ("[1]\n", "not an anchor"), ('{"event_id":1}\n', "not an anchor"), ("{\n", "JSON|Expecting"), (good.replace('"s"', "5"), "Arrow|str")]):
+        (tmp_path / f"{i}.jsonl").write_text(text)
+        read = ledger.read_checkpoints(spark, f"file://{tmp_path}/{i}.jsonl")
+        if why is None:
+            assert [r.line for r in read.orderBy("line").collect()] == list(range(1, text.count("\n") + 1))
+        else:
+            with pytest.raises(Exception, match=why):
+                read.collect()
+
+
+def test_exports_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame(EVENTS, SCHEMA)
+    whole = {f: {r.session_id: r.content for r in f(df).collect()} for f in (lambda e: ledger.export_markdown(e, 9), ledger.export_html)}
+    monkeypatch.setattr(ledger, "PAGE_EVENTS", 2)
+    for f, pages in whole.items():
+        parts = {}
+        for r in f(df).orderBy("part").collect():
+            parts[r.session_id] = parts.get(r.session_id, "") + r.content
+        assert parts == pages and f(df).filter("session_id = 'a'").count() == 2
+
+
 def test_outbox(spark):
     df = spark.createDataFrame([("a", 1, "submit"), ("a", 2, "approve"), ("a", 3, "cancel"), ("a", 4, "fail"), ("b", 1, "execute")], "outbox_id string, seq long, op string")
     assert {r.outbox_id: (r.status, r.n_invalid) for r in machines.fold_outbox(df).collect()} == {"a": ("Failed", 1), "b": ("Drafted", 1)}
