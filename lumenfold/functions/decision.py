@@ -304,7 +304,13 @@ def sse_payloads(text: Column) -> Column:
     return F.transform(F.filter(F.transform(events, data), lambda d: F.size(d) > 0), lambda d: F.array_join(F.transform(d, line), "\n"))
 
 
+#: Bytes that a hook's input may have.
+HOOK_LIMIT = 16 << 20
+
+
 def hook_event(raw: Column) -> Column:
-    """(session_id, cwd, tool_name, tool_input) of a hook's JSON in any known dialect."""
+    """(session_id, cwd, tool_name, tool_input) of a hook's JSON in any known dialect; null for
+    input of more than `HOOK_LIMIT` bytes, which callers deny."""
     first = lambda *ks: F.coalesce(*[F.get_json_object(raw, f"$.{k}") for k in ks])
-    return F.struct(first("session_id", "sessionId").alias("session_id"), first("cwd", "working_directory", "workingDirectory").alias("cwd"), first("tool_name", "toolName", "tool").alias("tool_name"), first("tool_input", "toolInput", "input", "arguments", "args").alias("tool_input"))
+    found = F.struct(first("session_id", "sessionId").alias("session_id"), first("cwd", "working_directory", "workingDirectory").alias("cwd"), first("tool_name", "toolName", "tool").alias("tool_name"), first("tool_input", "toolInput", "input", "arguments", "args").alias("tool_input"))
+    return F.when(F.octet_length(raw) <= HOOK_LIMIT, found)

@@ -436,6 +436,39 @@ def onboarding(servers: DataFrame) -> DataFrame:
     return servers.filter(F.col("trust_level") == "Untrusted")
 
 
+def pending_tools(tools: DataFrame) -> DataFrame:
+    """Tools that nobody has approved yet."""
+    return tools.filter("approved_at is null")
+
+
+def approved_hash(tools: DataFrame, server_id: str, tool_name: str) -> DataFrame:
+    """The descriptor hash that a tool is pinned to, if it was approved."""
+    return lookup(tools, server_id=server_id, tool_name=tool_name).filter("approved_at is not null").select("descriptor_hash")
+
+
+def lookup(rows: DataFrame, **keys: object) -> DataFrame:
+    """The rows with these keys: a server, approval, outbox item, sandbox profile or token."""
+    for name, value in keys.items():
+        rows = rows.filter(F.col(name) == value)
+    return rows
+
+
+def listed(rows: DataFrame, *order: str, **keys: object) -> DataFrame:
+    """All rows, or those with these keys, in an order; ends with a key to be total."""
+    return lookup(rows, **keys).orderBy(*order)
+
+
+def session_states(sessions: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: active and idle sessions, the highest risk, findings in all and secrets."""
+    found = findings.agg(F.count("*").alias("findings"), F.count_if(F.col("label") == "secret").alias("secrets"))
+    states = sessions.agg(F.count_if(F.col("ended_at").isNull()).alias("active"), F.count_if(F.col("ended_at").isNotNull()).alias("idle"), F.max("risk_score").alias("highest"))
+    return states.select("*", *[found.select(c).scalar().alias(c) for c in ("findings", "secrets")])
+
+
+def latest_sessions(sessions: DataFrame, n: int = 2) -> DataFrame:
+    return sessions.orderBy(F.desc("started_at"), "session_id").limit(n)
+
+
 def drifted(rows: DataFrame, pending_column: str) -> DataFrame:
     return rows.filter(F.col(pending_column).isNotNull())
 

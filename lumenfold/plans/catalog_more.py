@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,19 +20,35 @@ _INNER = _SCORED_SQL.replace("SELECT c.*, k,", "SELECT c.*,")
 
 # ---- reads and joins ----------------------------------------------------------------
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {s.count(',') + 1})" for n, s in schemas.SCHEMAS.items()) + ") v(name, n_columns)")
+@query("SELECT event_id, event_type, CAST(NULL AS VARCHAR) AS prev_hash, CAST(NULL AS INT) AS chain_version FROM events")
 def s1_ledger_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(n, len(t.columns)) for n, t in schemas.empty_ledger(spark).items()], "name string, n_columns int")
-
-
-@query(sql("SELECT approval_id, status FROM approvals WHERE approval_id = 7", "approvals"))
-def p10_approval_by_id(spark: SparkSession, sf: str) -> DataFrame:
-    return d.approvals(spark, sf).filter("approval_id = 7").select("approval_id", "status")
-
-
-@query(sql("SELECT server_id, binding_id, tool_name FROM bindings ORDER BY server_id, binding_id", "bindings"))
-def p11_bindings_by_server(spark: SparkSession, sf: str) -> DataFrame:
-    return d.bindings(spark).select("server_id", "binding_id", "tool_name").orderBy("server_id", "binding_id")
+    """A table that an older writer left: the columns that it lacks are null."""
+    return schemas.open_table(spark, sf, "events", ".parquet").select("event_id", "event_type", "prev_hash", "chain_version")
+
+
+@query(sql("""SELECT 'approval' AS lookup, status AS value FROM approvals WHERE approval_id = 7 UNION ALL SELECT 'server', command_json FROM server_profiles WHERE server_id = 'srv3' UNION ALL SELECT 'onboarding', trust_level FROM server_profiles WHERE server_id = 'srv3'
+ UNION ALL SELECT 'pinned hash', descriptor_hash FROM tool_descriptors WHERE server_id = 'srv5' AND tool_name = 'tool5' UNION ALL SELECT 'token', issuer FROM oauth_metadata WHERE token_ref = 't9'
+ UNION ALL SELECT 'outbox', status FROM approvals WHERE approval_id = 32 UNION ALL SELECT 'sandbox', pending_hash FROM tool_descriptors WHERE tool_name = 'tool6'""", "approvals", "server_profiles", "tool_descriptors", "oauth_metadata"))
+def p10_lookups(spark: SparkSession, sf: str) -> DataFrame:
+    approvals, servers, tools, tokens = d.approvals(spark, sf), d.server_profiles(spark, sf), d.tool_descriptors(spark, sf), d.oauth_metadata(spark, sf)
+    outbox, profiles = approvals.withColumnRenamed("approval_id", "outbox_id"), tools.select(F.col("tool_name").alias("profile_id"), F.col("pending_hash").alias("profile_hash"))
+    found = {
+        "approval": ledger.lookup(approvals, approval_id=7).select("status"), "server": ledger.lookup(servers, server_id="srv3").select("command_json"), "onboarding": ledger.lookup(servers, server_id="srv3").select("trust_level"),
+        "pinned hash": ledger.approved_hash(tools, "srv5", "tool5"), "unapproved": ledger.approved_hash(tools, "srv4", "tool4"), "token": ledger.lookup(tokens, token_ref="t9").select("issuer"),
+        "outbox": ledger.lookup(outbox, outbox_id=32).select("status"), "sandbox": ledger.lookup(profiles, profile_id="tool6").select("profile_hash"),
+    }
+    return reduce(DataFrame.unionByName, [x.toDF("value").select(F.lit(name).alias("lookup"), "value") for name, x in found.items()])
+
+
+@query(sql("""SELECT 'bindings' AS list, server_id || '/' || binding_id AS key FROM bindings UNION ALL SELECT 'bindings of web', binding_id FROM bindings WHERE server_id = 'web' UNION ALL SELECT 'secrets', env_key FROM bindings WHERE env_key IS NOT NULL
+ UNION ALL SELECT 'profiles', tool_name FROM tool_descriptors UNION ALL SELECT 'tokens', token_ref FROM oauth_metadata""", "bindings", "tool_descriptors", "oauth_metadata"))
+def p11_lists(spark: SparkSession, sf: str) -> DataFrame:
+    b, tools, tokens = d.bindings(spark), d.tool_descriptors(spark, sf), d.oauth_metadata(spark, sf)
+    lists = {
+        "bindings": ledger.listed(b, "server_id", "binding_id").select(F.concat("server_id", F.lit("/"), "binding_id")), "bindings of web": ledger.listed(b, "binding_id", server_id="web").select("binding_id"),
+        "secrets": ledger.listed(b.filter("env_key is not null"), "env_key", "binding_id").select("env_key"), "profiles": ledger.listed(tools, "tool_name").select("tool_name"), "tokens": ledger.listed(tokens, "token_ref").select("token_ref"),
+    }
+    return reduce(DataFrame.unionByName, [x.toDF("key").select(F.lit(name).alias("list"), "key") for name, x in lists.items()])
 
 
 @query(sql("SELECT event_id, event_type FROM ledger_events WHERE created_at >= (SELECT max(created_at) FROM ledger_events) - 86400", "ledger_events"))
@@ -236,9 +254,27 @@ def r23_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return d.load(spark, sf, "documents").groupBy("lang", evaluation.threshold(F.lit("person"), F.col("lang"), {"person": 0.4}).alias("threshold")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'privacy' AS space, 8 AS n UNION ALL SELECT 'multilingual', 12 UNION ALL SELECT 'european', 19")
+#: The label spaces by what their native labels stand for, stated apart from the decoder.
+_SPACES_SQL = [
+    ("privacy", "account_number", "account_number"), ("privacy", "address", "private_address"), ("privacy", "date", "private_date"), ("privacy", "email", "private_email"), ("privacy", "person", "private_person"), ("privacy", "phone", "private_phone"),
+    ("privacy", "url", "private_url"), ("privacy", "secret", "secret"), ("multilingual", "person", "GIVENNAME SURNAME TITLE"), ("multilingual", "email", "EMAIL"), ("multilingual", "phone", "TELEPHONENUM"),
+    ("multilingual", "address", "STREET BUILDINGNUM CITY ZIPCODE"), ("multilingual", "date", "DATE TIME"), ("multilingual", "account_number", "TAXNUM"), ("european", "person", "GIVENNAME1 GIVENNAME2 LASTNAME1 LASTNAME2 LASTNAME3 TITLE"),
+    ("european", "email", "EMAIL"), ("european", "phone", "TEL"), ("european", "address", "STREET"), ("european", "date", "DATE TIME BOD"), ("european", "account_number", "IDCARD PASSPORT DRIVERLICENSE SOCIALNUMBER CARDISSUER"),
+    ("european", "url", "IP"), ("european", "secret", "PASS"),
+]
+_NATIVE = sorted({n for v in evaluation.LABEL_SPACES.values() for n in v})
+
+
+@query(f"""WITH s(space, label, natives) AS (VALUES {', '.join(map(str, _SPACES_SQL))}), n AS (SELECT space, label, unnest(string_split(natives, ' ')) AS native FROM s),
+ e AS (SELECT event_id, list_extract({_NATIVE}, CAST(event_id % {len(_NATIVE)} AS BIGINT) + 1) AS native FROM events)
+SELECT event_id, space, label FROM e JOIN n USING (native)""")
 def r24_label_spaces(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(k, len(v)) for k, v in evaluation.LABEL_SPACES.items()], "space string, n int")
+    """Every native label, decoded in each label space; labels that a space lacks give no span."""
+    i = (F.col("event_id") % len(_NATIVE)).cast("int")
+    logits = F.transform(F.sequence(F.lit(0), F.lit(len(_NATIVE))), lambda k: F.when(k == i + 1, F.lit(9.0)).otherwise(F.lit(0.0)).cast("float"))
+    e = d.load(spark, sf, "events").select("event_id", F.array(logits).alias("z"))
+    decoded = [e.select("event_id", F.lit(space).alias("space"), F.explode(evaluation.decoder(["O", *[f"B-{n}" for n in _NATIVE]], space)("z", F.array(F.lit(0)), F.array(F.lit(4)))).alias("s")) for space in evaluation.LABEL_SPACES]
+    return reduce(DataFrame.unionByName, decoded).select("event_id", "space", "s.label")
 
 
 @query("SELECT event_id, round(1 / (1 + exp(-(event_id % 5 - 2))), 6) AS p, CASE WHEN event_id % 2 = 0 OR event_id % 5 = 4 THEN 8 ELSE 0 END AS risk FROM events")

@@ -106,6 +106,26 @@ def servers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "server_id string, trust_level string, pending_command_hash string")
 
 
+def server_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A server for each supplier."""
+    k = F.col("s_suppkey")
+    return load(spark, sf_dir, "supplier").select(F.concat(F.lit("srv"), k.cast("string")).alias("server_id"), _case("s_suppkey % 3", ["Untrusted", "Limited", "Trusted"]).alias("trust_level"), F.when(k % 5 == 0, F.concat(F.lit("h"), k.cast("string"))).alias("pending_command_hash"), F.col("s_name").alias("command_json"))
+
+
+def tool_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tool for each part, on one of ten servers."""
+    k = F.col("p_partkey")
+    return load(spark, sf_dir, "part").select(
+        F.concat(F.lit("srv"), (k % 10).cast("string")).alias("server_id"), F.concat(F.lit("tool"), k.cast("string")).alias("tool_name"), F.sha2(F.col("p_name").cast("binary"), 256).alias("descriptor_hash"),
+        F.when(k % 4 != 0, k).alias("approved_at"), F.when(k % 6 == 0, F.lit("new")).alias("pending_hash"),
+    )
+
+
+def oauth_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token for each customer."""
+    return load(spark, sf_dir, "customer").select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("token_ref"), F.col("c_mktsegment").alias("issuer"), F.col("c_name").alias("resource"))
+
+
 def pins(spark: SparkSession) -> DataFrame:
     import hashlib
 
@@ -153,6 +173,9 @@ DERIVED_SQL = {
  CASE o_custkey % 3 WHEN 0 THEN 'fetch' WHEN 1 THEN 'read_file' ELSE 'send_mail' END AS tool_name, CAST(o_custkey % 20 AS VARCHAR) AS args_hash, CASE o_orderstatus WHEN 'F' THEN 'Approved' WHEN 'O' THEN 'Pending' ELSE 'Denied' END AS status,
  CASE WHEN o_orderkey % 2 = 0 THEN 'ThisSession' ELSE 'Once' END AS scope, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS created_at, CAST(floor(epoch(o_orderdate)) AS BIGINT) + 300 AS expires_at,
  CASE WHEN o_orderstatus <> 'O' THEN CAST(floor(epoch(o_orderdate)) AS BIGINT) + o_orderkey % 300 END AS resolved_at FROM orders""",
+    "server_profiles": "SELECT 'srv' || s_suppkey AS server_id, CASE s_suppkey % 3 WHEN 0 THEN 'Untrusted' WHEN 1 THEN 'Limited' ELSE 'Trusted' END AS trust_level, CASE WHEN s_suppkey % 5 = 0 THEN 'h' || s_suppkey END AS pending_command_hash, s_name AS command_json FROM supplier",
+    "tool_descriptors": "SELECT 'srv' || (p_partkey % 10) AS server_id, 'tool' || p_partkey AS tool_name, sha256(p_name) AS descriptor_hash, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey END AS approved_at, CASE WHEN p_partkey % 6 = 0 THEN 'new' END AS pending_hash FROM part",
+    "oauth_metadata": "SELECT 't' || c_custkey AS token_ref, c_mktsegment AS issuer, c_name AS resource FROM customer",
     "servers": "SELECT * FROM (VALUES ('web','Trusted',NULL),('filesystem','Limited','h2'),('postgres','Trusted',NULL),('shell','Untrusted',NULL),('mail','Trusted','h9')) v(server_id, trust_level, pending_command_hash)",
     "bindings": "SELECT * FROM (VALUES ('b1','web','*','ChildEnv','API_KEY'),('b2','web','fetch','ChildEnv','TOKEN'),('b3','mail','send_mail','Header',NULL),('b4','postgres','query','ChildEnv','PG_PASS'),('b5','postgres','*','ChildEnv','PG_PASS')) v(binding_id, server_id, tool_name, injection_method, env_key)",
 }

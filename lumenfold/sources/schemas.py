@@ -28,9 +28,9 @@ SAMPLE = (
 )
 
 
-def open_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def open_table(spark: SparkSession, folder: str, name: str, suffix: str = "") -> DataFrame:
     """A ledger table of Parquet files; columns that older files lack are null."""
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}{suffix}")
 
 
 def open_ledger(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

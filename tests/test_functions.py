@@ -241,3 +241,9 @@ def test_effects_are_parsed_once(spark):
     e = decision.effects(F.col("s"), F.col("t"), F.col("a"), "/w")
     plan = spark.createDataFrame([("x", "y", "{}")], "s string, t string, a string").select(e.alias("e"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") + plan.count("parse_json") <= 1 and "Python" not in plan
+
+
+def test_hook_input_has_a_limit(spark, monkeypatch):
+    monkeypatch.setattr(decision, "HOOK_LIMIT", 30)
+    assert one(spark, decision.hook_event(F.col("r")), r='{"sessionId":"a","tool":"b"}').session_id == "a"
+    assert one(spark, decision.hook_event(F.col("r")), r='{"sessionId":"a","tool":"b","x":"yy"}') is None
