@@ -6,7 +6,8 @@ root as a conjunctive rule, and fits a lasso-penalised logistic model over the r
 few rules with a weight are compiled into Spark column expressions, which score every row.
 
 At most `SAMPLE` labelled rows are used to fit, those with the least hash of doc_id; that
-is the only bound, and it doesn't touch scoring. Null texts count as empty; empty texts
+is the only bound, and it doesn't touch scoring; documents that share a doc_id count once
+in the sample. Null texts count as empty; empty texts
 have statistics of zero and get a score like any. With no labels, or one kind only, every
 score is the share of good labels (one half without labels). Null labels are left out.
 """
@@ -186,11 +187,13 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
     """docs (doc_id, text), labels (doc_id, quality): fit on rows that aren't held out."""
-    usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)").filter(~held_out(F.col("doc_id")))
+    usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)").filter(~held_out(F.col("doc_id"))).distinct()
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     # bounded by `sample`: ids and labels first, so that only their texts are counted
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id", "left_semi")
-    found = with_statistics(texts).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "quality", "n_bytes", "n_words").limit(2 * sample).toPandas()
+    met = with_statistics(texts).join(F.broadcast(chosen), "doc_id")
+    # documents that share a doc_id are one row of the sample: the least in statistics
+    found = met.groupBy("doc_id", "quality").agg(F.min(F.struct(*STATS)).alias("s")).orderBy("doc_id", "quality").select("s.*", "quality").toPandas()
     return fit(found[list(STATS)].to_numpy(np.float64), found["quality"].to_numpy(np.int64))
 
 
