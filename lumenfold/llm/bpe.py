@@ -38,11 +38,25 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def check_supported(data: dict) -> None:
+    """Raises for parts of a tokenizers file that would change ids and aren't followed here."""
+    model, pre = data["model"], data.get("pre_tokenizer") or {}
+    faults = [f"model {model.get('type')}"] if model.get("type", "BPE") != "BPE" else []
+    faults += [f"normalizer {data['normalizer'].get('type')}"] if data.get("normalizer") else []
+    faults += [f"pre_tokenizer {pre.get('type')}"] if pre.get("type") != "ByteLevel" else []
+    faults += [k for k, plain in (("add_prefix_space", False), ("use_regex", True)) if pre.get(k, plain) != plain]
+    faults += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges") if model.get(k)]
+    faults += [f"{k} of token {t['content']!r}" for t in data.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip") if t.get(k)]
+    if faults:
+        raise ValueError("not supported: " + ", ".join(faults))
+
+
 class Bpe:
     """encode() and decode() with the vocabulary of a tokenizers JSON file."""
 
     def __init__(self, spec: bytes):
         data = json.loads(spec)
+        check_supported(data)
         vocab: dict[str, int] = data["model"]["vocab"]
         letters = byte_letters()
         value = {c: b for b, c in enumerate(letters)}

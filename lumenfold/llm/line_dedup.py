@@ -27,6 +27,8 @@ from .words import mix
 SHARD_KEYS = 1 << 16
 #: Probes that one task takes for one shard; more are dealt to copies of the shard.
 TASK_PROBES = 1 << 21
+#: Hot shards whose list is broadcast, 16 MB.
+MOST_HOT = 1 << 20
 GAMMA = 2
 MAX_LEVELS = 40
 
@@ -153,8 +155,9 @@ class LineIndex:
         """keys: (row, hi, lo). Those whose line is in min_docs documents at least."""
         if min_docs > 0xFFFF:
             raise ValueError("counts saturate at 65535")
-        # bounded: two integers for each TASK_PROBES lines of the corpus at most
-        dealt = lambda df: df.join(F.broadcast(self.copies), "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+        # two integers for each TASK_PROBES lines of the corpus at most; broadcast if they are few
+        copies = F.broadcast(self.copies) if self.copies.count() <= MOST_HOT else self.copies
+        dealt = lambda df: df.join(copies, "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
         probes = dealt(keys.withColumn("shard", F.pmod(F.col("hi"), F.lit(self.n_shards)).cast("int"))).withColumn("copy", F.pmod(F.xxhash64("row"), F.col("copies")).cast("int"))
         shards = dealt(self.shards).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         probes = probes.drop("copies")
@@ -204,10 +207,10 @@ def _cut(docs: DataFrame, others: list[str], min_docs: int) -> DataFrame:
     base = docs.select("doc_id", "text")
     index = LineIndex.build(base)
     hits = index.probe(line_rows(base), min_docs)
-    per_row = hits.groupBy("row").agg(F.collect_set(F.struct("hi", "lo")).alias("__hits")).withColumnRenamed("row", "__row")
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(per_row, "__row", "left")
+    per_row = hits.groupBy("row").agg(F.collect_set(F.struct("hi", "lo")).alias("hits"))
     width = len(others)
-    flat = keyed.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(others)), F.col("text").cast("binary").alias("text"), F.col("__hits.hi").alias("hi"), F.col("__hits.lo").alias("lo"))
+    keyed = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(others)), F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("row")).join(per_row, "row", "left")
+    flat = keyed.select(*(f"c{i}" for i in range(width)), "text", F.col("hits.hi").alias("hi"), F.col("hits.lo").alias("lo"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import free_name, ship, written
 from .components import components
 
 SEED = 42
@@ -251,11 +251,12 @@ def keep_first(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """docs with the row of the smallest doc_id of each component only. Of rows with that
     doc_id the one with the least hash stays; rows with a null doc_id stay only in
     components that have nothing else. The columns stay as they are."""
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    row = free_name(docs, "__row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
     # ids of rows stand in for doc_id, so that only small columns go through the stages
-    found = near_duplicates(keyed.select(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), "__row").alias("doc_id"), "text"), width, distance)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id.__row").alias("__row")).distinct()
-    return keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    found = near_duplicates(keyed.select(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(row).alias("row")).alias("doc_id"), "text"), width, distance)
+    first = found.filter("doc_id = component_id").select(F.col("doc_id.row").alias(row)).distinct()
+    return keyed.join(first, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import json
 import math
 import random
 import re
@@ -14,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, common, components, decontaminate, host_reputation, licences, line_dedup, permutation_index, quality_rules, revisits, simhash, window_index, words
+from lumenfold.llm import bpe, common, components, decontaminate, host_reputation, licences, line_dedup, near_copies, permutation_index, quality_rules, revisits, simhash, window_index, words
 from lumenfold.llm.words import Words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, Row string, n_lines int"
@@ -287,6 +288,34 @@ def test_quality(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
 
 
+def test_scores_row_by_row(spark):
+    """The compiled columns against the model's own numbers, with statistics counted anew."""
+    rng = random.Random(9)
+    rows = [(i, sentence(rng.randrange(1, 90)) + "\n" * rng.randrange(4) + "!#" * rng.randrange(20) * (i % 2)) for i in range(400)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("!#" not in (rows[i][1] or ""))) for i in range(400)], "doc_id long, quality int")
+    model = quality_rules.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality_rules.score(docs, model).collect()}
+    assert len(model.rules) > 1
+    for i, text in rows:
+        b = (text or "").encode()
+        w = b.split()
+        one = dict(zip(quality_rules.STATS, quality_rules.statistics([b])[0], strict=True))
+        assert one["n_bytes"] == len(b) and one["n_words"] == len(w) and math.isclose(one["mean_word"], sum(map(len, w)) / max(1, len(w)), abs_tol=1e-9)
+        total = model.bias
+        for rule, weight in zip(model.rules, model.weights, strict=True):
+            if all((one[s] > cut) == above for s, above, cut in rule.parts):
+                total += weight
+        assert math.isclose(got[i], 1 / (1 + math.exp(-total)), rel_tol=1e-9)
+
+
+def test_repeated_documents_count_once(spark):
+    rows = [(i, sentence(40) if i % 2 else "!! ## " * 40) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    once, thrice = (quality_rules.train(spark.createDataFrame(r, "doc_id long, text string"), labels, 150) for r in (rows, rows * 3))
+    assert once == thrice
+
+
 def test_quality_without_labels(spark, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality_rules.train(empty, none)
@@ -544,6 +573,26 @@ def test_tokens(docs, empty):
     assert bpe.encode_documents(empty, path).count() == 0
 
 
+def test_tokenizers_that_are_not_followed():
+    import public_tokenizers
+
+    spec = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    bpe.check_supported(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {"type": "BPE", "ignore_merges": True}}, {"added_tokens": [{"content": "x", "lstrip": True}]}):
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.check_supported(spec | change)
+
+
+def test_columns_named_like_row_keys(spark):
+    rows = [(i % 7, f"alpha beta {i % 5} gamma delta\nshared line", 5, "a", i) for i in range(21)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row long, __hits string, row long")
+    assert line_dedup.without_frequent_lines(df, 3).columns == df.columns
+    assert sorted(r.row for r in line_dedup.without_frequent_lines(df, 3).collect()) == list(range(21))
+    for keep in (simhash.keep_first, near_copies.keep_first):
+        kept = keep(df)
+        assert kept.columns == df.columns and {r["__row"] for r in kept.collect()} == {5}
+
+
 # ---- decontamination ----------------------------------------------------------------
 
 def brute_contained(rows, items):
