@@ -462,10 +462,18 @@ def r6_scrub(spark: SparkSession, sf: str) -> DataFrame:
     return d.load(spark, sf, "documents").select("doc_id", F.sha2(redaction.scrub(F.col("text")).cast("binary"), 256).alias("clean"))
 
 
-@query(sql("SELECT scan_id, sum(CASE WHEN kind = 'env_assignment' THEN 25 ELSE 10 END) AS risk, count(*) FILTER (label = 'secret') > 0 AS has_secret FROM findings WHERE kind <> 'email' GROUP BY scan_id", "findings"))
+_CLEAN = "text"
+for _k in ("env_assignment", "generic_url", "internal_ipv4"):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_RE[_k]}', '[REDACTED {redaction.LABEL_OF[_k]}]', 'g')"
+
+
+@query(sql(f"""SELECT scan_id, risk, has_secret, sha256({_CLEAN}) AS redacted FROM (SELECT scan_id, sum(CASE WHEN kind = 'env_assignment' THEN 25 ELSE 10 END) AS risk, count(*) FILTER (label = 'secret') > 0 AS has_secret FROM findings WHERE kind <> 'email' GROUP BY scan_id) f
+ JOIN documents d ON d.doc_id = f.scan_id""", "findings"))
 def r10_scan_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings, risk and redacted text of every document that has any; where the findings of a
+    text don't overlap, as here, replacing rule by rule comes to the same text."""
     s = d.load(spark, sf, "documents").select(F.col("doc_id").alias("scan_id"), F.explode(F.array(redaction.scan_text(F.col("text")))).alias("s")).filter(F.size("s.findings") > 0)
-    return s.select("scan_id", F.col("s.risk.total_risk_delta").cast("long").alias("risk"), F.col("s.risk.has_secret").alias("has_secret"))
+    return s.select("scan_id", F.col("s.risk.total_risk_delta").cast("long").alias("risk"), F.col("s.risk.has_secret").alias("has_secret"), F.sha2(F.col("s.redacted_text").cast("binary"), 256).alias("redacted"))
 
 
 @query(sql("SELECT kind, label, count(*) AS n FROM findings GROUP BY ALL", "findings"))
