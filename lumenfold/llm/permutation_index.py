@@ -15,8 +15,8 @@ pivots ** 0.7 pivots. Both numbers, and the reranked rows, grow slower than n. O
 without any structure (directions spread evenly) less would lose neighbours; the README
 gives the recall measured at several sizes.
 
-Pivots are distinct vectors of least hash, a bounded sample (`MOST_PIVOTS`); every vector
-is indexed. A shard meets queries in blocks of about `QUERY_ROWS`, so that a task's memory
+Pivots are distinct vectors of least hash, a bounded sample (`OFFERED` * `MOST_PIVOTS`), of
+which those in one crowd come last; every vector is indexed. A shard meets queries in blocks of about `QUERY_ROWS`, so that a task's memory
 doesn't grow with the data.
 
 Vectors that are null, all zero, or hold null or non-finite components take no part, and
@@ -39,6 +39,8 @@ from .common import ship, written
 
 PIVOTS, NEAREST, CELLS, RERANK = 4, 64, 6, 14
 FEWEST_PIVOTS, MOST_PIVOTS = 64, 1 << 14
+#: Vectors offered for each pivot, and the cosine that pivots may have with each other.
+OFFERED, APART = 4, 0.6
 SHARD_ROWS, QUERY_ROWS = 1 << 14, 1 << 16
 
 
@@ -82,7 +84,8 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, files: InvertedFiles, que
     vector, order)."""
     near = np.argsort(files.footrule(own), kind="stable")[:n_keep]  # of equals, smaller ids first
     near = near[ids[near] != query]
-    score = vectors[near] @ v
+    # row by row in one order of sums, so that equal vectors have equal scores wherever they stand
+    score = (vectors[near] * v).sum(axis=1)
     best = np.lexsort((ids[near], -score))[:top]
     return near[best], score[best]
 
@@ -91,12 +94,30 @@ def n_pivots(n: int) -> int:
     return min(MOST_PIVOTS, max(FEWEST_PIVOTS, int(PIVOTS * n**0.5)))
 
 
+def spread(sample: np.ndarray, wanted: int) -> np.ndarray:
+    """`wanted` vectors of the sample: in their order those that have a cosine of `APART` at
+    most with all before them, then the others. Pivots in one crowd would order all vectors
+    outside of it alike."""
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    taken, rest, held = [], [], np.empty((wanted, sample.shape[1]))
+    for i, v in enumerate(unit):
+        if len(taken) == wanted:
+            break
+        if (held[: len(taken)] @ v > APART).any():
+            rest.append(i)
+        else:
+            held[len(taken)] = v
+            taken.append(i)
+    return sample[[*taken, *rest][:wanted]]
+
+
 def pivots_of(data: DataFrame, n: int) -> np.ndarray:
-    """Distinct vectors of the sample, neighbours next to each other: by the nearest of the
-    first sqrt of them, and by closeness to it."""
-    # bounded by MOST_PIVOTS
-    rows = data.groupBy("v").agg(F.xxhash64("v").alias("h")).orderBy("h", "v").limit(n_pivots(n)).collect()
-    found = np.array([r.v for r in rows], dtype=np.float64)
+    """Distinct vectors of the sample, spread, and neighbours next to each other: by the
+    nearest of the first sqrt of them, and by closeness to it."""
+    wanted = n_pivots(n)
+    # bounded by OFFERED * MOST_PIVOTS
+    rows = data.groupBy("v").agg(F.xxhash64("v").alias("h")).orderBy("h", "v").limit(OFFERED * wanted).collect()
+    found = spread(np.array([r.v for r in rows], dtype=np.float64), min(wanted, len(rows)))
     close = found @ found[: max(1, int(len(found) ** 0.5))].T
     return found[np.lexsort((-close.max(axis=1), close.argmax(axis=1)))]
 

@@ -539,6 +539,20 @@ def test_recall_and_copies(spark, n):
     assert len(by) == 50 and hit >= 0.9 * 20 * len(by)
 
 
+def test_recall_beside_a_crowd(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    x[:1000] = x[0] + 0.3 * x[:1000]  # a third of all rows in one crowd, none alike
+    x[1000:1500] = x[1000] + 0.5 * x[1000:1500]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(3000)]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    by = {}
+    for r in permutation_index.nearest(df, df.filter("vec_id % 30 = 0")).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    near = [len(found & set(np.lexsort((np.arange(3000), np.where(np.arange(3000) == q, 9, -x @ x[q])))[:20].tolist())) for q, found in by.items()]
+    assert len(by) == 100 and sum(near) >= 0.9 * 20 * len(by)
+
+
 def test_cells_in_shards(monkeypatch):
     monkeypatch.setattr(permutation_index, "SHARD_ROWS", 10)
     first, parts, n = permutation_index.shards_of(np.array([4, 5, 0, 3, 35, 2, 8, 1]))
