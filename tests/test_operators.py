@@ -1,13 +1,14 @@
 """Ledger, machines, search, evaluation and streaming on small made-up rows."""
 
+import hashlib
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.functions import hashing
+from lumenfold.functions import decision, hashing
 from lumenfold.operators import evaluation, ledger, machines, search
-from lumenfold.plans import catalog
+from lumenfold.plans import catalog, policy
 from lumenfold.sources import derived
 from lumenfold.streaming import sessions as streaming
 
@@ -280,3 +281,18 @@ def test_ledger_tables_gain_columns(spark, tmp_path):
 
     spark.createDataFrame([("a", "cli")], "session_id string, source string").write.parquet(f"{tmp_path}/sessions")
     assert schemas.open_table(spark, str(tmp_path), "sessions").first().risk_score is None
+
+
+def test_session_overview(spark):
+    s = spark.createDataFrame([("a", 5, None, 3), ("b", 7, 9, 8), ("c", 7, None, 1)], "session_id string, started_at long, ended_at long, risk_score long")
+    f = spark.createDataFrame([("secret",), ("url",)], "label string")
+    assert ledger.session_states(s, f).first().asDict() == {"active": 2, "idle": 1, "highest": 8, "findings": 2, "secrets": 1}
+    assert [r.session_id for r in ledger.latest_sessions(s).collect()] == ["b", "c"] and ledger.session_states(s.limit(0), f.limit(0)).first().findings == 0
+
+
+def test_approval_rows(spark):
+    df = spark.createDataFrame([("d1", "s", "mail", "send", '{"b":1, "a":2}', 40, "approve"), ("d2", "s", "x", "y", "{}", 0, "deny")], "decision_id string, session_id string, server_id string, tool_name string, args string, risk int, action string")
+    df = df.withColumn("effects", decision.effects(F.col("server_id"), F.col("tool_name"), F.col("args")))
+    (row,) = policy.approval_rows(df, 100).collect()
+    assert (row.approval_id, row.status, row.title, row.summary, row.created_at, row.expires_at) == ("approval-d1", "Pending", "send on mail", "risk 40/100", 100, 400)
+    assert row.args_hash == hashlib.sha256(b'{"a":2,"b":1}').hexdigest() and policy.approval_rows(df, 100, 0).first().expires_at == 100
