@@ -11,9 +11,13 @@ For a template of w words, windows have w, 0.8 w and 1.25 w words (`SIZES`), and
 every eighth part of their length (at every word if shorter than 16), and at the last place
 where they fit; a text that is shorter than a window is one as a whole. A copy that is exact,
 or shortened or lengthened evenly, is thus met by a window that is off by a sixteenth of its
-length at most. Only texts that hold one of the words without which a template can't reach t
-(necessary_words) have windows of its sizes. A window counts for the one template with the
-highest coefficient; of equals, the one listed first.
+length at most. A text has windows of a template's sizes where it holds one of the bigrams of
+which a match of that template must hold one (necessary_bigrams). A window counts for the one
+template with the highest coefficient; of equals, the one listed first.
+
+Nearly all of these windows are ruled out before they are made, and nothing is lost by it:
+texts without any of the words of which a match must hold one (necessary_words) are dropped
+as they are read, and of the others only windows around a necessary bigram are compared.
 
 Null, empty and blank texts and texts of one word match nothing; an empty table gives no
 rows. Repeated rows match each in scan(), and together in per_document(). Other columns
@@ -37,6 +41,8 @@ from .licence_texts import TEMPLATES
 THRESHOLD = 0.8
 SIZES = (1.0, 0.8, 1.25)
 STEPS = 8
+#: Words shorter than this are looked for as whole words.
+SHORT = 4
 
 
 def words_of(text: str) -> list[str]:
@@ -79,6 +85,19 @@ def necessary_words(bigrams: dict[str, int], threshold: float) -> list[str]:
     return chosen
 
 
+def necessary_bigrams(bigrams: dict[str, int], threshold: float) -> list[str]:
+    """Bigrams of which a window must hold at least one: so many that a window without them
+    lacks more than it may. The longest are taken, as those are rare."""
+    spare = sum(bigrams.values()) - size_bounds(sum(bigrams.values()), threshold)[0]
+    chosen, covered = [], 0
+    for g in sorted(bigrams, key=lambda g: (-len(g), g)):
+        chosen.append(g)
+        covered += bigrams[g]
+        if covered > spare:
+            break
+    return chosen
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.trim(F.regexp_replace(lower_ascii(text), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
 
@@ -88,6 +107,11 @@ def _grams(words: Column) -> Column:
     return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
+def _strings(words: list[str]) -> Column:
+    """Fixed strings of letters, digits and blanks as an array, by one expression."""
+    return F.expr("array(" + ", ".join(f"'{w}'" for w in words) + ")")
+
+
 def _once(c: Column) -> Column:
     """The value of c, made once a row: filters on it can't be pushed below a generator,
     where they would make it again for each time they name it."""
@@ -125,22 +149,29 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tup
     that is found in it and each window size that finds it, the window with the highest
     coefficient, the first one of equals: where it begins, in words from 0, and its length."""
     known = [(name, t) for name, texts in (templates or TEMPLATES).items() for t in texts]
-    needed = [necessary_words(template_bigrams(t), threshold) for _, t in known]
-    every = sorted({w for ws in needed for w in ws})
-    wide = [w for w in every if not any(v != w and v in w for v in every)]  # a part of a word stands for it
-    low = docs.select("doc_id", "text").filter("text is not null").select("doc_id", "text", _once(lower_ascii(F.col("text"))).alias("low"))
-    likely = low.filter(reduce(or_, [F.col("low").contains(w) for w in wide]))
-    which = F.array_compact(F.array(*[F.when(reduce(or_, [F.col("low").contains(w) for w in ws]), i) for i, ws in enumerate(needed)]))
-    worded = likely.select("doc_id", _once(which).alias("tids"), _once(_words(F.col("text"))).alias("w")).filter("size(w) > 1")
+    grams = [template_bigrams(t) for _, t in known]
+    every = sorted({w for b in grams for w in necessary_words(b, threshold)})
+    wide = [w for w in every if len(w) >= SHORT and not any(v != w and v in w and len(v) >= SHORT for v in every)]  # a part of a word stands for it
+    brief = [w for w in every if len(w) < SHORT]
+    holds = [F.col("low").contains(w) for w in wide] + ([F.col("low").rlike(r"(?<![\p{L}\p{N}])(" + "|".join(brief) + r")(?![\p{L}\p{N}])")] if brief else [])
+    low = docs.select("doc_id", "text").filter("text is not null").select("doc_id", _once(lower_ascii(F.col("text"))).alias("low"))
+    worded = low.filter(reduce(or_, holds)).select("doc_id", _once(_words(F.col("low"))).alias("w")).filter("size(w) > 1")
+    needed = [necessary_bigrams(b, threshold) for b in grams]
+    has = F.array_intersect("g", _strings(sorted({g for gs in needed for g in gs})))
+    held = worded.select("doc_id", _once(_grams(F.col("w"))).alias("g")).select("doc_id", "g", _once(has).alias("has")).filter("size(has) > 0")
+    which = F.array_compact(F.array(*[F.when(F.arrays_overlap("has", _strings(gs)), i) for i, gs in enumerate(needed)]))
+    places = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.array_contains("has", F.get("g", i)))
+    held = held.select("doc_id", "g", _once(which).alias("tids"), _once(places).alias("places"))
     sizes = F.array(*[F.array(*[F.lit(m) for m in window_sizes(t, threshold)]) for _, t in known])
-    wanted = F.array_distinct(F.transform(F.flatten(F.transform("tids", lambda i: F.get(sizes, i))), lambda m: F.least(m, F.size("w"))))
+    wanted = F.array_distinct(F.transform(F.flatten(F.transform("tids", lambda i: F.get(sizes, i))), lambda m: F.least(m, F.size("g") + 1)))
     usable = F.filter("known", lambda t: F.array_contains("tids", t["tid"]))
-    worded = worded.withColumn("known", _prepared(docs.sparkSession, known, threshold))
-    each = worded.select("doc_id", _once(_grams(F.col("w"))).alias("g"), _once(usable).alias("ts"), F.explode(wanted).alias("m"))
+    each = held.withColumn("known", _prepared(docs.sparkSession, known, threshold)).select("doc_id", "g", "places", _once(usable).alias("ts"), F.explode(wanted).alias("m"))
     fits = F.filter("ts", lambda t: (F.col("m") - 1).between(t["low"], t["high"]))
-    each = each.select("doc_id", "g", "m", _once(fits).alias("ts")).filter("size(ts) > 0")
-    last = F.size("g") + 1 - F.col("m")
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.greatest(F.lit(1), F.expr(f"m div {STEPS}")).cast("int")), F.array(last)))
+    each = each.select("doc_id", "g", "places", "m", _once(fits).alias("ts")).filter("size(ts) > 0")
+    step, last = F.expr(f"greatest(1, m div {STEPS})").cast("int"), F.size("g") + 1 - F.col("m")
+    first = lambda i: F.greatest(F.lit(0), F.ceil((i - F.col("m") + 2) / step) * step).cast("int")
+    around = lambda i: F.when(first(i) <= F.least(i, last), F.sequence(first(i), F.least(i, last), step)).otherwise(F.array().cast("array<int>"))
+    starts = F.array_distinct(F.concat(F.flatten(F.transform("places", around)), F.array(last)))
     best = lambda g: F.array_max(F.transform("ts", lambda t: F.struct(_dice(g, t, threshold).alias("dice"), (-t["tid"]).alias("first"), t["licence"].alias("licence"))))
     window = lambda s: F.struct(s.alias("at"), _let(F.slice("g", s + 1, F.col("m") - 1), best).alias("b"))
     hits = F.filter(F.transform(starts, window), lambda x: x["b"]["dice"] >= threshold)

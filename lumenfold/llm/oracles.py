@@ -6,7 +6,7 @@ from .common import LOWER, UPPER
 from .decontaminate import SHINGLE
 from .decontaminate import THRESHOLD as CONTAINED
 from .host_reputation import LIMIT, SECOND_LEVEL, STRONGEST, WEAKEST, Z
-from .licences import STEPS, TEMPLATES, necessary_words, size_bounds, template_bigrams, window_sizes
+from .licences import STEPS, TEMPLATES, necessary_bigrams, necessary_words, size_bounds, template_bigrams, window_sizes
 from .licences import THRESHOLD as DICE
 from .revisits import DAY, NOT_REPLACED, TRACKING
 
@@ -53,16 +53,17 @@ OP4 = f"""
 WITH tmpl(tid, licence, n, lo, hi) AS (VALUES {_values([(i, name, sum(b.values()), *size_bounds(sum(b.values()), DICE)) for i, name, _, b in _T])}),
 tgram(tid, g, c) AS (VALUES {_values([(i, g, c) for i, _, _, b in _T for g, c in b.items()])}),
 sizes(tid, m) AS (VALUES {_values([(i, m) for i, _, t, _ in _T for m in window_sizes(t, DICE)])}),
-need(tid, word) AS (VALUES {_values([(i, w) for i, _, _, b in _T for w in necessary_words(b, DICE)])}),
+need(word) AS (VALUES {_values(sorted({(w,) for _, _, _, b in _T for w in necessary_words(b, DICE)}))}),
+must(tid, x) AS (VALUES {_values([(i, g) for i, _, _, b in _T for g in necessary_bigrams(b, DICE)])}),
 low AS (SELECT doc_id, {_low('text')} AS low FROM documents WHERE text IS NOT NULL),
-likely AS (SELECT DISTINCT doc_id, tid, low FROM low JOIN need ON contains(low, word)),
-worded AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(low, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM (SELECT DISTINCT doc_id, low FROM likely)),
+worded AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(low, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM (SELECT DISTINCT doc_id, low FROM low JOIN need ON contains(low, word))),
 grammed AS (SELECT doc_id, len(w) AS k, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM worded WHERE len(w) > 1),
-sized AS (SELECT DISTINCT doc_id, k, g, least(m, k) AS m FROM grammed JOIN (SELECT doc_id, tid FROM likely) USING (doc_id) JOIN sizes USING (tid)),
+likely AS (SELECT DISTINCT doc_id, tid FROM (SELECT doc_id, unnest(g) AS x FROM grammed) JOIN must USING (x)),
+sized AS (SELECT DISTINCT doc_id, k, g, least(m, k) AS m FROM grammed JOIN likely USING (doc_id) JOIN sizes USING (tid)),
 units AS (SELECT DISTINCT doc_id, m, pos, list_slice(g, pos + 1, pos + m - 1) AS g FROM (SELECT doc_id, m, g, unnest(list_append(range(0, k - m + 1, greatest(1, m // {STEPS})), k - m)) AS pos FROM sized)),
 grams AS (SELECT doc_id, m, pos, x, count(*) AS c FROM (SELECT doc_id, m, pos, unnest(g) AS x FROM units) GROUP BY ALL),
 scored AS (SELECT grams.doc_id, grams.m, pos, t.tid, licence, 2.0 * sum(least(grams.c, tgram.c)) / (grams.m - 1 + t.n) AS dice FROM grams JOIN tgram ON tgram.g = grams.x JOIN tmpl t ON t.tid = tgram.tid AND grams.m - 1 BETWEEN t.lo AND t.hi
-  JOIN (SELECT doc_id, tid FROM likely) l ON l.doc_id = grams.doc_id AND l.tid = t.tid GROUP BY grams.doc_id, grams.m, pos, t.tid, licence, t.n),
+  JOIN likely l ON l.doc_id = grams.doc_id AND l.tid = t.tid GROUP BY grams.doc_id, grams.m, pos, t.tid, licence, t.n),
 best AS (SELECT * FROM scored WHERE dice >= {DICE} QUALIFY row_number() OVER (PARTITION BY doc_id, m, pos ORDER BY dice DESC, tid) = 1)
 SELECT doc_id, licence, pos AS first_word, m AS n_words, round(dice, 6) AS best_dice FROM best QUALIFY row_number() OVER (PARTITION BY doc_id, licence ORDER BY dice DESC, pos, m) = 1
 """
