@@ -167,6 +167,12 @@ class WindowIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
         discard(self.spark, f"{self.path}/{name}")
 
+    def remove(self) -> None:
+        """Delete the whole index; what add() returned stays readable."""
+        for name in list(self.tables):
+            self._drop(name)
+        discard(self.spark, self.path)
+
     def compact(self) -> None:
         """Merge all runs into one, then delete them."""
         if not self.runs:
@@ -311,6 +317,7 @@ def drop_repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     buckets = min(BUCKETS, max(8, -(-about.n // BUCKET_DOCS)))
     index = WindowIndex(docs.sparkSession, width=width, gram=gram, buckets=buckets)
     found = [index.add(base.filter(_between(a, b)), base.filter(_between(None, b))) for a, b in zip(ends, ends[1:], strict=False)]
+    index.remove()
     return cut_spans(base, reduce(DataFrame.unionByName, found))
 
 
