@@ -109,4 +109,25 @@ WITH i AS ({_shingles('benchmark', 'item_id')}), d AS ({_shingles('documents', '
 SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_shingles, round(count(*) / any_value(n), 6) AS containment FROM d JOIN i USING (s) JOIN size USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= {CONTAINED} * any_value(n) - 1e-9
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op2_warc_revisits": OP2, "op4_licences": OP4, "op6_url_filter": OP6, "op10_decontaminate": OP10}
+_LINES = "'[^\\n]*\\n|[^\\n]+'"
+OP12 = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+units AS (SELECT *, regexp_extract_all(text, {_LINES}) AS us, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS hs FROM t),
+drawn AS (SELECT *, len(us) AS n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR hs[3] % 100 >= 100 THEN 'plain' WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM units),
+cut AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS lo, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS hi FROM drawn),
+parts AS (SELECT *, array_to_string(us[:lo], '') AS p, array_to_string(us[lo + 1:hi], '') AS m, array_to_string(us[hi + 1:], '') AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts
+"""
+
+_WORDS = f"regexp_extract_all({_low('text')}, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+')"
+OP13 = f"""
+WITH d AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents), i AS (SELECT item_id, unnest({_WORDS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL), sizes AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id), total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM sizes),
+ms AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // len AS m FROM sizes, total), ws AS (SELECT term, CAST(floor(1000 * ln((2.0 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs),
+qf AS (SELECT item_id, term, count(*) AS q FROM i GROUP BY ALL),
+scored AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM qf JOIN ws USING (term) JOIN tf USING (term) JOIN ms USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op2_warc_revisits": OP2, "op4_licences": OP4, "op6_url_filter": OP6, "op10_decontaminate": OP10, "op12_fill_in_middle": OP12, "op13_impact_search": OP13}
