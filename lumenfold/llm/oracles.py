@@ -9,6 +9,7 @@ from .host_reputation import LIMIT, SECOND_LEVEL, STRONGEST, WEAKEST, Z
 from .licences import STEPS, TEMPLATES, necessary_bigrams, necessary_words, size_bounds, template_bigrams, window_sizes
 from .licences import THRESHOLD as DICE
 from .revisits import DAY, NOT_REPLACED, TRACKING
+from .secret_links import ACCESS, ANY, ASSIGN, ASSIGN_VALUE, BLANK_LINE, ENDPOINT, HEX, IDENTIFIER, KINDS, NEEDS, REACH, ROLE
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _low = lambda c: f"translate({c}, '{UPPER}', '{LOWER}')"
@@ -109,6 +110,32 @@ WITH i AS ({_shingles('benchmark', 'item_id')}), d AS ({_shingles('documents', '
 SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_shingles, round(count(*) / any_value(n), 6) AS containment FROM d JOIN i USING (s) JOIN size USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= {CONTAINED} * any_value(n) - 1e-9
 """
 
+
+
+def _found(name: str, pattern: str) -> str:
+    """CTE of a pattern's matches with their places in code points."""
+    p = f"'{_quoted(pattern)}'"
+    return f"""{name} AS (SELECT rid, m, CAST(sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY i) - length(m) AS INTEGER) AS s, CAST(sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS INTEGER) AS e
+ FROM (SELECT rid, i, gaps[i] AS g, ms[i] AS m FROM (SELECT rid, gaps, ms, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rid, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS ms FROM t WHERE regexp_matches(text, {p})))))"""
+
+
+_whole = lambda p: f"regexp_matches(m, '^(?:{_quoted(p)})$')"
+_named = lambda values: "CASE kind " + " ".join(f"WHEN {i} THEN '{values[k]}'" for i, k in enumerate(KINDS)) + " END"
+_line = "string_agg(CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END || ':' || s || ':' || e, ',' ORDER BY s, kind, e)"
+OP11 = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+{_found("f0", ASSIGN)}, {_found("f1", ACCESS)}, {_found("f2", HEX)}, {_found("fw", ANY)}, {_found("breaks", BLANK_LINE)},
+base AS (SELECT rid, s, e, 0 AS kind FROM f0 WHERE {_whole(ASSIGN_VALUE)} UNION ALL SELECT rid, s, e, 1 FROM f1 UNION ALL SELECT rid, s, e, 2 FROM f2),
+weak AS (SELECT * FROM (SELECT rid, s, e, CASE WHEN {_whole(ENDPOINT)} THEN 4 WHEN {_whole(IDENTIFIER)} THEN 3 WHEN NOT ({_whole(ASSIGN)} OR {_whole(ACCESS)} OR {_whole(HEX)}) AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') THEN 5 END AS kind FROM fw) WHERE kind IS NOT NULL),
+parts AS (SELECT p.*, {_named(ROLE)} AS role, (SELECT count(*) FROM breaks b WHERE b.rid = p.rid AND b.s <= p.s) AS scope FROM (SELECT * FROM base UNION SELECT * FROM weak) p),
+needs(kind, need) AS (VALUES {", ".join(f"({KINDS.index(k)}, '{n}')" for k, ns in NEEDS.items() for n in ns)}),
+met AS (SELECT a.rid, a.s, a.e, a.kind, (SELECT count(*) FROM parts b WHERE b.rid = a.rid AND b.scope = a.scope AND b.role = n.need AND b.s <= a.e + {REACH} AND b.e >= a.s - {REACH} AND (b.e <= a.s OR b.s >= a.e)) AS near FROM parts a JOIN needs n ON n.kind = a.kind),
+links AS (SELECT rid, s, e, kind FROM met GROUP BY ALL HAVING min(near) > 0),
+b AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, {_line} AS line FROM base GROUP BY rid),
+a AS (SELECT rid, {_line} AS line FROM (SELECT * FROM base UNION ALL SELECT rid, s, e, kind FROM links) GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b.line, '')) AS base_sha256, coalesce(a.line, '') AS spans FROM t LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)
+"""
+
 _LINES = "'[^\\n]*\\n|[^\\n]+'"
 OP12 = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
@@ -130,4 +157,4 @@ scored AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op2_warc_revisits": OP2, "op4_licences": OP4, "op6_url_filter": OP6, "op10_decontaminate": OP10, "op12_fill_in_middle": OP12, "op13_impact_search": OP13}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1, "op2_warc_revisits": OP2, "op4_licences": OP4, "op6_url_filter": OP6, "op10_decontaminate": OP10, "op11_secret_links": OP11, "op12_fill_in_middle": OP12, "op13_impact_search": OP13}

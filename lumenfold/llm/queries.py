@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fill_in_middle, host_reputation, impact_search, licences, line_dedup, permutation_index, quality_rules, revisits, simhash, window_index
+from . import bpe, decontaminate, fill_in_middle, host_reputation, impact_search, licences, line_dedup, permutation_index, quality_rules, revisits, secret_links, simhash, window_index
 from .common import table
 from .host_reputation import Rule
 
@@ -63,6 +63,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shared", "n_shingles", F.round("containment", 6).alias("containment"))
 
 
+def op11_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_links.digest(secret_links.scan(table(spark, sf_dir, "documents")))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digest(fill_in_middle.transform(table(spark, sf_dir, "documents")))
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_line_dedup, op2_warc_revisits, op3_simhash, op4_licences, op5_quality, op6_url_filter, op7_window_dedup, op8_nearest, op9_bpe, op10_decontaminate, op12_fill_in_middle, op13_impact_search, pipeline)
+    ops = (op1_line_dedup, op2_warc_revisits, op3_simhash, op4_licences, op5_quality, op6_url_filter, op7_window_dedup, op8_nearest, op9_bpe, op10_decontaminate, op11_secret_links, op12_fill_in_middle, op13_impact_search, pipeline)
     return {f.__name__: f for f in ops}
 
 
