@@ -23,8 +23,6 @@ ACTIONS = ("redacted", "blocked", "allowed_once")
 SLICE_ROWS, SLICES = 1 << 14, 1000
 #: Events of a part of an exported page.
 PAGE_EVENTS = 1000
-#: Ids of a slice of the chain.
-CHAIN_SLICE = 1 << 16
 
 
 # ---- limits -------------------------------------------------------------------------
@@ -116,30 +114,41 @@ def build_chain(events: DataFrame, previous: str = "", tags: tuple[str, str] = h
     return ordered.mapInArrow(run, schema)
 
 
-def append(ledger: DataFrame, batch: DataFrame, tags: tuple[str, str] = hashing.TAGS) -> DataFrame:
-    """The rows to append to a ledger: batch (seq, session_id, event_type, payload_json,
-    redacted_text, created_at) in the order of seq, numbered after the newest event and
-    chained to it. Any event that may not be appended (see admit()) fails the whole batch."""
+def extension(batch: DataFrame, at: int, previous: str, typed: bool = False, tags: tuple[str, str] = hashing.TAGS) -> DataFrame:
+    """The rows that a batch (seq, session_id, event_type, payload_json, redacted_text,
+    created_at) adds in the order of seq after the event numbered `at`, whose hash is
+    `previous`. Any event that may not be appended (see admit()) fails the whole batch.
+    typed: for writers of typed events, whose types are reserved to them."""
     named = F.when((F.coalesce("session_id", F.lit("")) == "") | (F.coalesce("event_type", F.lit("")) == ""), "empty session_id or event_type")
-    gated = admit(batch).withColumn("rejected_for", F.coalesce(named, F.col("rejected_for")))
+    gated = admit(batch).withColumn("rejected_for", F.coalesce(named, F.nullif(F.col("rejected_for"), F.lit("reserved_event_type" if typed else ""))))
     refuse = F.raise_error(F.concat(F.lit("event "), F.col("seq").cast("string"), F.lit(" is rejected: "), F.col("rejected_for")))
     gated = gated.withColumn("redacted_text", F.when(F.col("rejected_for").isNotNull(), refuse.cast("string")).otherwise(F.col("redacted_text")))
-    newest = head(ledger).select("event_id", "event_hash").first()
-    at, previous = (newest.event_id, newest.event_hash) if newest else (0, "")
     rows = numbered(gated, "seq").select((F.col("line") + at).alias("event_id"), "session_id", "event_type", "payload_json", "redacted_text", F.col("created_at").cast("long").alias("created_at"))
     return build_chain(rows, previous, tags)
 
 
-def chain_checks(events: DataFrame, tags: tuple[str, str] = hashing.TAGS) -> DataFrame:
+def append(ledger: DataFrame, batch: DataFrame, tags: tuple[str, str] = hashing.TAGS) -> DataFrame:
+    """The rows to append to a ledger that is a table; see extension(). store.LedgerStore
+    commits them."""
+    newest = head(ledger).select("event_id", "event_hash").first()
+    at, previous = (newest.event_id, newest.event_hash) if newest else (0, "")
+    return extension(batch, at, previous, tags=tags)
+
+
+def chain_checks(events: DataFrame, tags: tuple[str, str] = hashing.TAGS, trusted: DataFrame | None = None) -> DataFrame:
     """Adds ok, for the whole ledger as one chain: the hash recomputes, the previous hash is
     that of the event before (gaps in event_id don't matter), the version is known and never
-    falls. tags: those that the ledger was written with.
+    falls. tags: those that the ledger was written with. trusted: events (event_id, event_hash,
+    chain_version) that count as checked and come before the events that follow them.
 
-    Hashes recompute in parallel. A slice is `CHAIN_SLICE` consecutive ids; links are looked up
-    within it, and the last hash and the greatest version so far are carried to the next.
+    Hashes recompute in parallel. A slice is some `SLICE_ROWS` events by rank; links are looked
+    up within it, and the last hash and the greatest version so far are carried to the next.
     """
     again = hashing.event_hash(F.col("chain_version"), F.col("prev_hash"), F.col("payload_json"), F.col("created_at"), F.col("session_id"), F.col("event_type"), F.col("redacted_text"), tags)
-    rows, by = events.withColumns({"__again": again, "__slice": F.expr(f"event_id div {CHAIN_SLICE}")}), Window.partitionBy("__slice").orderBy("event_id")
+    rows, by = events.withColumns({"__again": again, "__trusted": F.lit(False)}), Window.partitionBy("__slice").orderBy("event_id")
+    if trusted is not None:
+        rows = rows.unionByName(trusted.select("event_id", "event_hash", "chain_version", F.lit(True).alias("__trusted")), allowMissingColumns=True)
+    rows = rows.withColumn("__slice", slice_of(events, "event_id"))
     ends = rows.groupBy("__slice").agg(F.max_by("event_hash", "event_id").alias("__end"), F.max("chain_version").alias("__most"))
     over = Window.orderBy("__slice")  # one row for each slice
     carried = ends.select("__slice", F.lag("__end", 1, "").over(over).alias("__end"), F.max("__most").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__most"))
@@ -147,7 +156,7 @@ def chain_checks(events: DataFrame, tags: tuple[str, str] = hashing.TAGS) -> Dat
     linked = F.col("prev_hash") == F.when(F.col("__n") == 1, F.col("__end")).otherwise(F.col("__last"))
     newest = F.greatest(F.lit(1), "__seen", "__most")
     ok = (F.col("__again") == F.col("event_hash")) & linked & (F.col("chain_version") >= newest)
-    return here.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("__again", "__slice", "__n", "__last", "__seen", "__end", "__most")
+    return here.filter("not __trusted").withColumn("ok", F.coalesce(ok, F.lit(False))).drop("__again", "__trusted", "__slice", "__n", "__last", "__seen", "__end", "__most")
 
 
 def verify(events: DataFrame, tags: tuple[str, str] = hashing.TAGS) -> DataFrame:
@@ -199,14 +208,19 @@ def read_checkpoints(spark, path: str) -> DataFrame:
     return files.mapInArrow(run, f"line long, {_POINT}")
 
 
-def sliced(rows: DataFrame, column: str) -> DataFrame:
-    """Adds __slice, which ascends with the column; nulls come first. Slices hold about
-    `SLICE_ROWS` rows, at most `SLICES` of them; all equal values share one."""
+def slice_of(rows: DataFrame, column: str) -> Column:
+    """The slice of a value of the column, which ascends with it; nulls come first. Slices hold
+    about `SLICE_ROWS` of the rows, at most `SLICES` of them; all equal values share one."""
     n = rows.count()
     parts = min(SLICES, -(-n // SLICE_ROWS))
     cuts = rows.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10 * SLICES)).first()[0] if parts > 1 else None
     bounds = F.array(*[F.lit(x) for x in sorted(set(cuts or []))]).cast(f"array<{dict(rows.dtypes)[column]}>")
-    return rows.withColumn("__slice", F.size(F.filter(bounds, lambda x: x < F.col(column))))
+    return F.size(F.filter(bounds, lambda x: x < F.col(column)))
+
+
+def sliced(rows: DataFrame, column: str) -> DataFrame:
+    """Adds __slice; see slice_of()."""
+    return rows.withColumn("__slice", slice_of(rows, column))
 
 
 def numbered(rows: DataFrame, column: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, redaction
 from ..operators import ledger
+from ..operators.store import LedgerStore
+from .scratch import scratch_path
 
 #: The pinned time of queries that need one, and that of the first scan.
 NOW, SCAN_T0 = 1_700_050_000, 1_700_000_000
@@ -51,8 +53,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), kind.alias("event_type"), F.col("props").alias("payload_json"), text.alias("redacted_text"), at.alias("created_at"))
 
 
+#: Ledgers stored by this process, by application and tables.
+_STORED: dict[tuple[str, str], LedgerStore] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> LedgerStore:
+    """The events as a committed ledger, which is made once and then read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED or not _STORED[key].version():
+        _STORED[key] = LedgerStore(spark, scratch_path(spark, "ledger"))
+        _STORED[key].adopt(events(spark, sf_dir))
+    return _STORED[key]
+
+
 def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.build_chain(events(spark, sf_dir))
+    return stored(spark, sf_dir).events()
 
 
 def tampered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,14 +27,14 @@ def broken(df, **kw):
 
 def test_untouched_chain_verifies(chained, monkeypatch):
     assert broken(chained) is None and broken(chained.filter("event_id <= 3")) is None
-    monkeypatch.setattr(ledger, "CHAIN_SLICE", 2)
+    monkeypatch.setattr(ledger, "SLICE_ROWS", 2)
     assert broken(chained) is None
 
 
 @pytest.mark.parametrize("size", [2, 1 << 16])
 @pytest.mark.parametrize(("column", "value"), [("payload_json", "[]"), ("payload_json", "no json"), ("event_type", "t"), ("session_id", "a"), ("redacted_text", None), ("created_at", 99), ("event_hash", "0" * 64), ("prev_hash", "0" * 64), ("chain_version", 1), ("chain_version", 7)])
 def test_tampering_is_found(chained, monkeypatch, column, value, size):
-    monkeypatch.setattr(ledger, "CHAIN_SLICE", size)
+    monkeypatch.setattr(ledger, "SLICE_ROWS", size)
     kind = dict(chained.dtypes)[column]
     touched = chained.withColumn(column, F.when(F.col("event_id") == 3, F.lit(value).cast(kind)).otherwise(F.col(column)))
     assert broken(touched) == 3
