@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators.store import LedgerStore
+from ..operators.text_index import TextIndex
 from ..sources import derived as d
 from ..sources.derived import sql
 from ..sources.scratch import scratch_path
-from .catalog import query
+from .catalog import _FORMS, _FORMS_SQL, query
 
 #: Batches that the ledger is appended in, by event_id.
 BATCHES = 4
@@ -62,3 +65,43 @@ def c3_verify_increments(spark: SparkSession, sf: str) -> DataFrame:
     if anchors:
         told += [(100, store.verify()), (101, store.verify(full=True)), (102, store.verify_after(*anchors[BATCHES // 2 - 1]))]
     return spark.createDataFrame([(i, v.ok, v.n_events, v.n_read) for i, v in told], "step int, ok boolean, n_events long, n_read long")
+
+
+# ---- search by an index -------------------------------------------------------------
+
+def _indexed(spark: SparkSession, events: DataFrame, parts: int) -> TextIndex:
+    """An index that is opened anew for each of `parts` increments, by event_id."""
+    path = scratch_path(spark, "index")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    for i in range(parts if low is not None else 0):
+        TextIndex(spark, path, 16).add(events.filter(F.col("event_id") <= low + (high - low) * (i + 1) // parts))
+    return TextIndex(spark, path, 16)
+
+
+@query(sql(f"{_FORMS_SQL} UNION ALL SELECT 'limit', event_id FROM (SELECT event_id FROM ledger_events WHERE redacted_text LIKE 'click %' ORDER BY event_id LIMIT 7)", "ledger_events"))
+def a9_index_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """The forms of a9_search_forms from an index that grew by five increments and was merged."""
+    e = d.events(spark, sf)
+    index = _indexed(spark, e, 5)
+    found = [index.ids(q).select(F.lit(name).alias("form"), "event_id") for name, (q, _) in _FORMS.items()]
+    return reduce(DataFrame.unionByName, found, index.search("click", e, 7).select(F.lit("limit").alias("form"), "event_id"))
+
+
+#: Queries over conversations, and what they come to on `t`, the tokens between blanks.
+_TURN_FORMS = {
+    "word": ("the", "t LIKE '% the %'"), "all": ("the de", "t LIKE '% the %' AND t LIKE '% de %'"), "any": ("QUE OR with", "t LIKE '% que %' OR t LIKE '% with %'"),
+    "phrase": ('"of the"', "t LIKE '% of the %'"), "phrase and prefix": ('"of th"*', "t LIKE '% of th%'"), "three words": ('"in of the"', "t LIKE '% in of the %'"), "prefix": ("wit*", "t LIKE '% wit%'"),
+    "accents": ("CIONES* OR ciones OR é", "t LIKE '% ciones%' OR t LIKE '% e %'"), "without": ("of NOT the NOT event_type:turn.user", "t LIKE '% of %' AND t NOT LIKE '% the %' AND event_type <> 'turn.user'"),
+    "grouped": ("(event_type:turn.system OR session_id:s7) AND (the OR la)", "(event_type = 'turn.system' OR session_id = 's7') AND (t LIKE '% the %' OR t LIKE '% la %')"), "none": ("thethethe", "false"),
+}
+_TURN_TOKENS = "' ' || trim(regexp_replace(strip_accents(lower(coalesce(redacted_text, ''))), '[^\\p{L}\\p{N}\\p{Co}_.\\-]+', ' ', 'g')) || ' '"
+_TURN_SQL = " UNION ALL ".join(f"SELECT '{name}' AS form, event_id, redacted_text FROM tokened WHERE {c}" for name, (_, c) in _TURN_FORMS.items())
+
+
+@query(sql(f"SELECT form, event_id, sha256(redacted_text) AS text_sha256 FROM (WITH tokened AS (SELECT *, {_TURN_TOKENS} AS t FROM turns) {_TURN_SQL})", "turns"))
+def a9_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Forms of queries over all turns of all conversations, from an index of three increments."""
+    e = d.turns(spark, sf)
+    index = _indexed(spark, e, 3)
+    found = [index.search(q, e).select(F.lit(name).alias("form"), "event_id", F.sha2(F.col("redacted_text").cast("binary"), 256).alias("text_sha256")) for name, (q, _) in _TURN_FORMS.items()]
+    return reduce(DataFrame.unionByName, found)

@@ -121,6 +121,12 @@ def servers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "server_id string, trust_level string, pending_command_hash string")
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as events, one for each turn."""
+    at = F.col("conv_id") * 1000 + F.col("turn")
+    return load(spark, sf_dir, "conversations").select(at.alias("event_id"), F.concat(F.lit("s"), (F.col("conv_id") % 50).cast("string")).alias("session_id"), F.concat(F.lit("turn."), "role").alias("event_type"), F.col("text").alias("redacted_text"), (SCAN_T0 + at).alias("created_at"))
+
+
 def server_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A server for each supplier."""
     k = F.col("s_suppkey")
@@ -188,6 +194,7 @@ DERIVED_SQL = {
  CASE o_custkey % 3 WHEN 0 THEN 'fetch' WHEN 1 THEN 'read_file' ELSE 'send_mail' END AS tool_name, CAST(o_custkey % 20 AS VARCHAR) AS args_hash, CASE o_orderstatus WHEN 'F' THEN 'Approved' WHEN 'O' THEN 'Pending' ELSE 'Denied' END AS status,
  CASE WHEN o_orderkey % 2 = 0 THEN 'ThisSession' ELSE 'Once' END AS scope, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS created_at, CAST(floor(epoch(o_orderdate)) AS BIGINT) + 300 AS expires_at,
  CASE WHEN o_orderstatus <> 'O' THEN CAST(floor(epoch(o_orderdate)) AS BIGINT) + o_orderkey % 300 END AS resolved_at FROM orders""",
+    "turns": f"SELECT conv_id * 1000 + turn AS event_id, 's' || (conv_id % 50) AS session_id, 'turn.' || role AS event_type, text AS redacted_text, {SCAN_T0} + conv_id * 1000 + turn AS created_at FROM conversations",
     "server_profiles": "SELECT 'srv' || s_suppkey AS server_id, CASE s_suppkey % 3 WHEN 0 THEN 'Untrusted' WHEN 1 THEN 'Limited' ELSE 'Trusted' END AS trust_level, CASE WHEN s_suppkey % 5 = 0 THEN 'h' || s_suppkey END AS pending_command_hash, s_name AS command_json FROM supplier",
     "tool_descriptors": "SELECT 'srv' || (p_partkey % 10) AS server_id, 'tool' || p_partkey AS tool_name, sha256(p_name) AS descriptor_hash, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey END AS approved_at, CASE WHEN p_partkey % 6 = 0 THEN 'new' END AS pending_hash FROM part",
     "oauth_metadata": "SELECT 't' || c_custkey AS token_ref, c_mktsegment AS issuer, c_name AS resource FROM customer",
