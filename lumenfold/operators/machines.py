@@ -62,6 +62,15 @@ class Pin:
             return False
         return True
 
+    def take(self, op: str, hash: str | None, at: int, kind: str, last: tuple | None) -> None:
+        """One event of the key; last: op and hash of the one before it."""
+        if op == "observe" and last == (op, hash):
+            return
+        if op == "observe" and hash is not None:
+            self.observe(hash, at, kind)
+        elif op == "observe" or not self.decide(op, hash, at, kind):
+            self.n_invalid += 1
+
 
 STATE = "hash string, approved_at long, pending string, drift_at long, n_first int, n_drift int, n_invalid int"
 _TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
@@ -97,16 +106,8 @@ def fold(events: DataFrame, keys: list[str], kind: str) -> DataFrame:
                     if key is not None:
                         done.append((key, astuple(pin)))
                     key, pin, last = own, Pin(), None
-                again, last = op == "observe" and last == (op, hash), (op, hash)
-                if again:
-                    continue
-                if op == "observe":
-                    if hash is None:
-                        pin.n_invalid += 1
-                    else:
-                        pin.observe(hash, at, kind)
-                elif not pin.decide(op, hash, at, kind):
-                    pin.n_invalid += 1
+                pin.take(op, hash, at, kind, last)
+                last = op, hash
             if done:
                 yield out(done)
         if key is not None:

@@ -1,7 +1,8 @@
-"""Registered queries over stored structures: the committed ledger and the search index."""
+"""Registered queries over stored structures, the committed ledger and the search index, and over streams."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from ..operators.text_index import TextIndex
 from ..sources import derived as d
 from ..sources.derived import sql
 from ..sources.scratch import scratch_path
+from ..streaming import stateful
 from .catalog import _FORMS, _FORMS_SQL, query
 
 #: Batches that the ledger is appended in, by event_id.
@@ -105,3 +107,54 @@ def a9_index_search(spark: SparkSession, sf: str) -> DataFrame:
     index = _indexed(spark, e, 3)
     found = [index.search(q, e).select(F.lit(name).alias("form"), "event_id", F.sha2(F.col("redacted_text").cast("binary"), 256).alias("text_sha256")) for name, (q, _) in _TURN_FORMS.items()]
     return reduce(DataFrame.unionByName, found)
+
+
+# ---- streams ------------------------------------------------------------------------
+
+#: Files that a stream takes in turn.
+TURNS = 3
+
+
+def _played(spark: SparkSession, rows: DataFrame, end: dict[str, object], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What make(stream) gives for rows (at, ...) that come in `TURNS` files by time, one for
+    each micro-batch, and then two rows `end` far in the future, so that the watermark passes
+    all of them."""
+    source, sink = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
+    low, high = rows.agg(F.min("at"), F.max("at")).first()
+    low, high = (low, high) if low is not None else (0, 0)
+    turn = F.expr(f"(at - {low}) * {TURNS} div ({high} - {low} + 1)")
+    for i in range(TURNS):
+        rows.filter(turn == i).coalesce(1).write.mode("append").parquet(source)
+    for i in (1, 2):
+        last = spark.range(1).select(*[F.lit(end.get(c, high + i * 10**6 if c == "at" else None)).cast(t).alias(c) for c, t in rows.dtypes])
+        last.write.mode("append").parquet(source)
+    before = {k: spark.conf.get(k) for k in stateful.ROCKSDB}
+    for k, v in stateful.ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        stream = make(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source))
+        stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return spark.read.schema(stream.schema).parquet(sink)
+
+
+@query()
+def d1_streamed_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """d1_descriptor_drift from a stream: the last state of each key. SQL can't express it; a
+    test compares it with d1_descriptor_drift."""
+    keys = ["server_id", "tool_name"]
+    out = _played(spark, d.observations(spark, sf), {"server_id": "end", "tool_name": "end", "seq": 1 << 40, "op": "observe"}, lambda s: stateful.drift(s, keys, "descriptor"))
+    last = out.filter("server_id <> 'end'").groupBy(*keys).agg(F.max_by(F.struct(*[c for c in out.columns if c not in keys]), "upto").alias("s"))
+    return last.select(*keys, "s.*").drop("upto")
+
+
+@query(sql("SELECT approval_id, expires_at FROM approvals WHERE status = 'Pending'", "approvals"))
+def p5_streamed_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """Approvals that nobody resolved before their end, by timers on event time."""
+    a = d.approvals(spark, sf)
+    opened = a.select(F.col("approval_id").alias("item_id"), F.lit("open").alias("op"), F.col("created_at").alias("at"), "expires_at")
+    closed = a.filter("resolved_at is not null").select(F.col("approval_id").alias("item_id"), F.lit("close").alias("op"), F.col("resolved_at").alias("at"), F.lit(None).cast("long").alias("expires_at"))
+    out = _played(spark, opened.unionByName(closed), {"item_id": -1, "op": "open"}, stateful.expiries)
+    return out.select(F.col("item_id").alias("approval_id"), "expires_at")
