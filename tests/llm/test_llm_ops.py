@@ -637,8 +637,8 @@ def test_decontamination(spark, docs, empty):
         worn[i] = "changed"
     items += [(12, " ".join(longest[300:500])), (13, " ".join(worn)), (14, sentence(150)), (15, " ".join(longest[:18_000]))]  # by signatures of documents
     table = spark.createDataFrame([(*x, "t") for x in items], "item_id long, text string, doc_id string")
-    posted = {r["item"]: r["n"] for r in decontaminate.signatures(table, 0.8).filter("least >= 0").groupBy("item").agg(F.count("*").alias("n")).collect()}
-    assert len(posted) == 4
+    levels = {r.level for r in decontaminate.signatures(table, 0.8).select("level").distinct().collect()}
+    assert levels == {0, 1, 2, 3, decontaminate.ALL}
     got = decontaminate.contained_items(docs, table).select("doc_id", "item_id", "n_shared", "n_shingles").collect()
     wanted = brute_contained(ROWS, items)
     same([tuple(r) for r in got], wanted)
@@ -651,21 +651,45 @@ def test_decontamination(spark, docs, empty):
 
 def test_signatures():
     rng = np.random.default_rng(1)
-    for n in (1, 2, 9, 60, 95):  # short items: whatever is missing, enough of the signature stays
-        h = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        signed, least, need = decontaminate.sign(h, 0.8)
-        assert (least == -1).all() and need >= 1 and len(signed) - need == n - decontaminate.needed(n, 0.8)
-    lost = 0
-    for _ in range(200):  # longer ones: a document's signature is smaller than its set and still agrees
-        n, size = int(rng.integers(96, 400)), int(rng.integers(500, 5000))
-        h = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        doc = np.concatenate([rng.choice(h, decontaminate.needed(n, 0.8), replace=False), rng.integers(0, 2**63, size, dtype=np.uint64)])
-        signed, least, need = decontaminate.sign(h, 0.8)
-        every, none = SimpleNamespace(has=lambda x: np.ones(len(x), bool)), SimpleNamespace(has=lambda x: np.zeros(len(x), bool))
-        near, far, c = decontaminate.document_hits(doc, none, every)
-        assert not len(near) and len(far) <= decontaminate.n_bins(c) < len(doc) and decontaminate.size_class(len(doc)) == c
-        lost += np.isin(signed[least <= c], far).sum() < need
-    assert lost == 0
+    assert {n: decontaminate.partition(n, 0.8)[0] for n in (1, 6, 7, 30, 200, 2000)} == {1: decontaminate.ALL, 6: decontaminate.ALL, 7: 3, 30: 3, 200: 1, 2000: 0}
+    every, none = SimpleNamespace(has=lambda x: np.ones(len(x), bool)), SimpleNamespace(has=lambda x: np.zeros(len(x), bool))
+    for n in [*range(7, 40), *[60, 95, 96, 150, 400, 1500]]:  # the least that must be shared, in documents as full as their class allows
+        for size in {max(64, 1 << (n - 1).bit_length()), 512, 4096}:
+            h = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            held = rng.choice(h, decontaminate.needed(len(h), 0.8), replace=False)
+            doc = np.concatenate([held, rng.integers(0, 2**63, max(0, size - len(held)), dtype=np.uint64)])
+            bits, level, agree = decontaminate.sign(h, 0.8)
+            got, from_bits, c = decontaminate.document_hits(doc, none, every)
+            have = dict(zip(got.tolist(), from_bits.tolist(), strict=True))
+            bins = decontaminate.SMALLEST + c + level
+            agreed = [x for x, b in zip(h.tolist(), bits.tolist(), strict=True) if b <= bins and have.get(x, decontaminate.NEVER) <= bins]
+            # by the definition: equal minima of the bins of both sides
+            least = lambda xs: {int(x) & ((1 << bins) - 1): int(x) for x in sorted(xs.tolist(), reverse=True)}  # noqa: E731, B023
+            assert sorted(agreed) == sorted(x for at, x in least(h).items() if least(doc).get(at) == x)
+            assert len(agreed) >= agree > 0 and agree >= (0.4 * n if n > 60 else 1)
+
+
+def test_candidates_of_the_given_benchmark_come_from_signatures(spark):
+    sf = "/root/testdata/sf0.01"
+    posted = decontaminate.signatures(spark.read.parquet(f"{sf}/benchmark.parquet"), 0.8).cache()
+    assert posted.filter(F.col("level") == decontaminate.ALL).count() == 0 and posted.select("item").distinct().count() == 40
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.xxhash64("doc_id").alias("id"), F.xxhash64("text").alias("h_text"), F.col("text").cast("binary").alias("text"))
+    found = decontaminate.hits(docs, posted).cache()
+    assert found.count() > 0 and found.filter(F.col("bits") == decontaminate.NEVER).count() == 0
+    assert decontaminate.candidates(found, posted).count() >= 10
+
+
+def test_common_phrases_bring_no_pairs_together(spark):
+    stock = ["terms and conditions apply to every such offer made here today", "all rights reserved by the owners of this very fine and old site"]
+    items = [(i, f"{sentence(12)} {stock[0]} {sentence(12)} {stock[1]}") for i in range(200)]
+    rows = [(i, f"{sentence(40)} {stock[0]} {sentence(40)} {stock[1]} {sentence(40)}" + (f" {items[i][1]}" if i < 5 else "")) for i in range(400)]
+    docs = spark.createDataFrame([(i, 1, t.encode()) for i, t in rows], "id long, h_text long, text binary")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    posted = decontaminate.signatures(table, 0.8).cache()
+    pairs = decontaminate.candidates(decontaminate.hits(docs, posted).cache(), posted).count()
+    assert 5 <= pairs < 0.01 * 200 * 400
+    got = decontaminate.contained_items(spark.createDataFrame(rows, "doc_id long, text string"), table).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(5)]
 
 
 def test_many_items(spark):
