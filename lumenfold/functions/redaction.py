@@ -99,6 +99,30 @@ def risk_of(kind: Column) -> Column:
     return F.when(label == "secret", RISK_SECRET).when(label.isin("email", "url"), RISK_EMAIL_URL).otherwise(RISK_OTHER)
 
 
+#: Elements that a running fold goes over before its result is carried on.
+RUN = 64
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running results of step over an array of integers of 0 and more, from 0: sums, maxima.
+
+    Runs of `RUN` elements are folded by themselves and over the runs, so that a long array
+    isn't copied once for each of its elements.
+    """
+
+    def of(xs: Column) -> Column:
+        runs = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int"))
+        own = lambda r: F.slice(xs, r * RUN + 1, F.lit(RUN))
+        totals = F.transform(runs, lambda r: F.aggregate(own(r), F.lit(0), step))
+        carried = F.aggregate(totals, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(step(F.element_at(a, -1), x))))
+        add = lambda a, x: let(step(a["at"], x), lambda now: F.struct(now.alias("at"), F.concat(a["out"], F.array(now)).alias("out")))
+        start = lambda before, r: F.struct(F.get(before, r).alias("at"), F.array().cast("array<int>").alias("out"))
+        each = let(carried, lambda before: F.flatten(F.transform(runs, lambda r: F.aggregate(own(r), start(before, r), add, lambda a: a["out"]))))
+        return F.when(F.size(xs) > 0, each).otherwise(F.array().cast("array<int>"))
+
+    return let(values, of)
+
+
 def spans(text: Column, name: str, pattern: str, order: int) -> Column:
     """(start, end, kind, ord) of each match, in UTF-8 bytes.
 
@@ -107,13 +131,13 @@ def spans(text: Column, name: str, pattern: str, order: int) -> Column:
     """
     p = F.lit("(?U)" + pattern)
     found, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, "(?U)" + pattern, -1)
-    lengths = F.zip_with(gaps, found, lambda g, m: F.struct(F.octet_length(g).alias("g"), F.coalesce(F.octet_length(m), F.lit(0)).alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["g"] + x["m"]).alias("at"),
-        F.when(x["m"] > 0, F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end"), F.lit(name).alias("kind"), F.lit(order).alias("ord"))))).otherwise(acc["out"]).alias("out"),
-    )
-    return F.when(matches(text, name, pattern), F.aggregate(lengths, zero, step)["out"]).otherwise(F.array().cast(SPAN))
+
+    def placed(ms: Column) -> Column:
+        ends = running(F.zip_with(F.slice(gaps, 1, F.size(ms)), ms, lambda g, m: F.octet_length(g) + F.octet_length(m)), lambda a, x: a + x)
+        every = F.zip_with(ends, ms, lambda e, m: F.struct((e - F.octet_length(m)).alias("start"), e.alias("end"), F.lit(name).alias("kind"), F.lit(order).alias("ord")))
+        return F.filter(every, lambda s: s["end"] > s["start"])
+
+    return F.when(matches(text, name, pattern), let(found, placed)).otherwise(F.array().cast(SPAN))
 
 
 def all_spans(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -124,22 +148,27 @@ def union_merge(found: Column) -> Column:
     """Overlapping spans as their union, named by the first in order (start, longest, rule
     order). Adjacent spans stay apart."""
     ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["ord"].alias("ord"), s["kind"].alias("kind"))))
-    kind = "array<struct<start:int,end:int,kind:string>>"
-    step = lambda acc, s: F.when(
-        (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], -s["back"]).alias("end"), F.element_at(acc, -1)["kind"].alias("kind")))),
-    ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind")))))
-    return F.aggregate(ordered, F.array().cast(kind), step)
+
+    def merged(xs: Column, reach: Column) -> Column:
+        """A union begins where a span doesn't start before the greatest end so far, and ends there."""
+        first = F.filter(F.transform(xs, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(reach, i - 1)), i)), lambda i: i.isNotNull())
+        last = lambda at, j: F.coalesce(F.get(at, j + 1), F.size(xs)) - 1
+        whole = lambda at: F.transform(at, lambda i, j: F.struct(F.get(xs, i)["start"].alias("start"), F.get(reach, last(at, j)).alias("end"), F.get(xs, i)["kind"].alias("kind")))
+        return let(first, whole)
+
+    return let(ordered, lambda xs: let(running(F.transform(xs, lambda s: -s["back"]), lambda a, x: F.greatest(a, x)), lambda reach: merged(xs, reach)))
 
 
 def replace_spans(text: Column, merged: Column, name: str = "kind") -> Column:
     """Text with each of the disjoint, sorted byte spans replaced by its placeholder."""
-    raw = text.cast("binary")
-    piece = lambda a, b: F.substring(raw, a + 1, F.greatest(b - a, F.lit(0))).cast("string")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], piece(acc["at"], s["start"]), F.lit("[REDACTED "), s[name], F.lit("]")).alias("out"))
-    done = lambda m: F.aggregate(m, zero, step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.octet_length(text))))
-    return let(merged, lambda m: F.when(F.size(m) > 0, done(m)).otherwise(text))
+    piece = lambda raw, a, b: F.substring(raw, a + 1, F.greatest(b - a, F.lit(0))).cast("string")
+
+    def done(m: Column, raw: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(m, i - 1)["end"], F.lit(0))
+        parts = F.transform(m, lambda s, i: F.concat(piece(raw, F.when(i == 0, 0).otherwise(before(i)), s["start"]), F.lit("[REDACTED "), s[name], F.lit("]")))
+        return F.concat(F.array_join(parts, ""), piece(raw, F.element_at(m, -1)["end"], F.octet_length(raw)))
+
+    return let(merged, lambda m: F.when(F.size(m) > 0, let(text.cast("binary"), lambda raw: done(m, raw))).otherwise(text))
 
 
 def scrub(text: Column) -> Column:

@@ -78,17 +78,34 @@ def weighted_misses(misses: DataFrame) -> DataFrame:
     return misses.groupBy("lang").agg(F.count("*").alias("n"), F.sum(w).alias("weight"))
 
 
+#: Cells that the values of a group are cut into to find its ranks.
+CELLS = 128
+
+
 def nearest_rank(values: DataFrame, column: str, *by: str) -> DataFrame:
     """p50, p95, p99 by nearest rank: the value at floor(q * n), the last at most.
 
-    Rows are ranked by a sort that can spill, and only the wanted ranks are kept; no group
-    is gathered into one value.
+    Exact, by selection: rough percentiles cut a group into cells, counts say which cells hold
+    the wanted ranks, and only their values are put in order, equal ones as one. No task gets
+    a whole group.
     """
-    n = F.count(column).over(Window.partitionBy(*by))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(column)) - 1
-    ranked = values.filter(F.col(column).isNotNull()).select(*by, F.col(column).alias("v"), n.alias("n"), rank.alias("r"))
-    at = lambda q: F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col("v")))
-    return ranked.groupBy(*by).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    rows = values.filter(F.col(column).isNotNull()).select(*by, F.col(column).alias("v"))
+    cuts = F.percentile_approx("v", [i / CELLS for i in range(1, CELLS)], 100 * CELLS)
+    groups = rows.groupBy(*by).agg(F.count("*").alias("n"), F.array_distinct(cuts).alias("cuts")).select(*[F.col(b).alias(f"__{b}") for b in by], "n", "cuts")
+    same = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
+    placed = rows.join(groups, same) if by else rows.crossJoin(F.broadcast(groups))  # without groups: one row
+    placed = placed.select(*by, "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("cell"))
+    cells = placed.groupBy(*by, "cell").agg(F.count("*").alias("held"), F.first("n").alias("n"))
+    before = F.sum("held").over(Window.partitionBy(*by).orderBy("cell")) - F.col("held")  # CELLS rows a group
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.floor(F.col("n") * q), F.col("n") - 1).alias("rank")) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]))
+    chosen = cells.withColumn("before", before).select(*by, "cell", "held", "before", wanted.alias("w"))
+    chosen = chosen.filter((F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("before") + F.col("held")))
+    chosen = chosen.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("cell").alias("__cell"), F.col("w.name").alias("name"), (F.col("w.rank") - F.col("before")).alias("nth"))
+    here = [*same, F.col("cell") == F.col("__cell")]
+    few = placed.join(chosen.drop("name", "nth").distinct(), here, "left_semi").groupBy(*by, "cell", "v").agg(F.count("*").alias("times"))
+    upto = F.sum("times").over(Window.partitionBy(*by, "cell").orderBy("v"))
+    found = few.withColumn("upto", upto).join(chosen, here).filter((F.col("nth") < F.col("upto")) & (F.col("nth") >= F.col("upto") - F.col("times")))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == p, F.col("v"))).alias(p) for p in ("p50", "p95", "p99")])
 
 
 def gate(recall: Column, p95_ms: Column) -> Column:

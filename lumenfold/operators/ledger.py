@@ -9,10 +9,11 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, redaction
+from ..sources.lines import numbered_lines
 
 RESERVED_PREFIXES = ("tool_call.", "decision.", "approval.", "lease.")
 RAW_SECRET, LEAK, ALIAS = "raw_secret_attempt_detected", "secret.leak_detected", "secret.alias_unresolved"
@@ -179,33 +180,47 @@ def verified_replay(events: DataFrame, session_id: str, tags: tuple[str, str] =
 _POINT = "event_id long, event_hash string, prev_hash string, session_id string, event_type string, created_at long, anchored_at long"
 
 
-def read_checkpoints(spark, path: str) -> DataFrame:
-    """Anchors of the chain from JSON lines, with their line number. A blank line, a last line
-    that doesn't end, anything that isn't an anchor, and a field that's missing fail the read.
+def checkpoint_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of lists of anchors (JSON lines): path, line, the anchor's fields, and fault,
+    which is null for an anchor. Files are read by ranges, in parallel."""
+    kinds = dict(f.split() for f in _POINT.split(", "))
+    schema = pa.schema([("path", pa.string()), ("line", pa.int64()), *[(f, pa.int64() if t == "long" else pa.string()) for f, t in kinds.items()], ("fault", pa.string())])
+
+    def point(value: bytes, ended: bool) -> tuple[dict, str | None]:
+        if not ended:
+            return {}, "does not end"
+        if not value.strip():
+            return {}, "is blank"
+        try:
+            found = json.loads(value)
+        except ValueError:
+            return {}, "is not JSON"
+        if not isinstance(found, dict) or any(f not in found for f in kinds):
+            return {}, "is not an anchor"
+        own = {f: found[f] for f in kinds}
+        if any(not isinstance(own[f], int if t == "long" else str) or isinstance(own[f], bool) for f, t in kinds.items()):
+            return {}, "is not an anchor"
+        return own, None
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, line, value, ended in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, fault = point(value, ended)
+                rows.append({"path": name, "line": line, **own, "fault": fault})
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    A file is one writer's list, so each is read by one task, as a stream.
-    """
-    fields = [f.split()[0] for f in _POINT.split(", ")]
+    return numbered_lines(spark, path).mapInArrow(parse, f"path string, line long, {_POINT}, fault string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = content.split(b"\n")
-                if lines.pop() != b"":
-                    raise ValueError(f"{name}: line {len(lines) + 1} does not end")
-                rows = []
-                for i, line in enumerate(lines, 1):
-                    if not line.strip():
-                        raise ValueError(f"{name}: line {i} is blank")
-                    point = json.loads(line)
-                    if not isinstance(point, dict) or any(f not in point for f in fields):
-                        raise ValueError(f"{name}: line {i} is not an anchor")
-                    rows.append({"line": i, **{f: point[f] for f in fields}})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("line", pa.int64()), *[(f, pa.int64() if f.endswith(("_id", "_at")) and f != "session_id" else pa.string()) for f in fields]]))
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, f"line long, {_POINT}")
+
+def read_checkpoints(spark: SparkSession, path: str, quarantine: bool = False) -> DataFrame:
+    """Anchors of the chain from JSON lines, with their line number. A blank line, a last line
+    that doesn't end, anything that isn't an anchor, and a field that's missing fail the read;
+    with quarantine they are left out, and checkpoint_lines() has them."""
+    lines = checkpoint_lines(spark, path)
+    refuse = F.raise_error(F.concat("path", F.lit(": line "), F.col("line").cast("string"), F.lit(" "), "fault")).cast("boolean")
+    kept = F.col("fault").isNull() if quarantine else F.when(F.col("fault").isNull(), True).otherwise(refuse)
+    return lines.filter(kept).drop("path", "fault")
 
 
 def slice_of(rows: DataFrame, column: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing
+from ..operators import ledger
 from ..operators.store import LedgerStore
 from ..operators.text_index import TextIndex
 from ..sources import derived as d
@@ -69,6 +70,22 @@ def c3_verify_increments(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(i, v.ok, v.n_events, v.n_read) for i, v in told], "step int, ok boolean, n_events long, n_read long")
 
 
+#: What is wrong with a line of anchors, by event_id.
+_FAULTS = {"is blank": ("event_id % 50 = 0", " "), "is not JSON": ("event_id % 70 = 0", "{"), "is not an anchor": ("event_id % 110 = 0", "[1]")}
+_FAULT_SQL = "CASE " + " ".join(f"WHEN {c} THEN '{name}'" for name, (c, _) in _FAULTS.items()) + " END"
+
+
+@query(sql(f"SELECT line, CASE WHEN fault IS NULL THEN event_id END AS event_id, fault FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS line, {_FAULT_SQL} AS fault FROM ledger_events)", "ledger_events"))
+def s5_checkpoint_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A list of anchors, one for each event, with faulty lines, read by ranges."""
+    point = F.to_json(F.struct("event_id", "event_hash", "prev_hash", "session_id", "event_type", "created_at", F.col("created_at").alias("anchored_at")))
+    for condition, text in reversed(_FAULTS.values()):
+        point = F.when(F.expr(condition), text).otherwise(point)
+    path = scratch_path(spark, "anchors")
+    d.chained(spark, sf).select("event_id", point.alias("value")).coalesce(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    return ledger.checkpoint_lines(spark, path).select("line", "event_id", "fault")
+
+
 # ---- search by an index -------------------------------------------------------------
 
 def _indexed(spark: SparkSession, events: DataFrame, parts: int) -> TextIndex:
