@@ -100,12 +100,6 @@ def p8_wildcard_bindings(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.resolve_bindings(d.calls(spark, sf), d.bindings(spark)).select("invocation_id", "binding_id", "env_key")
 
 
-@query(sql("SELECT s.server_id, array_to_string(list_sort(list(DISTINCT b.env_key) FILTER (b.env_key IS NOT NULL)), ',') AS env_keys, count(b.binding_id) > 0 AS bound FROM servers s LEFT JOIN bindings b USING (server_id) GROUP BY s.server_id", "servers", "bindings"))
-def p9_env_keys(spark: SparkSession, sf: str) -> DataFrame:
-    got = ledger.requested_env_keys(d.servers(spark), d.bindings(spark))
-    return got.select("server_id", F.when(F.size("env_keys") > 0, F.array_join("env_keys", ",")).alias("env_keys"), F.col("env_keys").isNotNull().alias("bound"))
-
-
 @query(sql("SELECT event_id, event_type FROM ledger_events WHERE (event_type = 'tool_call' OR event_type LIKE 'tool_call.%') AND created_at >= 1704100000", "ledger_events"))
 def p12_feed_filters(spark: SparkSession, sf: str) -> DataFrame:
     e = d.events(spark, sf)

@@ -181,12 +181,6 @@ def r8_key_hints(spark: SparkSession, sf: str) -> DataFrame:
     return d.load(spark, sf, "events").select("event_id", redaction.is_sensitive_key(key).alias("sensitive"), redaction.safe_key(F.concat(F.lit("a b-"), F.col("user_id").cast("string"))).alias("safe"))
 
 
-@query("SELECT kind, label, risk FROM (VALUES ('jwt','secret',25),('private_email','email',10),('generic_url','url',10),('private_date','date',5),('odd',NULL,5)) v(kind, label, risk)")
-def r11_risk_of_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    k = spark.createDataFrame([(x,) for x in ("jwt", "private_email", "generic_url", "private_date", "odd")], "kind string")
-    return k.select("kind", redaction.label_of(F.col("kind")).alias("label"), redaction.risk_of(F.col("kind")).alias("risk"))
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 12 < 5 OR doc_id % 12 >= 10 THEN 2 ELSE 1 END AS n FROM documents")
 def r13_merge_with_model(spark: SparkSession, sf: str) -> DataFrame:
     span = lambda a, b, k: F.array(F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(k).alias("kind")))

@@ -142,6 +142,34 @@ def tool_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A secret's binding for each part; `rare` are those of single tools, and few others."""
+    k = F.col("p_partkey")
+    return load(spark, sf_dir, "part").select(
+        F.concat(F.lit("b"), k.cast("string")).alias("binding_id"), F.concat(F.lit("srv"), (k % 10).cast("string")).alias("server_id"), F.when(k % 4 == 0, "*").otherwise(F.concat(F.lit("tool"), k.cast("string"))).alias("tool_name"),
+        F.concat(F.lit("secret"), (k % 50).cast("string")).alias("secret_ref"), _case("p_partkey % 3", ["ChildEnv", "Header", "File"]).alias("injection_method"), F.when(k % 3 == 0, F.concat(F.lit("KEY_"), (k % 7).cast("string"))).alias("env_key"),
+        ((k % 4 != 0) | (k < 100)).alias("rare"),
+    )
+
+
+def secret_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A secret for each customer."""
+    name = F.col("c_name")
+    return load(spark, sf_dir, "customer").select(F.concat(F.lit("secret"), F.col("c_custkey").cast("string")).alias("secret_ref"), name.alias("label"), hashing.fingerprint(name).alias("fingerprint"))
+
+
+def sandbox_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sandbox profile for each supplier."""
+    body = F.concat(F.lit('{"name":"'), F.col("s_name"), F.lit('"}'))
+    return load(spark, sf_dir, "supplier").select(F.concat(F.lit("profile"), F.col("s_suppkey").cast("string")).alias("profile_id"), body.alias("profile_json"), F.sha2(body.cast("binary"), 256).alias("profile_hash"))
+
+
+def outbox_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outbox item for each order."""
+    status = F.when(F.col("o_orderstatus") == "O", "Drafted").when(F.col("o_orderstatus") == "F", "Executed").otherwise("PendingApproval")
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("outbox_id"), F.concat(F.lit("s"), (F.col("o_custkey") % 50).cast("string")).alias("session_id"), _case("o_orderkey % 3", ["mail", "post", "file"]).alias("kind"), status.alias("status"))
+
+
 def oauth_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A token for each customer."""
     return load(spark, sf_dir, "customer").select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("token_ref"), F.col("c_mktsegment").alias("issuer"), F.col("c_name").alias("resource"))
@@ -197,6 +225,12 @@ DERIVED_SQL = {
     "turns": f"SELECT conv_id * 1000 + turn AS event_id, 's' || (conv_id % 50) AS session_id, 'turn.' || role AS event_type, text AS redacted_text, {SCAN_T0} + conv_id * 1000 + turn AS created_at FROM conversations",
     "server_profiles": "SELECT 'srv' || s_suppkey AS server_id, CASE s_suppkey % 3 WHEN 0 THEN 'Untrusted' WHEN 1 THEN 'Limited' ELSE 'Trusted' END AS trust_level, CASE WHEN s_suppkey % 5 = 0 THEN 'h' || s_suppkey END AS pending_command_hash, s_name AS command_json FROM supplier",
     "tool_descriptors": "SELECT 'srv' || (p_partkey % 10) AS server_id, 'tool' || p_partkey AS tool_name, sha256(p_name) AS descriptor_hash, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey END AS approved_at, CASE WHEN p_partkey % 6 = 0 THEN 'new' END AS pending_hash FROM part",
+    "part_bindings": """SELECT 'b' || p_partkey AS binding_id, 'srv' || (p_partkey % 10) AS server_id, CASE WHEN p_partkey % 4 = 0 THEN '*' ELSE 'tool' || p_partkey END AS tool_name, 'secret' || (p_partkey % 50) AS secret_ref,
+ CASE p_partkey % 3 WHEN 0 THEN 'ChildEnv' WHEN 1 THEN 'Header' ELSE 'File' END AS injection_method, CASE WHEN p_partkey % 3 = 0 THEN 'KEY_' || (p_partkey % 7) END AS env_key, p_partkey % 4 <> 0 OR p_partkey < 100 AS rare FROM part""",
+    "secret_refs": "SELECT 'secret' || c_custkey AS secret_ref, c_name AS label, substr(sha256(c_name), 1, 32) AS fingerprint FROM customer",
+    "sandbox_profiles": """SELECT 'profile' || s_suppkey AS profile_id, '{"name":"' || s_name || '"}' AS profile_json, sha256('{"name":"' || s_name || '"}') AS profile_hash FROM supplier""",
+    "outbox_items": """SELECT o_orderkey AS outbox_id, 's' || (o_custkey % 50) AS session_id, CASE o_orderkey % 3 WHEN 0 THEN 'mail' WHEN 1 THEN 'post' ELSE 'file' END AS kind,
+ CASE o_orderstatus WHEN 'O' THEN 'Drafted' WHEN 'F' THEN 'Executed' ELSE 'PendingApproval' END AS status FROM orders""",
     "oauth_metadata": "SELECT 't' || c_custkey AS token_ref, c_mktsegment AS issuer, c_name AS resource FROM customer",
     "servers": "SELECT * FROM (VALUES ('web','Trusted',NULL),('filesystem','Limited','h2'),('postgres','Trusted',NULL),('shell','Untrusted',NULL),('mail','Trusted','h9')) v(server_id, trust_level, pending_command_hash)",
     "bindings": "SELECT * FROM (VALUES ('b1','web','*','ChildEnv','API_KEY'),('b2','web','fetch','ChildEnv','TOKEN'),('b3','mail','send_mail','Header',NULL),('b4','postgres','query','ChildEnv','PG_PASS'),('b5','postgres','*','ChildEnv','PG_PASS')) v(binding_id, server_id, tool_name, injection_method, env_key)",
