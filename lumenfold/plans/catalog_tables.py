@@ -14,7 +14,7 @@ from ..sources import derived as d
 from ..sources import schemas
 from ..sources.derived import sql
 from ..sources.scratch import scratch_path
-from .catalog import _RE, _SECRETS, query
+from .catalog import _SECRETS, query
 
 _ENV_KEYS = """SELECT s.server_id, array_to_string(list_sort(list(DISTINCT b.env_key) FILTER (b.env_key IS NOT NULL)), ',') AS env_keys, count(b.binding_id) > 0 AS bound
  FROM server_profiles s LEFT JOIN part_bindings b USING (server_id) GROUP BY s.server_id"""
@@ -85,7 +85,7 @@ def r7_redact_nested_json(spark: SparkSession, sf: str) -> DataFrame:
 
 _PLANTED = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _SECRETS.values()) + "]"
 _STREAM = f"'see ' || coalesce(({_PLANTED})[CAST({{0}} AS BIGINT) + 1], 'nothing') || ' there'"
-_LEAKS = ", ".join(f"CASE WHEN regexp_matches(a, '{_RE[n]}') OR regexp_matches(b, '{_RE[n]}') THEN '{n}' END" for n, _ in redaction.HARD_RULES)
+_LEAKS = ", ".join("CASE WHEN regexp_matches(a, '{0}') OR regexp_matches(b, '{0}') THEN '{1}' END".format(p.replace("'", "''"), n) for n, p in redaction.HARD_RULES)
 
 
 @query(f"""SELECT event_id, array_to_string(list_filter([{_LEAKS}], lambda x: x IS NOT NULL), ',') AS leaks
