@@ -86,6 +86,14 @@ def test_a_version_is_taken_in_one_step(spark, tmp_path, monkeypatch):
     assert log.read(1)["a"] == 1 and [p.name for p in (tmp_path / "log").iterdir() if not p.name.endswith(".crc")] == ["000000000001.json"]
 
 
+def test_a_path_may_lack_its_scheme(spark, tmp_path):
+    s = LedgerStore(spark, str(tmp_path / "plain"))
+    s.append(batch(spark, 0))
+    with pytest.raises(Conflict):
+        s.append(batch(spark, 0), expected=0)
+    assert s.append(batch(spark, 10)) == 2 and s.verify().ok and s.events().count() == 10
+
+
 def test_a_write_that_breaks_off_leaves_the_ledger_as_it_was(spark, store, monkeypatch):
     before = store.events().orderBy("event_id").collect()
 
