@@ -195,7 +195,8 @@ _MAIL = redaction.EMAIL.replace("'", "''")
 def r14_redact_from_right(spark: SparkSession, sf: str) -> DataFrame:
     docs = d.load(spark, sf, "documents").filter(F.col("text").contains("@"))
     found = redaction.spans(F.col("text"), "email", redaction.EMAIL, 0)
-    return docs.select("doc_id", F.sha2(json_walk.redact_from_right(F.col("text"), found).cast("binary"), 256).alias("clean"))
+    clean = docs.select("doc_id", "text", found.alias("found")).withColumn("clean", json_walk.redact_from_right(F.col("text"), F.col("found")))
+    return clean.select("doc_id", F.sha2(F.col("clean").cast("binary"), 256).alias("clean"))
 
 
 @query(sql("SELECT scan_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM findings WHERE label = 'secret' GROUP BY scan_id", "findings"))
