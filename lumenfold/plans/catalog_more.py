@@ -195,7 +195,8 @@ _MAIL = redaction.EMAIL.replace("'", "''")
 def r14_redact_from_right(spark: SparkSession, sf: str) -> DataFrame:
     docs = d.load(spark, sf, "documents").filter(F.col("text").contains("@"))
     found = redaction.spans(F.col("text"), "email", redaction.EMAIL, 0)
-    clean = docs.select("doc_id", "text", found.alias("found")).withColumn("clean", json_walk.redact_from_right(F.col("text"), F.col("found")))
+    # exploded, so that the spans are a column by themselves and not part of the UDF's argument
+    clean = docs.select("doc_id", "text", F.explode(F.array(found)).alias("found")).withColumn("clean", json_walk.redact_from_right(F.col("text"), F.col("found")))
     return clean.select("doc_id", F.sha2(F.col("clean").cast("binary"), 256).alias("clean"))
 
 
