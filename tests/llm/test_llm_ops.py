@@ -554,6 +554,36 @@ def test_recall_beside_a_crowd(spark):
     assert len(by) == 100 and sum(near) >= 0.9 * 20 * len(by)
 
 
+def lengths_of(kind, n, rng):
+    x = rng.normal(size=(n, 64))
+    if kind == "unit":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    elif kind == "log-normal":
+        x *= (rng.lognormal(size=n) / np.linalg.norm(x, axis=1))[:, None]
+    elif kind == "clustered":
+        x = (rng.normal(size=(100, 64))[rng.integers(0, 100, n)] + 0.5 * x) * rng.uniform(0.2, 3, n)[:, None]
+    return x
+
+
+@pytest.mark.parametrize("n", [1000, 8000])
+@pytest.mark.parametrize("kind", ["unit", "gaussian", "clustered", "log-normal"])
+def test_recall_of_unequal_lengths(spark, kind, n):
+    x = lengths_of(kind, n, np.random.default_rng(11))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    by = {}
+    for r in permutation_index.nearest(df, df.filter(f"vec_id % {n // 50} = 0")).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = sum(len(found & set(np.lexsort((np.arange(n), np.where(np.arange(n) == q, np.inf, -x @ x[q])))[:20].tolist())) for q, found in by.items())
+    assert len(by) == 50 and hit >= 0.9 * 20 * len(by), hit / 20 / len(by)
+
+
+def test_lengths_of_any_size(spark):
+    rows = [(0, [1e-300, 0.0]), (1, [5e-324, 5e-324]), (2, [1e154, 1e150]), (3, [1.0, 1.0]), (4, [1.0, -1.0]), (5, [-1e-8, 2e-8])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in permutation_index.nearest(df, df.filter("vec_id = 3")).orderBy("rank").collect()]
+    assert got == [2, 5, 0, 1, 4]
+
+
 def test_cells_in_shards(monkeypatch):
     monkeypatch.setattr(permutation_index, "SHARD_ROWS", 10)
     first, parts, n = permutation_index.shards_of(np.array([4, 5, 0, 3, 35, 2, 8, 1]))
