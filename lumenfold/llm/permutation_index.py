@@ -62,9 +62,12 @@ def usable(v: Column) -> Column:
 
 def length(v: Column) -> Column:
     """Euclidean length; components are divided by the largest, so that squares stay finite."""
-    big = F.array_max(F.transform(v, F.abs))
-    squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x / big) * (x / big))
-    return F.least(big * F.sqrt(squares), F.lit(1e308))
+    def of(big: Column) -> Column:
+        squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x / big) * (x / big))
+        return F.least(big * F.sqrt(squares), F.lit(1e308))
+
+    # as a lambda's argument the largest component is looked for once a row, not for each component
+    return F.get(F.transform(F.array(F.array_max(F.transform(v, F.abs))), of), F.lit(0))
 
 
 def as_units(vectors: np.ndarray, top: float) -> np.ndarray:
