@@ -1,4 +1,4 @@
-"""Near copies by Jaccard similarity of word shingles (the pipeline's near-duplicate stage).
+"""Near copies by Jaccard similarity of word shingles (beside operator 3; not a stage of the pipeline).
 
 Two texts are linked when their sets of shingles of `width` words (A-Z lower-cased, cut at
 blanks; a shorter text is one shingle) have a Jaccard similarity of `similarity` or more.

@@ -67,3 +67,16 @@ def test_stages_keep_the_columns(spark, folder):
         out = stage(spark, docs, path)
         assert out.columns == corpus_pipeline.COLUMNS and 0 < out.count() <= docs.count()
         assert stage(spark, docs.limit(0), path).count() == 0
+
+
+def test_near_duplicates_are_those_of_operator_3(spark):
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "decontaminated", "tokens"]
+    text = sentence(60)
+    bits = lambda t: (simhash.fingerprint(text.encode(), 4) ^ simhash.fingerprint(t.encode(), 4)).bit_count()
+    far = next(t for i in range(60) if bits(t := " ".join(["changed" if j == i else w for j, w in enumerate(text.split())])) > 4)
+    rows = [(1, text), (2, text), (3, far), (4, sentence(60)), (5, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    brute = brute_components([simhash.fingerprint((t or "").encode(), 4) for _, t in rows], 4)
+    assert brute[2] != brute[0]  # a near copy that operator 3 leaves
+    got = [r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()]
+    assert sorted(got) == sorted(min(rows[j][0] for j in range(len(rows)) if brute[j] == c) for c in set(brute))
