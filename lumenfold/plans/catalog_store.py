@@ -128,28 +128,28 @@ def a9_index_search(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- streams ------------------------------------------------------------------------
 
-#: Files that a stream takes in turn.
+#: Micro-batches that a stream takes its rows in.
 TURNS = 3
 
 
 def _played(spark: SparkSession, rows: DataFrame, end: dict[str, object], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What make(stream) gives for rows (at, ...) that come in `TURNS` files by time, one for
-    each micro-batch, and then two rows `end` far in the future, so that the watermark passes
-    all of them."""
+    """What make(stream) gives for rows (at, ...) that come in `TURNS` micro-batches by time, and
+    then two of rows `end` far in the future, so that the watermark passes all of them. A batch
+    is as many files as there are cores; that some may be empty and missing mixes batches only."""
     source, sink = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
     low, high = rows.agg(F.min("at"), F.max("at")).first()
     low, high = (low, high) if low is not None else (0, 0)
-    turn = F.expr(f"(at - {low}) * {TURNS} div ({high} - {low} + 1)")
+    turn, files = F.expr(f"(at - {low}) * {TURNS} div ({high} - {low} + 1)"), max(1, spark.sparkContext.defaultParallelism)
     for i in range(TURNS):
-        rows.filter(turn == i).coalesce(1).write.mode("append").parquet(source)
+        rows.filter(turn == i).repartition(files).write.mode("append").parquet(source)
     for i in (1, 2):
-        last = spark.range(1).select(*[F.lit(end.get(c, high + i * 10**6 if c == "at" else None)).cast(t).alias(c) for c, t in rows.dtypes])
+        last = spark.range(0, files, 1, files).select(*[F.lit(end.get(c, high + i * 10**6 if c == "at" else None)).cast(t).alias(c) for c, t in rows.dtypes])
         last.write.mode("append").parquet(source)
     before = {k: spark.conf.get(k) for k in stateful.ROCKSDB}
     for k, v in stateful.ROCKSDB.items():
         spark.conf.set(k, v)
     try:
-        stream = make(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source))
+        stream = make(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source))
         stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in before.items():

@@ -116,3 +116,15 @@ def test_the_registered_stream_equals_the_registered_fold(spark):
 
     streamed, folded = (sorted(map(str, entry.queries()[name](spark, "/root/testdata/sf0.001").collect())) for name in ("d1_streamed_drift", "d1_descriptor_drift"))
     assert streamed == folded and len(folded) > 50
+
+
+def test_many_items_share_few_buckets(spark, rocks, tmp_path):
+    """A call for each key took milliseconds; a bucket of keys is one call."""
+    n = 4000
+    opened = [(f"i{i}", "open", 1000 + i % 50, 1300 + i % 50) for i in range(n)]
+    closed = [(f"i{i}", "close", 1100, None) for i in range(0, n, 2)]
+    end = [("clock", "open", 5000, 99_999), ("clock", "open", 6000, 99_999)]
+    out = play(spark, [opened, closed, end[:1], end[1:]], ITEMS, lambda s: stateful.expiries(s, f"{LATE} seconds", buckets=4), tmp_path, 1)
+    assert sorted(r[1:] for r in out) == sorted((f"i{i}", 1300 + i % 50) for i in range(1, n, 2))
+    groups = [(r[0], r[1]) for r in out]
+    assert len(groups) == len(set(groups)) and len({number for number, _ in groups}) == 1
