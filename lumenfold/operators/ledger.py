@@ -6,14 +6,17 @@ Times are epoch seconds. Every ordered result has a total order. `now` is a para
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, redaction
 from ..sources.lines import numbered_lines
+from ..sources.scratch import scratch_path
 
 RESERVED_PREFIXES = ("tool_call.", "decision.", "approval.", "lease.")
 RAW_SECRET, LEAK, ALIAS = "raw_secret_attempt_detected", "secret.leak_detected", "secret.alias_unresolved"
@@ -22,6 +25,8 @@ SCAN_SOURCES = ("paste", "tool_arg", "tool_output", "export")
 ACTIONS = ("redacted", "blocked", "allowed_once")
 #: Rows of a slice of an ordered table, and the most slices it is cut into.
 SLICE_ROWS, SLICES = 1 << 14, 1000
+#: Events that one task chains, about.
+CHAIN_ROWS = 1 << 19
 #: Events of a part of an exported page.
 PAGE_EVENTS = 1000
 
@@ -91,28 +96,63 @@ def build_chain(events: DataFrame, previous: str = "", tags: tuple[str, str] = h
     """Adds prev_hash, event_hash and chain_version 2, and makes payload_json canonical: one
     chain of all events in the order of event_id, after an event with the hash `previous`.
 
-    Each hash needs the one before it, so the events stream through one task in order. It holds
-    one batch of them at a time, after a sort that can spill. Payloads are made canonical
-    before that, in parallel. A payload that isn't JSON fails the write.
+    Each hash needs the one before it. The events are stored in slices of some `CHAIN_ROWS` in
+    order; one task after another gets a slice and only tells its last hash, then all slices
+    are hashed again in parallel, each from the last hash of the one before. Payloads are made
+    canonical before that, in parallel. A payload that isn't JSON fails the call.
     """
-    tag, base = tags[1], events.drop(*CHAIN)
+    spark, tag, base = events.sparkSession, tags[1], events.drop(*CHAIN)
     body = F.coalesce(hashing.canonical_payload(F.col("payload_json")), F.raise_error(F.concat(F.lit("payload of event "), F.col("event_id").cast("string"), F.lit(" is not JSON"))).cast("string"))
-    ordered = base.withColumn("payload_json", body).repartition(1).sortWithinPartitions("event_id")
-    names = ["payload_json", "created_at", "session_id", "event_type", "redacted_text"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in [*ordered.dtypes, ("prev_hash", "string"), ("event_hash", "string"), ("chain_version", "int")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = previous
+    ready = base.withColumn("payload_json", body)
+    kept, names = ready.columns, ["payload_json", "created_at", "session_id", "event_type", "redacted_text"]
+    order = ["event_id", *names]  # total, so that both passes agree
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*ready.dtypes, ("prev_hash", "string"), ("event_hash", "string"), ("chain_version", "int")])
+    path = scratch_path(spark, "unchained")
+    ready.write.parquet(path)
+    stored = spark.read.schema(ready.schema).parquet(path)
+    parts = -(-stored.count() // CHAIN_ROWS)
+    heads = {0: previous}
+    if parts > 1:
+        path = scratch_path(spark, "chain-slices")
+        stored.repartitionByRange(parts, "event_id").withColumn("__part", F.spark_partition_id()).sortWithinPartitions(*order).write.partitionBy("__part").parquet(path)
+        stored = spark.read.schema(f"{ready.schema.toDDL()}, `__part` int").parquet(path)
+    else:
+        stored = stored.withColumn("__part", F.lit(0))
+
+    def digests(batch: pa.RecordBatch, last: str) -> Iterator[str]:
+        for row in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
+            last = hashing.event_digest(tag, bytes.fromhex(last) if last else bytes(32), *row).hex()
+            yield last
+
+    def ending(start: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = start
+            for batch in batches:
+                for last in digests(batch, last):  # noqa: B007
+                    pass
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.string())], ["last"])
+
+        return run
+
+    for part in range(parts - 1):
+        own = stored.filter(F.col("__part") == part).select(*order).coalesce(1).sortWithinPartitions(*order)
+        heads[part + 1] = own.mapInArrow(ending(heads[part]), "last string").first()[0]
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, last = None, ""
         for batch in batches:
-            rows, prev, own = zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True), [], []
-            for row in rows:
-                prev.append(last)
-                last = hashing.event_digest(tag, bytes.fromhex(last) if last else bytes(32), *row).hex()
-                own.append(last)
-            more = [pa.array(prev, pa.string()), pa.array(own, pa.string()), pa.array([hashing.CURRENT_VERSION] * len(own), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *CHAIN])
+            of = batch.column(batch.schema.get_field_index("__part")).to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)] if len(of) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if int(of[a]) != here:
+                    here, last = int(of[a]), heads[int(of[a])]
+                piece = batch.slice(a, b - a)
+                own = list(digests(piece, last))
+                more = [pa.array([last, *own[:-1]], pa.string()), pa.array(own, pa.string()), pa.array([hashing.CURRENT_VERSION] * len(own), pa.int32())]
+                last = own[-1]
+                yield pa.RecordBatch.from_arrays([*[piece.column(piece.schema.get_field_index(c)) for c in kept], *more], [*kept, *CHAIN])
 
-    return ordered.mapInArrow(run, schema)
+    return stored.repartition(max(1, parts), "__part").sortWithinPartitions("__part", *order).mapInArrow(chain, schema)
 
 
 def extension(batch: DataFrame, at: int, previous: str, typed: bool = False, tags: tuple[str, str] = hashing.TAGS) -> DataFrame:
@@ -229,8 +269,16 @@ def slice_of(rows: DataFrame, column: str) -> Column:
     n = rows.count()
     parts = min(SLICES, -(-n // SLICE_ROWS))
     cuts = rows.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10 * SLICES)).first()[0] if parts > 1 else None
-    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts or []))]).cast(f"array<{dict(rows.dtypes)[column]}>")
-    return F.size(F.filter(bounds, lambda x: x < F.col(column)))
+    return _cuts_below(F.col(column), sorted(set(cuts or [])), dict(rows.dtypes)[column])
+
+
+def _cuts_below(value: Column, cuts: list, kind: str) -> Column:
+    """How many of the ascending cuts are below a value: first by whole runs of them, then
+    within one run, so that a row isn't compared with all."""
+    run = max(1, math.isqrt(len(cuts)))
+    array = lambda xs: F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>")
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < value))
+    return redaction.let(below(array(cuts[run - 1 :: run])) * run, lambda at: at + below(F.slice(array(cuts), at + 1, F.lit(run))))
 
 
 def sliced(rows: DataFrame, column: str) -> DataFrame:

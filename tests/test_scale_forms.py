@@ -131,3 +131,24 @@ def test_an_index_follows_the_ledger(spark, tmp_path):
         feed.follow(store, index, str(tmp_path / f"progress{i}")).awaitTermination()  # the second one plays all again
     assert index.search("text NOT 11", store.events()).collect() == search.search(store.events(), "text NOT 11").collect()
     assert index._state()[1]["mark"] == 10
+
+
+def test_a_chain_goes_on_over_slices(spark, monkeypatch):
+    rng = random.Random(4)
+    ids = rng.sample(range(10_000), 300)
+    rows = [(i, f"s{i % 3}", "t", json.dumps({"k": i}), None if i % 5 else "x", 1000 + i) for i in ids]
+    events = spark.createDataFrame(rows, "event_id long, session_id string, event_type string, payload_json string, redacted_text string, created_at long")
+    one = sorted(map(tuple, ledger.build_chain(events, "ab" * 32).collect()))
+    monkeypatch.setattr(ledger, "CHAIN_ROWS", 40)
+    many = ledger.build_chain(events, "ab" * 32)
+    assert sorted(map(tuple, many.collect())) == one and len(one) == 300
+    assert many.sparkSession.createDataFrame(many.select("prev_hash").collect()).distinct().count() == 300
+    assert ledger.build_chain(events.limit(0)).count() == 0
+
+
+def test_slices_compare_a_row_with_few_cuts(spark):
+    for n in (0, 1, 2, 3, 10, 50, 999):
+        cuts = [3 * i for i in range(n)]
+        df = spark.createDataFrame([(v,) for v in [None, -1, 0, 1, 3, 4, 29, 30, 31, 3 * n - 3, 3 * n, 10**6]], "v long")
+        got = df.select("v", ledger._cuts_below(F.col("v"), cuts, "bigint").alias("n")).collect()
+        assert [r.n for r in got] == [0 if r.v is None else sum(c < r.v for c in cuts) for r in got]
