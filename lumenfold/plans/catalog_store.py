@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing
@@ -77,13 +77,17 @@ _FAULT_SQL = "CASE " + " ".join(f"WHEN {c} THEN '{name}'" for name, (c, _) in _F
 
 @query(sql(f"SELECT line, CASE WHEN fault IS NULL THEN event_id END AS event_id, fault FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS line, {_FAULT_SQL} AS fault FROM ledger_events)", "ledger_events"))
 def s5_checkpoint_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """A list of anchors, one for each event, with faulty lines, read by ranges."""
+    """A list of anchors in files by event_id, one for each event, with faulty lines, read by ranges."""
     point = F.to_json(F.struct("event_id", "event_hash", "prev_hash", "session_id", "event_type", "created_at", F.col("created_at").alias("anchored_at")))
     for condition, text in reversed(_FAULTS.values()):
         point = F.when(F.expr(condition), text).otherwise(point)
     path = scratch_path(spark, "anchors")
-    d.chained(spark, sf).select("event_id", point.alias("value")).coalesce(1).sortWithinPartitions("event_id").select("value").write.text(path)
-    return ledger.checkpoint_lines(spark, path).select("line", "event_id", "fault")
+    d.chained(spark, sf).select("event_id", point.alias("value")).repartitionByRange("event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    lines = ledger.checkpoint_lines(spark, path).select("path", "line", "event_id", "fault")
+    sizes = lines.groupBy("path").agg(F.count("*").alias("n"))
+    # files are named in the order of their ranges; one row for each
+    before = sizes.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("before"))
+    return lines.join(F.broadcast(before), "path").select((F.col("before") + F.col("line")).alias("line"), "event_id", "fault")
 
 
 # ---- search by an index -------------------------------------------------------------
