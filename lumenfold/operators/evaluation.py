@@ -5,8 +5,11 @@ A sample's spans are one small group; order-dependent matching runs per sample.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructField, StructType
@@ -33,24 +36,44 @@ def match_spans(spans: DataFrame) -> DataFrame:
     pred: a row for each match, missed truth (pred 'none') and false prediction (truth 'none').
 
     Truths in order take the first free prediction of their label with an IoU of 0.5 at least.
+    Samples stream through a task one after another, so only one is held.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos", kind="stable")
-        truths = [x for x in group[group.role == "truth"].itertuples()]
-        preds = [x for x in group[group.role == "pred"].itertuples()]
-        free, rows = [True] * len(preds), []
-        for t in truths:
-            i = next((i for i, p in enumerate(preds) if free[i] and p.label == t.label and iou((p.start, p.end), (t.start, t.end)) >= IOU), None)
-            if i is None:
-                rows.append((t.label, "none"))
-            else:
-                free[i] = False
-                rows.append((t.label, preds[i].label))
-        rows += [("none", p.label) for i, p in enumerate(preds) if free[i]]
-        return pd.DataFrame([(group.sample_id.iloc[0], *r) for r in rows], columns=["sample_id", "truth", "pred"])
-
-    return spans.groupBy("sample_id").applyInPandas(run, f"sample_id {dict(spans.dtypes)['sample_id']}, truth string, pred string")
+    def matched(spans: list[tuple]) -> Iterator[tuple[str, str]]:
+        free: dict[str, list[tuple[int, int]]] = {}
+        for role, label, start, end in spans:
+            if role == "pred":
+                free.setdefault(label, []).append((start, end))
+        for role, label, start, end in spans:
+            if role == "truth":
+                own = free.get(label, [])
+                i = next((i for i, p in enumerate(own) if iou(p, (start, end)) >= IOU), None)
+                if i is not None:
+                    own.pop(i)
+                yield label, "none" if i is None else label
+        yield from (("none", label) for label, own in free.items() for _ in own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample, spans, kind = None, [], None
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((kind, pa.string(), pa.string()))], ["sample_id", "truth", "pred"])
+
+        for batch in batches:
+            kind, done = batch.schema.field(0).type, []
+            for own, *span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if spans and own != sample:
+                    done += [(sample, *m) for m in matched(spans)]
+                    spans = []
+                sample = own
+                spans.append(tuple(span))
+            if done:
+                yield out(done)
+        if spans:
+            yield out([(sample, *m) for m in matched(spans)])
+
+    ordered = spans.select("sample_id", "role", "label", "start", "end", "pos").repartition("sample_id").sortWithinPartitions("sample_id", "pos").drop("pos")
+    return ordered.mapInArrow(run, f"sample_id {dict(spans.dtypes)['sample_id']}, truth string, pred string")
 
 
 def _ratio(a: Column, b: Column) -> Column:

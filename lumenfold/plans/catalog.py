@@ -757,10 +757,13 @@ def _truth_and_pred(spark: SparkSession, sf: str) -> DataFrame:
     """Findings as truth; predictions miss every 5th sample and are one byte off elsewhere."""
     f = d.findings(spark, sf).select(F.col("scan_id").alias("sample_id"), "label", "start", "end")
     pos = F.row_number().over(Window.partitionBy("sample_id").orderBy("start", "end", "label"))
-    t = f.select("sample_id", F.lit("truth").alias("role"), pos.alias("pos"), "label", "start", "end")
-    p = t.filter("sample_id % 5 <> 0").withColumns({"role": F.lit("pred"), "end": F.col("end") + 1})
-    extra = t.filter("sample_id % 7 = 0").withColumns({"role": F.lit("pred"), "pos": F.col("pos") + 1000, "label": F.lit("phone")})
-    return t.unionByName(p).unionByName(extra)
+    t = f.withColumn("pos", pos)
+    span = lambda role, at, label, end: F.struct(F.lit(role).alias("role"), at.alias("pos"), label.alias("label"), F.col("start").alias("start"), end.alias("end"))
+    truth = span("truth", F.col("pos"), F.col("label"), F.col("end"))
+    pred = F.when(F.expr("sample_id % 5 <> 0"), span("pred", F.col("pos"), F.col("label"), F.col("end") + 1))
+    extra = F.when(F.expr("sample_id % 7 = 0"), span("pred", F.col("pos") + 1000, F.lit("phone"), F.col("end")))
+    # one pass, so that texts are searched once and not for each role
+    return t.select("sample_id", F.explode(F.array_compact(F.array(truth, pred, extra))).alias("s")).select("sample_id", "s.*")
 
 
 _COUNTS = "SELECT label, count(*) FILTER (scan_id % 5 <> 0) AS tp, 0 AS fp, count(*) FILTER (scan_id % 5 = 0) AS fn FROM findings GROUP BY label UNION ALL SELECT 'phone', 0, count(*), 0 FROM findings WHERE scan_id % 7 = 0 HAVING count(*) > 0"
