@@ -49,6 +49,12 @@ def event_hash_v1(prev_hash: Column, payload: Column, created_at: Column, tag: s
     return F.sha2(F.concat(*_head(tag, prev_hash, canonical_payload(payload), created_at)), 256)
 
 
+def event_body(payload: Column, created_at: Column, session_id: Column, event_type: Column, redacted_text: Column) -> Column:
+    """What event_hash_v2() hashes after the previous hash, of an event with a canonical payload."""
+    text = F.when(redacted_text.isNull(), F.unhex(F.lit("00"))).otherwise(F.concat(F.unhex(F.lit("01")), _measured(redacted_text)))
+    return F.concat(_measured(payload), F.unhex(F.lit("00000008")), big_endian(created_at, 8), _measured(session_id), _measured(event_type), text)
+
+
 def event_hash_v2(prev_hash: Column, payload: Column, created_at: Column, session_id: Column, event_type: Column, redacted_text: Column, tag: str = TAG_V2) -> Column:
     """As v1, and the session, the type and the redacted text; a null text is told from an empty one."""
     text = F.when(redacted_text.isNull(), F.unhex(F.lit("00"))).otherwise(F.concat(F.unhex(F.lit("01")), _measured(redacted_text)))

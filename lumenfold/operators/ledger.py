@@ -5,6 +5,7 @@ Times are epoch seconds. Every ordered result has a total order. `now` is a para
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections.abc import Callable, Iterator
@@ -103,10 +104,10 @@ def build_chain(events: DataFrame, previous: str = "", tags: tuple[str, str] = h
     """
     spark, tag, base = events.sparkSession, tags[1], events.drop(*CHAIN)
     body = F.coalesce(hashing.canonical_payload(F.col("payload_json")), F.raise_error(F.concat(F.lit("payload of event "), F.col("event_id").cast("string"), F.lit(" is not JSON"))).cast("string"))
-    ready = base.withColumn("payload_json", body)
-    kept, names = ready.columns, ["payload_json", "created_at", "session_id", "event_type", "redacted_text"]
-    order = ["event_id", *names]  # total, so that both passes agree
-    schema = ", ".join(f"`{c}` {t}" for c, t in [*ready.dtypes, ("prev_hash", "string"), ("event_hash", "string"), ("chain_version", "int")])
+    plain = base.withColumn("payload_json", body)
+    kept, order = plain.columns, ["event_id", "__body"]  # so that both passes agree on ties
+    ready = plain.withColumn("__body", hashing.event_body(*[F.col(c) for c in ("payload_json", "created_at", "session_id", "event_type", "redacted_text")]))
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*plain.dtypes, ("prev_hash", "string"), ("event_hash", "string"), ("chain_version", "int")])
     path = scratch_path(spark, "unchained")
     ready.write.parquet(path)
     stored = spark.read.schema(ready.schema).parquet(path)
@@ -119,17 +120,18 @@ def build_chain(events: DataFrame, previous: str = "", tags: tuple[str, str] = h
     else:
         stored = stored.withColumn("__part", F.lit(0))
 
-    def digests(batch: pa.RecordBatch, last: str) -> Iterator[str]:
-        for row in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
-            last = hashing.event_digest(tag, bytes.fromhex(last) if last else bytes(32), *row).hex()
-            yield last
+    def digests(batch: pa.RecordBatch, last: str) -> list[str]:
+        start, now, out = tag.encode() + b"\0\0\0\x20", bytes.fromhex(last) if last else bytes(32), []
+        for one in batch.column(batch.schema.get_field_index("__body")).to_pylist():
+            now = hashlib.sha256(start + now + one).digest()
+            out.append(now.hex())
+        return out
 
     def ending(start: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = start
             for batch in batches:
-                for last in digests(batch, last):  # noqa: B007
-                    pass
+                last = (digests(batch, last) or [last])[-1]
             yield pa.RecordBatch.from_arrays([pa.array([last], pa.string())], ["last"])
 
         return run
@@ -147,7 +149,7 @@ def build_chain(events: DataFrame, previous: str = "", tags: tuple[str, str] = h
                 if int(of[a]) != here:
                     here, last = int(of[a]), heads[int(of[a])]
                 piece = batch.slice(a, b - a)
-                own = list(digests(piece, last))
+                own = digests(piece, last)
                 more = [pa.array([last, *own[:-1]], pa.string()), pa.array(own, pa.string()), pa.array([hashing.CURRENT_VERSION] * len(own), pa.int32())]
                 last = own[-1]
                 yield pa.RecordBatch.from_arrays([*[piece.column(piece.schema.get_field_index(c)) for c in kept], *more], [*kept, *CHAIN])

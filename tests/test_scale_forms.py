@@ -152,3 +152,40 @@ def test_slices_compare_a_row_with_few_cuts(spark):
         df = spark.createDataFrame([(v,) for v in [None, -1, 0, 1, 3, 4, 29, 30, 31, 3 * n - 3, 3 * n, 10**6]], "v long")
         got = df.select("v", ledger._cuts_below(F.col("v"), cuts, "bigint").alias("n")).collect()
         assert [r.n for r in got] == [0 if r.v is None else sum(c < r.v for c in cuts) for r in got]
+
+
+def test_lists_of_anchors_go_over_files(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+    from lumenfold.plans import catalog_store
+
+    rows = [(i, f"2024-01-01 00:00:{i % 60:02d}", i % 3, "click", 1.0, json.dumps({"k": i})) for i in range(3, 200, 2)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/sf/events.parquet")
+    monkeypatch.setattr(catalog_store, "scratch_path", lambda _, label: f"file://{tmp_path}/{label}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r.line, r.event_id, r.fault) for r in entry.queries()["s5_checkpoint_lines"](spark, f"{tmp_path}/sf").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "anchors").glob("part-*"))) > 1  # no task has all of them
+    assert [g[0] for g in got] == list(range(1, len(rows) + 1)) and [g[1] for g in got if not g[2]] == [r[0] for r in rows]
+
+
+def test_samples_are_matched_one_after_another(spark):
+    rng, rows = random.Random(6), []
+    for sample in range(60):
+        for role in ("truth", "pred"):
+            for pos in range(rng.randrange(6)):
+                start = rng.randrange(12)
+                rows.append((sample, role, pos, rng.choice("ab"), start, start + 1 + rng.randrange(8)))
+    wanted = []
+    for sample in range(60):
+        truths, preds = ([r for r in rows if r[0] == sample and r[1] == role] for role in ("truth", "pred"))
+        for t in truths:
+            hit = next((p for p in preds if p[3] == t[3] and evaluation.iou(p[4:], t[4:]) >= 0.5), None)
+            if hit:
+                preds.remove(hit)
+            wanted.append((sample, t[3], t[3] if hit else "none"))
+        wanted += [(sample, "none", p[3]) for p in preds]
+    pairs = evaluation.match_spans(spark.createDataFrame(rows, "sample_id long, role string, pos int, label string, start int, end int"))
+    assert sorted(map(tuple, pairs.collect())) == sorted(wanted)
+    assert "FlatMapGroupsInPandas" not in pairs._jdf.queryExecution().executedPlan().toString()
