@@ -27,7 +27,7 @@ ACTIONS = ("redacted", "blocked", "allowed_once")
 #: Rows of a slice of an ordered table, and the most slices it is cut into.
 SLICE_ROWS, SLICES = 1 << 14, 1000
 #: Events that one task chains, about.
-CHAIN_ROWS = 1 << 19
+CHAIN_ROWS = 1 << 18
 #: Events of a part of an exported page.
 PAGE_EVENTS = 1000
 
@@ -154,7 +154,7 @@ def build_chain(events: DataFrame, previous: str = "", tags: tuple[str, str] = h
                 last = own[-1]
                 yield pa.RecordBatch.from_arrays([*[piece.column(piece.schema.get_field_index(c)) for c in kept], *more], [*kept, *CHAIN])
 
-    return stored.repartition(max(1, parts), "__part").sortWithinPartitions("__part", *order).mapInArrow(chain, schema)
+    return stored.repartitionByRange(max(1, parts), "__part").sortWithinPartitions("__part", *order).mapInArrow(chain, schema)
 
 
 def extension(batch: DataFrame, at: int, previous: str, typed: bool = False, tags: tuple[str, str] = hashing.TAGS) -> DataFrame:
