@@ -37,8 +37,9 @@ HARD_RULES = [
     ("slack_webhook", SLACK), ("stripe_secret_key", STRIPE), ("google_api_key", GOOGLE), ("gitlab_pat", GITLAB), ("database_url", DATABASE),
 ]
 URL_RULES = [("internal_ipv4", IPV4), ("generic_url", URL)]
-#: A string that every match of a rule holds; texts without it skip the pattern.
+#: A string that every match of a rule holds, or several of which it holds one; texts without skip the pattern.
 HINTS = {
+    "env_assignment": ("=", ":"),
     "github_token": "gh", "anthropic_api_key": "sk-ant-", "openai_api_key": "sk-", "pem_private_key": "-----BEGIN ", "jwt": "ey", "slack_webhook": "hooks.slack.com", "stripe_secret_key": "sk_",
     "google_api_key": "AIza", "gitlab_pat": "glpat-", "database_url": "://", "generic_url": "://", "email": "@", "internal_ipv4": ".",
 }
@@ -71,7 +72,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def matches(text: Column, name: str, pattern: str) -> Column:
     """Whether a rule matches; a cheap look for its hint comes first."""
     found = F.regexp_like(text, F.lit("(?U)" + pattern))
-    return F.when(text.contains(HINTS[name]), found).otherwise(F.lit(False)) if name in HINTS else found
+    if name not in HINTS:
+        return found
+    hints = [HINTS[name]] if isinstance(HINTS[name], str) else HINTS[name]
+    return F.when(reduce(lambda a, b: a | b, [text.contains(h) for h in hints]), found).otherwise(F.lit(False))
 
 
 def strip_markers(text: Column) -> Column:
@@ -187,10 +191,15 @@ def merge_with_model(hard: Column, model: Column) -> Column:
 
     Both are arrays of (start, end, kind).
     """
-    overlap = lambda m: F.exists(hard, lambda h: (h["start"] < m["end"]) & (m["start"] < h["end"]))
-    kept = F.filter(model, lambda m: ~overlap(m))
     tag = lambda a, rank: F.transform(a, lambda f, i: F.struct(f["start"].alias("start"), F.lit(rank).alias("rank"), i.alias("i"), f["end"].alias("end"), f["kind"].alias("kind")))
-    return F.transform(F.array_sort(F.concat(tag(hard, 0), tag(kept, 1))), lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["kind"].alias("kind"), F.when(f["rank"] == 0, "Hard").otherwise("Model").alias("source")))
+
+    def merged(rules: Column) -> Column:
+        overlap = lambda m: F.exists(rules, lambda h: (h["start"] < m["end"]) & (m["start"] < h["end"]))
+        kept = F.filter(model, lambda m: ~overlap(m))
+        return F.transform(F.array_sort(F.concat(tag(rules, 0), tag(kept, 1))), lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["kind"].alias("kind"), F.when(f["rank"] == 0, "Hard").otherwise("Model").alias("source")))
+
+    # made once, so that the rules aren't searched again for each of the model's findings
+    return let(hard, merged)
 
 
 def risk_signals(findings: Column) -> Column:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lumenfold.functions import redaction
 from lumenfold.operators import engines
 from lumenfold.plans import policy
 
@@ -130,3 +131,16 @@ def test_preflight_and_policy(spark):
     got = {r.call: r for r in calls.withColumn("p", engines.fail_closed(policy.decide(rules, context), F.col("status"))).collect()}
     assert [(c, got[c].status, got[c].n_findings, got[c].p.action) for c in "abcd"] == [("a", "ok", 3, "approve"), ("b", "degraded_error", 0, "deny"), ("c", "ok", 1, "allow"), ("d", "empty", 0, "allow")]
     assert got["b"].p.policy_ids == [engines.SCAN_FAILED] and got["a"].pii["url"] == 1
+
+
+def test_rules_are_searched_once(spark):
+    def load():
+        return lambda texts, langs: [[(i, i + 1, "person") for i in range(0, len(t), 2)] for t in texts]
+
+    texts = ["a b c d https://a.example/x y z " + "API_KEY=k1 " * 3, "a " * 500]
+    scan = engines.scan(rows(spark, texts), engines.ModelEngine(load))
+    plan = scan._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == len(redaction.HARD_RULES + redaction.URL_RULES)  # and not again for each of the model's findings
+    got = by_id(scan)
+    assert [f.source for f in got[0].findings].count("Hard") == 4 and not any(f.source == "Model" and 8 <= f.start < 27 for f in got[0].findings)
+    assert len(got[1].findings) == 500 and got[1].redacted_text == "[REDACTED person] " * 500
