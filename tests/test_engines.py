@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import redaction
 from lumenfold.operators import engines
-from lumenfold.plans import policy
+from lumenfold.plans import catalog_engines, policy
 
 SCHEMA = "id long, text string, scan string, lang string"
 
@@ -144,3 +144,10 @@ def test_rules_are_searched_once(spark):
     got = by_id(scan)
     assert [f.source for f in got[0].findings].count("Hard") == 4 and not any(f.source == "Model" and 8 <= f.start < 27 for f in got[0].findings)
     assert len(got[1].findings) == 500 and got[1].redacted_text == "[REDACTED person] " * 500
+
+
+def test_preflight_searches_once(spark, tmp_path):
+    spark.createDataFrame([(i, "alphabetically https://a.example/x" * (i % 3)) for i in range(16)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    calls = catalog_engines.e2_engine_preflight(spark, str(tmp_path))
+    assert calls._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == len(redaction.HARD_RULES + redaction.URL_RULES)
+    assert [(r.call_id, r.status) for r in calls.orderBy("call_id").collect()] == [(0, "ok"), (1, "ok")]
