@@ -28,6 +28,8 @@ ACTIONS = ("redacted", "blocked", "allowed_once")
 SLICE_ROWS, SLICES = 1 << 14, 1000
 #: Events that one task chains, about.
 CHAIN_ROWS = 1 << 18
+#: Slices that one task checks, about.
+TASK_SLICES = 8
 #: Events of a part of an exported page.
 PAGE_EVENTS = 1000
 
@@ -186,20 +188,25 @@ def chain_checks(events: DataFrame, tags: tuple[str, str] = hashing.TAGS, truste
 
     Hashes recompute in parallel. A slice is some `SLICE_ROWS` events by rank; links are looked
     up within it, and the last hash and the greatest version so far are carried to the next.
+    Slices get more tasks than the session's partitions where a task would have too many.
     """
     again = hashing.event_hash(F.col("chain_version"), F.col("prev_hash"), F.col("payload_json"), F.col("created_at"), F.col("session_id"), F.col("event_type"), F.col("redacted_text"), tags)
-    rows, by = events.withColumns({"__again": again, "__trusted": F.lit(False)}), Window.partitionBy("__slice").orderBy("event_id")
+    rows, by = events.withColumns({"__fits": again == F.col("event_hash"), "__trusted": F.lit(False)}), Window.partitionBy("__slice").orderBy("event_id")
     if trusted is not None:
         rows = rows.unionByName(trusted.select("event_id", "event_hash", "chain_version", F.lit(True).alias("__trusted")), allowMissingColumns=True)
-    rows = rows.withColumn("__slice", slice_of(events, "event_id"))
+    slices = n_slices(events)
+    rows = rows.withColumn("__slice", slice_of(events, "event_id", slices))
     ends = rows.groupBy("__slice").agg(F.max_by("event_hash", "event_id").alias("__end"), F.max("chain_version").alias("__most"))
     over = Window.orderBy("__slice")  # one row for each slice
     carried = ends.select("__slice", F.lag("__end", 1, "").over(over).alias("__end"), F.max("__most").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__most"))
+    tasks = -(-slices // TASK_SLICES)
+    if tasks > int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(tasks, "__slice")
     here = rows.withColumns({"__n": F.row_number().over(by), "__last": F.lag("event_hash").over(by), "__seen": F.max("chain_version").over(by.rowsBetween(Window.unboundedPreceding, -1))}).join(carried, "__slice")
     linked = F.col("prev_hash") == F.when(F.col("__n") == 1, F.col("__end")).otherwise(F.col("__last"))
     newest = F.greatest(F.lit(1), "__seen", "__most")
-    ok = (F.col("__again") == F.col("event_hash")) & linked & (F.col("chain_version") >= newest)
-    return here.filter("not __trusted").withColumn("ok", F.coalesce(ok, F.lit(False))).drop("__again", "__trusted", "__slice", "__n", "__last", "__seen", "__end", "__most")
+    ok = F.col("__fits") & linked & (F.col("chain_version") >= newest)
+    return here.filter("not __trusted").withColumn("ok", F.coalesce(ok, F.lit(False))).drop("__fits", "__trusted", "__slice", "__n", "__last", "__seen", "__end", "__most")
 
 
 def verify(events: DataFrame, tags: tuple[str, str] = hashing.TAGS) -> DataFrame:
@@ -265,11 +272,15 @@ def read_checkpoints(spark: SparkSession, path: str, quarantine: bool = False) -
     return lines.filter(kept).drop("path", "fault")
 
 
-def slice_of(rows: DataFrame, column: str) -> Column:
+def n_slices(rows: DataFrame) -> int:
+    return min(SLICES, -(-rows.count() // SLICE_ROWS))
+
+
+def slice_of(rows: DataFrame, column: str, parts: int | None = None) -> Column:
     """The slice of a value of the column, which ascends with it; nulls come first. Slices hold
-    about `SLICE_ROWS` of the rows, at most `SLICES` of them; all equal values share one."""
-    n = rows.count()
-    parts = min(SLICES, -(-n // SLICE_ROWS))
+    about `SLICE_ROWS` of the rows, at most `SLICES` of them; all equal values share one.
+    parts: n_slices(rows), where it's known."""
+    parts = n_slices(rows) if parts is None else parts
     cuts = rows.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10 * SLICES)).first()[0] if parts > 1 else None
     return _cuts_below(F.col(column), sorted(set(cuts or [])), dict(rows.dtypes)[column])
 

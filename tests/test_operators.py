@@ -31,6 +31,17 @@ def test_untouched_chain_verifies(chained, monkeypatch):
     assert broken(chained) is None
 
 
+def test_tasks_grow_with_the_ledger(spark, monkeypatch):
+    rows = [(i, "a", "x.y", '{"k":1}', None, i) for i in range(1, 201)]
+    long = ledger.build_chain(spark.createDataFrame(rows, SCHEMA)).cache()
+    monkeypatch.setattr(ledger, "SLICE_ROWS", 4)
+    checks = ledger.chain_checks(long)
+    assert "RepartitionByExpression" in checks._jdf.queryExecution().optimizedPlan().toString()  # 50 slices; the session has 4 partitions
+    assert checks.rdd.getNumPartitions() == -(-50 // ledger.TASK_SLICES)
+    assert broken(long) is None and broken(long.withColumn("payload_json", F.when(F.col("event_id") == 133, "[]").otherwise(F.col("payload_json")))) == 133
+    assert ledger.protection_summary(long).first().chain_intact
+
+
 @pytest.mark.parametrize("size", [2, 1 << 16])
 @pytest.mark.parametrize(("column", "value"), [("payload_json", "[]"), ("payload_json", "no json"), ("event_type", "t"), ("session_id", "a"), ("redacted_text", None), ("created_at", 99), ("event_hash", "0" * 64), ("prev_hash", "0" * 64), ("chain_version", 1), ("chain_version", 7)])
 def test_tampering_is_found(chained, monkeypatch, column, value, size):
