@@ -2,8 +2,10 @@
 
 A posting is a row: term, event, field, position. Postings lie in immutable segments, dealt to
 buckets by their term and sorted by term and event, as pages of differences (Parquet's delta
-encodings of both integers and strings). A frequent term is written in parts of `BLOCK`
-events, each by a task of its own. Each segment has a dictionary of its terms, sorted by term.
+encodings of both integers and strings). A bucket of a segment, and so a frequent term, is
+written in a part for each `BLOCK` events or `PART_ROWS` postings, about: as many files as these
+need, whatever the session's partitions and the gaps between numbers of events. Each segment
+has a dictionary of its terms, sorted by term.
 
 A search opens the buckets of its terms and in these the pages that hold them; prefixes look
 their buckets up in the dictionary first. Phrases are found by positions. All terms of a query
@@ -28,7 +30,12 @@ from . import search as scan
 
 POSTING = "term string, event_id long, field int, pos int, bucket int"
 TERM = "term string, bucket int, n long"
-BUCKETS, FAN_IN, BLOCK = 64, 4, 1 << 16
+SHOWN = ["event_id", "session_id", "event_type", "redacted_text", "created_at"]
+BUCKETS, FAN_IN, BLOCK, PART_ROWS = 64, 4, 1 << 20, 1 << 18
+#: Numbers of events that follow each other in a part.
+RUN = 16
+#: Characters of a posting, about, to tell their number before they are made.
+POSTING_CHARS = 4
 #: Sorted columns as differences: version 2 pages, without dictionaries.
 DELTA = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
 
@@ -105,23 +112,24 @@ class TextIndex:
         writer has added some meanwhile; nothing is indexed then."""
         version, state = self._state()
         new = events if state["mark"] is None else events.filter(F.col("event_id") > state["mark"])
-        ends = new.agg(F.count("*").alias("n"), F.max("event_id").alias("last")).first()
+        chars = reduce(lambda a, b: a + b, [F.coalesce(F.length(f), F.lit(0)) for f in scan.FIELDS])
+        ends = new.agg(F.count("*").alias("n"), F.max("event_id").alias("last"), F.sum(chars).alias("chars")).first()
         if not ends.n:
             return version
-        segment = self._write(postings(new.filter(F.col("event_id") <= ends.last), self.buckets), 0)
+        segment = self._write(postings(new.filter(F.col("event_id") <= ends.last), self.buckets), 0, ends.n, ends.chars // POSTING_CHARS)
         version = self.log.commit(version, state | {"mark": ends.last, "segments": [*state["segments"], segment]})
         return self._merge(version)
 
-    def _write(self, rows: DataFrame, level: int) -> dict:
-        """A segment of postings and its dictionary."""
+    def _write(self, rows: DataFrame, level: int, events: int, n: int) -> dict:
+        """A segment of so many events and about n postings, and its dictionary."""
         name = uuid.uuid4().hex
-        parts = max(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        dealt = rows.repartition(parts, "bucket", F.expr(f"event_id div {BLOCK}"))
+        parts = max(1, -(-events // BLOCK), -(-n // (self.buckets * PART_ROWS)))
+        dealt = rows.repartition(self.buckets * parts, "bucket", F.pmod(F.xxhash64(F.expr(f"event_id div {RUN}")), F.lit(parts)))
         dealt.sortWithinPartitions("bucket", "term", "event_id", "field", "pos").write.options(**DELTA).partitionBy("bucket").parquet(f"{self.path}/postings/segment={name}")
         written = self._rows([{"name": name}], "postings", POSTING)
         terms = written.groupBy("bucket", "term").agg(F.count("*").alias("n")).select("term", "bucket", "n")
         terms.repartitionByRange("term").sortWithinPartitions("term").write.options(**DELTA).parquet(f"{self.path}/terms/segment={name}")
-        return {"name": name, "level": level}
+        return {"name": name, "level": level, "events": events}
 
     def _merge(self, version: int) -> int:
         """Merges levels that are full. Another writer's commit meanwhile is left to go first."""
@@ -134,7 +142,8 @@ class TextIndex:
             if not full:
                 return version
             group = levels[min(full)]
-            one = self._write(self._rows(group, "postings", POSTING), min(full) + 1)
+            rows = self._rows(group, "postings", POSTING)
+            one = self._write(rows, min(full) + 1, sum(s.get("events", 0) for s in group), rows.count())
             names = {s["name"] for s in group}
             try:
                 version = self.log.commit(version, state | {"segments": [s for s in state["segments"] if s["name"] not in names] + [one]})
@@ -168,7 +177,8 @@ class TextIndex:
         wanted = F.col("term").isin(sorted(exact)) if exact else F.lit(False)
         for p in sorted(prefixes):
             wanted = wanted | F.col("term").startswith(p)
-        own = {r.b for r in self.spark.createDataFrame([(t,) for t in sorted(exact)], "t string").select(_bucket(F.col("t"), self.buckets).alias("b")).distinct().collect()}
+        buckets = [_bucket(F.lit(t), self.buckets) for t in sorted(exact)]
+        own = set(self.spark.range(1).select(F.array(*buckets).cast("array<int>").alias("b")).first().b)
         if prefixes and segments:
             starts = reduce(lambda a, b: a | b, [F.col("term").startswith(p) for p in sorted(prefixes)])
             own |= {r.bucket for r in self._rows(segments, "terms", TERM).filter(starts).select("bucket").distinct().collect()}  # bounded: buckets
@@ -183,12 +193,13 @@ class TextIndex:
         found = self.matching(parser.exact, parser.prefixes)
         return found.groupBy("event_id").agg(F.collect_list(F.struct("field", "term", "pos")).alias("hits")).filter(hit).select("event_id")
 
+    def hits(self, query: str, events: DataFrame) -> DataFrame:
+        """search() without an order, for callers that need none."""
+        return events.join(self.ids(query), "event_id", "left_semi").select(*SHOWN)
+
     def search(self, query: str, events: DataFrame, limit: int | None = None) -> DataFrame:
         """search.search() by the index: the same rows, where all of events are indexed."""
-        found = self.ids(query)
-        if limit:
-            first = [r.event_id for r in found.orderBy("event_id").limit(limit).collect()]  # bounded: limit
-            rows = events.filter(F.col("event_id").isin(first))
-        else:
-            rows = events.join(found, "event_id", "left_semi")
-        return rows.select("event_id", "session_id", "event_type", "redacted_text", "created_at").orderBy("event_id")
+        if not limit:
+            return self.hits(query, events).orderBy("event_id")
+        first = [r.event_id for r in self.ids(query).orderBy("event_id").limit(limit).collect()]  # bounded: limit
+        return events.filter(F.col("event_id").isin(first)).select(*SHOWN).orderBy("event_id")

@@ -126,7 +126,7 @@ def a9_index_search(spark: SparkSession, sf: str) -> DataFrame:
     """Forms of queries over all turns of all conversations, from an index of three increments."""
     e = d.turns(spark, sf)
     index = _indexed(spark, e, 3)
-    found = [index.search(q, e).select(F.lit(name).alias("form"), "event_id", F.sha2(F.col("redacted_text").cast("binary"), 256).alias("text_sha256")) for name, (q, _) in _TURN_FORMS.items()]
+    found = [index.hits(q, e).select(F.lit(name).alias("form"), "event_id", F.sha2(F.col("redacted_text").cast("binary"), 256).alias("text_sha256")) for name, (q, _) in _TURN_FORMS.items()]
     return reduce(DataFrame.unionByName, found)
 
 

@@ -129,3 +129,16 @@ def test_an_empty_index(spark, events, tmp_path):
     assert none.add(events.limit(0)) == 0 and none.search("alpha OR be*", events).collect() == [] and none.vacuum() == 0
     none.add(events.filter("event_id = 401 or event_id = 402").withColumns({"session_id": F.lit(None).cast("string"), "event_type": F.lit("!")}))
     assert none.search("alpha", events).collect() == [] and [r.event_id for r in none.search("...", events).collect()] == [402]
+
+
+def test_files_are_as_many_as_postings_need(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        sparse = spark.range(300).select((F.col("id") * 100_003).alias("event_id"), F.lit("s1").alias("session_id"), F.lit("note.added").alias("event_type"), F.lit("alpha beta").alias("redacted_text"), F.lit(1).cast("long").alias("created_at"))
+        one = TextIndex(spark, f"file://{tmp_path}/i", 2)
+        one.add(sparse)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 1 <= len(glob.glob(f"{tmp_path}/i/postings/segment=*/bucket=*/*.parquet")) <= 2  # one for each bucket
+    assert one.search("alpha", sparse).count() == 300 == one.hits("s1 beta", sparse).count()
