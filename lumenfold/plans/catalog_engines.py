@@ -49,7 +49,7 @@ _RISK = "25 * n_secret + 10 * (n_hard - n_secret) + 5 * n_model"
 
 def _scans(spark: SparkSession, sf: str) -> DataFrame:
     docs = d.load(spark, sf, "documents").select("doc_id", "text").filter("length(text) > 0")
-    return engines.scan(docs, engines.ModelEngine(long_words))
+    return engines.scan(d.dealt(docs, "doc_id"), engines.ModelEngine(long_words))
 
 
 @query(f"SELECT doc_id, status, CASE WHEN status <> 'ok' THEN 'ArithmeticError' END AS reason, n_hard, n_model, {_RISK} AS risk, sha256(redacted) AS redacted FROM ({_SCANS})")

@@ -30,6 +30,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+#: Tasks for each core, so that one that is slow or holds long texts doesn't keep the others waiting.
+TASKS_A_CORE = 4
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to tasks by a key that is unique or nearly so, before work that costs far more than
+    a shuffle: a file may be one row group, whatever its size, and would be read by one task."""
+    return df.repartition(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _case(key: str, values: list[str]) -> Column:
     c = F.lit(values[-1])
     for i in range(len(values) - 2, -1, -1):

@@ -151,3 +151,11 @@ def test_preflight_searches_once(spark, tmp_path):
     calls = catalog_engines.e2_engine_preflight(spark, str(tmp_path))
     assert calls._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == len(redaction.HARD_RULES + redaction.URL_RULES)
     assert [(r.call_id, r.status) for r in calls.orderBy("call_id").collect()] == [(0, "ok"), (1, "ok")]
+
+
+def test_one_row_group_is_scanned_by_many_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"alphabetically {i} https://a.example/x") for i in range(400)], "doc_id long, text string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    scans = catalog_engines._scans(spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in scans.groupBy("task").count().collect()]
+    assert sum(sizes) == 400 and len(sizes) > spark.sparkContext.defaultParallelism and max(sizes) < 100
