@@ -36,6 +36,8 @@ BUCKETS, FAN_IN, BLOCK, PART_ROWS = 64, 4, 1 << 20, 1 << 18
 RUN = 16
 #: Characters of a posting, about, to tell their number before they are made.
 POSTING_CHARS = 4
+#: Characters of the events that one task makes postings of, about.
+TASK_CHARS = 1 << 20
 #: Sorted columns as differences: version 2 pages, without dictionaries.
 DELTA = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
 
@@ -116,7 +118,11 @@ class TextIndex:
         ends = new.agg(F.count("*").alias("n"), F.max("event_id").alias("last"), F.sum(chars).alias("chars")).first()
         if not ends.n:
             return version
-        segment = self._write(postings(new.filter(F.col("event_id") <= ends.last), self.buckets), 0, ends.n, ends.chars // POSTING_CHARS)
+        rows = new.filter(F.col("event_id") <= ends.last).select("event_id", *scan.FIELDS)
+        # a file may be one row group, and events of an increment lie in few of them
+        tasks = -(-ends.chars // TASK_CHARS)
+        dealt = rows.repartition(tasks, "event_id") if tasks > 1 else rows
+        segment = self._write(postings(dealt, self.buckets), 0, ends.n, ends.chars // POSTING_CHARS)
         version = self.log.commit(version, state | {"mark": ends.last, "segments": [*state["segments"], segment]})
         return self._merge(version)
 

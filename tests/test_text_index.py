@@ -142,3 +142,20 @@ def test_files_are_as_many_as_postings_need(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert 1 <= len(glob.glob(f"{tmp_path}/i/postings/segment=*/bucket=*/*.parquet")) <= 2  # one for each bucket
     assert one.search("alpha", sparse).count() == 300 == one.hits("s1 beta", sparse).count()
+
+
+def test_events_of_one_partition_are_indexed_by_many_tasks(spark, tmp_path, monkeypatch):
+    told, made = [], text_index.postings
+
+    def seen(rows, buckets):
+        told.append([r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()])
+        return made(rows, buckets)
+
+    monkeypatch.setattr(text_index, "postings", seen)
+    monkeypatch.setattr(text_index, "TASK_CHARS", 512, raising=False)
+    one = spark.createDataFrame(ROWS, EVENTS).coalesce(1)
+    index = TextIndex(spark, f"file://{tmp_path}/i", 8)
+    index.add(one.filter(F.col("event_id") <= 300))
+    index.add(one)
+    assert all(len(sizes) > 3 and max(sizes) <= sum(sizes) / 2 for sizes in told[:1]) and [sum(sizes) for sizes in told] == [101, len(ROWS) - 101]
+    assert index.search("alpha", one).collect() == search.search(one, "alpha").collect()
